@@ -24,7 +24,7 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 class _Pieces(dict):
     """Ids of a space-led chunk of text; forgets all when it holds `most` chunks."""
 
-    def __init__(self, tokenizer, lead: str, most: int = 400_000):
+    def __init__(self, tokenizer, lead: str, most: int = 500_000):
         super().__init__()
         self.tokenizer, self.lead, self.most = tokenizer, lead, most
 
