@@ -16,6 +16,8 @@ _U = np.uint64
 BANDS, ROWS, SHINGLE = 40, 5, 5
 #: A candidate is confirmed on its sets unless its minima agree less than the threshold by this much: 5.5 standard deviations of 200 minima.
 MARGIN = 0.17
+#: Buckets of more nodes are crowded: if one star doesn't settle them, their nodes meet again in so many longer bands.
+CROWD, DEEP_BANDS, DEEP_ROWS, TILE = 64, 330, 12, 2048
 #: Up to so many needed ids, 16 bytes each, are broadcast to find their texts; more are joined by a shuffle.
 SMALL = 200_000
 
@@ -54,17 +56,24 @@ def minima(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least value of each universal hash a*x+b mod 2**32 over a set."""
     x = (found >> _U(32)).astype(np.uint32)
     out = np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
-    for k in range(0, len(x), 256):
-        part = np.multiply.outer(x[k : k + 256], a)
+    width = max(16, 51_200 // len(a))
+    for k in range(0, len(x), width):
+        part = np.multiply.outer(x[k : k + width], a)
         part += b
         np.minimum(out, part.min(axis=0), out=out)
     return out
 
 
+def _band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    key = np.arange(1, bands + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25 + 2 * rows)
+    for k in range(rows):
+        key = mix(key * _U(0xFF51AFD7ED558CCD) + least[k::rows].astype(np.uint64))
+    return key
+
+
 def _signer(bands: int, rows: int, width: int):
     def sign(batches):
         a, b = _universal(bands * rows)
-        seats = np.arange(1, bands + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25)
         with np.errstate(over="ignore"):
             for batch in batches:
                 n, node, check, sketch, keys = [], [], [], [], []
@@ -78,10 +87,7 @@ def _signer(bands: int, rows: int, width: int):
                     check.append(int(mix(found ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     least = minima(found, a, b)
                     sketch.append(least.astype(np.uint8).tobytes())
-                    key = seats.copy()
-                    for k in range(rows):
-                        key = mix(key * _U(0xFF51AFD7ED558CCD) + least[k::rows].astype(np.uint64))
-                    keys.append(key.tobytes())
+                    keys.append(_band_keys(least, bands, rows).tobytes())
                 kept = [c for c in batch.schema.names if c != "raw"]
                 made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "n_shingles", "node", "check", "sketch", "keys"])
@@ -107,6 +113,61 @@ def _spread(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], names=["bucket", "node"])
 
 
+def _deepener(bands: int, rows: int, width: int):
+    def deepen(batches):
+        a, b = _universal(bands * rows)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                keys, bits = [], []
+                for found in shingle_sets(batch.column("raw").to_pylist(), width):
+                    least = minima(found, a, b)
+                    keys.append(_band_keys(least, bands, rows).tobytes())
+                    low = np.packbits((least & np.uint32(1)).astype(np.uint8))
+                    bits.append(np.pad(low, (0, -len(low) % 8)).tobytes())
+                made = [pa.array(keys, pa.binary()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "bits"])
+
+    return deepen
+
+
+def _tiler(percent: int, minima: int):
+    """Of a tile's nodes, the pairs of different components whose one-bit minima agree enough."""
+    share = (1 + percent / 100) / 2
+    most = minima * (1 - share + 5.5 * (share * (1 - share) / minima) ** 0.5)
+
+    def tile(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
+        u, v = [], []
+        for i in left:
+            apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = right[(apart <= most) & (component[right] != component[i])]
+            u.append(np.minimum(node[near], node[i])), v.append(np.maximum(node[near], node[i]))
+        pairs = pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+        return pairs.cast(pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return tile
+
+
+def _tiled(deep: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (u, v) of deep (node, keys, bits) among nodes that meet, over chains of unsettled buckets, in one crowd.
+
+    A crowd's nodes are dealt to tiles of about TILE by their hash, and each pair of tiles is
+    compared in one step, so neither memory nor rows grow with the pairs.
+    """
+    open_ = cut(_mixed(_met(deep.mapInArrow(_spread, "bucket long, node long")), grouped).select("bucket", "node", "least", "component"))
+    crowds = components(open_.select(F.col("least").alias("u"), F.col("node").alias("v")))
+    sizes = crowds.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    seats = crowds.withColumnRenamed("component", "crowd").join(sizes.withColumnRenamed("component", "crowd"), "crowd")
+    mine = F.least(F.floor((F.col("node") / F.lit(2.0**64) + 0.5) * F.col("tiles")), F.col("tiles") - 1)
+    seats = seats.join(open_.select("node", "component").distinct(), "node").join(deep.select("node", "bits"), "node")
+    seats = seats.select("crowd", "node", "component", "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    tiles = seats.select("crowd", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bits")
+    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS), "u long, v long").distinct()
+
+
 def _agreeing(least: float):
     def agree(batches):
         for batch in batches:
@@ -144,17 +205,21 @@ def _texts(docs: DataFrame, nodes: DataFrame, needed: DataFrame, named: bool, wi
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, named: bool, percent: int, width: int) -> DataFrame:
-    """Of the candidate pairs (u, v), those whose full sets are alike enough."""
-    kind = "u long, v long"
+    """Of the candidate pairs (u, v), those whose sketches and then full sets are alike enough."""
     left = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("left_sketch"))
     right = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("right_sketch"))
     met = pairs.join(left, "u").join(right, "v").select("u", "v", "left_sketch", "right_sketch")
-    likely = cut(met.mapInArrow(_agreeing(percent / 100 - MARGIN), kind))
+    likely = cut(met.mapInArrow(_agreeing(percent / 100 - MARGIN), "u long, v long"))
+    return _confirmed(likely, nodes, docs, named, percent, width)
+
+
+def _confirmed(likely: DataFrame, nodes: DataFrame, docs: DataFrame, named: bool, percent: int, width: int) -> DataFrame:
+    """Of the likely pairs (u, v), those whose full sets are alike enough."""
     needed = likely.select(F.col("u").alias("node")).unionAll(likely.select(F.col("v").alias("node"))).distinct()
     read = cut(_texts(docs, nodes, needed, named, width))
     left = read.select(F.col("node").alias("u"), F.col("raw").alias("left_raw"))
     right = read.select(F.col("node").alias("v"), F.col("raw").alias("right_raw"))
-    return cut(likely.join(left, "u").join(right, "v").select("u", "v", "left_raw", "right_raw").mapInArrow(_confirming(percent, width), kind))
+    return cut(likely.join(left, "u").join(right, "v").select("u", "v", "left_raw", "right_raw").mapInArrow(_confirming(percent, width), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
@@ -162,13 +227,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
 
     Rows with the same shingle set are collapsed to one node first, so groups of
     copies cost one signature. Nodes meet in band buckets. In each bucket every
-    node is compared with the bucket's least node; then, while a bucket still holds
-    nodes of several components, further nodes of it become centres, 4, 16, 64...
-    at a time, and are compared with the nodes of other components only. So all
-    links that can change a component are tried, while a bucket of near copies costs
-    a number of comparisons in proportion to its size. Candidates whose minima agree are confirmed on
-    their full shingle sets. With 40 bands of 5 rows a pair at 0.75 fails to meet
-    with a chance of 2 in 100,000.
+    node is compared with the bucket's least node. While a bucket of up to CROWD nodes still holds
+    nodes of several components, further nodes of it become centres, 4, 16, 64... at a
+    time, and are compared with the nodes of other components only. A larger one,
+    mostly of texts that share one passage but are otherwise apart, isn't compared
+    further: its nodes are signed again with DEEP_BANDS bands of DEEP_ROWS minima, in which such texts
+    part. Nodes of different components that meet there are compared in tiles by one bit of
+    each minimum, and only pairs that agree enough become rows. So all links that can
+    change a component are tried. Candidates whose minima agree are confirmed on
+    their full shingle sets. A pair at 0.75 fails to meet with a chance of 2 in
+    100,000 in either signature.
 
     Nulls: a null text is empty; a text without words has n_shingles 0, no links
     and itself as component. A null doc_id takes part, but never is a
@@ -180,28 +248,55 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sketch", "keys")).alias("of")).select("node", "doc_id", "of.*"))
     ids = docs.agg(F.count("*") == F.count("doc_id")).first()[0]
     named = ids and docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
-    held = nodes.select("node", "keys").mapInArrow(_spread, "bucket long, node long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _links(pairs, nodes, docs, named, percent, width)
+
+    held = _met(nodes.select("node", "keys").mapInArrow(_spread, "bucket long, node long"))
+    links = verified(_stars(held))
+    links, grouped = _settle(held.where(F.col("size") <= CROWD), links, verified)
+    crowded = cut(_mixed(held.where(F.col("size") > CROWD), grouped).select("node").distinct())
+    if crowded.limit(1).count():
+        deep = cut(_texts(docs, nodes, crowded, named, width).mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys binary, bits binary"))
+        likely = cut(_tiled(deep, grouped, percent))
+        links = cut(links.unionAll(_confirmed(likely, nodes, docs, named, percent, width)))
+        grouped = cut(components(links))
+    group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
+    least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _met(held: DataFrame) -> DataFrame:
+    """(bucket, node, least, size) of the buckets that hold several nodes."""
     shared = held.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
-    held = cut(held.join(shared, "bucket").select("bucket", "node", "least", "size"))
-    stars = held.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    links = _links(stars, nodes, docs, named, percent, width)
+    return cut(held.join(shared, "bucket").select("bucket", "node", "least", "size"))
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    return held.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+
+
+def _mixed(held: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The nodes, with their components, of buckets that hold several components."""
+    labelled = held.where("size > 2").join(grouped, "node", "left").select("bucket", "node", "least", "size", F.coalesce("component", "node").alias("component"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return labelled.join(mixed.select("bucket"), "bucket")
+
+
+def _settle(held: DataFrame, links: DataFrame, verified) -> tuple[DataFrame, DataFrame]:
+    """Compare centres of buckets with nodes of other components until none is left; the links, and (node, component)."""
     grouped = cut(components(links))
     begin, centres = 0, 4
     while True:
-        labelled = held.where(f"size > {max(begin, 2)}").join(grouped, "node", "left").select("bucket", "node", "least", "size", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-        open_ = cut(labelled.join(mixed.select("bucket"), "bucket"))
+        open_ = cut(_mixed(held.where(F.col("size") > begin), grouped))
         if open_.limit(1).count() == 0:
-            break
-        more = _links(_further(open_, begin, centres), nodes, docs, named, percent, width)
+            return links, grouped
+        more = verified(_further(open_, begin, centres))
         if more.limit(1).count():
             links = cut(links.unionAll(more))
             grouped = cut(components(links))
         begin, centres = begin + centres, centres * 4
-    group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
-    least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _noded(docs: DataFrame, width: int) -> DataFrame:
