@@ -82,6 +82,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of bytes other than space and 0x09-0x0D, A-Z taken as a-z. The
     texts are hashed together, without a Python step per word.
     """
+    return _spans(texts)[:2]
+
+
+def word_forms(texts: list[bytes], forms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and each word's form in 0..forms-1, a hash of its last two bytes."""
+    hashes, first, data, starts, ends = _spans(texts)
+    last = data[ends - 1].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
+    prior = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64) if len(ends) else last
+    return hashes, first, (mix(last * _U(256) + prior + _U(1)) % _U(forms)).astype(np.int64)
+
+
+def _spans(texts: list[bytes]):
     joined = b"\n".join(texts).translate(LOWER) + b"\n"
     data = np.frombuffer(joined, dtype=np.uint8)
     blank = _BLANK[data]
@@ -95,7 +107,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     begin = np.concatenate([[0], np.cumsum(lengths)])
-    return hashes, np.searchsorted(starts, begin)
+    return hashes, np.searchsorted(starts, begin), data, starts, ends
 
 
 def blocks(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:

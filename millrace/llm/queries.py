@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, language_id, near_dedup, packing, quality, site_templates, topk_search
+from millrace.llm import chat_format, class_lm, language_id, merge_dropout, near_dedup, packing, quality, site_templates, spot_signatures, topk_search
 from millrace.llm.common import fold, load
 
 #: A document whose predicted language has a lesser mean marginal is rejected by the pipeline.
@@ -16,6 +16,14 @@ SURE_LANGUAGE = 0.35
 GOOD_QUALITY = 0.7
 
 
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based n-gram score of every document."""
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(True))
+    scored = class_lm.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and what is read back from the formatted text."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -59,8 +67,8 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH good AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
-    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
     FROM good q JOIN good c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
@@ -76,6 +84,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout, and read back."""
+    return merge_dropout.encode(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=2024, dropout=0.1)
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprint of every document and of its edited text, compared with it and its follower."""
+    docs = spot_signatures.fingerprints(load(spark, sf_dir, "documents"))
+    rows = spot_signatures.with_next(docs, ["text", "spots"])
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))
+    rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "spots", "next_spots")
+    rows = rows.withColumn("edited_spots", spot_signatures.signatures(F.col("edited")))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spot_signatures.name(F.col("spots")).alias("fingerprint"), spot_signatures.name(F.col("edited_spots")).alias("edited_fingerprint"),
+        spot_signatures.likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), spot_signatures.likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = load(spark, sf_dir, "documents")
@@ -99,7 +128,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_main_text, op4_topk, op5_packing, op8_quality, op9_language, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_class_lm, op2_chat_format, op3_main_text, op4_topk, op5_packing, op6_merge_dropout, op7_fingerprint, op8_quality, op9_language, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
