@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def _starry(edges: DataFrame) -> bool:
+    """Whether each edge (u, v) leads straight to its component's least node: one edge a node, none from a centre."""
+    n, nodes = edges.groupBy("u").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    if (n or 0) != nodes:
+        return False
+    return edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -37,13 +40,23 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are aggregated before the shuffle and joined under AQE's skew
     handling.
     """
-    edges = cut(edges.select("u", "v").where("u <> v").distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    edges = cut(edges)
+    while not _starry(edges):
         edges = cut(_small_star(_large_star(edges)))
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
+
+
+def merge(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (u, v) join the components of grouped; a node that isn't in grouped is its own.
+
+    Only the graph of components is solved, which is small where the links are few.
+    """
+    of = grouped.select(F.col("node").alias("u"), F.col("component").alias("a"))
+    to = grouped.select(F.col("node").alias("v"), F.col("component").alias("b"))
+    between = links.join(of, "u", "left").join(to, "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    moved = cut(components(between).select(F.col("node").alias("component"), F.col("component").alias("now")))
+    kept = grouped.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    new = moved.select(F.col("component").alias("node"), F.col("now").alias("component")).join(grouped.select("node"), "node", "left_anti")
+    return cut(kept.unionAll(new))

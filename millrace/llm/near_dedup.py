@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import blocks, cut, mix, raw, word_hashes
-from millrace.llm.graph import components
+from millrace.llm.graph import components, merge
 
 _U = np.uint64
 BANDS, ROWS, SHINGLE = 40, 5, 5
@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     Rows with the same shingle set are collapsed to one node first, so groups of
     copies cost one signature. Nodes meet in band buckets. In each bucket every
     node is compared with the bucket's least node. While a bucket of up to CROWD nodes still holds
-    nodes of several components, further nodes of it become centres, 4, 16, 64... at a
-    time, and are compared with the nodes of other components only. A larger one,
+    nodes of several components, further nodes of it become centres, 8 and then the rest,
+    and are compared with the nodes of other components only. A larger one,
     mostly of texts that share one passage but are otherwise apart, isn't compared
     further: its nodes are signed again with DEEP_BANDS bands of DEEP_ROWS minima, in which such texts
     part. Nodes of different components that meet there are compared in tiles by one bit of
@@ -253,14 +253,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
         return _links(pairs, nodes, docs, named, percent, width)
 
     held = _met(nodes.select("node", "keys").mapInArrow(_spread, "bucket long, node long"))
-    links = verified(_stars(held))
-    links, grouped = _settle(held.where(F.col("size") <= CROWD), links, verified)
+    grouped = _settle(held.where(F.col("size") <= CROWD), cut(components(verified(_stars(held)))), verified)
     crowded = cut(_mixed(held.where(F.col("size") > CROWD), grouped).select("node").distinct())
     if crowded.limit(1).count():
         deep = cut(_texts(docs, nodes, crowded, named, width).mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys binary, bits binary"))
         likely = cut(_tiled(deep, grouped, percent))
-        links = cut(links.unionAll(_confirmed(likely, nodes, docs, named, percent, width)))
-        grouped = cut(components(links))
+        grouped = merge(grouped, _confirmed(likely, nodes, docs, named, percent, width))
     group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
     least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
@@ -284,19 +282,17 @@ def _mixed(held: DataFrame, grouped: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("bucket"), "bucket")
 
 
-def _settle(held: DataFrame, links: DataFrame, verified) -> tuple[DataFrame, DataFrame]:
-    """Compare centres of buckets with nodes of other components until none is left; the links, and (node, component)."""
-    grouped = cut(components(links))
-    begin, centres = 0, 4
+def _settle(held: DataFrame, grouped: DataFrame, verified) -> DataFrame:
+    """(node, component) once centres of buckets were compared with nodes of other components until none is left."""
+    begin, centres = 0, 8
     while True:
         open_ = cut(_mixed(held.where(F.col("size") > begin), grouped))
         if open_.limit(1).count() == 0:
-            return links, grouped
+            return grouped
         more = verified(_further(open_, begin, centres))
         if more.limit(1).count():
-            links = cut(links.unionAll(more))
-            grouped = cut(components(links))
-        begin, centres = begin + centres, centres * 4
+            grouped = merge(grouped, more)
+        begin, centres = begin + centres, centres * 7
 
 
 def _noded(docs: DataFrame, width: int) -> DataFrame:
