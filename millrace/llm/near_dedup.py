@@ -17,7 +17,7 @@ BANDS, ROWS, SHINGLE = 40, 5, 5
 #: A candidate is confirmed on its sets unless its minima agree less than the threshold by this much: 5.5 standard deviations of 200 minima.
 MARGIN = 0.17
 #: Buckets of more nodes are crowded: if one star doesn't settle them, their nodes meet again in so many longer bands.
-CROWD, DEEP_BANDS, DEEP_ROWS, TILE = 64, 330, 12, 2048
+CROWD, DEEP_BANDS, DEEP_ROWS, TILE = 64, 200, 10, 2048
 #: Up to so many needed ids, 16 bytes each, are broadcast to find their texts; more are joined by a shuffle.
 SMALL = 200_000
 
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     grouped = _settle(held.where(F.col("size") <= CROWD), cut(components(verified(_stars(held)))), verified)
     crowded = cut(_mixed(held.where(F.col("size") > CROWD), grouped).select("node").distinct())
     if crowded.limit(1).count():
-        deep = cut(_texts(docs, nodes, crowded, named, width).mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys binary, bits binary"))
+        deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys binary, bits binary"))
         likely = cut(_tiled(deep, grouped, percent))
         grouped = merge(grouped, _confirmed(likely, nodes, docs, named, percent, width))
     group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
