@@ -17,7 +17,7 @@ BANDS, ROWS, SHINGLE = 40, 5, 5
 #: A candidate is confirmed on its sets unless its minima agree less than the threshold by this much: 5.5 standard deviations of 200 minima.
 MARGIN = 0.17
 #: Buckets of more nodes are crowded: if one star doesn't settle them, their nodes meet again in so many longer bands.
-CROWD, DEEP_BANDS, DEEP_ROWS, TILE = 64, 200, 10, 2048
+CROWD, DEEP_BANDS, DEEP_ROWS, TILE = 32, 200, 10, 2048
 #: Up to so many needed ids, 16 bytes each, are broadcast to find their texts; more are joined by a shuffle.
 SMALL = 200_000
 
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     Rows with the same shingle set are collapsed to one node first, so groups of
     copies cost one signature. Nodes meet in band buckets. In each bucket every
     node is compared with the bucket's least node. While a bucket of up to CROWD nodes still holds
-    nodes of several components, further nodes of it become centres, 8 and then the rest,
+    nodes of several components, its other nodes become centres
     and are compared with the nodes of other components only. A larger one,
     mostly of texts that share one passage but are otherwise apart, isn't compared
     further: its nodes are signed again with DEEP_BANDS bands of DEEP_ROWS minima, in which such texts
@@ -283,16 +283,11 @@ def _mixed(held: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def _settle(held: DataFrame, grouped: DataFrame, verified) -> DataFrame:
-    """(node, component) once centres of buckets were compared with nodes of other components until none is left."""
-    begin, centres = 0, 8
-    while True:
-        open_ = cut(_mixed(held.where(F.col("size") > begin), grouped))
-        if open_.limit(1).count() == 0:
-            return grouped
-        more = verified(_further(open_, begin, centres))
-        if more.limit(1).count():
-            grouped = merge(grouped, more)
-        begin, centres = begin + centres, centres * 7
+    """(node, component) once the nodes of buckets of CROWD nodes at most were compared with those of other components."""
+    open_ = cut(_mixed(held, grouped))
+    if open_.limit(1).count() == 0:
+        return grouped
+    return merge(grouped, verified(_further(open_)))
 
 
 def _noded(docs: DataFrame, width: int) -> DataFrame:
@@ -307,15 +302,8 @@ def _noded(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(raw(F.col("text")).alias("raw")).mapInArrow(sign, "node long, raw binary").where("node is not null")
 
 
-def _further(open_: DataFrame, begin: int, centres: int) -> DataFrame:
-    """Pairs of a bucket's next centres with its greater nodes of other components.
-
-    Nodes are hashes, so a node's value gives its place among a bucket's nodes
-    about evenly; the places [begin, begin + centres) are this round's, and all
-    nodes have been centres once begin reaches the bucket's size.
-    """
-    place = (F.col("node") / F.lit(2.0**64) + 0.5) * F.col("size")
-    now = open_.where((place >= begin) & (place < begin + centres) & (F.col("node") != F.col("least")))
-    now = now.select("bucket", F.col("node").alias("centre"), F.col("component").alias("of"))
-    met = open_.join(now, "bucket").where("node > centre and component <> of")
-    return met.select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+def _further(open_: DataFrame) -> DataFrame:
+    """Pairs of a bucket's nodes but its least with greater nodes of other components."""
+    now = open_.where("node <> least").select("bucket", F.col("node").alias("u"), F.col("component").alias("of"))
+    met = open_.select("bucket", F.col("node").alias("v"), "component")
+    return now.join(met, "bucket").where("v > u and component <> of").select("u", "v").distinct()
