@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, mix
+from millrace.llm.common import blocks, mix, sampled
 
 #: Bounds of the labelled sample: documents, and words of each that are learned from.
 SAMPLE_DOCS, SAMPLE_WORDS = 3000, 400
@@ -303,9 +303,9 @@ def train(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
     Only the first SAMPLE_WORDS words of each sampled row are learned from; rows
     with a null text or lang are no examples.
     """
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("doc_id").cast("string").alias("d"))
+    rows = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
     # 25 characters a word is ample: what lies beyond isn't learned from
-    rows = rows.select("h", "d", F.substring("text", 1, 25 * SAMPLE_WORDS).alias("text"), "lang").orderBy("h", "d", "lang", "text").limit(most).collect()
+    rows = sampled(rows, F.col("id"), most).select("id", F.substring("text", 1, 25 * SAMPLE_WORDS).alias("text"), "lang").orderBy("id", "lang", "text").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

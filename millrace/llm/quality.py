@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, cut, mix, raw, word_hashes
+from millrace.llm.common import blocks, cut, mix, raw, sampled, word_hashes
 
 _U = np.uint64
 #: Bound of the labelled rows that are learned from.
@@ -225,7 +225,8 @@ def train(measured: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Ad
     ones of a document count as their mean, 0.5 and more as 1.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    rows = measured.join(known, "doc_id").select("measured", "label", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "measured").limit(most).collect()
+    rows = measured.join(known, "doc_id").select("doc_id", "measured", "label")
+    rows = sampled(rows, F.col("doc_id").cast("string"), most).orderBy("doc_id", "measured").collect()
     x = np.array([r["measured"] for r in rows], np.float32).reshape(len(rows), len(NAMES))
     return fit(x, np.array([r["label"] for r in rows], float))
 

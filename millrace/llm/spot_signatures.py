@@ -23,7 +23,9 @@ def _marked(text: Column) -> Column:
     """Lower-case words, each led by a space; anchors by a space and a tilde."""
     words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}|]+", " ")
     spaced = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), r"\|+", " | ")
-    return F.regexp_replace(spaced, rf" (?=(?:{'|'.join(_WORDS)}|\|) )", " ~")
+    marked = F.regexp_replace(spaced, rf" (?=(?:{'|'.join(_WORDS)}|\|) )", " ~")
+    # a run of one anchor has the spots of one of them
+    return F.regexp_replace(marked, r"( ~[^ ]++)(?:\1(?= ))++", "$1")
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -34,9 +36,9 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     marked = _marked(text)
-    skip, word = r"(?: +~[^ ]+)*", r" +[^ ~]+"
-    spots = F.regexp_extract_all(marked, F.lit(rf"(?= (~[^ ]+{(skip + word) * chain}) )"), F.lit(1))
-    keys = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, r" +~[^ ]+| +(?= )", "")))
+    skip, word = r"(?: ++~[^ ]++)*+", r" ++[^ ~]++"  # possessive: Java's matcher then keeps no stack
+    spots = F.regexp_extract_all(marked, F.lit(rf"(?= (~[^ ]++{(skip + word) * chain}) )"), F.lit(1))
+    keys = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, r" ++~[^ ]++| +(?= )", "")))
     rest = F.when(F.regexp_like(marked, F.lit(r"\p{L}")), F.xxhash64(marked, F.lit(1))).otherwise(F.xxhash64(text, F.lit(2)))
     return F.when(F.size(keys) > 0, F.sort_array(F.array_distinct(keys))).otherwise(F.array(rest))
 
