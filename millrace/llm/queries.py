@@ -97,7 +97,7 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))
     rows = rows.select("doc_id", size.cast("long").alias("n_chars"), edited.alias("edited"), "spots", "next_spots")
-    rows = rows.withColumn("edited_spots", spot_signatures.signatures(F.col("edited")))
+    rows = spot_signatures.with_signatures(rows, "edited", "edited_spots")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         spot_signatures.name(F.col("spots")).alias("fingerprint"), spot_signatures.name(F.col("edited_spots")).alias("edited_fingerprint"),

@@ -19,28 +19,43 @@ _WORDS = sorted({w for words in ANCHORS.values() for w in words.split()})
 CHAIN = 2
 
 
+def _branches(words: list[str]) -> str:
+    """A regular expression of the words as a tree of letters, so that a matcher leaves at the first wrong one."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [h + (_branches(rest) if rest != [""] else "") for h, rest in sorted(heads.items()) if h]
+    whole = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+    return whole + "?" * ends
+
+
+
 def _marked(text: Column) -> Column:
     """Lower-case words, each led by a space; anchors by a space and a tilde."""
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}|]+", " ")
-    spaced = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), r"\|+", " | ")
-    marked = F.regexp_replace(spaced, rf" (?=(?:{'|'.join(_WORDS)}|\|) )", " ~")
-    # a run of one anchor has the spots of one of them
+    words = F.regexp_replace(F.lower(text), r"[^a-z\p{L}\p{M}|]++", " ")
+    spaced = F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), r" ?\|[| ]*+", " | ")
+    marked = F.regexp_replace(spaced, rf" (?=(?:{_branches(_WORDS)}|\|) )", " ~")
+    # words are single-spaced, but for bars; a run of one anchor has the spots of one of them
     return F.regexp_replace(marked, r"( ~[^ ]++)(?:\1(?= ))++", "$1")
 
 
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct 64-bit spot signatures of a text: for each anchor, it and the next `chain` content words.
+def with_signatures(rows: DataFrame, text: str, out: str, chain: int = CHAIN) -> DataFrame:
+    """Add `out`, the sorted distinct 64-bit spot signatures of a text: for each anchor, it and the next `chain` content words.
 
     Anchors between the words of a chain are skipped. A text without a whole chain has
-    one signature: of its words or, if it has none, of itself. A null text is empty.
+    one signature: of its words or, if it has none, of itself. A null text is empty. Each step is a
+    column of its own, so that none is worked out twice.
     """
-    text = F.coalesce(text, F.lit(""))
-    marked = _marked(text)
+    given = F.coalesce(text, F.lit(""))
     skip, word = r"(?: ++~[^ ]++)*+", r" ++[^ ~]++"  # possessive: Java's matcher then keeps no stack
-    spots = F.regexp_extract_all(marked, F.lit(rf"(?= (~[^ ]++{(skip + word) * chain}) )"), F.lit(1))
-    keys = F.transform(spots, lambda s: F.xxhash64(F.regexp_replace(s, r" ++~[^ ]++| +(?= )", "")))
-    rest = F.when(F.regexp_like(marked, F.lit(r"\p{L}")), F.xxhash64(marked, F.lit(1))).otherwise(F.xxhash64(text, F.lit(2)))
-    return F.when(F.size(keys) > 0, F.sort_array(F.array_distinct(keys))).otherwise(F.array(rest))
+    rows = rows.withColumn("_marked", _marked(given))
+    rows = rows.withColumn("_spots", F.regexp_extract_all("_marked", F.lit(rf" (?=(~[^ ]++{(skip + word) * chain}) )"), F.lit(1)))
+    content = lambda s: F.when(F.locate(" ~", s) > 0, F.regexp_replace(s, r" ++~[^ ]++", "")).otherwise(s)
+    rows = rows.withColumn("_keys", F.transform("_spots", lambda s: F.xxhash64(content(s))))
+    rest = F.when(F.regexp_like("_marked", F.lit(r"\p{L}")), F.xxhash64("_marked", F.lit(1))).otherwise(F.xxhash64(given, F.lit(2)))
+    keys = F.when(F.size("_keys") > 0, F.sort_array(F.array_distinct("_keys"))).otherwise(F.array(rest))
+    return rows.withColumn(out, keys).drop("_marked", "_spots", "_keys")
 
 
 def name(keys: Column) -> Column:
@@ -84,7 +99,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     Repeated rows stay; null ids are kept; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), signatures(text, chain).alias("spots"))
+    return with_signatures(docs.select("doc_id", text.alias("text")), "text", "spots", chain)
 
 
 def near_pairs(sets: DataFrame, percent: int = 75) -> DataFrame:
