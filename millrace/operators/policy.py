@@ -18,7 +18,7 @@ def _decision(action: str, reason: Column | str | None = None, strategy: Column
 
 def code_only(kind: Column, size: Column, language: Column, traits: Column, parses: Column, excluded: tuple[str, ...] = EXCLUDED, limit: int = LIMIT, oversized: str = "skip") -> Column:
     """Struct (action, reason, strategy, trait): index only code that a parser reads. oversized: skip or reject."""
-    barred = F.try_element_at(F.filter(traits, lambda t: t.isin(*(x for x in TRAITS if x in excluded))), F.lit(1)) if excluded else F.lit(None).cast("string")
+    barred = F.try_element_at(F.filter(F.array(*(F.lit(x) for x in TRAITS if x in excluded)), lambda t: F.array_contains(traits, t)), F.lit(1)) if excluded else F.lit(None).cast("string")
     return (
         F.when(kind == "binary", _decision("skip", "binary-content")).when(kind == "unknown", _decision("skip", "unknown-content"))
         .when((size == 0) | F.array_contains(traits, "empty"), _decision("skip", "empty-file")).when(language.isNull(), _decision("skip", "plain-text"))
