@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import blocks, mix, sampled
 
 #: Bounds of the labelled sample: documents, and words of each that are learned from.
-SAMPLE_DOCS, SAMPLE_WORDS = 3000, 400
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 256
 SLOTS = 1 << 17
 _U = np.uint64
 SPAN = 32
@@ -282,19 +283,19 @@ class Labeller:
 
 
 def _predictor(model):
-    def predict(batches):
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(model.value)
-        for batch in batches:
+        for column in texts:
             found: list[tuple[str, float]] = []
-            texts = batch.column("text").to_pylist()
-            for begin, end in blocks([t or "" for t in texts], 1 << 20):
-                found += labeller(texts[begin:end])
-            kept = [c for c in batch.schema.names if c != "text" or "keep" in batch.schema.names]
-            columns = [batch.column(c) for c in kept if c != "keep"]
+            for start in range(0, len(column), 256):
+                part = column.slice(start, 256).to_pylist()
+                for begin, end in blocks([t or "" for t in part], 1 << 20):
+                    found += labeller(part[begin:end])
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*columns, *made], names=[*(c for c in kept if c != "keep"), "lang_pred", "score"])
+            yield pa.StructArray.from_arrays(made, names=["lang_pred", "score"])
 
-    return predict
+    # as not deterministic, so that a filter on the result doesn't run it twice
+    return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()
 
 
 def train(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
@@ -317,5 +318,4 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     model = docs.sparkSession.sparkContext.broadcast(field)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("keep", F.lit(True)).mapInArrow(_predictor(model), f"{schema}, lang_pred string, score double")
+    return docs.withColumn("_said", _predictor(model)("text")).select(*docs.columns, "_said.lang_pred", "_said.score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -201,21 +202,20 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     return model
 
 
-def _measure(batches):
-    for batch in batches:
-        texts = batch.column("raw").to_pylist()
-        found = [features(texts[a:b]) for a, b in blocks(texts, 2 << 20)]
-        values = np.concatenate(found).ravel() if found else np.zeros(0, np.float32)
-        made = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(NAMES)), pa.array(values))
-        kept = [c for c in batch.schema.names if c != "raw"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, "measured"])
+def _measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in texts:
+        parts = []
+        for start in range(0, len(column), 512):
+            held = column.slice(start, 512).to_pylist()
+            parts += [features(held[a:b]) for a, b in blocks(held, 2 << 20)]
+        values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(NAMES)), pa.array(values))
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Add `measured`, the features of each whole text (null: empty), to docs; column text is dropped."""
-    kept = [f for f in docs.schema if f.name not in ("text", "measured", "raw")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*(f.name for f in kept), raw(F.col("text")).alias("raw")).mapInArrow(_measure, f"{schema}, measured array<float>")
+    """Add `measured`, the features of each whole text (null: empty), to docs."""
+    # as not deterministic, so that no use of the result runs it again
+    return docs.withColumn("measured", F.arrow_udf(_measure, "array<float>").asNondeterministic()(raw(F.col("text"))))
 
 
 def train(measured: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Additive:
@@ -232,21 +232,18 @@ def train(measured: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Ad
 
 
 def _scorer(model):
-    def score(batches):
-        for batch in batches:
-            x = batch.column("measured").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(NAMES))
-            kept = [c for c in batch.schema.names if c != "measured"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.value.score(x), pa.float64())], names=[*kept, "score"])
+    def score(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in rows:
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(NAMES))
+            yield pa.array(model.value.score(x), pa.float64())
 
-    return score
+    return F.arrow_udf(score, "double").asNondeterministic()
 
 
 def apply(measured: DataFrame, model: Additive) -> DataFrame:
     """Replace `measured` by `score`, the probability of label 1."""
     shared = measured.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in measured.schema if f.name not in ("measured", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return measured.select(*(f.name for f in kept), "measured").mapInArrow(_scorer(shared), f"{schema}, score double")
+    return measured.withColumn("score", _scorer(shared)("measured")).drop("measured")
 
 
 def score(docs: DataFrame, labels: DataFrame, learns, most: int = SAMPLE_ROWS) -> DataFrame:
@@ -256,5 +253,5 @@ def score(docs: DataFrame, labels: DataFrame, learns, most: int = SAMPLE_ROWS) -
     both the sample and the scores are taken from these. A null text is empty and is scored like an empty one. A null doc_id
     is scored and never learned from. Repeated rows are scored each; an empty table gives no rows.
     """
-    measured = cut(measure(docs.select("doc_id", "text")))
+    measured = cut(measure(docs.select("doc_id", "text")).drop("text"))
     return apply(measured, train(measured.where(learns), labels, most))
