@@ -29,9 +29,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose quality score is at least GOOD_QUALITY; labels are those of the input folder."""
     learns = F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False))
-    model = quality.train(quality.measure(docs.where(learns).select("doc_id", "text")), load(spark, sf_dir, "labels"))
-    scored = quality.apply(quality.measure(docs.withColumn("whole", F.col("text"))), model)
-    return scored.where(F.col("score") >= GOOD_QUALITY).withColumnRenamed("whole", "text").select(*docs.columns)
+    model = quality.train(quality.measure(docs.where(learns).select("doc_id", "text")).drop("text"), load(spark, sf_dir, "labels"))
+    scored = quality.apply(quality.measure(docs), model)
+    return scored.where(F.col("score") >= GOOD_QUALITY).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
