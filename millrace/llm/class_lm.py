@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, cut, raw, word_forms
+from millrace.llm.common import blocks, cut, raw, sliced, word_forms
 
 _U = np.uint64
 #: Classes; forms that rare words are grouped by; words and forms that are exchanged; words with a class of their own; words whose counts are broadcast.
@@ -33,7 +33,7 @@ def _spread(batches):
         words, forms, counts = held.pop()
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(forms), pa.array(counts)], names=["word", "form", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("raw").to_pylist()
         for a, b in blocks(texts):
             with np.errstate(over="ignore"):
@@ -91,7 +91,7 @@ def _counter(kind: str, shared):
         head = shared.value
         cells = {"units": UNITS * UNITS, "contexts": 2 * CLASSED * CLASSES, "classes": CLASSES**3}[kind]
         total = np.zeros(cells, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("raw").to_pylist()
             for a, b in blocks(texts):
                 keys, forms, tokens, ends, _ = _sequences(texts[a:b])
@@ -268,7 +268,7 @@ def _scorer(shared):
         head = model.head
         room = np.log10(model.tokens + WORD * (model.distinct + 1))
         end_base = np.log10(model.ends + WORD)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("raw").to_pylist()
             made: list[list] = [[], [], [], [], [], []]
             for a, b in blocks(texts):

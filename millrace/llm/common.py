@@ -124,7 +124,14 @@ def _spans(texts: list[bytes]):
     return hashes, np.searchsorted(starts, begin), data, starts, ends
 
 
-def blocks(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def sliced(batches, rows: int = 512):
+    """Arrow batches of at most so many rows, so that a batch of long texts isn't turned into Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `most` bytes, to bound working memory."""
     begin = held = 0
     for i, text in enumerate(texts):

@@ -253,7 +253,7 @@ def marginal_sums(score: np.ndarray, begin: np.ndarray, field: Field, chunk: int
 class Labeller:
     """Document languages by a fitted field; remembers the scores of up to `most` words."""
 
-    def __init__(self, field: Field | None, most: int = 400_000):
+    def __init__(self, field: Field | None, most: int = 200_000):
         self.field, self.most = field, most
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((0, len(field.labels) if field else 0), np.float32)

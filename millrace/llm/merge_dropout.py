@@ -68,7 +68,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Encodes texts under a seed; remembers up to `most` segmented chunks."""
 
-    def __init__(self, path: str, seed: int, dropout: float, most: int = 500_000, short: int = 64):
+    def __init__(self, path: str, seed: int, dropout: float, most: int = 300_000, short: int = 64):
         self.short = short
         self.vocabulary, self.seed, self.most, self.held = vocabulary(path), seed, most, 0
         with np.errstate(over="ignore"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, cut, mix, raw, word_hashes
+from millrace.llm.common import blocks, cut, mix, raw, sliced, word_hashes
 from millrace.llm.graph import components, merge
 
 _U = np.uint64
@@ -75,7 +75,7 @@ def _signer(bands: int, rows: int, width: int):
     def sign(batches):
         a, b = _universal(bands * rows)
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in sliced(batches):
                 n, node, check, sketch, keys = [], [], [], [], []
                 for found in shingle_sets(batch.column("raw").to_pylist(), width):
                     n.append(len(found))
@@ -117,7 +117,7 @@ def _deepener(bands: int, rows: int, width: int):
     def deepen(batches):
         a, b = _universal(bands * rows)
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in sliced(batches):
                 keys, bits = [], []
                 for found in shingle_sets(batch.column("raw").to_pylist(), width):
                     least = minima(found, a, b)
@@ -182,7 +182,7 @@ def _confirming(percent: int, width: int):
     def confirm(batches):
         with np.errstate(over="ignore"):
             last: tuple[bytes | None, np.ndarray | None] = (None, None)
-            for batch in batches:
+            for batch in sliced(batches):
                 good = []
                 for left, right in zip(batch.column("left_raw").to_pylist(), batch.column("right_raw").to_pylist()):
                     if left != last[0]:
@@ -295,7 +295,7 @@ def _noded(docs: DataFrame, width: int) -> DataFrame:
 
     def sign(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in sliced(batches):
                 node = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in shingle_sets(batch.column("raw").to_pylist(), width)]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column("raw")], names=["node", "raw"])
 

@@ -207,7 +207,7 @@ def _measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parts = []
         for start in range(0, len(column), 512):
             held = column.slice(start, 512).to_pylist()
-            parts += [features(held[a:b]) for a, b in blocks(held, 2 << 20)]
+            parts += [features(held[a:b]) for a, b in blocks(held)]
         values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(NAMES)), pa.array(values))
 
