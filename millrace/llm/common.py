@@ -15,8 +15,16 @@ _ROLL = 0x9E3779B97F4A7C15
 _UNROLL = pow(_ROLL, -1, 1 << 64)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send Python at most so many rows at a time: texts may be long, and a task holds a whole batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table by name; the path may be in any store that Spark's readers open."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

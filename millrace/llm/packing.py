@@ -22,6 +22,7 @@ SALTS = 64
 _OTHER = re.compile("[^\n -~\u00a1-\u024f]")
 
 
+@lru_cache(maxsize=2)
 def _ranked(path: str):
     """A tiktoken encoder of the vocabulary in a tokenizers file, if that is byte-level with merges in order of ids; else None."""
     import public_tokenizers
@@ -44,10 +45,10 @@ def _ranked(path: str):
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), _ranked(path)
+    return Tokenizer.from_file(path)
 
 
 def encode(text: str, path: str) -> array:
@@ -57,10 +58,10 @@ def encode(text: str, path: str) -> array:
     special strings, which gives the same ids in a third of the time; all others, and
     other kinds of files, by tokenizers itself.
     """
-    tokenizer, ranked = _encoder(path)
+    ranked = _ranked(path)
     if ranked is not None and not _OTHER.search(text):
         return array("I", ranked.encode(text, allowed_special="all"))
-    return array("I", tokenizer.encode(text, add_special_tokens=False).ids)
+    return array("I", _tokenizer(path).encode(text, add_special_tokens=False).ids)
 
 
 def _cutter(path: str, end_id: int, size: int, with_ids: bool):
