@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, near_dedup, packing, quality
-from millrace.llm.common import fold, load
+from millrace.llm.common import fold, load, small_batches
 from millrace.llm.queries import GOOD_QUALITY, SURE_LANGUAGE
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learned language; those without letters, or of no clear language, go."""
+    small_batches(spark)
     learns = F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False))
     found = language_id.predict(docs, language_id.train(docs.where(learns)))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE_LANGUAGE)).select(*docs.columns)
@@ -28,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose quality score is at least GOOD_QUALITY; labels are those of the input folder."""
+    small_batches(spark)
     learns = F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False))
     model = quality.train(quality.measure(docs.where(learns).select("doc_id", "text")).drop("text"), load(spark, sf_dir, "labels"))
     scored = quality.apply(quality.measure(docs), model)
@@ -36,6 +38,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, the one of least doc_id."""
+    small_batches(spark)
     found = near_dedup.near_duplicates(docs)
     gone = found.where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -43,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what was kept into sequences of at most 2048 ids."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
