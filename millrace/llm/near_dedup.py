@@ -87,9 +87,9 @@ def _signer(bands: int, rows: int, width: int):
                     check.append(int(mix(found ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                     least = minima(found, a, b)
                     sketch.append(least.astype(np.uint8).tobytes())
-                    keys.append(_band_keys(least, bands, rows).tobytes())
+                    keys.append(_band_keys(least, bands, rows).view(np.int64))
                 kept = [c for c in batch.schema.names if c != "raw"]
-                made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.binary())]
+                made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "n_shingles", "node", "check", "sketch", "keys"])
 
     return sign
@@ -102,15 +102,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
     each universal minimum and keys a 64-bit hash of each band of whole minima.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", raw(F.col("text")).alias("raw")).mapInArrow(_signer(bands, rows, width), f"doc_id {kind}, n_shingles long, node long, check long, sketch binary, keys binary")
-
-
-def _spread(batches):
-    for batch in batches:
-        if batch.num_rows:
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), dtype=np.int64)
-            node = np.repeat(batch.column("node").to_numpy(), len(keys) // batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node)], names=["bucket", "node"])
+    return docs.select("doc_id", raw(F.col("text")).alias("raw")).mapInArrow(_signer(bands, rows, width), f"doc_id {kind}, n_shingles long, node long, check long, sketch binary, keys array<long>")
 
 
 def _deepener(bands: int, rows: int, width: int):
@@ -121,10 +113,10 @@ def _deepener(bands: int, rows: int, width: int):
                 keys, bits = [], []
                 for found in shingle_sets(batch.column("raw").to_pylist(), width):
                     least = minima(found, a, b)
-                    keys.append(_band_keys(least, bands, rows).tobytes())
+                    keys.append(_band_keys(least, bands, rows).view(np.int64))
                     low = np.packbits((least & np.uint32(1)).astype(np.uint8))
                     bits.append(np.pad(low, (0, -len(low) % 8)).tobytes())
-                made = [pa.array(keys, pa.binary()), pa.array(bits, pa.binary())]
+                made = [pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "bits"])
 
     return deepen
@@ -157,7 +149,7 @@ def _tiled(deep: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     A crowd's nodes are dealt to tiles of about TILE by their hash, and each pair of tiles is
     compared in one step, so neither memory nor rows grow with the pairs.
     """
-    open_ = cut(_mixed(_met(deep.mapInArrow(_spread, "bucket long, node long")), grouped).select("bucket", "node", "least", "component"))
+    open_ = cut(_mixed(_met(deep), grouped).select("bucket", "node", "least", "component"))
     crowds = components(open_.select(F.col("least").alias("u"), F.col("node").alias("v")))
     sizes = crowds.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     seats = crowds.withColumnRenamed("component", "crowd").join(sizes.withColumnRenamed("component", "crowd"), "crowd")
@@ -204,13 +196,12 @@ def _texts(docs: DataFrame, nodes: DataFrame, needed: DataFrame, named: bool, wi
     return docs.select("doc_id", raw(F.col("text")).alias("raw")).join(ids, "doc_id").select("node", "raw")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, named: bool, percent: int, width: int) -> DataFrame:
-    """Of the candidate pairs (u, v), those whose sketches and then full sets are alike enough."""
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the candidate pairs (u, v), those whose sketches are alike enough."""
     left = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("left_sketch"))
     right = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("right_sketch"))
     met = pairs.join(left, "u").join(right, "v").select("u", "v", "left_sketch", "right_sketch")
-    likely = cut(met.mapInArrow(_agreeing(percent / 100 - MARGIN), "u long, v long"))
-    return _confirmed(likely, nodes, docs, named, percent, width)
+    return met.mapInArrow(_agreeing(percent / 100 - MARGIN), "u long, v long")
 
 
 def _confirmed(likely: DataFrame, nodes: DataFrame, docs: DataFrame, named: bool, percent: int, width: int) -> DataFrame:
@@ -246,27 +237,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut(signatures(docs, bands, rows, width))
     nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sketch", "keys")).alias("of")).select("node", "doc_id", "of.*"))
-    ids = docs.agg(F.count("*") == F.count("doc_id")).first()[0]
-    named = ids and docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0
+    named = signed.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _links(pairs, nodes, docs, named, percent, width)
+    def confirmed(likely: DataFrame) -> DataFrame:
+        return _confirmed(likely, nodes, docs, named, percent, width)
 
-    held = _met(nodes.select("node", "keys").mapInArrow(_spread, "bucket long, node long"))
-    grouped = _settle(held.where(F.col("size") <= CROWD), cut(components(verified(_stars(held)))), verified)
-    crowded = cut(_mixed(held.where(F.col("size") > CROWD), grouped).select("node").distinct())
+    held = _met(nodes)
+    grouped = cut(components(confirmed(cut(_likely(_stars(held), nodes, percent)))))
+    open_ = cut(_mixed(held, grouped))
+    crowded = cut(open_.where(F.col("size") > CROWD).select("node").distinct())
+    likely = _likely(_further(open_.where(F.col("size") <= CROWD)), nodes, percent)
     if crowded.limit(1).count():
-        deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys binary, bits binary"))
-        likely = cut(_tiled(deep, grouped, percent))
-        grouped = merge(grouped, _confirmed(likely, nodes, docs, named, percent, width))
+        deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys array<long>, bits binary"))
+        likely = likely.unionAll(_tiled(deep, grouped, percent)).distinct()
+    likely = cut(likely)
+    if likely.limit(1).count():
+        grouped = merge(grouped, confirmed(likely))
     group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
     least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _met(held: DataFrame) -> DataFrame:
-    """(bucket, node, least, size) of the buckets that hold several nodes."""
+def _met(signed: DataFrame) -> DataFrame:
+    """(bucket, node, least, size) of the buckets that hold several nodes of signed (node, keys)."""
+    held = signed.select(F.explode("keys").alias("bucket"), "node")
     shared = held.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     return cut(held.join(shared, "bucket").select("bucket", "node", "least", "size"))
 
@@ -282,14 +277,6 @@ def _mixed(held: DataFrame, grouped: DataFrame) -> DataFrame:
     return labelled.join(mixed.select("bucket"), "bucket")
 
 
-def _settle(held: DataFrame, grouped: DataFrame, verified) -> DataFrame:
-    """(node, component) once the nodes of buckets of CROWD nodes at most were compared with those of other components."""
-    open_ = cut(_mixed(held, grouped))
-    if open_.limit(1).count() == 0:
-        return grouped
-    return merge(grouped, verified(_further(open_)))
-
-
 def _noded(docs: DataFrame, width: int) -> DataFrame:
     """(node, raw) of every row that has words."""
 
