@@ -122,42 +122,67 @@ def _deepener(bands: int, rows: int, width: int):
     return deepen
 
 
-def _tiler(percent: int, minima: int):
-    """Of a tile's nodes, the pairs of different components whose one-bit minima agree enough."""
+def _tiler(percent: int, minima: int, best: bool):
+    """Of a tile's nodes, pairs of different components whose one-bit minima agree enough.
+
+    Agreement beyond the threshold by 5.5 standard deviations is sure to be confirmed, so one such pair joins
+    two components within the tile; less sure pairs are all kept, if their components stay apart. With best, only each
+    node's pair of most agreement is.
+    """
     share = (1 + percent / 100) / 2
-    most = minima * (1 - share + 5.5 * (share * (1 - share) / minima) ** 0.5)
+    spread = 5.5 * (share * (1 - share) / minima) ** 0.5
+    most, sure = minima * (1 - share + spread), minima * (1 - share - spread)
 
     def tile(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
+        node, component = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
-        u, v = [], []
+        found, unsure = [], []
+        least, of = np.full(len(right), minima + 1), np.full(len(right), -1, np.int32)
         for i in left:
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = right[(apart <= most) & (component[right] != component[i])]
-            u.append(np.minimum(node[near], node[i])), v.append(np.maximum(node[near], node[i]))
-        pairs = pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
-        return pairs.cast(pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            fit = np.flatnonzero((apart <= most) & (component[right] != component[i]))
+            if best:
+                better = fit[apart[fit] < least[fit]]
+                least[better], of[better] = apart[better], i
+                if len(fit):
+                    found.append(np.array([[i], [right[fit[apart[fit].argmin()]]]], np.int32))
+                continue
+            fit = fit[np.argsort(apart[fit], kind="stable")]
+            near, certain = right[fit], apart[fit] <= sure
+            if len(near):
+                joined, at = np.unique(component[near[certain]], return_index=True)
+                found.append(np.stack([np.full(len(at), i), near[certain][at]]).astype(np.int32))
+                component[np.isin(component, joined)] = component[i]
+                near = near[component[near] != component[i]]
+                unsure.append(np.stack([np.full(len(near), i), near]).astype(np.int32))
+        found.append(np.stack([of[of >= 0], right[of >= 0]]).astype(np.int32))
+        found += [pairs[:, component[pairs[0]] != component[pairs[1]]] for pairs in unsure]
+        x, y = np.concatenate(found, axis=1)
+        return pa.table({"u": pa.array(np.minimum(node[x], node[y]), pa.int64()), "v": pa.array(np.maximum(node[x], node[y]), pa.int64())})
 
     return tile
 
 
-def _tiled(deep: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (u, v) of deep (node, keys, bits) among nodes that meet, over chains of unsettled buckets, in one crowd.
+def _crowds(deep: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(node, crowd, tiles) of deep (node, keys) that meet, over chains of buckets holding several components, in one crowd."""
+    open_ = cut(_mixed(_met(deep), grouped).select("node", "least"))
+    crowds = cut(components(open_.select(F.col("least").alias("u"), F.col("node").alias("v"))).withColumnRenamed("component", "crowd"))
+    return cut(crowds.join(crowds.groupBy("crowd").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "crowd").select("node", "crowd", "tiles"))
+
+
+def _tiled(deep: DataFrame, crowds: DataFrame, grouped: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Likely pairs (u, v) of a crowd's nodes in different components, or only the best of each node in each tile.
 
     A crowd's nodes are dealt to tiles of about TILE by their hash, and each pair of tiles is
-    compared in one step, so neither memory nor rows grow with the pairs.
+    compared in one step, so that memory doesn't grow with the crowd.
     """
-    open_ = cut(_mixed(_met(deep), grouped).select("bucket", "node", "least", "component"))
-    crowds = components(open_.select(F.col("least").alias("u"), F.col("node").alias("v")))
-    sizes = crowds.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    seats = crowds.withColumnRenamed("component", "crowd").join(sizes.withColumnRenamed("component", "crowd"), "crowd")
     mine = F.least(F.floor((F.col("node") / F.lit(2.0**64) + 0.5) * F.col("tiles")), F.col("tiles") - 1)
-    seats = seats.join(open_.select("node", "component").distinct(), "node").join(deep.select("node", "bits"), "node")
-    seats = seats.select("crowd", "node", "component", "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    seats = crowds.join(grouped, "node", "left").join(deep.select("node", "bits"), "node")
+    seats = seats.select("crowd", "node", F.coalesce("component", "node").alias("component"), "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     tiles = seats.select("crowd", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bits")
-    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS), "u long, v long").distinct()
+    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS, best), "u long, v long").distinct()
 
 
 def _agreeing(least: float):
@@ -224,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     mostly of texts that share one passage but are otherwise apart, isn't compared
     further: its nodes are signed again with DEEP_BANDS bands of DEEP_ROWS minima, in which such texts
     part. Nodes of different components that meet there are compared in tiles by one bit of
-    each minimum, and only pairs that agree enough become rows. So all links that can
+    each minimum: first each node's best pair is confirmed, then whatever else agrees enough between components that are still apart. So all links that can
     change a component are tried. Candidates whose minima agree are confirmed on
     their full shingle sets. A pair at 0.75 fails to meet with a chance of 2 in
     100,000 in either signature.
@@ -249,10 +274,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     likely = _likely(_further(open_.where(F.col("size") <= CROWD)), nodes, percent)
     if crowded.limit(1).count():
         deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys array<long>, bits binary"))
-        likely = likely.unionAll(_tiled(deep, grouped, percent)).distinct()
+        crowds = _crowds(deep, grouped)
+        likely = likely.unionAll(_tiled(deep, crowds, grouped, percent, best=True)).distinct()
     likely = cut(likely)
     if likely.limit(1).count():
         grouped = merge(grouped, confirmed(likely))
+    if crowded.limit(1).count():
+        rest = cut(_tiled(deep, crowds, grouped, percent, best=False).join(likely, ["u", "v"], "left_anti"))
+        if rest.limit(1).count():
+            grouped = merge(grouped, confirmed(rest))
     group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
     least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
