@@ -15,11 +15,12 @@ _ROLL = 0x9E3779B97F4A7C15
 _UNROLL = pow(_ROLL, -1, 1 << 64)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Send Python at most so many rows at a time: texts may be long, and a task holds a whole batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Send Python at most so many rows and about so many bytes at a time: texts may be long, and a task holds a whole batch."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -246,6 +246,18 @@ def apply(measured: DataFrame, model: Additive) -> DataFrame:
     return measured.withColumn("score", _scorer(shared)("measured")).drop("measured")
 
 
+def rate(docs: DataFrame, model: Additive) -> DataFrame:
+    """Add `score` to docs in one pass over each whole text (null: empty), with one Python worker a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rated(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in _measure(texts):
+            x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(NAMES))
+            yield pa.array(shared.value.score(x), pa.float64())
+
+    return docs.withColumn("score", F.arrow_udf(rated, "double").asNondeterministic()(raw(F.col("text"))))
+
+
 def score(docs: DataFrame, labels: DataFrame, learns, most: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, score) of every row of docs, learned from the labels of rows for which the Column `learns` holds.
 
