@@ -32,7 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     small_batches(spark)
     learns = F.coalesce(fold(F.col("doc_id"), 4) != 2, F.lit(False))
     model = quality.train(quality.measure(docs.where(learns).select("doc_id", "text")).drop("text"), load(spark, sf_dir, "labels"))
-    scored = quality.apply(quality.measure(docs), model)
+    scored = quality.rate(docs, model)
     return scored.where(F.col("score") >= GOOD_QUALITY).select(*docs.columns)
 
 
