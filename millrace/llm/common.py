@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -43,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(df: DataFrame) -> None:
+    """Have the driver collect garbage, so that Spark's cleaner removes shuffles and checkpoints that nothing refers to from disk."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, tidy
 
 
 def _starry(edges: DataFrame) -> bool:
@@ -43,6 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges)
     while not _starry(edges):
         edges = cut(_small_star(_large_star(edges)))
+        tidy(edges)
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, cut, mix, raw, sliced, word_hashes
+from millrace.llm.common import blocks, cut, mix, raw, sliced, tidy, word_hashes
 from millrace.llm.graph import components, merge
 
 _U = np.uint64
@@ -270,16 +270,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     held = _met(nodes)
     grouped = cut(components(confirmed(cut(_likely(_stars(held), nodes, percent)))))
     open_ = cut(_mixed(held, grouped))
+    del held
+    tidy(open_)
     crowded = cut(open_.where(F.col("size") > CROWD).select("node").distinct())
     likely = _likely(_further(open_.where(F.col("size") <= CROWD)), nodes, percent)
     if crowded.limit(1).count():
         deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys array<long>, bits binary"))
         crowds = _crowds(deep, grouped)
+        tidy(crowds)
         likely = likely.unionAll(_tiled(deep, crowds, grouped, percent, best=True)).distinct()
     likely = cut(likely)
     if likely.limit(1).count():
         grouped = merge(grouped, confirmed(likely))
     if crowded.limit(1).count():
+        tidy(likely)
         rest = cut(_tiled(deep, crowds, grouped, percent, best=False).join(likely, ["u", "v"], "left_anti"))
         if rest.limit(1).count():
             grouped = merge(grouped, confirmed(rest))
