@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import blocks, cut, raw, sliced, word_forms
 
 _U = np.uint64
-#: Classes; forms that rare words are grouped by; words and forms that are exchanged; words with a class of their own; words whose counts are broadcast.
-CLASSES, FORMS, UNITS, CLASSED, HEAD = 64, 255, 1024, 16_384, 262_144
+#: Classes; forms that stand for words outside the units; words and forms that are exchanged; words whose counts and classes are broadcast.
+CLASSES, FORMS, UNITS, HEAD = 64, 255, 1024, 262_144
+#: A word whose class comes by a join, in a sequence of classes.
+RARE = 255
 #: Pseudo-counts: of a word, and of the lower order in a class transition.
 WORD, LOWER = 0.1, 4.0
 
@@ -53,14 +55,13 @@ def _spread(batches):
 
 @dataclass
 class Head:
-    """The commonest words, sorted by hash: counts, units (or -1), classes (or -1: that of the word's form) and ranks."""
+    """The commonest words, sorted by hash: counts, units (or -1) and classes (or -1: not known yet, that of the word's form)."""
 
     words: np.ndarray
     counts: np.ndarray
     unit: np.ndarray
     klass: np.ndarray
     form_class: np.ndarray
-    rank: np.ndarray
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word, or -1."""
@@ -84,44 +85,83 @@ def _sequences(texts: list[bytes]):
     return keys, forms[at], tokens, ends, np.repeat(np.arange(len(texts)), n + 1)
 
 
-def _counter(kind: str, shared):
-    """Counts of a task over class or unit sequences, as (cell, n)."""
+def _unit_counter(shared):
+    """Bigram counts of a task over units, as (cell, n)."""
 
     def count(batches):
         head = shared.value
-        cells = {"units": UNITS * UNITS, "contexts": 2 * CLASSED * CLASSES, "classes": CLASSES**3}[kind]
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(UNITS * UNITS, np.int64)
         for batch in sliced(batches):
             texts = batch.column("raw").to_pylist()
             for a, b in blocks(texts):
-                keys, forms, tokens, ends, _ = _sequences(texts[a:b])
+                keys, forms, tokens, _, _ = _sequences(texts[a:b])
                 at = head.find(keys)
-                if kind == "units":
-                    unit = np.where((at >= 0) & (head.unit[at] >= 0), head.unit[at], 1 + forms) if len(head.words) else 1 + forms
-                    path = np.append(unit, 0)[tokens]
-                    before = np.append(0, path[:-1])
-                    total += np.bincount(before * UNITS + path, minlength=cells)
-                    continue
-                klass = _class_of(head, at, forms)
-                path = np.append(klass, 0)[tokens]
+                unit = np.where((at >= 0) & (head.unit[at] >= 0), head.unit[at], 1 + forms) if len(head.words) else 1 + forms
+                path = np.append(unit, 0)[tokens]
                 before = np.append(0, path[:-1])
-                if kind == "classes":
-                    further = np.append(0, before[:-1])
-                    further[before == 0] = 0  # nothing is known of what lies before a text
-                    total += np.bincount((further * CLASSES + before) * CLASSES + path, minlength=cells)
-                else:
-                    rank = np.where(at >= 0, head.rank[at], CLASSED) if len(head.words) else np.full(len(keys), CLASSED)
-                    mine = np.append(rank, CLASSED)[tokens]
-                    after = np.append(path[1:], 0)
-                    some = mine < CLASSED
-                    total += np.bincount(mine[some] * CLASSES + before[some], minlength=cells)
-                    total += np.bincount((mine[some] + CLASSED) * CLASSES + after[some], minlength=cells)
+                total += np.bincount(before * UNITS + path, minlength=UNITS * UNITS)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
     return count
 
 
+def _neighbours(shared, most: int = 2_000_000):
+    """Classes before (cell < CLASSES) and after every word that isn't a unit, as (word, cell, n) summed in the task."""
+
+    def merged(held):
+        words, cells, n = (np.concatenate(x) for x in zip(*held))
+        keys, where = np.unique(words, return_inverse=True)
+        code, at = np.unique(where * (2 * CLASSES) + cells, return_inverse=True)
+        return keys[code // (2 * CLASSES)], code % (2 * CLASSES), np.bincount(at, n, len(code)).astype(np.int64)
+
+    def emit(found):
+        for i in range(0, len(found[0]), 100_000):
+            words, cells, n = (x[i : i + 100_000] for x in found)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cells.astype(np.int16)), pa.array(n)], names=["word", "cell", "n"])
+
+    def count(batches):
+        head, held, size = shared.value, [], 0
+        for batch in sliced(batches):
+            texts = batch.column("raw").to_pylist()
+            for a, b in blocks(texts):
+                keys, forms, tokens, _, _ = _sequences(texts[a:b])
+                at = head.find(keys)
+                path = np.append(_class_of(head, at, forms), 0)[tokens]
+                other = np.append((at < 0) | (head.unit[at] < 0) if len(head.words) else np.ones(len(keys), bool), False)[tokens]
+                code = np.concatenate([tokens[other] * (2 * CLASSES) + np.append(0, path[:-1])[other], tokens[other] * (2 * CLASSES) + CLASSES + np.append(path[1:], 0)[other]])
+                code, n = np.unique(code, return_counts=True)
+                held.append((keys[code // (2 * CLASSES)], code % (2 * CLASSES), n))
+                size += len(code)
+                if size > most:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if 2 * size > most:
+                        yield from emit(held.pop())
+                        size = 0
+        if held:
+            yield from emit(merged(held))
+
+    return count
+
+
+def _chooser(into: np.ndarray, size: np.ndarray):
+    """The class that explains the classes around each word best, from (word, cells, times)."""
+
+    def choose(batches):
+        for batch in sliced(batches, 2000):
+            cells = batch.column("cells")
+            owner = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+            flat = owner * (2 * CLASSES) + cells.flatten().to_numpy()
+            around = np.bincount(flat, batch.column("times").flatten().to_numpy(), batch.num_rows * 2 * CLASSES).reshape(-1, 2, CLASSES)
+            n = around[:, 0].sum(axis=1)[:, None]
+            fit_ = around[:, 0] @ into + around[:, 1] @ into.T - n * np.log(size + n)
+            fit_[:, 0] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(fit_.argmax(axis=1))], names=["word", "klass"])
+
+    return choose
+
+
 def _class_of(head: Head, at: np.ndarray, forms: np.ndarray) -> np.ndarray:
     own = head.klass[at] if len(head.words) else np.full(len(at), -1)
     return np.where((at >= 0) & (own >= 0), own, head.form_class[forms])
@@ -180,12 +220,10 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: the head with its emissions, forms' emissions, and transitions, as log10."""
+    """What the words' part of scoring needs: the head, and by class log10 of the mass of its members."""
 
     head: Head
-    emit: np.ndarray
-    form_emit: np.ndarray
-    moves: np.ndarray
+    room: np.ndarray
     tokens: int
     distinct: int
     ends: int
@@ -199,108 +237,157 @@ def _collected(df: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """Fit on raw texts, whose word counts are (word, form, n).
+def classes(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, klass) of every word, and the class of each form, from raw texts, whose word counts are (word, form, n).
 
-    END is class 0, alone. The UNITS - FORMS - 1 commonest words and all rarer words, grouped
-    by form, are clustered by exchange over their bigrams; the next words, CLASSED in all, then
-    take the class that explains their neighbours' classes best; the others go with their form. Every count is over all of docs; what comes to the
-    driver is bounded: HEAD words, UNITS**2, 2*CLASSED*CLASSES and CLASSES**3 cells.
+    END is class 0, alone. The UNITS - FORMS - 1 commonest words and all other words, grouped by
+    form, are clustered by exchange over their bigrams. Then every other word, however rare, takes the class that explains
+    its own neighbours' classes best; its counts of these stay in Spark. Words that were never seen go with their form.
     """
     spark = docs.sparkSession
+    top = counts.where("form >= 0").orderBy(F.desc("n"), "word").limit(UNITS - FORMS - 1).toArrow()
+    words, n = (np.asarray(top.column(c)) for c in ("word", "n"))
+    order = np.argsort(words.view(np.uint64))
+    head = Head(words.view(np.uint64)[order], n[order], 1 + FORMS + order, np.full(len(words), -1), np.zeros(FORMS, np.int64))
+    shared = spark.sparkContext.broadcast(head)
+    pairs = _collected(docs.mapInArrow(_unit_counter(shared), "cell long, n long"), UNITS * UNITS).reshape(UNITS, UNITS).astype(float)
+    klass = exchange(pairs, CLASSES)
+    head.form_class, head.klass = klass[1 : 1 + FORMS], klass[head.unit]
+    member = np.eye(CLASSES)[klass]
+    follows = member.T @ pairs @ member + 0.01
+    into, size = np.log(follows / follows.sum(axis=1, keepdims=True)), follows.sum(axis=0)
+    shared = spark.sparkContext.broadcast(head)
+    # a task has summed its own counts, so a common word has 2 * CLASSES rows of each task at most
+    around = docs.mapInArrow(_neighbours(shared), "word long, cell short, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    around = around.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("x")).select("word", F.col("x.cell").alias("cells"), F.col("x.n").alias("times"))
+    chosen = around.mapInArrow(_chooser(into, size), "word long, klass long")
+    units = spark.createDataFrame([(int(w), int(k)) for w, k in zip(head.words.view(np.int64), head.klass)], "word long, klass long")
+    named = chosen.unionAll(units)
+    return cut(counts.where("form >= 0").select("word", "n").join(named, "word")), head.form_class
+
+
+def fit(docs: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The classes' members and (word, n, klass) of every word; what comes to the driver is bounded: HEAD words, UNITS**2 and CLASSES cells."""
     totals = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("form") == -1, F.col("n")))).first()
     tokens, distinct, ends = (int(x or 0) for x in totals)
-    top = counts.where("form >= 0").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    words, n, form = (np.asarray(top.column(c)) for c in ("word", "n", "form"))
-    rank = np.arange(len(words))
+    named, form_class = classes(docs, counts)
+    total, members = np.zeros(CLASSES), np.bincount(form_class, minlength=CLASSES).astype(float)
+    for r in named.groupBy("klass").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        total[r["klass"]] = r["n"]
+        members[r["klass"]] += r["v"]
+    top = named.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    words, n, klass = (np.asarray(top.column(c)) for c in ("word", "n", "klass"))
     order = np.argsort(words.view(np.uint64))
-    own_units = UNITS - FORMS - 1
-    unit = np.where(rank < own_units, 1 + FORMS + rank, -1)
-    head = Head(words.view(np.uint64)[order], n[order], unit[order], np.full(len(words), -1), np.zeros(FORMS, np.int64), np.minimum(rank[order], CLASSED))
-    head_form = form[order]
-
-    def count(kind: str, cells: int) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(head)
-        return _collected(docs.mapInArrow(_counter(kind, shared), "cell long, n long"), cells)
-
-    klass = exchange(count("units", UNITS * UNITS).reshape(UNITS, UNITS).astype(float), CLASSES)
-    head.form_class = klass[1 : 1 + FORMS]
-    has = head.unit >= 0
-    head.klass[has] = klass[head.unit[has]]
-    contexts = count("contexts", 2 * CLASSED * CLASSES).reshape(2, CLASSED, CLASSES).astype(float)
-    follows = np.zeros((CLASSES, CLASSES))
-    mine = np.flatnonzero((head.rank < CLASSED) & has)
-    for place in mine:
-        follows[:, head.klass[place]] += contexts[0, head.rank[place]]
-    follows += 0.01
-    into = np.log(follows / follows.sum(axis=1, keepdims=True))
-    size = follows.sum(axis=0)
-    later = np.flatnonzero((head.rank < CLASSED) & ~has)
-    if len(later):
-        before, after = contexts[0, head.rank[later]], contexts[1, head.rank[later]]
-        fit_ = before @ into + after @ into.T - head.counts[later][:, None] * np.log(size + head.counts[later][:, None])
-        fit_[:, 0] = -np.inf
-        head.klass[later] = fit_.argmax(axis=1)
-    # members of a class: its own words, and forms with all their other words
-    grouped = counts.where("form >= 0").groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    form_n, form_v = np.zeros(FORMS), np.zeros(FORMS)
-    at = np.asarray(grouped.column("form")).astype(int)
-    form_n[at], form_v[at] = np.asarray(grouped.column("n")), np.asarray(grouped.column("v"))
-    named = head.klass >= 0
-    form_n -= np.bincount(head_form[named], head.counts[named], FORMS)
-    form_v -= np.bincount(head_form[named], minlength=FORMS)
-    total = np.bincount(head.klass[named], head.counts[named], CLASSES) + np.bincount(head.form_class, form_n, CLASSES)
-    members = np.bincount(head.klass[named], minlength=CLASSES) + np.bincount(head.form_class, minlength=CLASSES)
-    room = np.log10(np.maximum(total + WORD * members, WORD))
-    form_emit = np.log10(form_n + WORD) - room[head.form_class] - np.log10(form_n + WORD * (form_v + 1))
-    emit = np.where(named, np.log10(head.counts + WORD) - room[head.klass], form_emit[head_form] + np.log10(head.counts + WORD))
-    three = count("classes", CLASSES**3).reshape(CLASSES, CLASSES, CLASSES).astype(float)
-    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
-    p1 = (one + 0.5) / (one.sum() + 0.5 * CLASSES)
-    p2 = (two + LOWER * p1) / (two.sum(axis=1, keepdims=True) + LOWER)
-    p3 = (three + LOWER * p2) / (three.sum(axis=2, keepdims=True) + LOWER)
-    return Model(head, emit, form_emit, np.log10(p3).ravel(), tokens, distinct, ends)
+    head = Head(words.view(np.uint64)[order], n[order], np.full(len(words), -1), klass[order], form_class)
+    return Model(head, np.log10(np.maximum(total + WORD * members, WORD)), tokens, distinct, ends), named
 
 
-def _scorer(shared):
-    def score(batches):
+def _sequencer(shared):
+    """Each text as a sequence of classes, RARE for a word outside the head, with these words, their forms and places; and sums over the others."""
+
+    def sequence(batches):
         model: Model = shared.value
         head = model.head
-        room = np.log10(model.tokens + WORD * (model.distinct + 1))
         end_base = np.log10(model.ends + WORD)
         for batch in sliced(batches):
             texts = batch.column("raw").to_pylist()
-            made: list[list] = [[], [], [], [], [], []]
+            made: list[list] = [[], [], [], [], [], [], [], []]
             for a, b in blocks(texts):
                 keys, forms, tokens, ends, owner = _sequences(texts[a:b])
                 at = head.find(keys)
                 found = at >= 0
-                klass = _class_of(head, at, forms)
-                emit = np.where(found, model.emit[at] if len(head.words) else 0, model.form_emit[forms])
-                base = np.where(found, np.log10(head.counts[at] + WORD) if len(head.words) else 0, 0.0)
-                path = np.append(klass, 0)[tokens]
-                before = np.append(0, path[:-1])
-                further = np.append(0, before[:-1])
-                further[before == 0] = 0
                 n = b - a
-                total = np.bincount(owner, model.moves[(further * CLASSES + before) * CLASSES + path] + np.append(emit, 0.0)[tokens], n)
-                size = np.bincount(owner, minlength=n)
+                klass = np.where(found, head.klass[at], RARE) if len(head.words) else np.full(len(keys), RARE)
+                base = np.where(found, np.log10(head.counts[at] + WORD), 0.0) if len(head.words) else np.zeros(len(keys))
+                emit = np.where(found, base - model.room[np.where(found, klass, 0)], 0.0)
+                path = np.append(klass, 0)[tokens].astype(np.uint8)
+                bounds = np.concatenate([[0], ends + 1])
+                size = np.diff(bounds)
                 made[0] += size.tolist()
                 made[1] += np.bincount(owner, np.append(found, model.ends > 0)[tokens], n).astype(np.int64).tolist()
-                made[2] += (np.bincount(owner, np.append(base, end_base)[tokens], n) - size * room).tolist()
-                made[3] += total.tolist()
+                made[2] += np.bincount(owner, np.append(base, end_base)[tokens], n).tolist()
+                made[3] += np.bincount(owner, np.append(emit, 0.0)[tokens], n).tolist()
+                made[4] += [path[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
                 rare = np.append(~found, False)[tokens]
-                cell, times = np.unique(owner[rare] * max(len(keys), 1) + tokens[rare], return_counts=True)
-                whose = cell // max(len(keys), 1)
-                cuts = np.searchsorted(whose, np.arange(n + 1))
-                words = keys[cell % max(len(keys), 1)].view(np.int64)
-                made[4] += [words[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
-                made[5] += [times[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+                cell, where = np.unique(owner[rare] * max(len(keys), 1) + tokens[rare], return_inverse=True)
+                whose, which = cell // max(len(keys), 1), cell % max(len(keys), 1)
+                cuts, places = np.searchsorted(whose, np.arange(n + 1)), np.searchsorted(owner[rare], np.arange(n + 1))
+                words, of = keys[which].view(np.int64), forms[which]
+                made[5] += [words[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+                made[6] += [of[i:j].astype(np.int16) for i, j in zip(cuts[:-1], cuts[1:])]
+                made[7] += [(where[i:j] - k).astype(np.int32) for i, j, k in zip(places[:-1], places[1:], cuts[:-1])]
             kept = [c for c in batch.schema.names if c != "raw"]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            names = ["n_tokens", "known", "base", "total", "words", "times"]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int32()))
+            names = ["n_tokens", "known", "base", "emit", "path", "words", "forms", "places"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, k) for x, k in zip(made, kinds))], names=[*kept, *names])
 
+    return sequence
+
+
+def _resolver(form_class: np.ndarray, room: np.ndarray):
+    """Puts the classes of the joined words (at, klass, n) into the sequences, and their counts into the sums; words that were never seen have none."""
+
+    def resolve(batches):
+        for batch in sliced(batches):
+            known, base, emit, path = (batch.column(c).to_pylist() for c in ("known", "base", "emit", "path"))
+            columns = [[x.values.to_numpy() for x in batch.column(c)] for c in ("forms", "places")]
+            joined = batch.column("joined").to_pylist()
+            for i, (forms, places) in enumerate(zip(*columns)):
+                if not len(places):
+                    continue
+                klass, n = form_class[forms], np.zeros(len(forms), np.int64)
+                for x in joined[i] or ():
+                    klass[x["at"]], n[x["at"]] = x["klass"], x["n"]
+                each = np.log10(n + WORD)
+                now = np.frombuffer(path[i], np.uint8).copy()
+                now[now == RARE] = klass[places]
+                path[i] = now.tobytes()
+                known[i] += int((n > 0)[places].sum())
+                base[i] += float(each[places].sum())
+                emit[i] += float((each - room[klass])[places].sum())
+            made = [pa.array(known), pa.array(base), pa.array(emit), pa.array(path, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "learns", "n_tokens")), *made], names=["doc_id", "learns", "n_tokens", "known", "base", "emit", "path"])
+
+    return resolve
+
+
+def _trigrams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Class trigram of each place of a batch's sequences, and the row it is in."""
+    size = np.asarray(batch.column("n_tokens"))
+    path = np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint8).astype(np.int64)
+    before = np.append(0, path[:-1])
+    further = np.append(0, before[:-1])
+    further[before == 0] = 0  # nothing is known of what lies before a text
+    return (further * CLASSES + before) * CLASSES + path, np.repeat(np.arange(len(size)), size)
+
+
+def _class_counter(batches):
+    total = np.zeros(CLASSES**3, np.int64)
+    for batch in sliced(batches):
+        total += np.bincount(_trigrams(batch)[0], minlength=CLASSES**3)
+    cell = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+
+def _moves(three: np.ndarray) -> np.ndarray:
+    """log10 of the class transitions, from trigram counts down to class unigrams."""
+    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+    p1 = (one + 0.5) / (one.sum() + 0.5 * CLASSES)
+    p2 = (two + LOWER * p1) / (two.sum(axis=1, keepdims=True) + LOWER)
+    p3 = (three + LOWER * p2) / (three.sum(axis=2, keepdims=True) + LOWER)
+    return np.log10(p3).ravel()
+
+
+def _scorer(shared, room: float):
+    def score(batches):
+        moves = shared.value
+        for batch in sliced(batches):
+            cell, owner = _trigrams(batch)
+            size = np.asarray(batch.column("n_tokens"))
+            total = np.asarray(batch.column("emit")) + np.bincount(owner, moves[cell], len(size))
+            base = np.asarray(batch.column("base")) - size * room
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "known")), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
     return score
 
 
@@ -309,25 +396,25 @@ def score(docs: DataFrame, learns: Column) -> DataFrame:
 
     Returns doc_id, n_tokens (words and one end), n_known (those seen in training),
     train_tokens, base_score (log10, unigrams) and score (log10, class trigrams down to class
-    unigrams, and emissions). Counts of the HEAD commonest words are broadcast; a text's other
+    unigrams, and emissions). Counts and classes of the HEAD commonest words are broadcast; a text's other
     words are joined with theirs. Words are known by 64-bit hashes. A null text is empty: an end only. Repeated rows are scored each; without
     training rows every probability is a smoothed one; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", raw(F.col("text")).alias("raw"))
-    training = texts.where(F.coalesce(learns, F.lit(False))).select("raw")
+    spark = docs.sparkSession
+    texts = docs.select("doc_id", F.coalesce(learns, F.lit(False)).alias("learns"), raw(F.col("text")).alias("raw"))
+    training = texts.where("learns").select("raw")
     counts = cut(training.mapInArrow(_spread, "word long, form long, n long").groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n")))
-    model = fit(training, counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"doc_id {kind}, row long, n_tokens long, known long, base double, total double, words array<long>, times array<int>"
-    scored = cut(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scorer(shared), schema))
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    n = F.coalesce("n", F.lit(0))
-    rest = rare.join(counts.where("form >= 0").select("word", "n"), "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(n + WORD)).alias("more"), F.sum(F.when(n > 0, F.col("times"))).alias("seen")
-    )
-    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0).cast("long"))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("total") + more).alias("score"),
-    )
+    model, named = fit(training, counts)
+    shared = spark.sparkContext.broadcast(model)
+    schema = f"doc_id {kind}, learns boolean, row long, n_tokens long, known long, base double, emit double, path binary, words array<long>, forms array<short>, places array<int>"
+    sequences = cut(texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sequencer(shared), schema))
+    rare = sequences.select("row", F.posexplode("words").alias("at", "word")).join(named, "word")
+    joined = rare.groupBy("row").agg(F.collect_list(F.struct("at", "klass", "n")).alias("joined"))
+    whole = sequences.drop("words").join(joined, "row", "left").drop("row")
+    whole = cut(whole.mapInArrow(_resolver(model.head.form_class, model.room), f"doc_id {kind}, learns boolean, n_tokens long, known long, base double, emit double, path binary"))
+    three = _collected(whole.where("learns").select("n_tokens", "path").mapInArrow(_class_counter, "cell long, n long"), CLASSES**3)
+    moves = spark.sparkContext.broadcast(_moves(three.reshape(CLASSES, CLASSES, CLASSES).astype(float)))
+    room = float(np.log10(model.tokens + WORD * (model.distinct + 1)))
+    scored = whole.drop("learns").mapInArrow(_scorer(moves, room), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

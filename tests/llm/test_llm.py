@@ -102,6 +102,18 @@ def test_exchange_finds_classes():
     assert klass[0] == 0 and len(set(zip(truth[1:], klass[1:]))) == 2
 
 
+def test_every_word_takes_a_class_from_its_own_contexts(spark):
+    """Words rarer than 17,000 others, with the same last two bytes: each scores best where it was seen."""
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(17_000))
+    rows = [(i, common) for i in range(3)] + [(10 + i, " ".join(f"d{rng.randint(0, 9)} {rng.choice('pqrs')}{i}zz v{rng.randint(0, 9)} {rng.choice('pqrs')}{i}yy e{rng.randint(0, 9)}" for _ in range(40))) for i in range(300)]
+    for k in range(20):
+        rows += [(1000 + k, f"d1 noun{k}zz v1 e1 verb{k}zz c1"), (2000 + k, f"d1 verb{k}zz v1"), (3000 + k, f"d1 noun{k}zz v1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in class_lm.score(df, F.col("doc_id") < 2000).collect()}
+    assert sum(found[3000 + k] > found[2000 + k] + 0.01 for k in range(20)) >= 18
+
+
 def test_reply_tree(spark):
     rows = [("t", "a", None, "user", "q", 0.0), ("t", "b", "a", "assistant", "x", 1.0), ("t", "c", "a", "assistant", "y<|im_start|>", 5.0), ("t", "d", "c", "user", "z", 0.0), ("t", "p", "r", "user", "cycle", 9.0), ("t", "r", "p", "user", "cycle", 9.0), ("t", "s", "p", "user", "below", 9.0), ("o", "o1", "gone", "user", "orphan", None)]
     m = spark.createDataFrame(rows, "tree string, node string, parent string, role string, text string, score double")
