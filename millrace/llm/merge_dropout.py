@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import mix
 
 _U = np.uint64
-#: The ways in which one chunk of text can be segmented under a seed; an occurrence takes one by its keyed hash.
-VARIANTS = 8
 _SPACE = "▁"
 #: No piece goes beyond such a chunk: a space begins a piece, and a line feed is a byte of its own.
 _CHUNK = re.compile(f"\n|{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+")
-_BITS = 1 << 16
+_MASK = (1 << 64) - 1
+_PIECE, _PLACE, _FIRST, _SECOND = 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _NONE = 1 << 30
 
 
@@ -65,35 +64,77 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _skipped(key: int, code: int, bound: int) -> bool:
+    """Whether the candidate `code` is skipped in the occurrence `key`; as _skips, for one."""
+    x = (key ^ code) * _FIRST & _MASK
+    return (x ^ x >> 32) * _SECOND & _MASK < bound
+
+
+def _skips(keys: np.ndarray, codes: np.ndarray, bound: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (keys ^ codes) * _U(_FIRST)
+        return (x ^ (x >> _U(32))) * _U(_SECOND) < _U(bound)
+
+
+class Known:
+    """What was found of one chunk: its candidates and ids where none is skipped, and a tree of outcomes by the candidates asked for."""
+
+    __slots__ = ("codes", "ids", "spine")
+
+    def __init__(self, asked: list[tuple[int, bool]], ids: tuple[int, ...]):
+        self.codes = np.array([code for code, _ in asked], np.uint64).tobytes()
+        # a node: the candidate, what follows if it is kept, what follows if it is skipped
+        self.ids, self.spine = ids, [[code, None, None] for code, _ in asked]
+        for node, later in zip(self.spine, self.spine[1:]):
+            node[1] = later
+
+    def add(self, asked: list[tuple[int, bool]], ids: tuple[int, ...]) -> int:
+        """Remember one more outcome; returns by how many nodes the tree grew."""
+        node, grown = self.spine[0], 0
+        for (_, skip), (code, _) in zip(asked, asked[1:]):
+            if node[1 + skip] is None:
+                node[1 + skip] = [code, None, None]
+                grown += 1
+            node = node[1 + skip]
+        node[1 + asked[-1][1]] = ids
+        return grown + 1
+
+
 class Encoder:
-    """Encodes texts under a seed; remembers up to `most` segmented chunks."""
+    """Encodes texts under a seed; remembers up to `most` outcomes of chunks and nodes on the way to them."""
 
-    def __init__(self, path: str, seed: int, dropout: float, most: int = 300_000, short: int = 64):
+    def __init__(self, path: str, seed: int, dropout: float, most: int = 1_000_000, short: int = 64):
         self.short = short
         self.vocabulary, self.seed, self.most, self.held = vocabulary(path), seed, most, 0
-        with np.errstate(over="ignore"):
-            keyed = mix(np.arange(1, _BITS + 1, dtype=np.uint64) + _U(seed % (1 << 32)) * _U(0x9E3779B97F4A7C15))
-        self.skips = (keyed < _U(min(int(dropout * 2.0**64), (1 << 64) - 1))).tobytes()
-        self.variants = VARIANTS if dropout else 1
-        self.memory: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.bound = min(int(dropout * 2.0**64), _MASK)
+        self.memory: dict[str, Known] = {}
 
-    def segment(self, chunk: str, variant: int) -> tuple[int, ...]:
-        """Ids of one chunk: an agenda of candidate merges, best first, leftmost on ties.
+    def segment(self, chunk: str, key: int, bound: int) -> tuple[tuple[int, ...], list[tuple[int, bool]]]:
+        """Ids of one chunk, and the candidates asked for: an agenda of candidate merges, best first, leftmost on ties.
 
-        A candidate (the key of chunk, seed and variant, the place where it begins and the piece that it
-        makes) is skipped by its keyed hash as it comes to the agenda; what else merges goes on.
+        A candidate (the place where it begins and the piece that it makes) is skipped by its hash under the
+        occurrence's key as it comes to the agenda; what else merges goes on.
         """
-        single, pairs, skips = self.vocabulary.single, self.vocabulary.pairs, self.skips
+        single, pairs, asked = self.vocabulary.single, self.vocabulary.pairs, []
         symbols = [single.get(c, -1) for c in chunk]
+
+        def skips(made: int, place: int) -> bool:
+            code = made * _PIECE + place * _PLACE & _MASK
+            skip = False
+            if bound:  # as _skipped
+                x = (key ^ code) * _FIRST & _MASK
+                skip = (x ^ x >> 32) * _SECOND & _MASK < bound
+            asked.append((code, skip))
+            return skip
+
         if len(symbols) <= self.short:
-            return self._short(chunk, symbols, zlib.crc32(chunk.encode("utf-8", "replace"), variant * 2654435761 & 0xFFFFFFFF))
+            return self._short(chunk, symbols, skips), asked
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = zlib.crc32(chunk.encode("utf-8", "replace"), variant * 2654435761 & 0xFFFFFFFF)
         agenda = []
         for i in range(n - 1):
             found = pairs.get((symbols[i], symbols[i + 1]))
-            if found and not skips[(key ^ found[1] * 40503 ^ i * 9973) % _BITS]:
+            if found and not skips(found[1], i):
                 agenda.append((found[0], i, found[1], symbols[i], symbols[i + 1]))
         heapify(agenda)
         while agenda:
@@ -108,7 +149,7 @@ class Encoder:
             for a, b in ((before[i], i), (i, k)):
                 if a >= 0 and b < n:
                     found = pairs.get((symbols[a], symbols[b]))
-                    if found and not skips[(key ^ found[1] * 40503 ^ a * 9973) % _BITS]:
+                    if found and not skips(found[1], a):
                         heappush(agenda, (found[0], a, found[1], symbols[a], symbols[b]))
         out = []
         for i, symbol in enumerate(symbols):
@@ -117,17 +158,17 @@ class Encoder:
             elif symbol == -1:
                 # a bar that stands for itself comes as its three bytes, so that it doesn't decode to a space
                 out += map(self.vocabulary.byte.__getitem__, ("▁" if chunk[i] == "\x00" and chunk == "\x00" else chunk[i]).encode("utf-8", "replace"))
-        return tuple(out)
+        return tuple(out), asked
 
-    def _short(self, chunk: str, symbols: list[int], key: int) -> tuple[int, ...]:
+    def _short(self, chunk: str, symbols: list[int], skips) -> tuple[int, ...]:
         """As segment does, with the agenda of a short chunk as a list by place."""
-        get, skips = self.vocabulary.pairs.get, self.skips
+        get = self.vocabulary.pairs.get
         places = list(range(len(symbols)))
         # rank of the merge of each symbol with the next, _NONE if there is none or it is skipped
         ranks, made = [], []
         for i in range(len(symbols) - 1):
             found = get((symbols[i], symbols[i + 1]))
-            live = found and not skips[(key ^ found[1] * 40503 ^ i * 9973) % _BITS]
+            live = found and not skips(found[1], i)
             ranks.append(found[0] if live else _NONE)
             made.append(found[1] if live else -1)
         ranks.append(_NONE)
@@ -140,7 +181,7 @@ class Encoder:
                 if j < 0:
                     continue
                 found = get((symbols[j], symbols[j + 1])) if j + 1 < len(symbols) else None
-                if found and not skips[(key ^ found[1] * 40503 ^ places[j] * 9973) % _BITS]:
+                if found and not skips(found[1], places[j]):
                     ranks[j], made[j] = found
                 else:
                     ranks[j] = _NONE
@@ -155,7 +196,7 @@ class Encoder:
         return tuple(out)
 
     def encode(self, text: str, key: int) -> array:
-        """Ids of a text; key (the document's) and seed choose the variant of each of its chunks."""
+        """Ids of a text; key (the document's), seed and each chunk's position choose what is skipped in it."""
         if _SPACE in text:
             return self._with_bars(text, key)
         return self._plain(_SPACE + text.replace(" ", _SPACE), key) if text else array("I")
@@ -163,24 +204,42 @@ class Encoder:
     def _plain(self, marked: str, key: int) -> array:
         chunks = _CHUNK.findall(marked)
         if self.held > self.most:
-            self.memory, self.held = [{} for _ in range(self.variants)], 0
-        if self.variants == 1:
-            which = [0] * len(chunks)
-        else:
+            self.memory, self.held = {}, 0
+        known = [self.memory.get(chunk) or self._first(chunk) for chunk in chunks]
+        found = [x.ids for x in known]
+        if self.bound:
             with np.errstate(over="ignore"):
-                place = np.arange(1, len(chunks) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(key & (1 << 64) - 1)
-                which = (mix(place ^ mix(np.array([self.seed % (1 << 64)], np.uint64))) % _U(self.variants)).tolist()
-        found, memory = [], self.memory
-        for chunk, variant in zip(chunks, which):
-            ids = memory[variant].get(chunk)
-            if ids is None:
-                ids = self.segment(chunk, variant)
-                if len(chunk) < 48:
-                    memory[variant][chunk] = ids
-                    self.held += 1
-            found.append(ids)
+                place = np.arange(1, len(chunks) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(key & _MASK)
+                keys = mix(place ^ mix(np.array([self.seed & _MASK], np.uint64)))
+            ends = np.cumsum(np.fromiter((len(x.spine) for x in known), np.int64, len(known)))
+            begin = np.append(0, ends[:-1])
+            skipped = np.flatnonzero(_skips(np.repeat(keys, ends - begin), np.frombuffer(b"".join([x.codes for x in known]), np.uint64), self.bound))
+            first = np.searchsorted(skipped, begin)
+            some = np.flatnonzero(first < np.searchsorted(skipped, ends))
+            for i, k, at in zip(some.tolist(), keys[some].tolist(), (skipped[first[some]] - begin[some]).tolist()):
+                found[i] = self._other(chunks[i], known[i], k, at)
         return array("I", chain.from_iterable(found))
 
+    def _first(self, chunk: str) -> Known:
+        ids, asked = self.segment(chunk, 0, 0)
+        known = Known(asked, ids)
+        if len(chunk) < 48:
+            self.memory[chunk] = known
+            self.held += 1 + len(asked)
+        return known
+
+    def _other(self, chunk: str, known: Known, key: int, at: int) -> tuple[int, ...]:
+        """Ids of an occurrence whose first skipped candidate is the one at `at` on the spine: remembered, or found by the agenda."""
+        node = known.spine[at][2]
+        while node.__class__ is list:
+            node = node[1 + _skipped(key, node[0], self.bound)]
+        if node is not None:
+            return node
+        ids, asked = self.segment(chunk, key, self.bound)
+        if len(chunk) < 48 and sum(skip for _, skip in asked) < 3:
+            self.held += known.add(asked, ids)
+        return ids
+
     def _with_bars(self, text: str, key: int) -> array:
         """A text that holds U+2581 itself: these come as bytes, the text between them as ever."""
         bar = [self.vocabulary.byte[b] for b in _SPACE.encode()]

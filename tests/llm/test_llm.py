@@ -205,6 +205,24 @@ def test_merge_dropout(docs):
     assert differs > 50
 
 
+def test_merges_are_dropped_by_occurrence():
+    """Each occurrence of a word draws anew, as the agenda alone does: one merge is skipped in a tenth of them, two in a hundredth."""
+    encoder = merge_dropout.Encoder(PIECES, 5, 0.1)
+    word = next(p for p, i in sorted(encoder.vocabulary.single.items()) if p.isalpha() and p.isascii() and merge_dropout.vocabulary(PIECES).pairs.get((encoder.vocabulary.single["▁"], i)))
+    ids = encoder.encode(" ".join([word] * 20_000), 3)
+    assert abs((len(ids) - 20_000) / 20_000 - 0.1) < 0.01
+    seen = Counter()
+    for doc in range(300):
+        key = int(near_dedup.mix(np.array([doc + 1], np.uint64))[0])
+        text = " ".join(["international"] * 10)
+        forgetful = merge_dropout.Encoder(PIECES, 5, 0.1, most=-1)
+        assert encoder.encode(text, key) == forgetful.encode(text, key)
+        seen[tuple(encoder.encode(text, key))] += 1
+    assert len(seen) > 250
+    one, two = (np.array([merge_dropout._skipped(int(k), c, encoder.bound) for k in near_dedup.mix(np.arange(1, 40_001, dtype=np.uint64))]) for c in (merge_dropout._PIECE, merge_dropout._PIECE + merge_dropout._PLACE & merge_dropout._MASK))
+    assert abs(one.mean() - 0.1) < 0.01 and abs(two.mean() - 0.1) < 0.01 and abs((one & two).mean() - 0.01) < 0.003
+
+
 def test_fingerprints(spark, docs):
     rows = {r["doc_id"]: r for r in queries.op7_fingerprint(spark, DATA).collect()}
     given = sorted(docs.collect(), key=lambda r: -r["doc_id"])
