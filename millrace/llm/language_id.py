@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -11,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from millrace.llm.common import blocks, mix, sampled
+from millrace.llm.common import blocks, mix, sliced
 
-#: Bounds of the labelled sample: documents, and words of each that are learned from.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 256
+#: The labelled sample: documents, how many of each language at least if it has them, and spans of each that are learned from.
+SAMPLE_DOCS, SAMPLE_LANG, SAMPLE_SPANS = 2000, 64, 8
 SLOTS = 1 << 17
 _U = np.uint64
 SPAN = 32
@@ -130,7 +132,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 40, seed: int = 7) ->
     of them of two languages, so that moves between languages are learned. The
     likelihood's gradient drives AdaGrad over all chains at once.
     """
-    words = [words_of(t)[:SAMPLE_WORDS] for t in texts]
+    words = [words_of(t) for t in texts]
     kept = [i for i, w in enumerate(words) if w]
     if not kept:
         return None
@@ -298,16 +300,54 @@ def _predictor(model):
     return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()
 
 
+def spread(text: str, key: str, spans: int = SAMPLE_SPANS) -> str:
+    """Words of `spans` spans of SPAN words, hashed uniformly over the whole text, in its order; all words if there are no more."""
+    words = words_of(text)
+    n = -(-len(words) // SPAN)
+    if n > spans:
+        with np.errstate(over="ignore"):
+            drawn = mix(np.arange(1, n + 1, dtype=np.uint64) + (_U(zlib.crc32(key.encode("utf-8", "replace"))) << _U(32)))
+        words = [w for i in np.sort(np.argsort(drawn, kind="stable")[:spans]).tolist() for w in words[i * SPAN : (i + 1) * SPAN]]
+    return " ".join(words)
+
+
+def _spreading(batches):
+    for batch in sliced(batches):
+        texts = [spread(t, i or "") for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(texts, pa.string())], names=["id", "lang", "text"])
+
+
+def _by_language(rows: DataFrame, most: int, least: int) -> DataFrame:
+    """Of (id, text, lang), about `most` rows in proportion to each lang's, but `least` of each lang if it has them: those of least hash.
+
+    Only rows whose hash is below a bound for about twice as many are ranked.
+    """
+    rows = rows.withColumn("_hash", F.xxhash64("id", "text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    quota = {lang: min(n, max(least, round(most * n / total))) for lang, n in counts.items()}
+
+    def below(whole: set) -> DataFrame:
+        bounds = [(lang, q, 2**63 - 1 if lang in whole or counts[lang] <= 4 * q else int(-(2**63) + 2**64 * 2 * q / counts[lang])) for lang, q in quota.items()]
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, _quota long, _bound long")), "lang").where("_hash <= _bound")
+
+    few = below(set())
+    held = {r["lang"]: r["n"] for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if lacking := {lang for lang, q in quota.items() if held.get(lang, 0) < q}:  # rows repeat, so that their hashes do
+        few = below(lacking)
+    ranked = few.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_hash", "id", "text")))
+    return ranked.where("_rank <= _quota").select("id", "text", "lang")
+
+
 def train(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
-    """Fit on a bounded sample of labelled (doc_id, text, lang): the `most` rows of least hash of doc_id.
+    """Fit on a sample of labelled (doc_id, text, lang) that holds every lang: about `most` rows, and SAMPLE_LANG of each lang if it has them.
 
-    Only the first SAMPLE_WORDS words of each sampled row are learned from; rows
-    with a null text or lang are no examples.
+    Of each sampled row SAMPLE_SPANS spans, drawn over its whole text on the executors, are learned from, so the driver holds a bounded
+    number of words a row; rows with a null text or lang are no examples.
     """
     rows = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
-    # 25 characters a word is ample: what lies beyond isn't learned from
-    rows = sampled(rows, F.col("id"), most).select("id", F.substring("text", 1, 25 * SAMPLE_WORDS).alias("text"), "lang").orderBy("id", "lang", "text").collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    chosen = _by_language(rows, most, SAMPLE_LANG).mapInArrow(_spreading, "id string, lang string, text string").orderBy("id", "lang", "text").collect()
+    return fit([r["text"] for r in chosen], [r["lang"] for r in chosen])
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -259,6 +259,18 @@ def test_language(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in found]) > 0.95
 
 
+def test_language_is_learned_from_whole_texts_of_every_language(spark):
+    rng = random.Random(8)
+    own = {"x": "aeiou", "y": "bcdfg", "z": "klmnp"}
+    word = {lang: lambda letters=letters: "".join(rng.choices(letters, k=5)) for lang, letters in own.items()}
+    opening = " ".join("".join(rng.choices("qrstuvw", k=5)) for _ in range(400))
+    rows = [(i, opening + " " + " ".join(word["xy"[i % 2]]() for _ in range(1200)), "xy"[i % 2]) for i in range(600)] + [(900, " ".join(word["z"]() for _ in range(200)), "z")]
+    field = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=60)
+    assert field.labels == ["x", "y", "z"]
+    asked = [(lang, " ".join(word[lang]() for _ in range(40))) for lang in "xyz" for _ in range(10)]
+    assert [found[0] for found in language_id.Labeller(field)([t for _, t in asked])] == [lang for lang, _ in asked]
+
+
 def test_forward_backward_parts():
     rng = np.random.default_rng(0)
     field = language_id.Field(list("abc"), None, {}, None, rng.normal(size=(3, 3)), rng.normal(size=3))
