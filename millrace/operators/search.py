@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,6 +13,8 @@ from millrace.functions.vectors import METRICS, score
 from millrace.operators.filters import Condition, matches
 
 DEFAULT_LIMIT, MOST = 10, 100
+#: Bytes of one block of queries that is broadcast.
+BLOCK_BYTES = 16 << 20
 
 
 def limits(limit: int = DEFAULT_LIMIT, candidates: int | None = None) -> tuple[int, int]:
@@ -35,14 +40,27 @@ def top_k(rows: DataFrame, query: list[float], vector: str, order: list[str], k:
     return kept.withColumn("score", score(given, F.col(vector), metric)).orderBy(F.desc("score"), *order).limit(k)
 
 
+def _query_blocks(queries: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The queries, read one partition after another, in blocks of at most `most` rows and about BLOCK_BYTES; an empty one if there are none."""
+    rows, held, given = [], 0, False
+    for row in queries.toLocalIterator():
+        rows.append(tuple(row))
+        held += 8 * len(row["query"] or ()) + 64
+        if len(rows) >= most or held >= BLOCK_BYTES:
+            yield queries.sparkSession.createDataFrame(rows, queries.schema)
+            rows, held, given = [], 0, True
+    if rows or not given:
+        yield queries.sparkSession.createDataFrame(rows, queries.schema)
+
+
 def top_k_batch(rows: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, k: int = DEFAULT_LIMIT, metric: str = "cosine", most: int = 4096) -> DataFrame:
-    """top_k for each row of queries (query_key, query): a stated set, whose size is checked before it is broadcast."""
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries; search them in blocks")
-    scored = rows.join(F.broadcast(queries), F.lit(True)).withColumn("score", score(F.col("query"), F.col(vector), metric))
+    """top_k for each row of queries (query_key, query), any number of them: each block is broadcast, and a task passes on k rows a query."""
     best = W.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    parts = []
+    for block in _query_blocks(queries, most):
+        scored = rows.join(F.broadcast(block), F.lit(True)).withColumn("score", score(F.col("query"), F.col(vector), metric))
+        parts.append(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -194,3 +194,11 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_batches_of_queries_are_served_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, v array<double>")
+    asked = rows.select(F.col("id").alias("q"), F.col("v").alias("query"))
+    whole, blocks = (sorted(map(tuple, search.top_k_batch(rows, asked, "v", "id", "q", 3, "dot-product", most=n).select("q", "id", "rank", "score").collect())) for n in (4096, 7))
+    assert len(whole) == 180 and blocks == whole
+    assert search.top_k_batch(rows, asked.where("false"), "v", "id", "q").count() == 0
