@@ -109,25 +109,27 @@ def _deepener(bands: int, rows: int, width: int):
     def deepen(batches):
         a, b = _universal(bands * rows)
         with np.errstate(over="ignore"):
+            number = np.arange(1, bands * rows + 1, dtype=np.uint64) << _U(32)
             for batch in sliced(batches):
                 keys, bits = [], []
                 for found in shingle_sets(batch.column("raw").to_pylist(), width):
                     least = minima(found, a, b)
                     keys.append(_band_keys(least, bands, rows).view(np.int64))
-                    low = np.packbits((least & np.uint32(1)).astype(np.uint8))
-                    bits.append(np.pad(low, (0, -len(low) % 8)).tobytes())
+                    # as multipliers are odd, a minimum's own low bit is that of its shingle under every hash: it is drawn anew
+                    drawn = np.packbits((mix(number | least) >> _U(63)).astype(np.uint8))
+                    bits.append(np.pad(drawn, (0, -len(drawn) % 8)).tobytes())
                 made = [pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "bits"])
 
     return deepen
 
 
-def _tiler(percent: int, minima: int, best: bool):
+def _tiler(percent: int, minima: int, which: str):
     """Of a tile's nodes, pairs of different components whose one-bit minima agree enough.
 
-    Agreement beyond the threshold by 5.5 standard deviations is sure to be confirmed, so one such pair joins
-    two components within the tile; less sure pairs are all kept, if their components stay apart. With best, only each
-    node's pair of most agreement is.
+    Which are kept: of "best" each node's pair of most agreement; of "sure" one pair of two components in the tile whose agreement is
+    beyond the threshold by 5.5 standard deviations, as it joins them if it is confirmed, and less sure pairs
+    of components that no such pair joins; of "all" every pair.
     """
     share = (1 + percent / 100) / 2
     spread = 5.5 * (share * (1 - share) / minima) ** 0.5
@@ -143,14 +145,14 @@ def _tiler(percent: int, minima: int, best: bool):
         for i in left:
             apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
             fit = np.flatnonzero((apart <= most) & (component[right] != component[i]))
-            if best:
+            if which == "best":
                 better = fit[apart[fit] < least[fit]]
                 least[better], of[better] = apart[better], i
                 if len(fit):
                     found.append(np.array([[i], [right[fit[apart[fit].argmin()]]]], np.int32))
                 continue
             fit = fit[np.argsort(apart[fit], kind="stable")]
-            near, certain = right[fit], apart[fit] <= sure
+            near, certain = right[fit], (apart[fit] <= sure) & (which == "sure")
             if len(near):
                 joined, at = np.unique(component[near[certain]], return_index=True)
                 found.append(np.stack([np.full(len(at), i), near[certain][at]]).astype(np.int32))
@@ -172,8 +174,8 @@ def _crowds(deep: DataFrame, grouped: DataFrame) -> DataFrame:
     return cut(crowds.join(crowds.groupBy("crowd").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "crowd").select("node", "crowd", "tiles"))
 
 
-def _tiled(deep: DataFrame, crowds: DataFrame, grouped: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Likely pairs (u, v) of a crowd's nodes in different components, or only the best of each node in each tile.
+def _tiled(deep: DataFrame, crowds: DataFrame, grouped: DataFrame, percent: int, which: str) -> DataFrame:
+    """Likely pairs (u, v) of a crowd's nodes in different components, as _tiler keeps them in each tile.
 
     A crowd's nodes are dealt to tiles of about TILE by their hash, and each pair of tiles is
     compared in one step, so that memory doesn't grow with the crowd.
@@ -182,7 +184,7 @@ def _tiled(deep: DataFrame, crowds: DataFrame, grouped: DataFrame, percent: int,
     seats = crowds.join(grouped, "node", "left").join(deep.select("node", "bits"), "node")
     seats = seats.select("crowd", "node", F.coalesce("component", "node").alias("component"), "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
     tiles = seats.select("crowd", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bits")
-    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS, best), "u long, v long").distinct()
+    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS, which), "u long, v long").distinct()
 
 
 def _agreeing(least: float):
@@ -249,7 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     mostly of texts that share one passage but are otherwise apart, isn't compared
     further: its nodes are signed again with DEEP_BANDS bands of DEEP_ROWS minima, in which such texts
     part. Nodes of different components that meet there are compared in tiles by one bit of
-    each minimum: first each node's best pair is confirmed, then whatever else agrees enough between components that are still apart. So all links that can
+    each minimum: first each node's best pair is confirmed, then what else agrees enough between components that are still apart: one sure
+    pair of two components and the less sure ones, then all that are left. So all links that can
     change a component are tried. Candidates whose minima agree are confirmed on
     their full shingle sets. A pair at 0.75 fails to meet with a chance of 2 in
     100,000 in either signature.
@@ -278,15 +281,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
         deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys array<long>, bits binary"))
         crowds = _crowds(deep, grouped)
         tidy(crowds)
-        likely = likely.unionAll(_tiled(deep, crowds, grouped, percent, best=True)).distinct()
+        likely = likely.unionAll(_tiled(deep, crowds, grouped, percent, "best")).distinct()
     likely = cut(likely)
     if likely.limit(1).count():
         grouped = merge(grouped, confirmed(likely))
     if crowded.limit(1).count():
-        tidy(likely)
-        rest = cut(_tiled(deep, crowds, grouped, percent, best=False).join(likely, ["u", "v"], "left_anti"))
-        if rest.limit(1).count():
-            grouped = merge(grouped, confirmed(rest))
+        for which in ("sure", "all"):  # a sure pair may fail, so what it kept out is tried at last
+            tidy(likely)
+            rest = cut(_tiled(deep, crowds, grouped, percent, which).join(likely, ["u", "v"], "left_anti"))
+            if rest.limit(1).count():
+                grouped, likely = merge(grouped, confirmed(rest)), likely.unionAll(rest)
     group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
     least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))

@@ -327,6 +327,31 @@ def test_near_duplicates_in_crowds(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_bits_of_short_texts_agree_as_assumed():
+    """Pairs of 12 shingles in all, 9 of them shared: bits differ in an eighth of the minima, with a binomial spread."""
+    import pyarrow as pa
+
+    rng, n, pairs = random.Random(9), near_dedup.DEEP_BANDS * near_dedup.DEEP_ROWS, 200
+    texts = []
+    for _ in range(pairs):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(12)]
+        texts += [" ".join(w[:11]).encode(), " ".join([*w[:9], w[11]]).encode()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "raw"])
+    made = near_dedup._deepener(near_dedup.DEEP_BANDS, near_dedup.DEEP_ROWS, 1)([batch])
+    bits = np.concatenate([np.frombuffer(x, np.uint64)[None] for b in made for x in b.column("bits").to_pylist()])
+    apart = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1)
+    assert abs(apart.mean() - n / 8) < 8 and apart.std() < 1.5 * (n * 7 / 64) ** 0.5
+
+
+def test_a_sure_pair_keeps_no_other_out():
+    """Of three nodes, two of one component and alike, "sure" keeps one pair; as this may fail, "all" keeps both."""
+    import pyarrow as pa
+
+    table = pa.table({"side": [0, 0, 0], "node": [1, 2, 3], "component": [1, 1, 3], "bits": [bytes(256)] * 3})
+    found = [len(near_dedup._tiler(75, 2000, which)(table)) for which in ("sure", "all")]
+    assert found[0] == 1 and found[1] >= 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
