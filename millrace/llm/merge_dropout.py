@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import mix
+from millrace.llm.common import blocks, mix, sliced
 
 _U = np.uint64
 _SPACE = "▁"
@@ -23,7 +23,9 @@ _SPACE = "▁"
 _CHUNK = re.compile(f"\n|{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+")
 _MASK = (1 << 64) - 1
 _PIECE, _PLACE, _FIRST, _SECOND = 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-_NONE = 1 << 30
+_NONE, _EMPTY = 1 << 30, -1 << 62
+#: Chunks of up to so many symbols go through the agenda together.
+_WIDTHS = np.array([1, 2, 4, 6, 8, 10, 12, 16, 20, 26, 34, 48, 62])
 
 
 class Vocabulary:
@@ -52,6 +54,9 @@ class Vocabulary:
                 left, right = normal.get(piece[:cut]), normal.get(piece[cut:])
                 if left is not None and right is not None:
                     self.pairs[left, right] = (rank, normal[piece])
+        self.table = Pairs(self.pairs)
+        self.by_point = np.full(0x110000, -1, np.int32)
+        self.by_point[[ord(c) for c in self.single]] = list(self.single.values())
 
     def decode(self, ids) -> str:
         """The text of ids, without the space that encoding puts before it."""
@@ -64,50 +69,96 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _skipped(key: int, code: int, bound: int) -> bool:
-    """Whether the candidate `code` is skipped in the occurrence `key`; as _skips, for one."""
-    x = (key ^ code) * _FIRST & _MASK
-    return (x ^ x >> 32) * _SECOND & _MASK < bound
-
-
 def _skips(keys: np.ndarray, codes: np.ndarray, bound: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (keys ^ codes) * _U(_FIRST)
         return (x ^ (x >> _U(32))) * _U(_SECOND) < _U(bound)
 
 
-class Known:
-    """What was found of one chunk: its candidates and ids where none is skipped, and a tree of outcomes by the candidates asked for."""
+class Pairs:
+    """The mergeable pairs as a hash table of arrays, looked up many at a time."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        left, right = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        rank, made = (np.array([v[k] for v in pairs.values()], np.int32) for k in (0, 1))
+        self.made = np.zeros(int(rank.max(initial=0)) + 1, np.int32)
+        self.made[rank] = made
+        self.bits = max(10, (4 * len(pairs) - 1).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, _EMPTY, np.int64), np.full(1 << self.bits, _NONE, np.int32)
+        keys = left << 32 | right
+        slots, left_over = self._slots(keys), np.arange(len(keys))
+        while len(left_over):
+            free = left_over[self.keys[slots[left_over]] == _EMPTY]
+            self.keys[slots[free]], self.ranks[slots[free]] = keys[free], rank[free]  # the last of several for one slot stays
+            left_over = left_over[self.keys[slots[left_over]] != keys[left_over]]
+            slots[left_over] = slots[left_over] + 1 & (1 << self.bits) - 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = keys.astype(np.uint64) * _U(_PLACE)
+            return ((x ^ x >> _U(32)) * _U(_SECOND) >> _U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each left symbol with the right one, _NONE if there is none."""
+        keys = left.astype(np.int64) << 32 | right
+        slots = self._slots(keys)
+        held, out = self.keys[slots], self.ranks[slots]
+        missed = np.flatnonzero(held != keys)
+        out[missed] = _NONE
+        missed = missed[held[missed] != _EMPTY]
+        while len(missed):
+            slots[missed] = slots[missed] + 1 & (1 << self.bits) - 1
+            held = self.keys[slots[missed]]
+            hit = held == keys[missed]
+            out[missed[hit]] = self.ranks[slots[missed[hit]]]
+            missed = missed[~hit & (held != _EMPTY)]
+        return out
+
+
+class Lists:
+    """Lists of numbers one after another in a growing array."""
 
-    __slots__ = ("codes", "ids", "spine")
+    def __init__(self, kind):
+        self.flat, self.begin, self.used, self.n = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64), 0, 0
 
-    def __init__(self, asked: list[tuple[int, bool]], ids: tuple[int, ...]):
-        self.codes = np.array([code for code, _ in asked], np.uint64).tobytes()
-        # a node: the candidate, what follows if it is kept, what follows if it is skipped
-        self.ids, self.spine = ids, [[code, None, None] for code, _ in asked]
-        for node, later in zip(self.spine, self.spine[1:]):
-            node[1] = later
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Append lists of the given sizes, their values in one array."""
+        for name, need in (("flat", self.used + len(values)), ("begin", self.n + len(sizes) + 1)):
+            if need > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * need))
+        self.flat[self.used : self.used + len(values)] = values
+        self.begin[self.n + 1 : self.n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used, self.n = self.used + len(values), self.n + len(sizes)
 
-    def add(self, asked: list[tuple[int, bool]], ids: tuple[int, ...]) -> int:
-        """Remember one more outcome; returns by how many nodes the tree grew."""
-        node, grown = self.spine[0], 0
-        for (_, skip), (code, _) in zip(asked, asked[1:]):
-            if node[1 + skip] is None:
-                node[1 + skip] = [code, None, None]
-                grown += 1
-            node = node[1 + skip]
-        node[1 + asked[-1][1]] = ids
-        return grown + 1
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the lists named, one after another, and each one's size."""
+        sizes = self.begin[which + 1] - self.begin[which]
+        return self.flat[_ranges(self.begin[which], sizes)], sizes
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of sizes[0] numbers, then those of the next."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Encodes texts under a seed; remembers up to `most` outcomes of chunks and nodes on the way to them."""
+    """Encodes texts under a seed; remembers up to `most` chunks: their symbols, candidates and ids where none is skipped.
 
-    def __init__(self, path: str, seed: int, dropout: float, most: int = 1_000_000, short: int = 64):
+    Where a candidate is skipped, the agendas of all such chunks of a block of texts run side by side in arrays; chunks of more than
+    `short` symbols or with symbols out of the vocabulary run one by one.
+    """
+
+    def __init__(self, path: str, seed: int, dropout: float, most: int = 400_000, short: int = 62):
         self.short = short
-        self.vocabulary, self.seed, self.most, self.held = vocabulary(path), seed, most, 0
+        self.vocabulary, self.seed, self.most = vocabulary(path), seed, most
         self.bound = min(int(dropout * 2.0**64), _MASK)
-        self.memory: dict[str, Known] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.symbols, self.codes, self.ids = Lists(np.int32), Lists(np.uint64), Lists(np.int32)
+        self.hard = np.zeros(1 << 10, bool)
 
     def segment(self, chunk: str, key: int, bound: int) -> tuple[tuple[int, ...], list[tuple[int, bool]]]:
         """Ids of one chunk, and the candidates asked for: an agenda of candidate merges, best first, leftmost on ties.
@@ -121,7 +172,7 @@ class Encoder:
         def skips(made: int, place: int) -> bool:
             code = made * _PIECE + place * _PLACE & _MASK
             skip = False
-            if bound:  # as _skipped
+            if bound:  # as _skips, for one
                 x = (key ^ code) * _FIRST & _MASK
                 skip = (x ^ x >> 32) * _SECOND & _MASK < bound
             asked.append((code, skip))
@@ -197,73 +248,178 @@ class Encoder:
 
     def encode(self, text: str, key: int) -> array:
         """Ids of a text; key (the document's), seed and each chunk's position choose what is skipped in it."""
-        if _SPACE in text:
-            return self._with_bars(text, key)
-        return self._plain(_SPACE + text.replace(" ", _SPACE), key) if text else array("I")
-
-    def _plain(self, marked: str, key: int) -> array:
-        chunks = _CHUNK.findall(marked)
-        if self.held > self.most:
-            self.memory, self.held = {}, 0
-        known = [self.memory.get(chunk) or self._first(chunk) for chunk in chunks]
-        found = [x.ids for x in known]
-        if self.bound:
-            with np.errstate(over="ignore"):
-                place = np.arange(1, len(chunks) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(key & _MASK)
-                keys = mix(place ^ mix(np.array([self.seed & _MASK], np.uint64)))
-            ends = np.cumsum(np.fromiter((len(x.spine) for x in known), np.int64, len(known)))
-            begin = np.append(0, ends[:-1])
-            skipped = np.flatnonzero(_skips(np.repeat(keys, ends - begin), np.frombuffer(b"".join([x.codes for x in known]), np.uint64), self.bound))
-            first = np.searchsorted(skipped, begin)
-            some = np.flatnonzero(first < np.searchsorted(skipped, ends))
-            for i, k, at in zip(some.tolist(), keys[some].tolist(), (skipped[first[some]] - begin[some]).tolist()):
-                found[i] = self._other(chunks[i], known[i], k, at)
-        return array("I", chain.from_iterable(found))
-
-    def _first(self, chunk: str) -> Known:
-        ids, asked = self.segment(chunk, 0, 0)
-        known = Known(asked, ids)
-        if len(chunk) < 48:
-            self.memory[chunk] = known
-            self.held += 1 + len(asked)
-        return known
-
-    def _other(self, chunk: str, known: Known, key: int, at: int) -> tuple[int, ...]:
-        """Ids of an occurrence whose first skipped candidate is the one at `at` on the spine: remembered, or found by the agenda."""
-        node = known.spine[at][2]
-        while node.__class__ is list:
-            node = node[1 + _skipped(key, node[0], self.bound)]
-        if node is not None:
-            return node
-        ids, asked = self.segment(chunk, key, self.bound)
-        if len(chunk) < 48 and sum(skip for _, skip in asked) < 3:
-            self.held += known.add(asked, ids)
-        return ids
-
-    def _with_bars(self, text: str, key: int) -> array:
-        """A text that holds U+2581 itself: these come as bytes, the text between them as ever."""
-        bar = [self.vocabulary.byte[b] for b in _SPACE.encode()]
-        out = array("I")
-        for i, part in enumerate(text.split(_SPACE)):
-            if i:
-                out.extend(bar)
-            marked = part.replace(" ", _SPACE)
-            if marked or not i:
-                out.extend(self._plain(marked if i else _SPACE + marked, key + i))
+        return array("I", self.encode_all([text], [key])[0].tolist())
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text. A text that holds U+2581 itself is encoded in parts: these come as bytes, the text between them as ever."""
+        parts, own, of = [], [], []
+        for i, (text, key) in enumerate(zip(texts, keys)):
+            if not text:
+                continue
+            for k, part in enumerate(text.split(_SPACE)):
+                marked = part.replace(" ", _SPACE)
+                parts.append(marked if k else _SPACE + marked)
+                own.append(key + k & _MASK)
+                of.append(i)
+        found, out = self._block(parts, own), [np.zeros(0, np.uint32)] * len(texts)
+        bar = np.array([self.vocabulary.byte[b] for b in _SPACE.encode()], np.uint32)
+        at = 0
+        while at < len(of):
+            end = at + 1
+            while end < len(of) and of[end] == of[at]:
+                end += 1
+            pieces = [x for k in range(at, end) for x in ((bar, found[k]) if k > at else (found[k],))]
+            out[of[at]] = pieces[0] if len(pieces) == 1 else np.concatenate(pieces)
+            at = end
         return out
 
+    def _block(self, parts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of each part, all at once."""
+        if len(self.known) > self.most:
+            self._forget()
+        split = [_CHUNK.findall(part) for part in parts]
+        chunks = list(chain.from_iterable(split))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        del split
+        self._learn([c for c in dict.fromkeys(chunks) if c not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        first = np.cumsum(counts) - counts
+        drawn, dropped = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if self.bound and len(which):
+            with np.errstate(over="ignore"):
+                place = _ranges(np.ones(len(counts), np.int64), counts).astype(np.uint64)
+                drawn = mix(place * _U(0x9E3779B97F4A7C15) + np.repeat(np.array(keys, np.uint64), counts) ^ mix(np.array([self.seed & _MASK], np.uint64)))
+            codes, sizes = self.codes.take(which)
+            owner = np.repeat(np.arange(len(which)), sizes)
+            dropped = np.unique(owner[_skips(drawn[owner], codes, self.bound)])
+        sizes = self.ids.begin[which + 1] - self.ids.begin[which]
+        made = []
+        for rows in self._alike(which[dropped]):
+            rows = dropped[rows]
+            if self.hard[which[rows[0]]]:
+                ids = [self.segment(chunks[i], k, self.bound)[0] for i, k in zip(rows.tolist(), drawn[rows].tolist())]
+                values, n = np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+            else:
+                values, n, _ = self._agendas(which[rows], drawn[rows])
+            sizes[rows] = n
+            made.append((rows, values))
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        plain = np.ones(len(which), bool)
+        plain[dropped] = False
+        out[_ranges((ends - sizes)[plain], sizes[plain])] = self.ids.take(which[plain])[0]
+        for rows, values in made:
+            out[_ranges((ends - sizes)[rows], sizes[rows])] = values
+        edge = np.concatenate([[0], ends])
+        return [out[edge[a] : edge[b]] for a, b in zip(first.tolist(), (first + counts).tolist())]
+
+    def _alike(self, which: np.ndarray):
+        """Places of chunks that go through the agenda together: hard ones, the others by size."""
+        sizes = self.symbols.begin[which + 1] - self.symbols.begin[which]
+        group = np.where(self.hard[which], -1, np.searchsorted(_WIDTHS, sizes))
+        order = np.argsort(group, kind="stable")
+        edges = np.flatnonzero(np.diff(group[order])) + 1
+        return [rows[i : i + 65536] for rows in np.split(order, edges) for i in range(0, len(rows), 65536)] if len(which) else []
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Take in new chunks: their symbols, the candidates asked for and the ids, without dropout."""
+        if not chunks:
+            return
+        begin, sizes = len(self.known), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.vocabulary.by_point[points]
+        hard = (sizes > self.short) | np.logical_or.reduceat(symbols < 0, np.cumsum(sizes) - sizes)
+        self.symbols.extend(symbols, sizes)
+        if begin + len(chunks) > len(self.hard):
+            self.hard = np.resize(self.hard, 2 * (begin + len(chunks)))
+        self.hard[begin : begin + len(chunks)] = hard
+        self.known.update(zip(chunks, range(begin, begin + len(chunks))))
+        made, asked = [], []
+        for rows in self._alike(np.arange(begin, begin + len(chunks))):
+            if hard[rows[0]]:
+                found = [self.segment(chunks[i], 0, 0) for i in rows.tolist()]
+                values, n = np.array([x for ids, _ in found for x in ids], np.int32), np.array([len(ids) for ids, _ in found])
+                owner, code = np.repeat(np.arange(len(rows)), [len(c) for _, c in found]), np.array([x for _, c in found for x, _ in c], np.uint64)
+            else:
+                values, n, (owner, code) = self._agendas(begin + rows, None)
+                order = np.argsort(owner, kind="stable")
+                owner, code = owner[order], code[order]
+            made.append((rows, values, n))
+            asked.append((rows, code, np.bincount(owner, minlength=len(rows))))
+        for lists, parts in ((self.ids, made), (self.codes, asked)):
+            sizes = np.zeros(len(chunks), np.int64)
+            for rows, _, n in parts:
+                sizes[rows] = n
+            ends = np.cumsum(sizes)
+            flat = np.empty(int(ends[-1]), lists.flat.dtype)
+            for rows, values, n in parts:
+                flat[_ranges((ends - sizes)[rows], n)] = values
+            lists.extend(flat, sizes)
+
+    def _agendas(self, which: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The agendas of many chunks side by side: in each round every chunk makes its best merge, the leftmost on ties.
+
+        keys are the occurrences', None to skip nothing. Returns the ids, each chunk's number of them, and all candidates asked for:
+        of which chunk, and their codes.
+        """
+        pairs = self.vocabulary.table
+        given, sizes = self.symbols.take(which)
+        n, width = len(which), int(sizes.max()) + 2
+        # the first column and those after a chunk's end are walls
+        symbols = np.full(n * width, -1, np.int32)
+        symbols[_ranges(np.arange(n) * width + 1, sizes)] = given
+        rank = np.full(n * width, _NONE, np.int32)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int32), n)
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int32), n)
+        asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def offer(rows: np.ndarray, at: np.ndarray, found: np.ndarray) -> None:
+            """Put the merges found at places into the agendas but those that are skipped."""
+            some = np.flatnonzero(found < _NONE)
+            with np.errstate(over="ignore"):
+                code = pairs.made[found[some]].astype(np.uint64) * _U(_PIECE) + (at[some] - rows[some] * width - 1).astype(np.uint64) * _U(_PLACE)
+            if keys is None:
+                asked.append((rows[some], code))
+            else:
+                found[some[_skips(keys[rows[some]], code, self.bound)]] = _NONE
+            rank[at] = found
+
+        at = _ranges(np.arange(n) * width + 1, sizes - 1)
+        offer(np.repeat(np.arange(n), sizes - 1), at, pairs(symbols[at], symbols[at + 1]))
+        rows = np.arange(n)
+        while len(rows):
+            now = rank.reshape(n, width)[rows]
+            column = now.argmin(axis=1)
+            best = now[np.arange(len(rows)), column]
+            live = best < _NONE
+            rows, column, best = rows[live], column[live], best[live]
+            if not len(rows):
+                break
+            base = rows * width
+            i = base + column
+            j = base + after[i]
+            made = pairs.made[best]
+            symbols[i], symbols[j], rank[j] = made, -2, _NONE
+            k = base + after[j]
+            after[i], before[k] = after[j], column
+            offer(rows, i, pairs(made, symbols[k]))
+            h = base + before[i]
+            offer(rows, h, pairs(symbols[h], made))
+        kept = symbols.reshape(n, width) >= 0
+        owner = np.concatenate([a for a, _ in asked]) if asked else np.zeros(0, np.int64)
+        return symbols[kept.ravel()], kept.sum(axis=1), (owner, np.concatenate([c for _, c in asked]) if asked else np.zeros(0, np.uint64))
+
 
 def _encoding(path: str, seed: int, dropout: float, with_ids: bool):
     def encode(batches):
         encoder = Encoder(path, seed, dropout)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for part in sliced([batch]):
                 n, crc, digest, same, ids_ = [], [], [], [], []
-                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
-                    text = text or ""
-                    ids = encoder.encode(text, key)
-                    back = encoder.vocabulary.decode(ids)
+                texts, keys = [t or "" for t in part.column("text").to_pylist()], [k & _MASK for k in part.column("key").to_pylist()]
+                found = (ids for begin, end in blocks(texts) for ids in encoder.encode_all(texts[begin:end], keys[begin:end]))
+                for text, ids in zip(texts, found):
+                    back = encoder.vocabulary.decode(ids.tolist())
                     n.append(len(ids))
                     crc.append(zlib.crc32(ids.tobytes()))
                     digest.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())

@@ -223,6 +223,47 @@ def test_merges_are_dropped_by_occurrence():
     assert abs(one.mean() - 0.1) < 0.01 and abs(two.mean() - 0.1) < 0.01 and abs((one & two).mean() - 0.01) < 0.003
 
 
+def plain_agenda(text, key, seed, dropout):
+    """Merge-dropout by its definition: of all candidates that aren't skipped the best merges, the leftmost on ties, again and again."""
+    mask, v = (1 << 64) - 1, merge_dropout.vocabulary(PIECES)
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return x ^ x >> 31
+
+    out = []
+    for nth, chunk in enumerate(re.findall("\n|▁*[^▁\n]+|▁+", "▁" + text.replace(" ", "▁")) if text else [], 1):
+        drawn = mixed(nth * 0x9E3779B97F4A7C15 + key & mask ^ mixed(seed))
+        symbols = [(v.single.get(c, -1), i) for i, c in enumerate(chunk)]
+        while True:
+            best = None
+            for at, ((a, place), (b, _)) in enumerate(zip(symbols, symbols[1:])):
+                if found := v.pairs.get((a, b)):
+                    x = (drawn ^ (found[1] * merge_dropout._PIECE + place * merge_dropout._PLACE & mask)) * merge_dropout._FIRST & mask
+                    if (x ^ x >> 32) * merge_dropout._SECOND & mask >= int(dropout * 2.0**64) and (best is None or found[0] < best[0]):
+                        best = (found[0], at, found[1])
+            if best is None:
+                break
+            symbols[best[1] : best[1] + 2] = [(best[2], symbols[best[1]][1])]
+        for s, place in symbols:
+            out += [s] if s >= 0 else [v.byte[b] for b in chunk[place].encode()]
+    return out
+
+
+def test_merge_dropout_query_against_the_plain_agenda(spark, docs):
+    keys = {r["doc_id"]: r["key"] & (1 << 64) - 1 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("key")).collect()}
+    got = {r["doc_id"]: r for r in queries.op6_merge_dropout(spark, DATA).collect()}
+    cuts = {}
+    for r in sorted(docs.collect(), key=lambda r: len(r["text"]))[:120]:
+        ids = plain_agenda(r["text"], keys[r["doc_id"]], 2024, 0.1)
+        found = got[r["doc_id"]]
+        assert (found["n_tokens"], found["ids_crc32"], found["lossless"]) == (len(ids), zlib.crc32(np.array(ids, np.uint32).tobytes()), True)
+    for key in range(400):
+        cuts.setdefault("international", set()).add(tuple(plain_agenda("international", key * 0x9E3779B97F4A7C15 & (1 << 64) - 1, 2024, 0.3)))
+    assert len(cuts["international"]) > 8
+
+
 def test_fingerprints(spark, docs):
     rows = {r["doc_id"]: r for r in queries.op7_fingerprint(spark, DATA).collect()}
     given = sorted(docs.collect(), key=lambda r: -r["doc_id"])
