@@ -69,6 +69,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _skipped(key: int, code: int, bound: int) -> bool:
+    """Whether the candidate `code` is skipped in the occurrence `key`; as _skips, for one."""
+    x = (key ^ code) * _FIRST & _MASK
+    return (x ^ x >> 32) * _SECOND & _MASK < bound
+
+
 def _skips(keys: np.ndarray, codes: np.ndarray, bound: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (keys ^ codes) * _U(_FIRST)
@@ -171,10 +177,7 @@ class Encoder:
 
         def skips(made: int, place: int) -> bool:
             code = made * _PIECE + place * _PLACE & _MASK
-            skip = False
-            if bound:  # as _skips, for one
-                x = (key ^ code) * _FIRST & _MASK
-                skip = (x ^ x >> 32) * _SECOND & _MASK < bound
+            skip = _skipped(key, code, bound)
             asked.append((code, skip))
             return skip
 

@@ -6,12 +6,15 @@ import hashlib
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import cut, sliced
+
 #: A subtree is a site template if at least so many pages of its host, and this share of them, hold it.
 MIN_PAGES, MIN_SHARE = 10, 0.05
 #: Up to so many template keys, 8 bytes each, are broadcast; more are joined to the pages by a shuffle.
@@ -26,11 +29,15 @@ BLOCK = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 ROOTS = frozenset(("article", "main"))
 #: Elements that never hold an article's text.
-APART = frozenset("nav header footer aside form script style noscript iframe template svg button select textarea input dialog menu head title object canvas audio video math fieldset search".split()) - {"math"}
+APART = frozenset("nav header footer aside form script style noscript iframe template svg button select textarea input dialog menu head title object canvas audio video fieldset search".split())
 #: Words of class, id or role that mark what is not the article.
 MARKS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer colophon sidebar aside complementary contentinfo ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion widget widgets toolbar pagination pager skip search login form copyright legal".split()
 )
+#: Words that may stand beside a mark in one class name without changing what it says.
+NEUTRAL = frozenset("site page main top bottom left right primary secondary global section block box bar list links link items item wrapper wrap container area slot unit inner outer body content button buttons post posts article articles icon icons group row col panel text form thread".split())
+#: Elements that tell a form around a whole page from one of inputs.
+PAGE_PARTS = frozenset("article main section nav header footer h1".split())
 #: An open element of the key is ended by a start tag of the values.
 ENDED_BY = {
     "p": BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "dialog"},
@@ -40,9 +47,13 @@ ENDED_BY = {
 #: Elements that an implied end does not reach beyond.
 WALLS = frozenset("html body table td th caption button div section article main aside ul ol dl select blockquote form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^<>\"']*+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _MARK_WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none")
+_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -52,99 +63,194 @@ def host_of(url: str | None) -> str:
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "key", "block")
+    __slots__ = ("tag", "attributes", "children", "key", "block", "inside", "holds", "marked")
 
-    def __init__(self, tag: str, attributes: str):
+    def __init__(self, tag: str, attributes: str, inside: bool = False):
         self.tag, self.attributes, self.children, self.key = tag, attributes, [], 0
         self.block = tag in BLOCK
-
-
-def parse(page: str) -> Element:
-    """A forgiving element tree; children are elements and strings of undecoded text. Comments are left out."""
+        # whether it is in or is an article or main element; holds a part of a page; how it is marked
+        self.inside, self.holds, self.marked = inside or tag in ROOTS, False, 0
+        if attributes and tag not in ("html", "body"):
+            self.marked = _mark(attributes) if len(attributes) < 500 else _mark.__wrapped__(attributes)
+
+
+class _Ends:
+    """Ends of start tags in a page; each stretch of it is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'>"}
+
+    def after(self, at: int) -> int:
+        """The place of the tag's >, not one in quotes unless the quotes aren't closed or a < comes first; -1 if there is none."""
+        page, start = self.page, at
+        while True:
+            at = _PLAIN.match(page, at).end()
+            c = page[at : at + 1]
+            if c == ">":
+                return at
+            if not c or c == "<" or self.last[c] <= at:
+                return page.find(">", start) if self.last[">"] >= start else -1
+            at = page.find(c, at + 1) + 1
+
+
+class _Open:
+    """The open elements, with where each name stands, and those at which the search for an implied end looks."""
+
+    def __init__(self, top: Element):
+        self.stack, self.names, self.stops = [top], {}, []
+
+    def push(self, element: Element) -> None:
+        if element.tag in ENDED_BY or element.tag in WALLS:
+            self.stops.append(len(self.stack))
+        self.names.setdefault(element.tag, []).append(len(self.stack))
+        self.stack.append(element)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.names[self.stack.pop().tag].pop()
+        while self.stops and self.stops[-1] >= depth:
+            self.stops.pop()
+
+    def close(self, name: str) -> None:
+        if at := self.names.get(name):
+            self.cut(at[-1])
+
+    def imply(self, name: str) -> None:
+        """End what a start tag of this name ends. Between walls each kind of stop is open once at most."""
+        for depth in reversed(self.stops):
+            tag = self.stack[depth].tag
+            if name in ENDED_BY.get(tag, ()):
+                return self.cut(depth)
+            if tag in WALLS:
+                return None
+
+
+def parse(page: str) -> list[Element]:
+    """A forgiving element tree, as a list of its elements in the order of their start tags, the page itself first.
+
+    Children are elements and strings of undecoded text; comments are left out. Time and memory grow with the
+    length of the page, whatever is in it; no step is recursive.
+    """
     top = Element("#page", "")
-    stack = [top]
+    order, open_, ends = [top], _Open(top), _Ends(page)
     at, size = 0, len(page)
     while at < size:
-        token = _TOKEN.match(page, at)
-        at = token.end()
-        name = token[2] or token[5]
-        if name is None:
-            text = token[0]
-            if not (text.startswith(("<!", "<?")) and len(text) > 1):
-                stack[-1].children.append(text)
+        start = page.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            open_.stack[-1].children.append(page[at:start])
+            at = start
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        name, closing = name.lower(), token[1] or token[4]
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else size
+            continue
+        name = _NAME.match(page, at + 1)
+        end = ends.after(name.end()) if name else -1
+        if end < 0:
+            # a < that opens no tag is text; without any > that follows, so is all the rest
+            stop = size if name else at + 1
+            open_.stack[-1].children.append(page[at:stop])
+            at = stop
+            continue
+        closing, tag, attributes = name[1], name[2].lower(), page[name.end() : end]
+        at = end + 1
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    break
+            open_.close(tag)
             continue
-        for depth in range(len(stack) - 1, 0, -1):
-            if name in ENDED_BY.get(stack[depth].tag, ()):
-                del stack[depth:]
-                break
-            if stack[depth].tag in WALLS:
-                break
-        attributes = token[3] or token[6] or ""
-        element = Element(name, attributes)
-        stack[-1].children.append(element)
-        if name in VOID or attributes.endswith("/") and name not in BLOCK:
+        open_.imply(tag)
+        element = Element(tag, attributes, open_.stack[-1].inside)
+        open_.stack[-1].children.append(element)
+        order.append(element)
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        if name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
+        if tag in RAW:
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else size
-        stack.append(element)
-    return top
+        open_.push(element)
+    for element in reversed(order):  # children come after their parents
+        element.holds = element.tag in PAGE_PARTS or any(not isinstance(c, str) and c.holds for c in element.children)
+    return order
 
 
-def apart(element: Element, inside: bool) -> bool:
-    """Whether an element is boilerplate by its name or marks; in a root, a header or fieldset may hold text."""
-    if element.tag in APART and not (inside and element.tag == "header"):
-        return True
-    if not element.attributes or element.tag in ("html", "body"):
-        return False
-    for name, *values in _ATTRIBUTE.findall(element.attributes):
+@lru_cache(maxsize=20_000)
+def _mark(attributes: str) -> int:
+    """2 if a class, id or role names boilerplate as a whole, or the element isn't shown; 1 if it only names a header; else 0.
+
+    A name is split at its hyphens, underscores and capitals; one of its words is a mark and each other is
+    a mark or neutral: `site-header` and `ad_slot` are marks, `has-sidebar` and `comments-open` say something else.
+    """
+    most = 0
+    for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name in ("class", "id", "role"):
-            words = _MARK_WORD.findall("".join(values).lower())
-            if not MARKS.isdisjoint(words) and not (inside and element.tag == "header"):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and "true" in values or name == "style" and re.search(r"display\s*:\s*none", "".join(values)):
-            return True
-    return False
-
-
-def _roots(element: Element, kinds: frozenset) -> list[Element]:
-    found = []
-    for child in element.children:
-        if isinstance(child, Element) and not apart(child, False):
-            found += [child] if child.tag in kinds or "main" in kinds and re.search(r"\brole\s*=\s*[\"']?main\b", child.attributes) else _roots(child, kinds)
+            for token in "".join(values).split():
+                words = _MARK_WORD.findall(_HUMP.sub(r"\1 \2", token).lower())
+                marks = MARKS.intersection(words)
+                if marks and all(w in MARKS or w in NEUTRAL for w in words):
+                    most = max(most, 1 if marks == {"header"} else 2)
+        elif name == "hidden" or name == "aria-hidden" and "true" in values or name == "style" and _HIDDEN.search("".join(values)):
+            return 2
+    return most
+
+
+def apart(element: Element, inside: bool, lenient: bool = False) -> bool:
+    """Whether an element is boilerplate by its name or marks.
+
+    In a root, a header may hold text; a form around parts of a page is none of inputs. Lenient: marks
+    count on no element that holds an article or main element.
+    """
+    if element.tag in APART and not (inside and element.tag == "header") and not (element.tag in ("form", "fieldset") and element.holds):
+        return True
+    return element.marked > (1 if inside else 0) and not lenient
+
+
+def _is_root(element: Element, kind: str) -> bool:
+    return element.tag == kind or kind == "main" and bool(element.attributes) and _MAIN.search(element.attributes) is not None
+
+
+def _roots(top: Element, kind: str, lenient: bool) -> list[Element]:
+    found, agenda = [], [top]
+    while agenda:
+        element = agenda.pop()
+        if element is not top and _is_root(element, kind):
+            found.append(element)
+            continue
+        agenda += [c for c in reversed(element.children) if not isinstance(c, str) and not apart(c, False, lenient and (c.holds or _is_root(c, kind)))]
     return found
 
 
 def main_parts(top: Element) -> tuple[list[Element], bool]:
-    """Where the article stands: its article elements, else main ones, else the whole page; and whether it is marked so."""
-    for kinds in (frozenset(["article"]), frozenset(["main"])):
-        if found := _roots(top, kinds):
-            return found, True
+    """Where the article stands: its article elements, else main ones, else the whole page; and whether it is marked so.
+
+    Those under boilerplate marks, as reader comments are, count only where there are no others.
+    """
+    for lenient in (False, True):
+        for kind in ("article", "main"):
+            if found := _roots(top, kind, lenient):
+                return found, True
     return [top], False
 
 
-def sign(element: Element, found: set[int], inside: bool = False) -> int:
-    """Set the key of every element below, a hash of its whole subtree; keys of what may be deleted are added to found.
+def sign(order: list[Element]) -> set[int]:
+    """Set the key of every element of a page, a hash of its whole subtree; returns the keys of what may be deleted.
 
-    Kept out of found: whole articles and pages and, inside an article or main element,
+    Not among these: whole articles and pages and, inside an article or main element,
     blocks of prose, which are text of the page however often they recur.
     """
-    inside = inside or element.tag in ROOTS
-    parts = [element.tag, " ".join(element.attributes.split())]
-    for child in element.children:
-        parts.append(" ".join(child.split()) if isinstance(child, str) else str(sign(child, found, inside)))
-    element.key = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-    if element.block and element.tag not in ROOTS and element.tag not in ("html", "body") and not (inside and element.tag in PROSE):
-        found.add(element.key)
-    return element.key
+    found: set[int] = set()
+    for element in reversed(order):
+        parts = [element.tag, " ".join(element.attributes.split())]
+        parts += [" ".join(c.split()) if isinstance(c, str) else str(c.key) for c in element.children]
+        element.key = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        if element.block and element.tag not in ROOTS and element.tag not in ("html", "body") and not (element.inside and element.tag in PROSE):
+            found.add(element.key)
+    return found
 
 
 def text_of(parts: list[Element], marked: bool, templates) -> str:
@@ -157,26 +263,30 @@ def text_of(parts: list[Element], marked: bool, templates) -> str:
             blocks.append(" ".join(words))
         held.clear()
 
-    def walk(element: Element) -> None:
-        for child in element.children:
-            if isinstance(child, str):
+    for part in parts:
+        agenda: list = [iter(part.children)]  # None among them ends a block
+        while agenda:
+            if agenda[-1] is None:
+                end()
+                agenda.pop()
+                continue
+            child = next(agenda[-1], None)
+            if child is None:
+                agenda.pop()
+            elif isinstance(child, str):
                 held.append(child)
             elif child.tag == "br":
                 held.append(" ")
             elif apart(child, marked):
                 if child.block:
                     end()
-            elif child.key in templates and child.block and child.tag not in ROOTS and not (marked and child.tag in PROSE):
-                end()
-            elif child.block:
-                end()
-                walk(child)
+            elif child.block and child.key in templates and child.tag not in ROOTS and not (marked and child.tag in PROSE):
                 end()
             else:
-                walk(child)
-
-    for part in parts:
-        walk(part)
+                if child.block:
+                    end()
+                    agenda.append(None)
+                agenda.append(iter(child.children))
         end()
     return "\n".join(blocks)
 
@@ -186,11 +296,9 @@ def _host_key(host: str) -> int:
 
 
 def _signed(page: str | None) -> tuple[list[Element], bool, set[int]]:
-    top = parse(page or "")
-    found: set[int] = set()
-    sign(top, found)
-    parts, marked = main_parts(top)
-    return parts, marked, found
+    order = parse(page or "")
+    found = sign(order)
+    return *main_parts(order[0]), found
 
 
 def _count(batches):
@@ -202,7 +310,7 @@ def _count(batches):
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["host", "subtree", "pages"])
 
-    for batch in batches:
+    for batch in sliced(batches, 64):
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             host = _host_key(host_of(url))
             counts[host, None] += 1
@@ -216,7 +324,8 @@ def _count(batches):
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree) keys of the subtrees that recur on at least min_pages pages and min_share of the pages of a host."""
     counted = pages.select("url", "html").mapInArrow(_count, "host long, subtree long, pages long").groupBy("host", "subtree").agg(F.sum("pages").alias("pages"))
-    often = counted.where((F.col("pages") >= min_pages) & F.col("subtree").isNotNull())
+    counted = cut(counted.where((F.col("pages") >= min_pages) | F.col("subtree").isNull()))  # pages are read once for both
+    often = counted.where("subtree is not null")
     whole = counted.where("subtree is null").select("host", F.col("pages").alias("whole"))
     return often.join(whole, "host").where(F.col("pages") >= F.lit(min_share) * F.col("whole")).select("host", "subtree")
 
@@ -228,7 +337,7 @@ def _extractor(shared):
             hosts, subtrees = shared.value
             for host, subtree in zip(hosts.tolist(), subtrees.tolist()):
                 templates.setdefault(host, set()).add(subtree)
-        for batch in batches:
+        for batch in sliced(batches, 64):
             texts, given = [], batch.column("templates").to_pylist() if shared is None else [None] * batch.num_rows
             for url, page, own in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), given):
                 parts, marked, _ = _signed(page)
@@ -239,7 +348,7 @@ def _extractor(shared):
 
 
 def _list_subtrees(batches):
-    for batch in batches:
+    for batch in sliced(batches, 64):
         keys, hosts, subtrees = [], [], []
         for key, url, page in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             found = _signed(page)[2]

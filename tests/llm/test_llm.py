@@ -135,6 +135,82 @@ def test_site_templates(spark):
     assert {r["text"] for r in site_templates.extract(held).collect()} == {"T\nSame words"}
 
 
+def reference_text(page, templates):
+    """Main text of a well-formed page by the standard library's parser: blocks of its article without boilerplate elements and template subtrees."""
+    from html.parser import HTMLParser
+
+    blocks, held, path = [], [], []
+
+    def end():
+        if words_ := "".join(held).split():
+            blocks.append(" ".join(words_))
+        held.clear()
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                held.append(" ")
+            elif tag not in site_templates.VOID:
+                if tag == "p" and "p" in path:
+                    self.handle_endtag("p")
+                if tag in site_templates.BLOCK:
+                    end()
+                path.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in path:
+                while True:
+                    gone = path.pop()
+                    if gone in site_templates.BLOCK:
+                        end()
+                    if gone == tag:
+                        break
+
+        def handle_data(self, data):
+            if "article" in path and not {"nav", "footer", "script", "style"} & set(path):
+                held.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    end()
+    return "\n".join(blocks)
+
+
+def test_main_text_against_a_plain_parser(spark):
+    given = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    for r in queries.op3_main_text(spark, DATA).collect():
+        assert r["text"] == reference_text(given[r["page_id"]] or "", ()) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div id="page" class="site has-sidebar"><nav>m</nav><article><p>Own</p></article></div></body>',
+        '<article class="post comments-open"><p>Own</p><div class="comments"><article class="comment"><p>c</p></article></div></article>',
+        '<form id="aspnetForm"><div class="header">h</div><main><p>Own</p><form><label>x</label></form></main></form>',
+        '<form id="f"><nav>n</nav><h1>Own</h1><form class="search">s</form></form>',
+        '<div class="notice"><article><p>Own</p></article></div>',
+        '<article><p>Own</p></article><div class="related-posts"><article>t</article></div><aside><article>u</article></aside>',
+        '<main><div class="post-header"><h1>Own</h1></div><div class="cookieBanner">c</div><div class="share-buttons">s</div></main>',
+        "<article><header><h1>Own</h1></header><math></math></article>",
+    ],
+)
+def test_articles_are_found(page):
+    parts, marked, _ = site_templates._signed(page)
+    assert site_templates.text_of(parts, marked, ()) == "Own"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<span>" * 100_000 + "x", "<b>" * 50_000 + "</i>" * 50_000 + "x", "<a " * 3_000_000 + "x", "<a href='" * 500_000 + "x", '<a ">" ' * 400_000 + "x", "<!" * 400_000 + "x", "<li><b><dt>" * 30_000 + "x", "<" * 2_000_000 + "x", "</" * 1_000_000, "<p a=b" * 500_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    started = time.process_time()
+    parts, marked, _ = site_templates._signed(page)
+    site_templates.text_of(parts, marked, ())
+    assert time.process_time() - started < 15
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(500)]
