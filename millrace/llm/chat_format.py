@@ -74,15 +74,17 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     path tree, leaf, branch (1: the greatest mean score, ties to the smaller leaf), n_turns, formatted, and
     loss_spans: array of (start, length), 1-based code points of formatted that hold assistant
     text, with the text as it was written: (start, length, turn). best: paths of each tree that are chosen; None: all. Null role or text: empty;
-    null score: 0; a null tree is a tree. No messages give no rows.
+    null score: 0; a null tree is a tree. No messages give no rows; other columns are ignored; a conversation is one string, however long.
     """
     on_path = paths(messages.select("node", "parent"))
     told = messages.select("node", "tree", _empty("role").alias("role"), _empty("text").alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     turn = F.struct((-F.col("above")).alias("at"), "role", "text")
-    whole = on_path.join(told, "node").groupBy("leaf").agg(F.first("tree").alias("tree"), F.avg("score").alias("score"), F.array_sort(F.collect_list(turn)).alias("turns"))
-    if best is not None:
+    if best is not None:  # ranked by ids and scores alone, before any text moves
+        branches = on_path.join(told.select("node", "tree", "score"), "node").groupBy("leaf").agg(F.first("tree").alias("tree"), F.avg("score").alias("score"))
         ranked = W.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        whole = whole.withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= best)
+        on_path = on_path.join(branches.withColumn("branch", F.row_number().over(ranked)).where(F.col("branch") <= best).select("leaf", "branch"), "leaf")
+    rank = [F.first("branch").alias("branch")] if best is not None else []
+    whole = on_path.join(told, "node").groupBy("leaf").agg(F.first("tree").alias("tree"), F.array_sort(F.collect_list(turn)).alias("turns"), *rank)
     part = F.transform("turns", lambda t: F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learned")))
     whole = whole.withColumn("parts", part)
     tail = F.lit(END + "\n")
@@ -117,13 +119,19 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.concat_ws("", F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"].cast("int"), s["length"].cast("int")))))
 
 
+def _told() -> Column:
+    """A plain score of a message: the share of letters and digits among its code points."""
+    return F.length(F.regexp_replace(_empty("text"), r"[^\p{L}\p{N}]", "")) / F.greatest(F.length(_empty("text")), F.lit(1))
+
+
 def turns_as_tree(conversations: DataFrame) -> DataFrame:
     """Messages of a table (conv_id, turn, role, text): each row answers the row before it.
 
-    Rows of a conversation are ordered by turn, then role and text, nulls first.
+    Rows of a conversation are ordered by turn, then role and text, nulls first. A message scores the share of
+    letters and digits in its text, 0 if it is empty.
     """
     key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "role", "text", key.alias("key"), F.row_number().over(order).alias("n"))
     node = lambda n: F.concat("key", F.lit("/"), n.cast("string"))
-    return rows.select(F.col("conv_id").alias("tree"), node(F.col("n")).alias("node"), F.when(F.col("n") > 1, node(F.col("n") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return rows.select(F.col("conv_id").alias("tree"), node(F.col("n")).alias("node"), F.when(F.col("n") > 1, node(F.col("n") - 1)).alias("parent"), "role", "text", _told().alias("score"))

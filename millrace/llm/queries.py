@@ -29,7 +29,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     told = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    made = chat_format.format_trees(chat_format.turns_as_tree(told))
+    made = chat_format.format_trees(chat_format.turns_as_tree(told), best=1)  # a conversation is one branch
     turns = F.transform(chat_format.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     read = made.select("tree", F.col("n_turns"), turns.alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return read.select(
@@ -91,8 +91,8 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprint of every document and of its edited text, compared with it and its follower."""
-    docs = spot_signatures.fingerprints(load(spark, sf_dir, "documents"))
-    rows = spot_signatures.with_next(docs, ["text", "spots"])
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = spot_signatures.with_next(docs, ["text", "spots"], lambda rows: spot_signatures.with_signatures(rows, "text", "spots"))
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("next_text", F.lit(1), half))

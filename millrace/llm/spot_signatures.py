@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.llm.common import cut
+
 # Common words of the languages served; a lone bar stands between the cells of word lists.
 ANCHORS = {
     "en": "the of and to in a is that for it as was with be by on not he this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no",
@@ -17,6 +19,8 @@ ANCHORS = {
 }
 _WORDS = sorted({w for words in ANCHORS.values() for w in words.split()})
 CHAIN = 2
+#: Up to so many first rows of ranges are broadcast by id; more are joined by a shuffle.
+SMALL = 500_000
 
 
 def _branches(words: list[str]) -> str:
@@ -44,8 +48,9 @@ def with_signatures(rows: DataFrame, text: str, out: str, chain: int = CHAIN) ->
     """Add `out`, the sorted distinct 64-bit spot signatures of a text: for each anchor, it and the next `chain` content words.
 
     Anchors between the words of a chain are skipped. A text without a whole chain has
-    one signature: of its words or, if it has none, of itself. A null text is empty. Each step is a
-    column of its own, so that none is worked out twice.
+    the chains of any `chain` + 1 words in a row, without as many words those of 4 letters in a row, and if it is shorter
+    one signature, of itself. A null text is empty, a text may be as long as memory allows. Each step is a
+    column of its own, so that none is worked out twice; columns _marked, _spots and _keys must be free.
     """
     given = F.coalesce(text, F.lit(""))
     skip, word = r"(?: ++~[^ ]++)*+", r" ++[^ ~]++"  # possessive: Java's matcher then keeps no stack
@@ -53,8 +58,14 @@ def with_signatures(rows: DataFrame, text: str, out: str, chain: int = CHAIN) ->
     rows = rows.withColumn("_spots", F.regexp_extract_all("_marked", F.lit(rf" (?=(~[^ ]++{(skip + word) * chain}) )"), F.lit(1)))
     content = lambda s: F.when(F.locate(" ~", s) > 0, F.regexp_replace(s, r" ++~[^ ]++", "")).otherwise(s)
     rows = rows.withColumn("_keys", F.transform("_spots", lambda s: F.xxhash64(content(s))))
-    rest = F.when(F.regexp_like("_marked", F.lit(r"\p{L}")), F.xxhash64("_marked", F.lit(1))).otherwise(F.xxhash64(given, F.lit(2)))
-    keys = F.when(F.size("_keys") > 0, F.sort_array(F.array_distinct("_keys"))).otherwise(F.array(rest))
+    # without spots: chains of any words, else of letters, else the text itself
+    bare = F.regexp_replace("_marked", "[~ ]++", " ")
+    any_words = F.regexp_extract_all(bare, F.lit(r"(?<![^ ])(?=([^ ]++(?: [^ ]++)" + f"{{{chain}}}))"), F.lit(1))
+    letters = F.regexp_extract_all(F.regexp_replace("_marked", "[~ |]++", ""), F.lit(r"(?=(.{4}))"), F.lit(1))
+    others = F.when(F.size(any_words) > 0, any_words).otherwise(letters)
+    rows = rows.withColumn("_spots", F.when(F.size("_keys") > 0, F.array().cast("array<string>")).otherwise(others))
+    rest = F.when(F.size("_spots") > 0, F.transform("_spots", lambda s: F.xxhash64(s, F.lit(1)))).otherwise(F.array(F.xxhash64(given, F.lit(2))))
+    keys = F.sort_array(F.array_distinct(F.when(F.size("_keys") > 0, F.col("_keys")).otherwise(rest)))
     return rows.withColumn(out, keys).drop("_marked", "_spots", "_keys")
 
 
@@ -69,28 +80,72 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def with_next(docs: DataFrame, columns: list[str], per_bucket: int = 256) -> DataFrame:
-    """Add next_<c> for each of columns: its value in the row after, by descending doc_id (ties by text; after the last: the first).
+def _placed(docs: DataFrame, per_range: int) -> DataFrame:
+    """Add `range`, a number by which ranges of doc_id are ordered, with about per_range rows each wherever the ids lie.
 
-    Rows are dealt by ranges of ids, about per_bucket rows each, and a row looks ahead in its
-    range; only the last row of a range takes the first of the next. Null ids come last.
+    Ids are cut into cells of a width that is a power of two, and cells of over 16 * per_range rows into 1024 narrower ones, again
+    and again; a row's range is its cell's first id. Null ids have a null range.
+    """
+    whole = F.col("doc_id").cast("decimal(20,0)")
+    low, high, n = docs.agg(F.min(whole), F.max(whole), F.count("doc_id")).first()
+    width = 1 << ((int(high - low) + 1) * per_range // n).bit_length() if n else 1
+    low = int(low) if n else 0
+
+    def cell(width: int) -> Column:
+        at = F.lit(low).cast("decimal(20,0)")
+        return (at + F.floor((whole - at) / F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)") * F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)")
+
+    rows = docs.withColumn("range", cell(width))
+    ids = docs.select("doc_id").where("doc_id is not null")
+    heavy = None
+    while width > 1:
+        cells = (ids if heavy is None else ids.withColumn("range", cell(wider)).join(F.broadcast(heavy), "range", "left_semi").drop("range")).withColumn("range", cell(width))
+        heavy = cut(cells.groupBy("range").count().where(F.col("count") > 16 * per_range).select("range"))
+        if not heavy.limit(1).count():
+            break
+        wider, width = width, max(1, width >> 10)
+        rows = rows.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), "range", "left").withColumn("range", F.when(F.col("_heavy"), cell(width)).otherwise(F.col("range"))).drop("_heavy")
+    return rows
+
+
+def _following(ranges: DataFrame) -> DataFrame:
+    """(of, range): for each of the distinct ranges the one after it by descending number, nulls last; after the last the first.
+
+    They are sorted over many tasks; a range's place is its task's first place and its place there.
+    """
+    line = cut(ranges.orderBy(F.desc_nulls_last("range")).withColumn("at", F.monotonically_increasing_id()))
+    task, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = line.groupBy(task.alias("task")).count().orderBy("task").collect()  # one row a task
+    firsts, total = [], 0
+    for row in sizes:
+        firsts.append((row["task"], total))
+        total += row["count"]
+    begin = line.sparkSession.createDataFrame(firsts, "task long, first long")
+    placed = line.withColumn("task", task).join(F.broadcast(begin), "task").select("range", (F.col("first") + place).alias("n"))
+    return placed.select(F.col("range").alias("of"), ((F.col("n") + 1) % max(total, 1)).alias("n")).join(placed, "n").select("of", "range")
+
+
+def with_next(docs: DataFrame, columns: list[str], signed=lambda rows: rows, per_range: int = 256) -> DataFrame:
+    """`signed` rows of docs, and next_<c> for each of columns: its value in the row after, by descending doc_id (ties by text; after the last: the first).
+
+    Rows are dealt by ranges of ids and a row looks ahead in its range; only the last row of
+    a range takes the first of the next. These first rows are found by id and signed again, one for each range, so that no other text is
+    signed twice. Null ids come last, as one range. No rows give none.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    step = max(1, math.ceil((high - low + 1) * per_bucket / max(n, 1)))
-    place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("long")
-    rows = docs.withColumn("range", F.coalesce(place, F.lit(-1).cast("long")))
+    rows = _placed(docs, per_range)
     order = W.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
+    tops = cut(rows.groupBy("range").agg(F.max("doc_id").alias("doc_id")))
+    few = F.broadcast(tops) if tops.count() <= SMALL else tops
+    first = rows.withColumnRenamed("doc_id", "id").withColumnRenamed("range", "own").join(few, F.col("own").eqNullSafe(F.col("range")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    heads = signed(first.groupBy("range").agg(F.min("text").alias("text"))).select("range", *(F.col(c).alias(f"head_{c}") for c in columns))
+    then = _following(tops.select("range"))
+    heads = heads.withColumnRenamed("range", "head").join(then, F.col("head").eqNullSafe(F.col("range"))).drop("head", "range")
+    ahead = signed(rows)
     seen = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    ahead = rows.select("*", *seen, F.row_number().over(order).alias("nth"), F.lead(F.lit(True)).over(order).isNull().alias("last"))
-    heads = ahead.where("nth = 1").select("range", *(F.col(c).alias(f"head_{c}") for c in columns))
-    ranges = docs.select(F.coalesce(place, F.lit(-1).cast("long")).alias("range")).distinct()
-    line = W.orderBy(F.desc("range"))  # one row for each per_bucket documents
-    following = ranges.select("range", F.lead("range").over(line).alias("then"), F.first("range").over(line).alias("top"))
-    following = following.select(F.col("range").alias("of"), F.coalesce("then", "top").alias("range"))
-    heads = heads.join(following, "range").drop("range")
-    joined = ahead.join(heads, (F.col("range") == F.col("of")) & F.col("last"), "left")
-    return joined.select(*docs.columns, *(F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns))
+    ahead = ahead.select("*", *seen, F.lead(F.lit(True)).over(order).isNull().alias("last"))
+    joined = ahead.join(heads, F.col("range").eqNullSafe(F.col("of")) & F.col("last"), "left")
+    kept = [c for c in ahead.columns if c not in ("range", "last") and not c.startswith("next_")]
+    return joined.select(*kept, *(F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns))
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Bytes of one block of queries that is broadcast, rows of one tile of candidates, and lists merged at once.
-BLOCK_BYTES, TILE, FAN = 16 << 20, 4096, 16
+from millrace.llm.common import cut, sliced
+
+#: Bytes of a block of queries or a shard of candidates, rows of one tile of candidates, scores of one product, and lists merged at once.
+BLOCK_BYTES, TILE, CELLS, FAN = 16 << 20, 4096, 1 << 21, 16
+_LIST = pa.schema([(c, pa.int64()) for c in ("number", "query_id", "vec_id", "score")])
 _EXACT = 1 << 53
 
 
@@ -48,63 +48,103 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -score[some]))[:k]]
 
 
+class Best:
+    """The k best candidates of each of some queries of one dimension."""
+
+    def __init__(self, numbers: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int):
+        self.numbers, self.own, self.vectors, self.k = numbers, own, vectors, k
+        # free places hold the query's own id, which isn't emitted
+        self.ids, self.scores = np.repeat(own[:, None], k, axis=1), np.zeros((len(own), k), np.int64)
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Take in candidates, by products of at most CELLS scores: tiles of candidates with slabs of queries."""
+        for begin in range(0, len(ids), TILE):
+            tile = ids[begin : begin + TILE]
+            slab = max(1, CELLS // len(tile))
+            for first in range(0, len(self.own), slab):
+                self._enter(first, _product(self.vectors[first : first + slab], vectors[begin : begin + TILE]), tile)
+
+    def _enter(self, first: int, score: np.ndarray, ids: np.ndarray) -> None:
+        mine = slice(first, first + len(score))
+        # only queries with a score that can enter their list are looked at
+        full = self.ids[mine, -1] != self.own[mine]
+        enters = (score.max(axis=1) >= np.where(full, self.scores[mine, -1], np.iinfo(np.int64).min)) if score.size else np.zeros(0, bool)
+        for i in np.flatnonzero(enters).tolist():
+            at = first + i
+            held, other = self.ids[at] != self.own[at], ids != self.own[at]
+            s = np.concatenate([self.scores[at][held], score[i][other]])
+            d = np.concatenate([self.ids[at][held], ids[other]])
+            top = _best(s, d, self.k)
+            self.ids[at], self.scores[at] = self.own[at], 0
+            self.ids[at, : len(top)], self.scores[at, : len(top)] = d[top], s[top]
+
+    def rows(self) -> pa.RecordBatch:
+        query = np.repeat(self.own, self.k)
+        real = self.ids.ravel() != query
+        columns = [np.repeat(self.numbers, self.k)[real], query[real], self.ids.ravel()[real], self.scores.ravel()[real]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["number", "query_id", "vec_id", "score"])
+
+
+def _by_dimension(batch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of an Arrow batch or table with list column v: dimension -> its rows and their vectors."""
+    column = batch.column("v")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        out[int(dim)] = (rows, column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), int(dim)))
+    return out
+
+
+def _started(queries: pa.Table, k: int) -> dict[int, Best]:
+    number, own = (queries.column(c).to_numpy() for c in ("number", "vec_id"))
+    return {dim: Best(number[rows], own[rows], vectors, k) for dim, (rows, vectors) in _by_dimension(queries).items()}
+
+
 def _selector(block, k: int):
     """Each task keeps k candidates for each query of the block and emits them at its end."""
 
     def select(batches):
-        kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for dim, (numbers, own, vectors) in block.value.items():
-            # free places hold the query's own id, which isn't emitted
-            kept[dim] = (numbers, own, np.repeat(own[:, None], k, axis=1), np.zeros((len(own), k), np.int64))
-        for batch in batches:
-            size = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
-            ids_all, flat = batch.column("vec_id").to_numpy(), batch.column("v")
-            for dim in np.unique(size):
-                if dim not in kept:
-                    continue
-                rows = np.flatnonzero(size == dim)
-                values = flat.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), dim)
-                for begin in range(0, len(rows), TILE):
-                    ids, tile = ids_all[rows[begin : begin + TILE]], values[begin : begin + TILE]
-                    numbers, own, best_ids, best_scores = kept[dim]
-                    score = _product(block.value[dim][2], tile)
-                    # only queries with a score that can enter their list are looked at
-                    full = best_ids[:, -1] != own
-                    enters = (score >= np.where(full, best_scores[:, -1], np.iinfo(np.int64).min)[:, None]).any(axis=1)
-                    for i in np.flatnonzero(enters):
-                        held, other = best_ids[i] != own[i], ids != own[i]
-                        s = np.concatenate([best_scores[i][held], score[i][other]])
-                        d = np.concatenate([best_ids[i][held], ids[other]])
-                        at = _best(s, d, k)
-                        best_ids[i], best_scores[i] = own[i], 0
-                        best_ids[i, : len(at)], best_scores[i, : len(at)] = d[at], s[at]
-        for numbers, own, ids, scores in kept.values():
-            number, query = np.repeat(numbers, k), np.repeat(own, k)
-            real = ids.ravel() != query
-            columns = [number[real], query[real], ids.ravel()[real], scores.ravel()[real]]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["number", "query_id", "vec_id", "score"])
+        kept = _started(block.value, k)
+        for batch in sliced(batches, TILE):
+            ids = batch.column("vec_id").to_numpy()
+            for dim, (rows, vectors) in _by_dimension(batch).items():
+                if dim in kept:
+                    kept[dim].offer(ids[rows], vectors)
+        for best in kept.values():
+            yield best.rows()
 
     return select
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Blocks of queries of at most BLOCK_BYTES, read one partition after another: dimension -> numbers, ids, vectors."""
+def _cell(k: int):
+    def select(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        kept, ids = _started(queries, k), candidates.column("vec_id").to_numpy()
+        for dim, (rows, vectors) in _by_dimension(candidates).items():
+            if dim in kept:
+                kept[dim].offer(ids[rows], vectors)
+        return pa.Table.from_batches([best.rows() for best in kept.values()], _LIST)
+
+    return select
 
-    def packed(rows):
-        by: dict[int, list] = {}
-        for number, vec_id, v in rows:
-            by.setdefault(len(v), []).append((number, vec_id, v))
-        return {d: (np.array([r[0] for r in x]), np.array([r[1] for r in x], np.int64), np.array([r[2] for r in x], np.int64).reshape(len(x), d)) for d, x in by.items()}
 
-    rows, held = [], 0
-    for number, row in enumerate(queries.toLocalIterator()):
-        rows.append((number, row["vec_id"], row["v"]))
-        held += 8 * len(row["v"]) + 64
-        if held >= BLOCK_BYTES:
-            yield packed(rows)
-            rows, held = [], 0
-    if rows:
-        yield packed(rows)
+def _bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+
+
+def _grid(candidates: DataFrame, queries: DataFrame, k: int, size: int) -> DataFrame:
+    """Partial lists of any number of queries: blocks of queries meet shards of candidates, each of about BLOCK_BYTES, in the cells of a grid.
+
+    Rows are dealt by a number of their own, so that repeated ones don't meet in one shard.
+    """
+    numbered = cut(candidates.withColumn("number", F.monotonically_increasing_id()))
+    shards, many = (F.lit(-(-n // BLOCK_BYTES)) for n in (max(_bytes(numbered), 1), size))
+    deal = lambda n: F.pmod(F.xxhash64("number"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+    left = queries.select("number", "vec_id", "v", deal(many).alias("block"), every(shards).alias("shard"))
+    right = numbered.select("vec_id", "v", deal(shards).alias("shard"), every(many).alias("block"))
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(_cell(k), "number long, query_id long, vec_id long, score long")
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
@@ -121,18 +161,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     vectors and queries have vec_id and embedding. Candidates are all usable rows of vectors but those
     with the query's own vec_id; ties go to the smaller vec_id. Vectors that are null, or hold a null or non-finite component, take no part;
     vectors of different lengths aren't compared. Rows with a null vec_id take no part either. Repeated
-    candidate rows count each; repeated query rows get a list each. Queries are broadcast in blocks of at most
-    BLOCK_BYTES, so any number of queries is served: a task multiplies tile by
-    tile and holds k candidates a query of the block.
+    candidate rows count each; repeated query rows get a list each; other columns are ignored; empty tables give no rows. Queries of
+    up to BLOCK_BYTES in all are broadcast, and candidates stay where they are read: a task multiplies tile by
+    tile and holds k candidates a query. More queries meet the candidates in a grid of
+    blocks and shards, without the driver. No product in a task has more than CELLS scores.
     """
     v = scaled(F.col("embedding"), scale).alias("v")
     good = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     candidates = vectors.where(good).select(F.col("vec_id").cast("long"), v)
     spark = vectors.sparkSession
-    parts = []
-    for block in _query_blocks(queries.where(good).select("vec_id", v)):
-        shared = spark.sparkContext.broadcast(block)
-        parts.append(_merged(candidates.mapInArrow(_selector(shared, k), "number long, query_id long, vec_id long, score long"), k))
-    if not parts:
+    asked = cut(queries.where(good).select(F.col("vec_id").cast("long"), v).withColumn("number", F.monotonically_increasing_id()))
+    size = _bytes(asked)
+    if not size:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return reduce(DataFrame.unionAll, parts).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    if size <= BLOCK_BYTES:
+        shared = spark.sparkContext.broadcast(asked.toArrow())
+        lists = candidates.mapInArrow(_selector(shared, k), "number long, query_id long, vec_id long, score long")
+    else:
+        lists = _grid(candidates, asked, k, size)
+    return _merged(lists, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -224,6 +224,19 @@ def test_topk(spark):
     assert topk_search.top_k(huge, huge, 1).where("query_id = 0").first()["score"] == (1024 * 2_000_000) ** 2 + 1024 * 2048
 
 
+def test_topk_in_a_grid(spark, monkeypatch):
+    """More queries than a broadcast block, candidates with hot ids, and products of a few scores give the same lists."""
+    rng = np.random.default_rng(4)
+    rows = [(i if i < 400 else 7, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(600)] + [(1000 + i, [0.5, 0.25]) for i in range(9)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.where("vec_id % 3 = 0 or vec_id > 999")
+    lists = lambda: sorted(tuple(r) for r in topk_search.top_k(v, asked, 5).collect())
+    whole = lists()
+    for name, value in (("BLOCK_BYTES", 4000), ("TILE", 16), ("CELLS", 40)):
+        monkeypatch.setattr(topk_search, name, value)
+    assert lists() == whole and len(whole) > 600
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
@@ -353,6 +366,58 @@ def test_fingerprints(spark, docs):
     assert np.mean([r["near_edited"] for r in rows.values()]) > 0.2 > 0.05 > np.mean([r["near_next"] for r in rows.values()])
 
 
+def plain_spots(text):
+    """Spot signatures by their definition, as tuples: for each anchor, it and the next content words; by words in a row, by letters or whole without any."""
+    import regex
+
+    marked = regex.sub(r" ?\|[| ]*", " | ", " " + regex.sub(r"[^\p{L}\p{M}|]+", " ", text.lower()) + " ").split()
+    anchors = {*spot_signatures._WORDS, "|"}
+    out = set()
+    for i, w in enumerate(marked):
+        if w in anchors:
+            if len(chain := [x for x in marked[i + 1 :] if x not in anchors][: spot_signatures.CHAIN]) == spot_signatures.CHAIN:
+                out.add((w, *chain))
+    if not out:
+        out = {tuple(marked[i : i + 3]) for i in range(len(marked) - 2)}
+    if not out:
+        letters = "".join(marked).replace("|", "")
+        out = {letters[i : i + 4] for i in range(len(letters) - 3)}
+    return out or {("whole", text)}
+
+
+def test_fingerprints_against_plain_spots(spark, docs):
+    rows = {r["doc_id"]: r for r in queries.op7_fingerprint(spark, DATA).collect()}
+    given = sorted(docs.collect(), key=lambda r: -r["doc_id"])
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    named = {}
+    for a, b in zip(given, [*given[1:], given[0]]):
+        t, half = a["text"], len(a["text"]) // 2
+        x, y, z = plain_spots(t), plain_spots(t[: len(t) - half] + b["text"][:half]), plain_spots(b["text"])
+        r = rows[a["doc_id"]]
+        assert math.isclose(r["near_edited"], likeness(x, y)) and math.isclose(r["near_next"], likeness(x, z))
+        assert r["fingerprint"].split("-")[0] == str(len(x)) and r["edited_fingerprint"].split("-")[0] == str(len(y))
+        assert named.setdefault(r["fingerprint"], x) == x
+    assert len(named) == len({frozenset(s) for s in named.values()})
+
+
+def test_texts_without_anchors_have_chains(spark):
+    pairs = [("lorem ipsum dolor sit amet consectetur", "lorem ipsum dolor sit amet adipiscing"), ("春眠不覺曉處處聞啼鳥夜來風雨聲", "春眠不覺曉處處聞啼鳥夜來風雨"), ("日本", "日本")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "doc_id long, a string, b string")
+    rows = spot_signatures.with_signatures(spot_signatures.with_signatures(df, "a", "x"), "b", "y").select("doc_id", spot_signatures.likeness(F.col("x"), F.col("y")).alias("l"), "x").orderBy("doc_id").collect()
+    assert rows[0]["l"] == 3 / 5 and rows[1]["l"] > 0.9 and rows[2]["l"] == 1
+    assert [len(r["x"]) for r in rows] == [len(plain_spots(a)) for a, _ in pairs]
+
+
+def test_next_rows_wherever_ids_lie(spark):
+    """An id far off, or null, or that of a third of the rows moves no other: ranges stay small, and the order is kept."""
+    ids = [*range(3000), 10**18, -(10**18), None, None] + [7] * 50
+    df = spark.createDataFrame([(d, f"t{i:05d}") for i, d in enumerate(ids)], "doc_id long, text string")
+    assert spot_signatures._placed(df, 16).groupBy("range").count().agg(F.max("count")).first()[0] <= 16 * 16
+    got = {r["text"]: r["next_text"] for r in spot_signatures.with_next(df, ["text"], per_range=16).collect()}
+    line = [r[1] for r in sorted(((d, f"t{i:05d}") for i, d in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))]
+    assert got == dict(zip(line, [*line[1:], line[0]]))
+
+
 def test_near_pairs(spark, docs):
     sets = spot_signatures.fingerprints(docs).select("doc_id", "spots")
     got = {(r["a"], r["b"]) for r in spot_signatures.near_pairs(sets, 50).collect()}
@@ -487,6 +552,58 @@ def test_components(spark):
     assert got == {x: root(x) for x in {n for u, v in pairs if u != v for n in (u, v)}}
 
 
+@pytest.mark.parametrize("text", ["½ ² ① Ⅷ", "12 34", "", None, "\n", "٣٤", "½x"])
+def test_a_text_without_a_letter_is_und(text):
+    field = language_id.fit(["aa bb"] * 3 + ["cc dd"] * 3, ["x"] * 3 + ["y"] * 3)
+    assert (language_id.Labeller(field)([text])[0][0] == "und") == (text != "½x")
+
+
+def test_accumulated_short_links(spark):
+    """Texts that are linked through one text alone, at 0.75 exactly, are one component; links between short texts are lost nowhere."""
+    for base in ("accept the cookies to read this page", "please sign in to see this text"):
+        n = len(base.split()) - 4
+        rows = [(0, base)] + [(i, f"{base} x{i}") for i in range(1, 301)]
+        got = {r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {0} and n == 3
+
+
+def test_random_crowds_of_short_texts(spark):
+    rng, rows = random.Random(11), []
+    for crowd in range(6):
+        size = rng.randint(5, 19)
+        base = [f"w{rng.randint(0, 50)}" for _ in range(size)]
+        for _ in range(120):
+            text = list(base)
+            for _ in range(rng.randint(0, 1 + size // 8)):
+                at = rng.choice([0, len(text) - 1, rng.randrange(len(text))])
+                text[at] = f"x{rng.randint(0, 99)}"
+            rows.append((len(rows), " ".join(text + [f"y{rng.randint(0, 40)}"] * rng.randint(0, 1))))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    long_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long_, 1), (5, long_, 1), (5, long_, 0), (None, long_ + " x", 2), (9, long_, 3), (9, "other words that stand alone here", 4), (None, "words of no id at all are kept", 5), (None, "words of no id at all are kept", 5), (4, "", 6), (6, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int").withColumn("key", F.lit(1)).withColumn("component_id", F.lit("c"))
+    out = near_dedup.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["kept"]) for r in out.collect()) == sorted([(5, long_, 0), (9, rows[5][1], 4), (0, rows[6][1], 5), (4, "", 6), (0 + 6, "", 7)])
+
+
+def test_pipeline_on_odd_rows(spark, odd_dir, empty_dir, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for folder, d in (("odd", odd_dir), ("empty", empty_dir)):
+        step = spark.read.parquet(f"{d}/documents.parquet").withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit(-1.0)).withColumn("_said", F.lit(3)).withColumn("measured", F.lit(4))
+        whole = {tuple(r) for r in step.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, step, d)
+            out.write.parquet(str(tmp_path / folder / name))
+            before, step = step, spark.read.parquet(str(tmp_path / folder / name))
+            if name != "packing":
+                assert step.columns == before.columns and {tuple(r) for r in step.collect()} <= whole
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
