@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # not glibc
+    _LIBC = None
 #: One random-looking odd multiplier and its inverse modulo 2**64 drive the rolling word hash.
 _ROLL = 0x9E3779B97F4A7C15
 _UNROLL = pow(_ROLL, -1, 1 << 64)
@@ -30,20 +38,31 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a session on this machine alone, as in tests, may do without and gets a temporary one."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="millrace-")
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only a
-    session without it (as in tests) gets a temporary one.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tidy(df: DataFrame) -> None:
     """Have the driver collect garbage, so that Spark's cleaner removes shuffles and checkpoints that nothing refers to from disk."""
     gc.collect()
@@ -145,6 +164,14 @@ def sliced(batches, rows: int = 512):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers are used again, also by other stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:

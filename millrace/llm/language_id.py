@@ -14,15 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.llm.common import blocks, mix, sliced
+from millrace.llm.common import blocks, fresh, mix, release, sliced
 
 #: The labelled sample: documents, how many of each language at least if it has them, and spans of each that are learned from.
 SAMPLE_DOCS, SAMPLE_LANG, SAMPLE_SPANS = 2000, 64, 8
 SLOTS = 1 << 17
 _U = np.uint64
 SPAN = 32
+
+
+def _numerals() -> str:
+    """The characters that \\w takes but that are neither letters nor decimal digits, as ½, ² and Ⅷ, as ranges of a character class."""
+    odd = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    starts = [i for i, before in zip(odd, [-2, *odd]) if i != before + 1]
+    ends = [i for i, after in zip(odd, [*odd[1:], 0]) if i + 1 != after]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
 #: Runs of letters, of any script.
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_{_numerals()}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -295,6 +305,7 @@ def _predictor(model):
                     found += labeller(part[begin:end])
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.StructArray.from_arrays(made, names=["lang_pred", "score"])
+        release()
 
     # as not deterministic, so that a filter on the result doesn't run it twice
     return F.arrow_udf(predict, "lang_pred string, score double").asNondeterministic()
@@ -350,12 +361,19 @@ def train(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Field | None:
     return fit([r["text"] for r in chosen], [r["lang"] for r in chosen])
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Add lang_pred and score to docs: the language with the greatest mean word marginal over the whole text.
+def said(docs: DataFrame, field: Field | None, name: str) -> DataFrame:
+    """Add the struct column `name`, of lang_pred and score, to docs: the language with the greatest mean word marginal over the whole text.
 
     A null text, or one without a letter, and every text when nothing was learned,
-    is `und` with score 0. All other columns are kept; columns named lang_pred or score are replaced.
+    is `und` with score 0. Texts are taken in blocks, a long one whole, and memory is bounded by the longest. All columns
+    are kept; `name` must be new.
     """
-    docs = docs.drop("lang_pred", "score")
     model = docs.sparkSession.sparkContext.broadcast(field)
-    return docs.withColumn("_said", _predictor(model)("text")).select(*docs.columns, "_said.lang_pred", "_said.score")
+    return docs.withColumn(name, _predictor(model)("text"))
+
+
+def predict(docs: DataFrame, field: Field | None) -> DataFrame:
+    """Add lang_pred and score to docs, as `said`; columns so named are replaced, repeated rows stay, an empty table gives no rows."""
+    docs = docs.drop("lang_pred", "score")
+    name = fresh(docs, "_said")
+    return said(docs, field, name).select(*docs.columns, f"{name}.lang_pred", f"{name}.score")

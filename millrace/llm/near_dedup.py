@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, cut, mix, raw, sliced, tidy, word_hashes
+from millrace.llm.common import blocks, cut, fresh, mix, raw, sliced, tidy, word_hashes
 from millrace.llm.graph import components, merge
 
 _U = np.uint64
@@ -297,6 +297,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs (doc_id, text and others), one of each group of near duplicates: that of least doc_id, null ids last.
+
+    A row is known by its doc_id and text, not by its doc_id alone: other texts under the same id are rows of their own, ordered by a
+    hash of the text. Of rows that repeat both, the least by all columns stays, so these must be orderable. Texts
+    without words are in no group; as rows that repeat them they go too. An empty table gives no rows.
+    """
+    key = fresh(docs, "_row")
+    own = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
+    keyed = docs.withColumn(key, own)
+    repeated = cut(keyed.groupBy(key).count().where("count > 1").select(key))
+    if repeated.limit(1).count():
+        least = keyed.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("_least"))
+        keyed = keyed.join(repeated, key, "left_anti").select(*docs.columns, key).unionAll(least.select("_least.*", key))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), percent)
+    gone = found.where("not kept").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+
+
 def _met(signed: DataFrame) -> DataFrame:
     """(bucket, node, least, size) of the buckets that hold several nodes of signed (node, keys)."""
     held = signed.select(F.explode("keys").alias("bucket"), "node")

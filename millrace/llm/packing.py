@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, sliced
 
 SALTS = 64
 #: A character beyond what both libraries are known to cut alike: all but line feeds and Latin letters and marks.
@@ -66,26 +66,24 @@ def encode(text: str, path: str) -> array:
 
 def _cutter(path: str, end_id: int, size: int, with_ids: bool):
     def pieces(batches):
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                rows = defaultdict(list)
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = encode(text or "", path)
-                    ids.append(end_id)
-                    data = ids.tobytes()
-                    for start in range(0, len(ids), size):
-                        piece = data[4 * start : 4 * (start + size)]
-                        rows["row"].append(i)
-                        rows["start"].append(start)
-                        rows["length"].append(len(piece) // 4)
-                        rows["ids_crc32"].append(zlib.crc32(piece))
-                        rows["doc_tokens"].append(len(ids))
-                        if with_ids:
-                            rows["ids"].append(piece)
-                index = pa.array(rows.pop("row"), pa.int64())
-                made = [pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(index), *made], names=["doc_id", *rows])
+        for part in sliced(batches):
+            rows = defaultdict(list)
+            for i, text in enumerate(part.column("text").to_pylist()):
+                ids = encode(text or "", path)
+                ids.append(end_id)
+                data = ids.tobytes()
+                for start in range(0, len(ids), size):
+                    piece = data[4 * start : 4 * (start + size)]
+                    rows["row"].append(i)
+                    rows["start"].append(start)
+                    rows["length"].append(len(piece) // 4)
+                    rows["ids_crc32"].append(zlib.crc32(piece))
+                    rows["doc_tokens"].append(len(ids))
+                    if with_ids:
+                        rows["ids"].append(piece)
+            index = pa.array(rows.pop("row"), pa.int64())
+            made = [pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(index), *made], names=["doc_id", *rows])
 
     return pieces
 
@@ -153,7 +151,7 @@ def _places(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.n
 def _seater(places):
     def seat(batches):
         at = places.value
-        for batch in batches:
+        for batch in sliced(batches, 20_000):
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for value in np.unique(length):

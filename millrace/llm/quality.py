@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, cut, mix, raw, sampled, word_hashes
+from millrace.llm.common import blocks, cut, mix, raw, release, sampled, word_hashes
 
 _U = np.uint64
 #: Bound of the labelled rows that are learned from.
@@ -210,6 +210,7 @@ def _measure(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             parts += [features(held[a:b]) for a, b in blocks(held)]
         values = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * len(NAMES)), pa.array(values))
+    release()
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -246,16 +247,17 @@ def apply(measured: DataFrame, model: Additive) -> DataFrame:
     return measured.withColumn("score", _scorer(shared)("measured")).drop("measured")
 
 
-def rate(docs: DataFrame, model: Additive) -> DataFrame:
-    """Add `score` to docs in one pass over each whole text (null: empty), with one Python worker a task."""
+def rate(docs: DataFrame, model: Additive, name: str = "score") -> DataFrame:
+    """Add the score as column `name` to docs in one pass over each whole text (null: empty), with one Python worker a task."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rated(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in _measure(texts):
             x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), len(NAMES))
             yield pa.array(shared.value.score(x), pa.float64())
+        release()
 
-    return docs.withColumn("score", F.arrow_udf(rated, "double").asNondeterministic()(raw(F.col("text"))))
+    return docs.withColumn(name, F.arrow_udf(rated, "double").asNondeterministic()(raw(F.col("text"))))
 
 
 def score(docs: DataFrame, labels: DataFrame, learns, most: int = SAMPLE_ROWS) -> DataFrame:
