@@ -17,7 +17,9 @@ BANDS, ROWS, SHINGLE = 40, 5, 5
 #: A candidate is confirmed on its sets unless its minima agree less than the threshold by this much: 5.5 standard deviations of 200 minima.
 MARGIN = 0.17
 #: Buckets of more nodes are crowded: if one star doesn't settle them, their nodes meet again in so many longer bands.
-CROWD, DEEP_BANDS, DEEP_ROWS, TILE = 32, 200, 10, 2048
+CROWD, DEEP_BANDS, DEEP_ROWS = 32, 200, 10
+#: Nodes and shingles of a tile, about.
+TILE, TILE_SHINGLES = 2048, 2_000_000
 #: Up to so many needed ids, 16 bytes each, are broadcast to find their texts; more are joined by a shuffle.
 SMALL = 200_000
 
@@ -111,80 +113,89 @@ def _deepener(bands: int, rows: int, width: int):
         with np.errstate(over="ignore"):
             number = np.arange(1, bands * rows + 1, dtype=np.uint64) << _U(32)
             for batch in sliced(batches):
-                keys, bits = [], []
+                keys, bits, sets = [], [], []
                 for found in shingle_sets(batch.column("raw").to_pylist(), width):
                     least = minima(found, a, b)
                     keys.append(_band_keys(least, bands, rows).view(np.int64))
                     # as multipliers are odd, a minimum's own low bit is that of its shingle under every hash: it is drawn anew
                     drawn = np.packbits((mix(number | least) >> _U(63)).astype(np.uint8))
                     bits.append(np.pad(drawn, (0, -len(drawn) % 8)).tobytes())
-                made = [pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "bits"])
+                    sets.append(found.tobytes())
+                made = [pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "bits", "shingles"])
 
     return deepen
 
 
-def _tiler(percent: int, minima: int, which: str):
-    """Of a tile's nodes, pairs of different components whose one-bit minima agree enough.
+def _tiler(percent: int, minima: int):
+    """Links of a tile: for each node the others of different components, most alike by one-bit minima first, are compared on their
+    full sets, but those that are less alike than the threshold by 5.5 standard deviations.
 
-    Which are kept: of "best" each node's pair of most agreement; of "sure" one pair of two components in the tile whose agreement is
-    beyond the threshold by 5.5 standard deviations, as it joins them if it is confirmed, and less sure pairs
-    of components that no such pair joins; of "all" every pair.
+    Only a link that is confirmed joins components, and only nodes that are joined already are spared, so a tile
+    returns fewer links than it has nodes, and none that could change a component is lost.
     """
     share = (1 + percent / 100) / 2
-    spread = 5.5 * (share * (1 - share) / minima) ** 0.5
-    most, sure = minima * (1 - share + spread), minima * (1 - share - spread)
+    most = minima * (1 - share + 5.5 * (share * (1 - share) / minima) ** 0.5)
 
     def tile(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         node, component = table.column("node").to_numpy(), table.column("component").to_numpy().copy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
-        found, unsure = [], []
-        least, of = np.full(len(right), minima + 1), np.full(len(right), -1, np.int32)
-        for i in left:
-            apart = np.bitwise_count(bits[right] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            fit = np.flatnonzero((apart <= most) & (component[right] != component[i]))
-            if which == "best":
-                better = fit[apart[fit] < least[fit]]
-                least[better], of[better] = apart[better], i
-                if len(fit):
-                    found.append(np.array([[i], [right[fit[apart[fit].argmin()]]]], np.int32))
-                continue
-            fit = fit[np.argsort(apart[fit], kind="stable")]
-            near, certain = right[fit], (apart[fit] <= sure) & (which == "sure")
-            if len(near):
-                joined, at = np.unique(component[near[certain]], return_index=True)
-                found.append(np.stack([np.full(len(at), i), near[certain][at]]).astype(np.int32))
-                component[np.isin(component, joined)] = component[i]
-                near = near[component[near] != component[i]]
-                unsure.append(np.stack([np.full(len(near), i), near]).astype(np.int32))
-        found.append(np.stack([of[of >= 0], right[of >= 0]]).astype(np.int32))
-        found += [pairs[:, component[pairs[0]] != component[pairs[1]]] for pairs in unsure]
-        x, y = np.concatenate(found, axis=1)
-        return pa.table({"u": pa.array(np.minimum(node[x], node[y]), pa.int64()), "v": pa.array(np.maximum(node[x], node[y]), pa.int64())})
+        found = table.column("shingles").to_pylist()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 8
+        shingles = np.frombuffer(b"".join(found), np.uint64)
+        del found
+        begin = np.cumsum(sizes) - sizes
+        two = side.any()
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(node)),) * 2
+        links = []
+        for at, i in enumerate(left.tolist()):
+            others = right if two else right[at + 1 :]
+            others = others[component[others] != component[i]]
+            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            fit = apart <= most
+            others = others[fit][np.argsort(apart[fit], kind="stable")]
+            mine, some = shingles[begin[i] : begin[i] + sizes[i]], 16
+            while len(others):
+                now, others = others[:some], others[some:]
+                ends = np.cumsum(sizes[now])
+                theirs = shingles[np.repeat(begin[now] - ends + sizes[now], sizes[now]) + np.arange(ends[-1])]
+                held = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                shared = np.add.reduceat(held, ends - sizes[now], dtype=np.int64)
+                near = now[100 * shared >= percent * (sizes[i] + sizes[now] - shared)]
+                joined, first = np.unique(component[near], return_index=True)
+                links += [(node[i], node[j]) for j in near[first].tolist()]
+                if len(joined):
+                    component[np.isin(component, joined)] = component[i]
+                    others = others[component[others] != component[i]]
+                some = 256
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(ends.min(axis=1)), "v": pa.array(ends.max(axis=1))})
 
     return tile
 
 
 def _crowds(deep: DataFrame, grouped: DataFrame) -> DataFrame:
     """(node, crowd, tiles) of deep (node, keys) that meet, over chains of buckets holding several components, in one crowd."""
-    open_ = cut(_mixed(_met(deep), grouped).select("node", "least"))
+    open_ = cut(_mixed(_met(deep), grouped, 1).select("node", "least"))
     crowds = cut(components(open_.select(F.col("least").alias("u"), F.col("node").alias("v"))).withColumnRenamed("component", "crowd"))
-    return cut(crowds.join(crowds.groupBy("crowd").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "crowd").select("node", "crowd", "tiles"))
+    size = crowds.join(deep.select("node", F.length("shingles").alias("held")), "node").groupBy("crowd")
+    tiles = size.agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("held") / (8 * TILE_SHINGLES))).alias("tiles"))
+    return cut(crowds.join(tiles, "crowd").select("node", "crowd", "tiles"))
 
 
-def _tiled(deep: DataFrame, crowds: DataFrame, grouped: DataFrame, percent: int, which: str) -> DataFrame:
-    """Likely pairs (u, v) of a crowd's nodes in different components, as _tiler keeps them in each tile.
+def _tiled(deep: DataFrame, crowds: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of a crowd's nodes, as _tiler finds them in each tile.
 
     A crowd's nodes are dealt to tiles of about TILE by their hash, and each pair of tiles is
-    compared in one step, so that memory doesn't grow with the crowd.
+    compared in one step, so that memory doesn't grow with the crowd. A crowd of one component has nothing to find.
     """
     mine = F.least(F.floor((F.col("node") / F.lit(2.0**64) + 0.5) * F.col("tiles")), F.col("tiles") - 1)
-    seats = crowds.join(grouped, "node", "left").join(deep.select("node", "bits"), "node")
-    seats = seats.select("crowd", "node", F.coalesce("component", "node").alias("component"), "bits", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    tiles = seats.select("crowd", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bits")
-    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS, which), "u long, v long").distinct()
+    labelled = crowds.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    seats = labelled.join(deep.select("node", "bits", "shingles"), "node")
+    seats = seats.select("crowd", "node", "component", "bits", "shingles", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+    tiles = seats.select("crowd", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "component", "bits", "shingles")
+    return tiles.groupBy("crowd", "i", "j").applyInArrow(_tiler(percent, DEEP_BANDS * DEEP_ROWS), "u long, v long")
 
 
 def _agreeing(least: float):
@@ -250,11 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     and are compared with the nodes of other components only. A larger one,
     mostly of texts that share one passage but are otherwise apart, isn't compared
     further: its nodes are signed again with DEEP_BANDS bands of DEEP_ROWS minima, in which such texts
-    part. Nodes of different components that meet there are compared in tiles by one bit of
-    each minimum: first each node's best pair is confirmed, then what else agrees enough between components that are still apart: one sure
-    pair of two components and the less sure ones, then all that are left. So all links that can
-    change a component are tried. Candidates whose minima agree are confirmed on
-    their full shingle sets. A pair at 0.75 fails to meet with a chance of 2 in
+    part. Nodes of different components that meet there are compared in tiles: where one bit of
+    each minimum agrees enough, on their full shingle sets at once, so that of a tile only links that join components leave it. So
+    all links that can change a component are tried. Other candidates whose minima agree are confirmed on
+    their full shingle sets too. A pair at 0.75 fails to meet with a chance of 2 in
     100,000 in either signature.
 
     Nulls: a null text is empty; a text without words has n_shingles 0, no links
@@ -276,21 +286,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     del held
     tidy(open_)
     crowded = cut(open_.where(F.col("size") > CROWD).select("node").distinct())
-    likely = _likely(_further(open_.where(F.col("size") <= CROWD)), nodes, percent)
+    likely = cut(_likely(_further(open_.where(F.col("size") <= CROWD)), nodes, percent))
     if crowded.limit(1).count():
-        deep = cut(_texts(docs, nodes, crowded, named, width).repartition("node").mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys array<long>, bits binary"))
-        crowds = _crowds(deep, grouped)
-        tidy(crowds)
-        likely = likely.unionAll(_tiled(deep, crowds, grouped, percent, "best")).distinct()
-    likely = cut(likely)
+        grouped = merge(grouped, _in_crowds(docs, nodes, crowded, grouped, named, percent, width))
+    # what crowds have joined needs no further comparison
+    likely = cut(_apart(likely, grouped))
     if likely.limit(1).count():
         grouped = merge(grouped, confirmed(likely))
-    if crowded.limit(1).count():
-        for which in ("sure", "all"):  # a sure pair may fail, so what it kept out is tried at last
-            tidy(likely)
-            rest = cut(_tiled(deep, crowds, grouped, percent, which).join(likely, ["u", "v"], "left_anti"))
-            if rest.limit(1).count():
-                grouped, likely = merge(grouped, confirmed(rest)), likely.unionAll(rest)
     group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
     least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
@@ -327,9 +329,25 @@ def _stars(held: DataFrame) -> DataFrame:
     return held.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def _mixed(held: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The nodes, with their components, of buckets that hold several components."""
-    labelled = held.where("size > 2").join(grouped, "node", "left").select("bucket", "node", "least", "size", F.coalesce("component", "node").alias("component"))
+def _in_crowds(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, grouped: DataFrame, named: bool, percent: int, width: int) -> DataFrame:
+    """Links (u, v) between the crowded nodes, found in longer bands and tiles."""
+    texts = _texts(docs, nodes, crowded, named, width).repartition("node")
+    deep = cut(texts.mapInArrow(_deepener(DEEP_BANDS, DEEP_ROWS, width), "node long, keys array<long>, bits binary, shingles binary"))
+    crowds = _crowds(deep, grouped)
+    tidy(crowds)
+    return cut(_tiled(deep, crowds, grouped, percent))
+
+
+def _apart(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose nodes are in different components."""
+    of = grouped.select(F.col("node").alias("u"), F.col("component").alias("a"))
+    to = grouped.select(F.col("node").alias("v"), F.col("component").alias("b"))
+    return pairs.join(of, "u", "left").join(to, "v", "left").where(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
+
+
+def _mixed(held: DataFrame, grouped: DataFrame, settled: int = 2) -> DataFrame:
+    """The nodes, with their components, of buckets that hold several components; buckets of up to `settled` nodes have nothing left to find."""
+    labelled = held.where(F.col("size") > settled).join(grouped, "node", "left").select("bucket", "node", "least", "size", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     return labelled.join(mixed.select("bucket"), "bucket")
 

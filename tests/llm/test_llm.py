@@ -525,13 +525,29 @@ def test_bits_of_short_texts_agree_as_assumed():
     assert abs(apart.mean() - n / 8) < 8 and apart.std() < 1.5 * (n * 7 / 64) ** 0.5
 
 
-def test_a_sure_pair_keeps_no_other_out():
-    """Of three nodes, two of one component and alike, "sure" keeps one pair; as this may fail, "all" keeps both."""
+def test_only_confirmed_links_keep_others_out():
+    """Of a tile's nodes all with the same bits, the links that join components by their sets are found, within a tile and between two."""
     import pyarrow as pa
 
-    table = pa.table({"side": [0, 0, 0], "node": [1, 2, 3], "component": [1, 1, 3], "bits": [bytes(256)] * 3})
-    found = [len(near_dedup._tiler(75, 2000, which)(table)) for which in ("sure", "all")]
-    assert found[0] == 1 and found[1] >= 2
+    rng, sets = random.Random(12), []
+    for base in range(12):
+        whole = [rng.randrange(2**64) for _ in range(20)]
+        sets += [sorted(whole[: rng.randint(14, 20)] + [rng.randrange(2**64) for _ in range(rng.randint(0, 3))]) for _ in range(6)]
+    for sides in (1, 2):
+        side = [i % sides for i in range(len(sets))]
+        component = [i - i % 5 if i % 7 == 0 else i for i in range(len(sets))]
+        table = pa.table({"side": side, "node": range(100, 100 + len(sets)), "component": component, "bits": [bytes(256)] * len(sets), "shingles": [np.array(x, np.uint64).tobytes() for x in sets]})
+        found = near_dedup._tiler(75, 2000)(table).to_pylist()
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if (sides == 1 or side[i] != side[j]) and 4 * len(set(sets[i]) & set(sets[j])) >= 3 * len(set(sets[i]) | set(sets[j]))]
+        assert all((x["v"] - 100, x["u"] - 100) in linked for x in found) and len(found) < len(sets)
+
+        def roots(links):
+            of = list(component)
+            for i, j in links:
+                of = [of[i] if c == of[j] else c for c in of]
+            return [of.index(c) for c in of]
+
+        assert roots([(x["u"] - 100, x["v"] - 100) for x in found]) == roots(linked)
 
 
 def test_components(spark):
