@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.positions import Lines
+from millrace.functions.positions import BLANK, Lines
+from millrace.syntax.cast import Fragment, context, fragments
+from millrace.syntax.registry import Registry, standard
+from millrace.syntax.tree import ParseFailure, Tree
 
 # Delimiters by preference.
 WINDOW_DELIMITERS = ("\n\n", "\n", " ")
 LEAF_DELIMITERS = ("\n\n", "\n", ";", ",", "\t", " ")
-BLANK = " \t\n\r\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 class Units:
@@ -25,6 +29,10 @@ class Units:
         part = self.text[start:end]
         return part if not self.wide else part.encode("utf-16-le", "surrogatepass").decode("utf-16-le")
 
+    def whole(self, text: str) -> str:
+        """A part of the text as it was written, surrogates joined; a lone one is replaced."""
+        return text if not self.wide else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
     def splits(self, at: int) -> bool:
         """Whether a cut at `at` would part a surrogate pair."""
         return self.wide and 0 < at < len(self.text) and "\udc00" <= self.text[at] <= "\udfff" and "\ud800" <= self.text[at - 1] <= "\udbff"
@@ -74,68 +82,91 @@ def leaf_cuts(units: Units, start: int, end: int, most: int) -> list[tuple[int,
     return [*out, (start, end)] if end > start else out
 
 
-def sections(units: Units, start: int, end: int, language: str) -> list[tuple[int, int, str]]:
-    """Top-level parts of a range by simple rules of its language: each begins at a line that opens one."""
-    import re
-
-    openers = {
-        "markdown": (r"(?m)^#{1,6}\s", "section"), "python": (r"(?m)^(?:@|async def |def |class )", "definition"), "html": (r"(?i)<(?:section|article|div|p|h[1-6]|ul|ol|table|nav|header|footer|main)\b", "element"),
-        "css": (r"(?m)^[^\s}{@/][^{};]*\{|^@", "rule"), "json": (r'(?m)^\s{0,2}"', "member"), "javascript": (r"(?m)^(?:export |import |async function |function |class |const |let |var )", "statement"),
-    }
-    pattern, kind = openers.get({"typescript": "javascript", "scss": "css", "vue": "html", "twig": "html"}.get(language, language), (r"(?m)^(?=\S)", "block"))
-    at = [m.start() for m in re.compile(pattern).finditer(units.text, start + 1, end)]
-    bounds = [start, *at, end]
-    return [(a, b, kind) for a, b in zip(bounds, bounds[1:]) if b > a]
+def syntax_fragments(units: Units, most: int, language: str | None, format_: str | None = None, registry: Registry | None = None) -> tuple[list[Fragment], Tree]:
+    """Fragments along the tree of a text, and the tree; a text that no parser reads is a ParseFailure."""
+    tree = (registry or _standard()).parse(units.text, language, format_)
+    return fragments(units.text, tree, most, lambda start, end: leaf_cuts(units, start, end, most)), tree
 
 
 def syntax_chunks(units: Units, most: int, language: str) -> list[tuple[int, int]]:
-    """Contiguous ranges of at most `most` units: parts are merged while they fit, and split where they don't."""
-    size, out = len(units.text), []
-    held = None
-    for a, b, _ in sections(units, 0, size, language) if size else []:
-        if held and b - held[0] <= most:
-            held = (held[0], b)
-            continue
-        if held:
-            out.append(held)
-        held = (a, b)
-        if b - a > most:
-            *whole, held = leaf_cuts(units, a, b, most)
-            out += whole
-    return [*out, held] if held else out
-
-
-def chunk(docs: DataFrame, strategy: str = "sliding-window", most: int = 1500, overlap: int = 200) -> DataFrame:
-    """Chunks of docs (doc_id, text; language for the syntax strategy): index, start and end in UTF-16 units, lines, content.
-
-    Chunks of white space only are left out, and index counts those that stay. A null or
-    empty text has none.
+    """Contiguous ranges of about `most` units at most along the text's syntax; where no parser reads it, cut as a leaf."""
+    try:
+        return [(f.start, f.end) for f in syntax_fragments(units, most, language)[0]]
+    except ParseFailure:
+        return leaf_cuts(units, 0, len(units.text), most)
+
+
+@lru_cache(maxsize=1)
+def _standard() -> Registry:
+    return standard()
+
+
+_SYMBOLS = pa.list_(pa.struct([("name", pa.string()), ("kind", pa.string()), ("signature", pa.string())]))
+_IMPORTS = pa.list_(pa.struct([("source", pa.string()), ("bindings", pa.list_(pa.string()))]))
+_PLACES = "chunk_index int, start_offset int, end_offset int, start_line int, end_line int, content string"
+_SAID = "kind string, scope array<struct<name:string,kind:string,signature:string>>, symbols array<struct<name:string,kind:string,signature:string>>, imports array<struct<source:string,bindings:array<string>>>, searchable boolean, error string"
+
+
+def _windowed(units: Units, most: int, overlap: int):
+    for start, end in windows(units, most, overlap):
+        yield Fragment(start, end, "text-window"), None
+
+
+def _along_syntax(units: Units, most: int, language: str | None, format_: str | None, registry: Registry | None, failure: str):
+    """(fragment, context) of a text; a text that isn't read gives its error in the place of the context."""
+    try:
+        found, tree = syntax_fragments(units, most, language, format_, registry)
+    except ParseFailure as error:
+        if failure == "error":
+            raise
+        yield from ((Fragment(a, b, None), str(error)) for a, b in ([(0, len(units.text))] if failure == "report" else leaf_cuts(units, 0, len(units.text), most)))
+        return
+    for part in found:
+        yield part, context(units.text, tree, part)
+
+
+def chunk(docs: DataFrame, strategy: str = "sliding-window", most: int = 1500, overlap: int = 200, failure: str = "leaf", registry: Registry | None = None, whole: bool = False) -> DataFrame:
+    """Chunks of docs (doc_id, text; language and format for the syntax strategy): index, start and end in UTF-16 units, lines, content.
+
+    Chunks of white space only, and blank ones that syntax leaves over, aren't searchable: they are left out, unless `whole` keeps them with a null
+    index; index counts the others. The syntax strategy adds the node's kind, the symbols around and in a chunk and the imports it uses, searchable, and
+    error, of a text that its parser doesn't read: by `failure` that is cut as a leaf, reported in one row without an index, or raised. A null or
+    empty text has no chunks.
     """
     if strategy == "sliding-window":
         check_window(most, overlap)
     elif strategy != "syntax":
         raise ValueError(f"unknown strategy {strategy!r}")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    elif most < 1 or failure not in ("leaf", "report", "error"):
+        raise ValueError(f"chunks need most >= 1, and a failure is leaf, report or error, not {most} and {failure!r}")
+    kind, syntax = docs.schema["doc_id"].dataType.simpleString(), strategy == "syntax"
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            languages = batch.column("language").to_pylist()
-            for i, (text, language) in enumerate(zip(batch.column("text").to_pylist(), languages)):
-                units = Units(text or "")
-                lines = Lines(units.text)
-                ranges = windows(units, most, overlap) if strategy == "sliding-window" else syntax_chunks(units, most, language or "")
-                n = 0
-                for start, end in ranges:
-                    content = units.slice(start, end)
-                    if content.strip(BLANK):
-                        for c, v in zip(columns, (i, n, start, end, *lines.span(start, end), content)):
-                            c.append(v)
-                        n += 1
+            columns: list[list] = [[] for _ in range(13)]
+            given = zip(*(batch.column(c).to_pylist() for c in ("text", "language", "format")))
+            for i, (text, language, format_) in enumerate(given):
+                if not text:
+                    continue
+                units = Units(text)
+                lines, n = Lines(units.text), 0
+                for part, said in _along_syntax(units, most, language, format_, registry, failure) if syntax else _windowed(units, most, overlap):
+                    content = units.slice(part.start, part.end)
+                    good = part.lean is None and bool(content.strip(BLANK)) and not (failure == "report" and isinstance(said, str))
+                    if not good and not whole and not isinstance(said, str):
+                        continue
+                    around, inside, used = said if isinstance(said, tuple) else ([], [], [])
+                    whole_ = units.whole
+                    named = [[{"name": whole_(s.name), "kind": s.kind, "signature": whole_(s.signature)} for s in symbols] for symbols in (around, inside)]
+                    row = (i, n if good else None, part.start, part.end, *lines.span(part.start, part.end), content, part.kind, *named, [{"source": whole_(s), "bindings": list(map(whole_, b))} for s, b in used], good, said if isinstance(said, str) else None)
+                    for column, value in zip(columns, row):
+                        column.append(value)
+                    n += good
             index = pa.array(columns[0], pa.int64())
-            made = [pa.array(c, pa.int32()) for c in columns[1:6]] + [pa.array(columns[6], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), *made], names=["doc_id", "chunk_index", "start_offset", "end_offset", "start_line", "end_line", "content"])
+            kinds = [pa.int32()] * 5 + [pa.string()] + [pa.string(), _SYMBOLS, _SYMBOLS, _IMPORTS, pa.bool_(), pa.string()] * syntax
+            names = ["chunk_index", "start_offset", "end_offset", "start_line", "end_line", "content"] + ["kind", "scope", "symbols", "imports", "searchable", "error"] * syntax
+            made = [pa.array(c, k) for c, k in zip(columns[1:], kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), *made], names=["doc_id", *names])
 
-    language = F.col("language") if "language" in docs.columns else F.lit(None).cast("string").alias("language")
-    schema = f"doc_id {kind}, chunk_index int, start_offset int, end_offset int, start_line int, end_line int, content string"
-    return docs.select("doc_id", "text", language).mapInArrow(run, schema)
+    told = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("language", "format")]
+    return docs.select("doc_id", "text", *told).mapInArrow(run, f"doc_id {kind}, {_PLACES}" + f", {_SAID}" * syntax)

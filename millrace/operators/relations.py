@@ -127,3 +127,70 @@ def greedy_batches(rows: DataFrame, group: str, order: list[str], size: str, mos
     over = F.exists("items", lambda x: x["batch_size"] > most_size)
     batches = F.when(over, F.raise_error(F.lit("an input is larger than a batch")).cast("array<int>")).otherwise(F.aggregate("items", start, step, lambda a: a["out"]))
     return listed.withColumn("batches", batches).select(F.explode(F.arrays_zip("items", "batches")).alias("x")).select("x.items.row.*", F.col("x.batches").alias("batch"))
+
+
+def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key: list[str]) -> DataFrame:
+    """parts (document, key, start, end) with `container`, the name of the least symbol range around each, the earlier on ties; null if none is.
+
+    A range join within documents: symbols (document, name, start, end) meet the parts of their own document only.
+    """
+    s = symbols.select(F.col(document).alias("_document"), F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    around = (parts[document] == s["_document"]) & (s["_start"] <= parts["start"]) & (s["_end"] >= parts["end"])
+    nearest = F.min_by("_name", F.struct(F.col("_end") - F.col("_start"), "_start", "_name"))
+    return parts.join(s, around, "left").groupBy(document, *key, "start", "end").agg(F.when(F.count("_name") > 0, nearest).alias("container"))
+
+
+def relevant_imports(parts: DataFrame, imports: DataFrame, document: str, key: list[str]) -> DataFrame:
+    """(document, key, imports): sources of the imports that overlap a part or one of whose bindings stands in its text as a word, in order.
+
+    parts: document, key, start, end, text; imports: document, source, bindings, start, end.
+    """
+    i = imports.select(F.col(document).alias("_document"), "source", "bindings", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    words = F.split("text", r"[^\p{L}\p{N}_$]+")
+    met = parts.withColumn("_words", words).join(i, parts[document] == i["_document"], "left")
+    used = (F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start")) | F.arrays_overlap("bindings", "_words")
+    told = F.array_sort(F.collect_set(F.when(used, F.struct("_start", "source"))))
+    return met.groupBy(document, *key).agg(F.transform(told, lambda x: x["source"]).alias("imports"))
+
+
+def members(memberships: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """Memberships with their chunks' columns, by (document_id, chunk_id); a membership without its chunk is an error when it is read."""
+    met = memberships.join(chunks.select("document_id", "chunk_id", F.lit(True).alias("_there"), *columns), ["document_id", "chunk_id"], "left")
+    sure = F.when(F.col("_there"), F.col("chunk_id")).otherwise(F.raise_error(F.concat(F.lit("no chunk "), F.col("chunk_id"))).cast("string"))
+    return met.withColumn("chunk_id", sure).drop("_there")
+
+
+def around_anchor(rows: DataFrame, group: str, position: str, anchors: DataFrame, before: int, after: int) -> DataFrame:
+    """The rows up to `before` places before and `after` after each anchor (group, position), with `anchor` and their `distance` from it."""
+    named = anchors.select(F.col(group).alias("_group"), F.col(position).alias("anchor"))
+    near = (rows[group] == named["_group"]) & rows[position].between(named["anchor"] - before, named["anchor"] + after)
+    return rows.join(F.broadcast(named), near).withColumn("distance", F.col(position) - F.col("anchor")).drop("_group")
+
+
+def counted(parents: DataFrame, children: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """parents with the number of their children, 0 where there are none."""
+    return parents.join(children.groupBy(*keys).agg(F.count("*").alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
+def newest_first(builds: DataFrame) -> DataFrame:
+    return builds.orderBy(F.desc("created_at"), "build_id")
+
+
+def by_length(inputs: DataFrame, text: str, key: str, partitions: int | None = None) -> DataFrame:
+    """Inputs of a model in order of their length, then key, within ranges of it: batches of alike lengths need little padding."""
+    sized = inputs.withColumn("_length", F.length(text))
+    dealt = sized.repartitionByRange(partitions, "_length", key) if partitions else sized.repartitionByRange("_length", key)
+    return dealt.sortWithinPartitions("_length", key).drop("_length")
+
+
+def page_text(text: Column, start: int, most: int) -> Column:
+    """Struct (text, next_start) of `most` characters from a 0-based start; next_start is null at the end."""
+    if start < 0 or most < 1:
+        raise ValueError("a page starts at 0 or later and holds a character at least")
+    part = F.substring(text, start + 1, most)
+    return F.struct(part.alias("text"), F.when(F.length(text) > start + most, F.lit(start + most)).alias("next_start"))
+
+
+def distinct_in_order(values: Column) -> Column:
+    """The values of an array, each once, where it stands first."""
+    return F.array_distinct(values)

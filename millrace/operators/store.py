@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import quote
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from millrace.operators.relations import unreferenced
 
 
+def _folder(build: str) -> str:
+    return f"build_id={quote(build, safe='')}"
+
+
 class BuildStore:
     """Builds under one folder of any store that Spark writes.
 
@@ -33,32 +38,36 @@ class BuildStore:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
 
-    def builds(self) -> dict[str, dict]:
-        """Manifest rows by build id."""
+    def _state(self) -> dict:
         names = self._manifests()
         if not names:
-            return {}
+            return {"builds": {}}
         rows = self.spark.read.text(f"{self.root}/manifest/{names[-1]}", wholetext=True).collect()
         return json.loads(rows[0][0])
 
-    def _publish(self, builds: dict[str, dict]) -> None:
+    def builds(self) -> dict[str, dict]:
+        """Manifest rows by build id, the newest first, then by id."""
+        builds = self._state()["builds"]
+        return dict(sorted(sorted(builds.items()), key=lambda x: x[1]["created_at"], reverse=True))
+
+    def _publish(self, builds: dict[str, dict], vectors: str | None = None) -> None:
         names = self._manifests()
         number = int(names[-1].split(".")[0]) + 1 if names else 1
         temporary, final = self._path(f"{self.root}/manifest/.{uuid4().hex}"), self._path(f"{self.root}/manifest/{number:010d}.json")
         out = self._fs.create(temporary)
-        out.write(bytearray(json.dumps(builds).encode()))
+        out.write(bytearray(json.dumps({"builds": builds, "embeddings": vectors or self.vectors()}).encode()))
         out.close()
         if not self._fs.rename(temporary, final):
             raise RuntimeError("another writer changed the manifest")
 
-    def begin(self, build: str, model: dict, created_at: str, compatibility: str = "") -> bool:
-        """Open a build; False if it is ready already, so that nothing is to be done."""
+    def begin(self, build: str, model: dict, created_at: str, compatibility: str = "", repository: str = "", snapshot: str = "") -> bool:
+        """Open a build of a repository's snapshot; False if it is ready already, so that nothing is to be done."""
         builds = self.builds()
         if build in builds:
             if builds[build]["status"] == "ready":
                 return False
             raise ValueError(f"build {build} is {builds[build]['status']}")
-        builds[build] = {"status": "building", "model": model, "created_at": created_at, "compatibility": compatibility}
+        builds[build] = {"status": "building", "model": model, "created_at": created_at, "compatibility": compatibility, "repository": repository, "snapshot": snapshot}
         self._publish(builds)
         return True
 
@@ -73,24 +82,29 @@ class BuildStore:
     def _has(self, table: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{table}"))
 
+    def vectors(self) -> str:
+        """The folder of the embeddings: a delete writes a new one and names it in the manifest, so that a crash loses none."""
+        return self._state().get("embeddings", "embeddings")
+
     def table(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}")
+        return self.spark.read.parquet(f"{self.root}/{self.vectors() if table == 'embeddings' else table}")
 
     def put(self, build: str, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> None:
         """Write a build's documents and chunks, and such embeddings as the store doesn't have yet."""
         if self.builds().get(build, {}).get("status") != "building":
             raise ValueError(f"build {build} isn't being built")
-        documents.withColumn("build_id", F.lit(build)).write.mode("append").partitionBy("build_id").parquet(f"{self.root}/documents")
-        chunks.withColumn("build_id", F.lit(build)).write.mode("append").partitionBy("build_id").parquet(f"{self.root}/memberships")
+        # a build's own folders are written anew, so that a put that is tried again doubles nothing
+        documents.write.mode("overwrite").parquet(f"{self.root}/documents/{_folder(build)}")
+        chunks.write.mode("overwrite").parquet(f"{self.root}/memberships/{_folder(build)}")
         fresh = embeddings.dropDuplicates(["embedding_id"])
-        if self._has("embeddings"):
+        if self._has(self.vectors()):
             fresh = fresh.join(self.table("embeddings").select("embedding_id"), "embedding_id", "left_anti")
-        fresh.write.mode("append").parquet(f"{self.root}/embeddings")
+        fresh.write.mode("append").parquet(f"{self.root}/{self.vectors()}")
 
     def missing(self, ids: DataFrame) -> DataFrame:
         """Of (embedding_id, text), those inputs that are still to be embedded, each once."""
         wanted = ids.dropDuplicates(["embedding_id"])
-        return wanted.join(self.table("embeddings").select("embedding_id"), "embedding_id", "left_anti") if self._has("embeddings") else wanted
+        return wanted.join(self.table("embeddings").select("embedding_id"), "embedding_id", "left_anti") if self._has(self.vectors()) else wanted
 
     def searchable(self, build: str, model: dict | None = None) -> DataFrame:
         """Memberships of a ready build with their vectors; none for any other build, an error for another model."""
@@ -120,12 +134,14 @@ class BuildStore:
         gone = unreferenced(self.table("embeddings"), members.where(rest), ["embedding_id"])
         counts["embeddings"] = gone.count()
         del builds[build]
-        self._publish(builds)  # no reader finds the build from here on
+        old = now = self.vectors()
         if counts["embeddings"]:
             kept = self.table("embeddings").join(members.where(rest).select("embedding_id"), "embedding_id", "left_semi")
-            kept.write.mode("overwrite").parquet(f"{self.root}/embeddings-{build}")
-            self._fs.delete(self._path(f"{self.root}/embeddings"), True)
-            self._fs.rename(self._path(f"{self.root}/embeddings-{build}"), self._path(f"{self.root}/embeddings"))
+            now = f"embeddings-{uuid4().hex}"
+            kept.write.parquet(f"{self.root}/{now}")
+        self._publish(builds, now)  # no reader finds the build, or the old vectors, from here on
+        if now != old:
+            self._fs.delete(self._path(f"{self.root}/{old}"), True)
         for table in ("documents", "memberships"):
-            self._fs.delete(self._path(f"{self.root}/{table}/build_id={build}"), True)
+            self._fs.delete(self._path(f"{self.root}/{table}/{_folder(build)}"), True)
         return counts

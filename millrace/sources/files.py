@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,3 +108,66 @@ def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as prepared files: path source/doc_id.md, text and bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.withColumn("path", F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".md")))
+
+
+def discovery_order(path: Column) -> Column:
+    """A sort key of paths: the files of a folder first, then its folders, each by name, depth first."""
+    parts = F.split(path, "/")
+    # a folder's name is led by a character that comes after that of a file
+    return F.transform(parts, lambda p, i: F.concat(F.when(i == F.size(parts) - 1, F.lit("\u0000")).otherwise(F.lit("\u0001")), p))
+
+
+def diagnostics(found: DataFrame) -> DataFrame:
+    """(path, code, detail) of the files that discovery left out for what they are, in discovery order.
+
+    found: as `discover` returns it, with `entry` (file, symbolic-link or another kind; null: a file) and `readable`, if it has them.
+    """
+    entry = F.coalesce(F.col("entry"), F.lit("file")) if "entry" in found.columns else F.lit("file")
+    readable = F.coalesce(F.col("readable"), F.lit(True)) if "readable" in found.columns else F.lit(True)
+    open_ = F.col("reason").isNull() | (F.col("reason") == "file-too-large")
+    code = F.when(~open_, None).when(entry == "symbolic-link", "symbolic-link-skipped").when(entry != "file", "unsupported-entry").when(~readable, "entry-unreadable").when(F.col("reason") == "file-too-large", "file-too-large")
+    return found.select("path", code.alias("code"), F.concat(F.lit("length "), F.coalesce("length", F.lit(0)).cast("string")).alias("detail")).where("code is not null").orderBy(discovery_order(F.col("path")))
+
+
+def local_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, entry, readable) of what lies below a folder of the driver's machine, its links not followed; for discovery's diagnostics."""
+    rows, agenda = [], [Path(root)]
+    while agenda:
+        folder = agenda.pop()
+        try:
+            inside = sorted(folder.iterdir(), key=lambda p: p.name)
+        except OSError:
+            rows.append((str(folder.relative_to(root)), 0, "file", False))
+            continue
+        for p in inside:
+            link = p.is_symlink()
+            if p.is_dir() and not link:
+                agenda.append(p)
+                continue
+            kind = "symbolic-link" if link else "file" if p.is_file() else "other"
+            rows.append((str(p.relative_to(root)), p.lstat().st_size, kind, os.access(p, os.R_OK) if not link else True))
+    return spark.createDataFrame(rows, "path string, length long, entry string, readable boolean")
+
+
+def selection_hash(include: list[str] = (), exclude: list[str] = (), hidden: bool = False, limit: int = LIMIT) -> str:
+    """The hash of what discovery was asked for: the same options, in any order, give the same."""
+    told = json.dumps({"exclude": sorted(exclude), "hidden": hidden, "include": sorted(include), "limit": limit}, separators=(",", ":"), sort_keys=True)
+    return "sha256:" + hashlib.sha256(told.encode()).hexdigest()
+
+
+def memberships(files: DataFrame, group: str) -> DataFrame:
+    """(group, files, membership_hash): the hash over the sorted lines of each set, from one ordered list a set of paths and hashes alone."""
+    pairs = F.collect_list(F.struct("path", content_hash(F.col("content")).alias("hash")))
+    return files.groupBy(group).agg(F.count("*").alias("files"), ordered_hash(pairs).alias("membership_hash"))
+
+
+def directory_source(files: DataFrame) -> dict:
+    """A folder's snapshot as a source: its identity says what lies in it."""
+    row = snapshot(files).first()
+    return {"kind": "directory", "identity": f"directory:{row['membership_hash']}", "files": row["files"], "bytes": row["bytes"] or 0}
+
+
+def documentation_revision(content_hash_: Column, title: Column, media: Column, tags: Column, attributes: Column) -> Column:
+    """The revision of a managed document: its bytes and what is told of it, so that a new title or tag is a new revision."""
+    told = F.to_json(F.struct(content_hash_.alias("content"), title.alias("title"), media.alias("mediaType"), F.array_sort(tags).alias("tags"), F.array_sort(F.map_entries(attributes)).alias("attributes")))
+    return content_hash(told)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,21 +19,49 @@ def fingerprint(files: DataFrame) -> str | None:
     return f"{n}:{total}:{mixed}" if n else None
 
 
-def watch(spark: SparkSession, folder: str, schema: str, checkpoint: str, build: Callable[[DataFrame, int], None], every: str | None = None) -> StreamingQuery:
+class Published:
+    """The fingerprint of the batch that was published last, kept in a file beside the stream's checkpoint, so that a restart knows it."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.spark, self.at = spark, f"{checkpoint.rstrip('/')}-published"
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(self) -> str | None:
+        return self.spark.read.text(self.at, wholetext=True).first()[0] if self.fs.exists(self.path) else None
+
+    def write(self, value: str) -> None:
+        out = self.fs.create(self.path, True)
+        out.write(bytearray(value.encode()))
+        out.close()
+
+
+def watch(spark: SparkSession, folder: str, schema: str, checkpoint: str, build: Callable[[DataFrame, int], None], every: str | None = None, least: float = 0.0, current: Callable[[], DataFrame] | None = None, tries: int = 3) -> StreamingQuery:
     """Run build(files, batch) for each micro-batch of new parquet files in folder, latest row of each path.
 
-    A batch whose fingerprint is that of the batch before isn't built. With `every`, batches are that far apart;
-    without it, what is there is built and the stream ends.
+    A batch whose fingerprint is that of the batch published last isn't built, also after a restart. With `every`, batches are that far apart;
+    without it, what is there is built and the stream ends. `least` seconds lie between the ends of builds at least. `current` reads the files
+    as they are now: if they changed while a build was made it is superseded, and they are built in its place, up to `tries` times.
     """
-    before: list[str | None] = [None]
+    published, ended = Published(spark, checkpoint), [0.0]
 
     def each(batch: DataFrame, number: int) -> None:
         files = batch.groupBy("path").agg(F.max_by("content", "modified_at").alias("content")).persist()
         try:
-            now = fingerprint(files)
-            if now is not None and now != before[0]:
+            for _ in range(tries):
+                now = fingerprint(files)
+                if now is None or now == published.read():
+                    return
+                time.sleep(max(0.0, ended[0] + least - time.monotonic()))
                 build(files, number)
-                before[0] = now
+                ended[0] = time.monotonic()
+                later = current().select("path", "content").persist() if current else None
+                if later is None or fingerprint(later) in (now, None):
+                    published.write(now)
+                    return
+                files.unpersist()
+                files = later
+            raise RuntimeError("the files change faster than they are built")
         finally:
             files.unpersist()
 
