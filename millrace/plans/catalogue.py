@@ -462,8 +462,12 @@ def live_debounce(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from millrace.plans import composed  # noqa: F401 - registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from millrace.plans import composed  # noqa: F401 - registers its queries here
+
     return dict(_SQL)
