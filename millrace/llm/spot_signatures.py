@@ -126,26 +126,24 @@ def _following(ranges: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, columns: list[str], signed=lambda rows: rows, per_range: int = 256) -> DataFrame:
-    """`signed` rows of docs, and next_<c> for each of columns: its value in the row after, by descending doc_id (ties by text; after the last: the first).
+    """`signed` rows of docs (doc_id, text), and next_<c> for each of columns: its value in the row after, by descending doc_id (ties by text; after the last: the first).
 
-    Rows are dealt by ranges of ids and a row looks ahead in its range; only the last row of
-    a range takes the first of the next. These first rows are found by id and signed again, one for each range, so that no other text is
-    signed twice. Null ids come last, as one range. No rows give none.
+    Rows are dealt by ranges of ids and a row looks ahead in its range. The first row of the range that follows, found by its id, stands
+    behind each range as a guest, so that the last row sees it too; guests, one for each range, are signed and dealt
+    with the rows, and nothing is joined to the texts. Null ids come last, as one range. No rows give none.
     """
-    rows = _placed(docs, per_range)
-    order = W.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), "text")
+    rows = _placed(docs, per_range).select("doc_id", "text", "range")
     tops = cut(rows.groupBy("range").agg(F.max("doc_id").alias("doc_id")))
     few = F.broadcast(tops) if tops.count() <= SMALL else tops
     first = rows.withColumnRenamed("doc_id", "id").withColumnRenamed("range", "own").join(few, F.col("own").eqNullSafe(F.col("range")) & F.col("id").eqNullSafe(F.col("doc_id")))
-    heads = signed(first.groupBy("range").agg(F.min("text").alias("text"))).select("range", *(F.col(c).alias(f"head_{c}") for c in columns))
+    heads = first.groupBy("range").agg(F.min("text").alias("text")).withColumnRenamed("range", "head")
     then = _following(tops.select("range"))
-    heads = heads.withColumnRenamed("range", "head").join(then, F.col("head").eqNullSafe(F.col("range"))).drop("head", "range")
-    ahead = signed(rows)
-    seen = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    ahead = ahead.select("*", *seen, F.lead(F.lit(True)).over(order).isNull().alias("last"))
-    joined = ahead.join(heads, F.col("range").eqNullSafe(F.col("of")) & F.col("last"), "left")
-    kept = [c for c in ahead.columns if c not in ("range", "last") and not c.startswith("next_")]
-    return joined.select(*kept, *(F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns))
+    then = F.broadcast(then) if few is not tops else then
+    guests = heads.join(then, F.col("head").eqNullSafe(F.col("range"))).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("of").alias("range"), F.lit(True).alias("guest"))
+    whole = signed(rows.withColumn("guest", F.lit(False)).unionAll(guests))
+    order = W.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
+    seen = whole.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    return seen.where(~F.col("guest")).drop("guest", "range")
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
