@@ -56,12 +56,19 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 def sample_text(data: Column) -> Column:
     """Text of the first SAMPLE bytes, less a mark and a character that the sample's end cuts; null if it isn't UTF-8."""
-    head = F.substring(data, 1, SAMPLE)
-    whole = F.when(F.octet_length(data) > SAMPLE, F.regexp_replace(F.hex(head), "(?:[CDEF][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F](?:[89AB][0-9A-F]){2})$", "")).otherwise(F.hex(head))
-    text = F.unhex(F.regexp_replace(whole, "^EFBBBF", "")).cast("string")
+    tail = F.hex(F.substring(data, SAMPLE - 2, 3))
+    # bytes of a character that begins before the sample's end and ends after it
+    begun = F.when(F.regexp_like(tail, F.lit("[CDEF].$")), 1).when(F.regexp_like(tail, F.lit("[EF].[89AB].$")), 2).when(F.regexp_like(tail, F.lit("^F.[89AB].[89AB].$")), 3).otherwise(0)
+    whole = F.when(F.octet_length(data) > SAMPLE, F.substring(data, F.lit(1), F.lit(SAMPLE) - begun)).otherwise(data)
+    text = _unmarked(whole).cast("string")
     return F.when(F.is_valid_utf8(text), text)
 
 
+def _unmarked(data: Column) -> Column:
+    """Bytes without a leading byte-order mark of UTF-8."""
+    return F.when(F.substring(data, 1, 3) == F.unhex(F.lit("EFBBBF")), F.substring(data, F.lit(4), F.octet_length(data))).otherwise(data)
+
+
 def control_ratio(text: Column) -> Column:
     """Share of control characters other than tab, line feed, form feed and return."""
     plain = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f-\\x9f]", "")
@@ -78,10 +85,10 @@ def classify_content(data: Column) -> Column:
     outcome = lambda kind, confidence, encoding, signal: F.struct(F.lit(kind).alias("kind"), F.lit(confidence).cast("double").alias("confidence"), F.lit(encoding).cast("string").alias("encoding"), F.lit(signal).alias("signal"))
     steps = F
     for name, digits in SIGNATURES.items():
-        steps = steps.when(F.hex(F.substring(data, 1, len(digits) // 2)) == digits, outcome("binary", 1.0, None, name))
+        steps = steps.when(F.substring(data, 1, len(digits) // 2) == F.unhex(F.lit(digits)), outcome("binary", 1.0, None, name))
     text = sample_text(data)
     ratio = control_ratio(text)
-    marked = F.hex(F.substring(data, 1, 3)) == "EFBBBF"
+    marked = F.substring(data, 1, 3) == F.unhex(F.lit("EFBBBF"))
     sure = F.when(marked, F.lit(1.0)).otherwise(F.lit(0.98))
     graded = lambda kind, confidence: F.struct(F.lit(kind).alias("kind"), F.least(F.lit(confidence), sure).alias("confidence"), F.lit("utf-8").alias("encoding"), F.lit("control-ratio").alias("signal"))
     return (
@@ -131,7 +138,7 @@ def classify_traits(path: Column, size: Column, text: Column) -> Column:
 
 def decode(data: Column, fallback: str | None = None) -> Column:
     """Struct (text, encoding): UTF-8 without its mark, else the fallback windows-1251; null if neither reads the bytes."""
-    plain = F.unhex(F.regexp_replace(F.hex(data), "^EFBBBF", "")).cast("string")
+    plain = _unmarked(data).cast("string")
     good = F.is_valid_utf8(plain)
     if fallback is None:
         return F.struct(F.when(good, plain).alias("text"), F.when(good, F.lit("utf-8")).alias("encoding"))
