@@ -24,8 +24,8 @@ SPAN = 32
 
 
 def _numerals() -> str:
-    """The characters that \\w takes but that are neither letters nor decimal digits, as ½, ² and Ⅷ, as ranges of a character class."""
-    odd = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
+    """The characters that \\w takes but that are neither letters nor decimal digits, as ½, ² and Ⅷ, as ranges of a character class; there are none above the first two planes."""
+    odd = [i for i in range(0x20000) if not 0xD800 <= i < 0xE000 and (c := chr(i)).isalnum() and not c.isalpha() and not c.isdecimal()]
     starts = [i for i, before in zip(odd, [-2, *odd]) if i != before + 1]
     ends = [i for i, after in zip(odd, [*odd[1:], 0]) if i + 1 != after]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
