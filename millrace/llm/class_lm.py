@@ -18,6 +18,8 @@ CLASSES, FORMS, UNITS, HEAD = 64, 255, 1024, 262_144
 RARE = 255
 #: Pseudo-counts: of a word, and of the lower order in a class transition.
 WORD, LOWER = 0.1, 4.0
+#: Exchange over all words: rounds after the first choice at most, the least gain of a round in nats a word, and what a table's cell has at least.
+ROUNDS, GAIN, FLOOR = 4, 0.001, 0.01
 
 
 def _spread(batches):
@@ -145,23 +147,84 @@ def _neighbours(shared, most: int = 2_000_000):
     return count
 
 
-def _chooser(into: np.ndarray, size: np.ndarray):
-    """The class that explains the classes around each word best, from (word, cells, times)."""
-
+@dataclass
+class Tables:
+    """How often each class has each class before it (before[c, k]: c before k) and after it (after[k, c])."""
+
+    before: np.ndarray
+    after: np.ndarray
+
+    def fit(self) -> float:
+        """Log-likelihood of the classes around all words, given the words' classes, but for a constant."""
+        return float(sum(_xlogx(x).sum() - _xlogx(x.sum(axis=axis)).sum() for x, axis in ((self.before, 0), (self.after, 1))))
+
+    def choose(self, around: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """The class that explains the classes around (words, 2, CLASSES) best; a word is first taken out of its own class, if it is in one."""
+        n = around[:, 0].sum(axis=1)
+        size = self.before.sum(axis=0)
+        fit = around[:, 0] @ np.log(self.before + FLOOR) + around[:, 1] @ np.log(self.after + FLOOR).T - n[:, None] * (np.log(self.after.sum(axis=1) + FLOOR) + np.log(size + n[:, None]))
+        if own is not None:
+            rest = self.before.T[own] - around[:, 0], self.after[own] - around[:, 1]
+            left = sum((x * np.log(np.maximum(y, 0) + FLOOR)).sum(axis=1) for x, y in zip((around[:, 0], around[:, 1]), rest))
+            left -= n * (np.log(np.maximum(rest[1].sum(axis=1), 0) + FLOOR) + np.log(np.maximum(size[own], n)))
+            fit[np.arange(len(own)), own] = left
+        fit[:, 0] = -np.inf
+        return fit.argmax(axis=1)
+
+
+def _chosen(batches, rounds: list[Tables]):
+    """Each batch of (word, cells, times) with the counts of classes around its words, and the classes that the rounds move them to one after another."""
+    for batch in sliced(batches, 2000):
+        cells = batch.column("cells")
+        owner = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+        flat = owner * (2 * CLASSES) + cells.flatten().to_numpy()
+        around = np.bincount(flat, batch.column("times").flatten().to_numpy(), batch.num_rows * 2 * CLASSES).reshape(-1, 2, CLASSES)
+        klass = None
+        for tables in rounds:
+            klass = tables.choose(around, klass)
+        yield batch, around, klass
+
+
+def _chooser(rounds: list[Tables]):
     def choose(batches):
-        for batch in sliced(batches, 2000):
-            cells = batch.column("cells")
-            owner = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
-            flat = owner * (2 * CLASSES) + cells.flatten().to_numpy()
-            around = np.bincount(flat, batch.column("times").flatten().to_numpy(), batch.num_rows * 2 * CLASSES).reshape(-1, 2, CLASSES)
-            n = around[:, 0].sum(axis=1)[:, None]
-            fit_ = around[:, 0] @ into + around[:, 1] @ into.T - n * np.log(size + n)
-            fit_[:, 0] = -np.inf
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(fit_.argmax(axis=1))], names=["word", "klass"])
+        for batch, _, klass in _chosen(batches, rounds):
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(klass)], names=["word", "klass"])
 
     return choose
 
 
+def _table_counter(rounds: list[Tables]):
+    """What a task's words add to the tables, as (cell, n) of (klass, side, class)."""
+
+    def count(batches):
+        total = np.zeros((CLASSES, 2 * CLASSES))
+        for _, around, klass in _chosen(batches, rounds):
+            total += np.eye(CLASSES)[klass].T @ around.reshape(len(around), -1)
+        total = total.ravel().astype(np.int64)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    return count
+
+
+def _exchanged(around: DataFrame, first: Tables, units: Tables, most: int = ROUNDS) -> list[Tables]:
+    """Rounds of exchange over all words of around (word, cells, times), by whose tables each finds its class.
+
+    A round moves every word at once to the class that explains its neighbours' classes best under the tables that the
+    round before has left, to which the units add theirs; until one gains less than GAIN a word, `most` at most. Only the
+    tables come to the driver, 2 * CLASSES**2 cells a task.
+    """
+    rounds, last = [first], -np.inf
+    while len(rounds) <= most:
+        total = _collected(around.mapInArrow(_table_counter(rounds), "cell long, n long"), 2 * CLASSES**2).reshape(CLASSES, 2, CLASSES).astype(float)
+        now = Tables(units.before + total[:, 0].T, units.after + total[:, 1])
+        if now.fit() - last < GAIN * now.before.sum():
+            break
+        last = now.fit()
+        rounds.append(now)
+    return rounds
+
+
 def _class_of(head: Head, at: np.ndarray, forms: np.ndarray) -> np.ndarray:
     own = head.klass[at] if len(head.words) else np.full(len(at), -1)
     return np.where((at >= 0) & (own >= 0), own, head.form_class[forms])
@@ -241,8 +304,9 @@ def classes(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(word, n, klass) of every word, and the class of each form, from raw texts, whose word counts are (word, form, n).
 
     END is class 0, alone. The UNITS - FORMS - 1 commonest words and all other words, grouped by
-    form, are clustered by exchange over their bigrams. Then every other word, however rare, takes the class that explains
-    its own neighbours' classes best; its counts of these stay in Spark. Words that were never seen go with their form.
+    form, are clustered by exchange over their bigrams. Then every other word, however rare, is exchanged too, by rounds over the
+    counts of the classes around it, which stay in Spark; a neighbour outside the units counts there with its form's class. Words
+    that were never seen go with their form.
     """
     spark = docs.sparkSession
     top = counts.where("form >= 0").orderBy(F.desc("n"), "word").limit(UNITS - FORMS - 1).toArrow()
@@ -254,15 +318,15 @@ def classes(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     klass = exchange(pairs, CLASSES)
     head.form_class, head.klass = klass[1 : 1 + FORMS], klass[head.unit]
     member = np.eye(CLASSES)[klass]
-    follows = member.T @ pairs @ member + 0.01
-    into, size = np.log(follows / follows.sum(axis=1, keepdims=True)), follows.sum(axis=0)
+    follows = member.T @ pairs @ member
+    alone = np.r_[0, 1 + FORMS : UNITS]
+    units = Tables((member.T @ pairs)[:, alone] @ member[alone], member[alone].T @ (pairs @ member)[alone])
     shared = spark.sparkContext.broadcast(head)
     # a task has summed its own counts, so a common word has 2 * CLASSES rows of each task at most
     around = docs.mapInArrow(_neighbours(shared), "word long, cell short, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-    around = around.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("x")).select("word", F.col("x.cell").alias("cells"), F.col("x.n").alias("times"))
-    chosen = around.mapInArrow(_chooser(into, size), "word long, klass long")
-    units = spark.createDataFrame([(int(w), int(k)) for w, k in zip(head.words.view(np.int64), head.klass)], "word long, klass long")
-    named = chosen.unionAll(units)
+    around = cut(around.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("x")).select("word", F.col("x.cell").alias("cells"), F.col("x.n").alias("times")))
+    chosen = around.mapInArrow(_chooser(_exchanged(around, Tables(follows, follows), units)), "word long, klass long")
+    named = chosen.unionAll(spark.createDataFrame([(int(w), int(k)) for w, k in zip(head.words.view(np.int64), head.klass)], "word long, klass long"))
     return cut(counts.where("form >= 0").select("word", "n").join(named, "word")), head.form_class
 
 
