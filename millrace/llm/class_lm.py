@@ -109,7 +109,7 @@ def _unit_counter(shared):
 
 
 def _neighbours(shared, most: int = 2_000_000):
-    """Classes before (cell < CLASSES) and after every word that isn't a unit, as (word, cell, n) summed in the task."""
+    """Classes before (cell < CLASSES) and after every word that isn't a unit, as (word, cells, times) summed in the task."""
 
     def merged(held):
         words, cells, n = (np.concatenate(x) for x in zip(*held))
@@ -118,9 +118,13 @@ def _neighbours(shared, most: int = 2_000_000):
         return keys[code // (2 * CLASSES)], code % (2 * CLASSES), np.bincount(at, n, len(code)).astype(np.int64)
 
     def emit(found):
-        for i in range(0, len(found[0]), 100_000):
-            words, cells, n = (x[i : i + 100_000] for x in found)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cells.astype(np.int16)), pa.array(n)], names=["word", "cell", "n"])
+        words, cells, n = found
+        if not len(words):
+            return
+        first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        ends = np.append(first[1:], len(words))
+        for i in range(0, len(first), 20_000):
+            yield _contexts(words[first[i : i + 20_000]].view(np.int64), first[i : i + 20_000], ends[i : i + 20_000], cells, n)
 
     def count(batches):
         head, held, size = shared.value, [], 0
@@ -147,6 +151,60 @@ def _neighbours(shared, most: int = 2_000_000):
     return count
 
 
+def _contexts(words: np.ndarray, first: np.ndarray, ends: np.ndarray, cells: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """(word, cells, times) of words whose cells lie one after another, each word's from first to end."""
+    offsets = pa.array(np.append(first, ends[-1:]) - first[0], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[first[0] : ends[-1]], kind)) for x, kind in ((cells, pa.int16()), (times, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(words), *lists], names=["word", "cells", "times"])
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells and times of a batch's words, and the row that each is of."""
+    cells, times = batch.column("cells"), batch.column("times")
+    owner = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+    return cells.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy(), owner
+
+
+def _gathered(batches):
+    """Sums the rows of each word, which come one after another."""
+    word, held = None, np.zeros(2 * CLASSES, np.int64)
+
+    def last():
+        cells = np.flatnonzero(held)
+        return _contexts(np.array([word]), np.array([0]), np.array([len(cells)]), cells, held[cells])
+
+    for batch in sliced(batches, 20_000):
+        words = np.asarray(batch.column("word"))
+        if not len(words):
+            continue
+        cells, times, owner = _flat(batch)
+        new = np.append(True, words[1:] != words[:-1])
+        keys, place = words[new], (np.cumsum(new) - 1)[owner]
+        code, at = np.unique(place * (2 * CLASSES) + cells, return_inverse=True)
+        n = np.bincount(at, times, len(code)).astype(np.int64)
+        ends = np.searchsorted(code, np.arange(1, len(keys) + 1) * (2 * CLASSES))
+        cells = code % (2 * CLASSES)
+        if word is not None and word != keys[0]:
+            yield last()
+            held[:] = 0
+        if len(keys) > 1:
+            if word == keys[0]:
+                held[cells[: ends[0]]] += n[: ends[0]]
+                yield last()
+                held[:] = 0
+                skip = 1
+            else:
+                skip = 0
+            if len(keys) - 1 > skip:
+                first = np.append(0, ends[:-1])
+                yield _contexts(keys[skip:-1], first[skip:-1], ends[skip:-1], cells, n)
+        begin = ends[-2] if len(keys) > 1 else 0
+        held[cells[begin:]] += n[begin:]
+        word = keys[-1]
+    if word is not None:
+        yield last()
+
+
 @dataclass
 class Tables:
     """How often each class has each class before it (before[c, k]: c before k) and after it (after[k, c])."""
@@ -158,36 +216,56 @@ class Tables:
         """Log-likelihood of the classes around all words, given the words' classes, but for a constant."""
         return float(sum(_xlogx(x).sum() - _xlogx(x.sum(axis=axis)).sum() for x, axis in ((self.before, 0), (self.after, 1))))
 
-    def choose(self, around: np.ndarray, own: np.ndarray | None) -> np.ndarray:
-        """The class that explains the classes around (words, 2, CLASSES) best; a word is first taken out of its own class, if it is in one."""
-        n = around[:, 0].sum(axis=1)
-        size = self.before.sum(axis=0)
-        fit = around[:, 0] @ np.log(self.before + FLOOR) + around[:, 1] @ np.log(self.after + FLOOR).T - n[:, None] * (np.log(self.after.sum(axis=1) + FLOOR) + np.log(size + n[:, None]))
+    def choose(self, around: np.ndarray, cells: np.ndarray, times: np.ndarray, owner: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """The class that explains the classes around each word best; a word is first taken out of its own class, if it is in one.
+
+        The words' counts are given as rows of around (words, 2 * CLASSES), and those above 0 as (cells, times, owner) too.
+        """
+        joint = np.concatenate([self.before, self.after.T])
+        before, after = self.before.sum(axis=0), self.after.sum(axis=1)
+        n = around[:, :CLASSES].sum(axis=1)
+        sizes, which = np.unique(n, return_inverse=True)
+        fit = around @ np.log(joint + FLOOR) - (sizes[:, None] * (np.log(after + FLOOR) + np.log(before + sizes[:, None])))[which]
         if own is not None:
-            rest = self.before.T[own] - around[:, 0], self.after[own] - around[:, 1]
-            left = sum((x * np.log(np.maximum(y, 0) + FLOOR)).sum(axis=1) for x, y in zip((around[:, 0], around[:, 1]), rest))
-            left -= n * (np.log(np.maximum(rest[1].sum(axis=1), 0) + FLOOR) + np.log(np.maximum(size[own], n)))
-            fit[np.arange(len(own)), own] = left
+            rest = np.log(np.maximum(joint[cells, own[owner]] - times, 0) + FLOOR)
+            left = np.log(np.maximum(after[own] - n, 0) + FLOOR) + np.log(np.maximum(before[own], n))
+            fit[np.arange(len(own)), own] = np.bincount(owner, times * rest, len(own)) - n * left
         fit[:, 0] = -np.inf
         return fit.argmax(axis=1)
 
 
+def _moved(cells: np.ndarray, times: np.ndarray, owner: np.ndarray, words: int, rounds: list[Tables]) -> np.ndarray:
+    """The classes that the rounds move words to, one round after another."""
+    around = np.bincount(owner * (2 * CLASSES) + cells, times, words * 2 * CLASSES).reshape(words, -1)
+    klass = None
+    for tables in rounds:
+        klass = tables.choose(around, cells, times, owner, klass)
+    return klass
+
+
 def _chosen(batches, rounds: list[Tables]):
-    """Each batch of (word, cells, times) with the counts of classes around its words, and the classes that the rounds move them to one after another."""
-    for batch in sliced(batches, 2000):
-        cells = batch.column("cells")
-        owner = np.repeat(np.arange(batch.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
-        flat = owner * (2 * CLASSES) + cells.flatten().to_numpy()
-        around = np.bincount(flat, batch.column("times").flatten().to_numpy(), batch.num_rows * 2 * CLASSES).reshape(-1, 2, CLASSES)
-        klass = None
-        for tables in rounds:
-            klass = tables.choose(around, klass)
-        yield batch, around, klass
+    """Each batch of (word, cells, times) with its cells, times and their owners, and the words' classes after the rounds.
+
+    Words that occur once have one of CLASSES**2 contexts, whose classes are found once a task.
+    """
+    both = np.stack([np.repeat(np.arange(CLASSES), CLASSES), CLASSES + np.tile(np.arange(CLASSES), CLASSES)], axis=1).ravel()
+    once = _moved(both, np.ones(len(both)), np.repeat(np.arange(CLASSES**2), 2), CLASSES**2, rounds)
+    for batch in sliced(batches, 8000):
+        cells, times, owner = _flat(batch)
+        klass = np.zeros(batch.num_rows, np.int64)
+        single = np.bincount(owner, times, batch.num_rows) == 2
+        pair = cells[single[owner]].reshape(-1, 2)
+        klass[single] = once[pair.min(axis=1) * CLASSES + pair.max(axis=1) - CLASSES]
+        if not single.all():
+            more = ~single[owner]
+            place = np.cumsum(~single) - 1
+            klass[~single] = _moved(cells[more], times[more], place[owner[more]], int((~single).sum()), rounds)
+        yield batch, cells, times, owner, klass
 
 
 def _chooser(rounds: list[Tables]):
     def choose(batches):
-        for batch, _, klass in _chosen(batches, rounds):
+        for batch, *_, klass in _chosen(batches, rounds):
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(klass)], names=["word", "klass"])
 
     return choose
@@ -197,10 +275,9 @@ def _table_counter(rounds: list[Tables]):
     """What a task's words add to the tables, as (cell, n) of (klass, side, class)."""
 
     def count(batches):
-        total = np.zeros((CLASSES, 2 * CLASSES))
-        for _, around, klass in _chosen(batches, rounds):
-            total += np.eye(CLASSES)[klass].T @ around.reshape(len(around), -1)
-        total = total.ravel().astype(np.int64)
+        total = np.zeros(2 * CLASSES**2, np.int64)
+        for _, cells, times, owner, klass in _chosen(batches, rounds):
+            total += np.bincount(klass[owner] * (2 * CLASSES) + cells, times, len(total)).astype(np.int64)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
@@ -322,9 +399,9 @@ def classes(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     alone = np.r_[0, 1 + FORMS : UNITS]
     units = Tables((member.T @ pairs)[:, alone] @ member[alone], member[alone].T @ (pairs @ member)[alone])
     shared = spark.sparkContext.broadcast(head)
-    # a task has summed its own counts, so a common word has 2 * CLASSES rows of each task at most
-    around = docs.mapInArrow(_neighbours(shared), "word long, cell short, n long").repartition("word").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-    around = cut(around.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("x")).select("word", F.col("x.cell").alias("cells"), F.col("x.n").alias("times")))
+    # a task has summed its own counts, so a common word has few rows of each task
+    kind = "word long, cells array<short>, times array<long>"
+    around = cut(docs.mapInArrow(_neighbours(shared), kind).repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, kind))
     chosen = around.mapInArrow(_chooser(_exchanged(around, Tables(follows, follows), units)), "word long, klass long")
     named = chosen.unionAll(spark.createDataFrame([(int(w), int(k)) for w, k in zip(head.words.view(np.int64), head.klass)], "word long, klass long"))
     return cut(counts.where("form >= 0").select("word", "n").join(named, "word")), head.form_class

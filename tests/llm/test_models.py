@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import class_lm, language_id, quality, queries
@@ -113,11 +114,36 @@ def test_words_are_exchanged_by_rounds():
                 value -= around[w, 0].sum() * (math.log(a.sum() + class_lm.FLOOR) + math.log(size))
                 best = max(best, (value, -c))
             expected.append(-best[1])
-        own = tables.choose(around, own)
+        owner, cells = np.nonzero(around.reshape(60, -1))
+        own = tables.choose(around.reshape(60, -1), cells, around.reshape(60, -1)[owner, cells], owner, own)
         assert own.tolist() == expected
     assert fits[0] < fits[1] and fits[-1] >= max(fits) - 1e-6
 
 
+def test_words_are_gathered_over_batches():
+    rng = np.random.default_rng(6)
+    words = np.sort(rng.choice([-9, 3, 5, 8, 2**62], 60))
+    rows = [Counter(rng.integers(0, 2 * class_lm.CLASSES, 5).tolist()) for _ in words]
+    expected = defaultdict(Counter)
+    for w, r in zip(words.tolist(), rows):
+        expected[w] += r
+    table = pa.table({"word": pa.array(words), "cells": pa.array([list(r) for r in rows], pa.list_(pa.int16())), "times": pa.array([list(r.values()) for r in rows], pa.list_(pa.int64()))})
+    for size in (1, 2, 7, 60):
+        made = [x for b in class_lm._gathered(table.to_batches(max_chunksize=size)) for x in b.to_pylist()]
+        assert [x["word"] for x in made] == sorted(expected)
+        assert all(dict(zip(x["cells"], x["times"])) == expected[x["word"]] for x in made)
+    assert not list(class_lm._gathered(iter([])))
+
+
+def test_words_that_occur_once_are_moved_as_all_others():
+    rng = np.random.default_rng(7)
+    rounds = [class_lm.Tables(*rng.integers(0, 50, (2, class_lm.CLASSES, class_lm.CLASSES)).astype(float)) for _ in range(3)]
+    rows = [[[int(b), class_lm.CLASSES + int(a)], [1, 1]] for b, a in rng.integers(0, class_lm.CLASSES, (30, 2))] + [[[1, 2, class_lm.CLASSES], [1, 2, 3]]]
+    batch = pa.record_batch({"word": pa.array(range(31), pa.int64()), "cells": pa.array([r[0][::-1] for r in rows], pa.list_(pa.int16())), "times": pa.array([r[1][::-1] for r in rows], pa.list_(pa.int64()))})
+    (_, cells, times, owner, klass), = class_lm._chosen(iter([batch]), rounds)
+    assert klass.tolist() == class_lm._moved(cells, times, owner, 31, rounds).tolist()
+
+
 def plain_features(data):
     words = plain_words(data)
     if not data:
