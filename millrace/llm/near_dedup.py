@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import blocks, cut, fresh, mix, raw, sliced, tidy, word_hashes
-from millrace.llm.graph import components, merge
+from millrace.llm.graph import components, join_keyed, merge
 
 _U = np.uint64
 BANDS, ROWS, SHINGLE = 40, 5, 5
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = cut(signatures(docs, bands, rows, width))
-    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sketch", "keys")).alias("of")).select("node", "doc_id", "of.*"))
+    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(F.struct("sketch", "keys")).alias("of")).select("node", "doc_id", "copies", "of.*"))
     named = signed.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0
 
     def confirmed(likely: DataFrame) -> DataFrame:
@@ -293,9 +293,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     likely = cut(_apart(likely, grouped))
     if likely.limit(1).count():
         grouped = merge(grouped, confirmed(likely))
-    group = signed.select("doc_id", "n_shingles", "node").join(grouped, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("group"))
-    least = group.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
-    out = group.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
+    # components are named by nodes, one of each set, before the rows are, so that copies move once at most
+    sets = nodes.select("node", "doc_id", "copies").join(grouped, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("group"))
+    sets = cut(sets)
+    least = sets.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    named_sets = cut(join_keyed(sets, least, "group", sets.count()).select("node", F.col("least").cast(kind).alias("component_id"), F.col("copies").alias("n")))
+    worded = signed.where("node is not null").select("doc_id", "n_shingles", "node")
+    found = join_keyed(worded, named_sets, "node", signed.count()).select("doc_id", "n_shingles", "component_id")
+    out = found.unionByName(signed.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

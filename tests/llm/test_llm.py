@@ -550,6 +550,23 @@ def test_only_confirmed_links_keep_others_out():
         assert roots([(x["u"] - 100, x["v"] - 100) for x in found]) == roots(linked)
 
 
+@pytest.mark.parametrize("hot", [0, 2, 4, 4096])
+def test_hot_keys_are_joined_alike(spark, monkeypatch, hot):
+    """A key with over half of the rows, keys with few and rows without a key, whichever are taken for hot."""
+    monkeypatch.setattr(graph, "HOT", hot)
+    rows = [(7, i) for i in range(120)] + [(i, i) for i in range(20, 60)] + [(None, 5)] * 3
+    df = spark.createDataFrame(rows, "k long, x long")
+    own = df.groupBy("k").agg(F.min("x").alias("m"), F.count("*").alias("n"))
+    least = {}
+    for k, x in rows:
+        least[k] = min(least.get(k, x), x)
+    got = sorted(tuple(r) for r in graph.join_keyed(df, own, "k", len(rows)).collect())
+    assert got == sorted((k, x, least[k]) for k, x in rows if k is not None)
+    edges = [(0, i) for i in range(1, 90)] + [(i, i + 1) for i in range(200, 230)] + [(89, 200), (300, 301)]
+    found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{i: 0 for i in [*range(90), *range(200, 231)]}, 300: 300, 301: 300}
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
