@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, class_lm, language_id, merge_dropout, near_dedup, packing, quality, site_templates, spot_signatures, topk_search
+from millrace.llm import chat_format, class_lm, language_id, merge_dropout, merkle, name_join, near_dedup, packing, quality, site_templates, spot_signatures, topk_search
 from millrace.llm.common import fold, load
 
 #: A document whose predicted language has a lesser mean marginal is rejected by the pipeline.
@@ -127,8 +127,29 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by source, with a proof of each row and what a tampered row folds to."""
+    docs, columns = load(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    changed = [merkle.field(name_join.lower_ascii(F.col(c)) if c == "text" else F.col(c)) for c in columns]
+    # the manifest keeps the changed leaf beside each row, not its text
+    rows = docs.select(*columns, F.when(tampered, merkle.digest(*changed)).alias("changed"))
+    found = merkle.manifest(rows, columns, "doc_id", "source", keep=["doc_id", "changed"])
+    folded = merkle.fold_path(F.coalesce("changed", "leaf"), F.col("path"))
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients whose names are at most two operations from a vendor's misspelt name, by vendor and distance."""
+    clients, vendors = load(spark, sf_dir, "clients"), load(spark, sf_dir, "vendors")
+    ours = clients.select("client_id", name_join.lower_ascii(F.col("name")).alias("name"))
+    theirs = vendors.select("vendor_id", name_join.lower_ascii(name_join.misspelt(F.col("vendor_id"), F.col("name"))).alias("name"))
+    return name_join.join_by_name(ours, theirs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_chat_format, op3_main_text, op4_topk, op5_packing, op6_merge_dropout, op7_fingerprint, op8_quality, op9_language, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_class_lm, op2_chat_format, op3_main_text, op4_topk, op5_packing, op6_merge_dropout, op7_fingerprint, op8_quality, op9_language, op10_near_dedup, op11_merkle, op13_name_join)}
 
 
 def oracle_sql() -> dict[str, str]:
