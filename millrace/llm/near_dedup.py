@@ -234,12 +234,12 @@ def _texts(docs: DataFrame, nodes: DataFrame, needed: DataFrame, named: bool, wi
     return docs.select("doc_id", raw(F.col("text")).alias("raw")).join(ids, "doc_id").select("node", "raw")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, margin: float = MARGIN) -> DataFrame:
     """Of the candidate pairs (u, v), those whose sketches are alike enough."""
     left = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("left_sketch"))
     right = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("right_sketch"))
     met = pairs.join(left, "u").join(right, "v").select("u", "v", "left_sketch", "right_sketch")
-    return met.mapInArrow(_agreeing(percent / 100 - MARGIN), "u long, v long")
+    return met.mapInArrow(_agreeing(percent / 100 - margin), "u long, v long")
 
 
 def _confirmed(likely: DataFrame, nodes: DataFrame, docs: DataFrame, named: bool, percent: int, width: int) -> DataFrame:

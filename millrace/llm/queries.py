@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, class_lm, language_id, merge_dropout, merkle, name_join, near_dedup, packing, quality, site_templates, spot_signatures, topk_search
+from millrace.llm import chat_format, class_lm, language_id, merge_dropout, merkle, name_join, near_dedup, packing, quality, site_templates, spot_signatures, token_groups, topk_search
 from millrace.llm.common import fold, load
 
 #: A document whose predicted language has a lesser mean marginal is rejected by the pipeline.
@@ -140,6 +140,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by links of Jaccard similarity over four-word shingles."""
+    return token_groups.jaccard_components(load(spark, sf_dir, "documents"), percent=85, width=4)
+
+
 def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients whose names are at most two operations from a vendor's misspelt name, by vendor and distance."""
     clients, vendors = load(spark, sf_dir, "clients"), load(spark, sf_dir, "vendors")
@@ -149,7 +154,7 @@ def op13_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_class_lm, op2_chat_format, op3_main_text, op4_topk, op5_packing, op6_merge_dropout, op7_fingerprint, op8_quality, op9_language, op10_near_dedup, op11_merkle, op13_name_join)}
+    return {f.__name__: f for f in (op1_class_lm, op2_chat_format, op3_main_text, op4_topk, op5_packing, op6_merge_dropout, op7_fingerprint, op8_quality, op9_language, op10_near_dedup, op11_merkle, op12_jaccard_join, op13_name_join)}
 
 
 def oracle_sql() -> dict[str, str]:
