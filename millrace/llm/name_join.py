@@ -19,9 +19,12 @@ SLOTS = 1 << 16
 BLOCK = 1024
 #: Pairs, and cells of a matrix of names, that a task compares at once.
 PAIRS, CELLS = 1 << 20, 1 << 22
+#: Places in a name whose grams share a posting list; more than twice the distance.
+PLACES = 16
 #: More than any distance that is asked for.
 _FAR = 1 << 20
-_ENDS = "key long, block long, side int, name string, pos int, short boolean"
+_POSTS = "key long, side int, name string, pos int"
+_ENDS = "key long, block long, side int, name string, pos int"
 
 
 def lower_ascii(name: Column) -> Column:
@@ -76,9 +79,9 @@ def prefixes(names: list[str], counts: np.ndarray, q: int, most: int) -> tuple[n
     Grams are ordered by the count of their slot, rarest first, then by hash. A prefix is the shortest one
     whose grams can't all be destroyed by `most` operations; as one operation, an exchange at worst, destroys
     grams at q + 1 consecutive positions only, it ends with the gram that makes a cover by windows of that
-    width need one window more. Where a gram is in it, so are all its places in the name. Of two names within the distance
-    the one whose prefix ends earlier keeps one of its grams, which is then in the other's prefix too, at most
-    `most` positions away.
+    width need one window more. Of two names within the distance the one whose prefix ends earlier keeps one of its grams, and the other has it
+    at most `most` positions away. That is in the other's prefix too, or it is a later place of the prefix's last gram: later by no more
+    places than operations can make grams, so as many more of its places are added.
     """
     hashes, owner, pos = _grams(names, q)
     count = counts[_slots(hashes)]
@@ -101,12 +104,15 @@ def prefixes(names: list[str], counts: np.ndarray, q: int, most: int) -> tuple[n
         needed[(needed == 0) & (windows > most) & (own >= m)] = m
     short = needed == 0
     last = hashes[np.minimum(first + needed - 1, max(len(hashes) - 1, 0))] if len(hashes) else np.zeros(len(names), np.uint64)
-    within = ~short[owner] & ((rank < needed[owner]) | (hashes == last[owner]))
+    begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])) if len(owner) else rank
+    time = np.arange(len(owner)) - np.repeat(begins, np.diff(np.append(begins, len(owner))))
+    within = ~short[owner] & ((rank < needed[owner]) | ((hashes == last[owner]) & (time < widest + most * (q + 1))))
     return hashes[within], owner[within], pos[within], short
 
 
 def _posting(side: int, counts: np.ndarray, q: int, most: int):
-    """Rows (key, side, name, pos, short) of each name: for each gram of its prefix and each length that meets its own, on the right side, or its own.
+    """Rows (key, side, name, pos) of each name for each gram of its prefix: one on the left side, for its own length and range of places; on the right
+    side one for each length and range that may meet its own.
 
     Names of which one is too short for a prefix meet by their lengths alone: short ones of the left in one range of keys, short
     ones of the right with longer ones of the left in another.
@@ -127,9 +133,12 @@ def _posting(side: int, counts: np.ndarray, q: int, most: int):
                     kept.append((np.full(len(own), kind, np.uint64), own, np.zeros(len(own), np.int64)))
                 hashes, owner, pos = (np.concatenate(x) for x in zip(*kept))
                 for step in range(-most, most + 1) if side else (0,):
-                    key = mix(hashes * _U(0x9E3779B97F4A7C15) + (lengths[owner] + step).astype(np.uint64)).view(np.int64)
-                    at = pa.array(owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, np.int32)), batch.column("name").take(at), pa.array(pos.astype(np.int32)), pa.array(short[owner])], names=["key", "side", "name", "pos", "short"])
+                    for shift in (-most, most) if side else (0,):
+                        places = np.where(hashes < 3, 0, (pos + shift) // PLACES)
+                        some = slice(None) if shift <= 0 else np.flatnonzero(places != np.where(hashes < 3, 0, (pos - shift) // PLACES))
+                        own = owner[some]
+                        key = mix(mix(hashes[some] * _U(0x9E3779B97F4A7C15) + (lengths[own] + step).astype(np.uint64)) + places[some].astype(np.uint64)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, np.int32)), batch.column("name").take(pa.array(own)), pa.array(pos[some].astype(np.int32))], names=["key", "side", "name", "pos"])
 
     return post
 
@@ -151,7 +160,7 @@ def _dealing(sides: tuple[np.ndarray, np.ndarray]):
                 other = np.arange(len(rows)) - np.repeat(np.cumsum(theirs) - theirs, theirs)
                 left, right = np.where(side[rows] == 0, own[rows], other), np.where(side[rows] == 0, other, own[rows])
                 out = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([out.column("key"), pa.array(left * (1 << 31) + right), *(out.column(c) for c in ("side", "name", "pos", "short"))], names=["key", "block", "side", "name", "pos", "short"])
+                yield pa.RecordBatch.from_arrays([out.column("key"), pa.array(left * (1 << 31) + right), *(out.column(c) for c in ("side", "name", "pos"))], names=["key", "block", "side", "name", "pos"])
 
     return deal
 
@@ -216,27 +225,36 @@ def _shared(grams: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
     return (found & (grams != 0)).sum(axis=1)
 
 
-def _within(names: list[str], left: np.ndarray, right: np.ndarray, q: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (left, right) of names, given by their places, that are at most `most` apart, and their distances.
-
-    First by count filters: an operation destroys q + 1 grams at most, so of each name's grams all but most * (q + 1) must be in the
-    other; that is tested on 64 bits of hashed grams, then on the grams and their positions. Names of more than 64 grams skip the second test.
-    """
+def _marked(names: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name: how many grams it has, 64 bits of hashed grams, and the grams by position, of the first 64."""
     hashes, owner, pos = _grams(names, q)
     own = np.bincount(owner, minlength=len(names))
     bits = np.zeros(len(names), np.uint64)
     np.bitwise_or.at(bits, owner, _U(1) << (hashes >> _U(58)))
-    lost = most * (q + 1)
-    fit = (np.bitwise_count(bits[left] & ~bits[right]) <= lost) & (np.bitwise_count(bits[right] & ~bits[left]) <= lost)
-    left, right = left[fit], right[fit]
     width = int(min(own.max(initial=0), 64))
     table = np.zeros((len(names), width), np.uint64)
     seen = pos < width
     table[owner[seen], pos[seen]] = hashes[seen] | _U(1)
+    return own, bits, table
+
+
+def _within(names: list[str], marks: tuple[np.ndarray, np.ndarray, np.ndarray], left: np.ndarray, right: np.ndarray, q: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (left, right) of names, given by their places, that are at most `most` apart, and their distances.
+
+    First by count filters: an operation destroys q + 1 grams at most, so of each name's grams all but most * (q + 1) must be in the
+    other; that is tested on 64 bits of hashed grams, then on the grams and their positions. Names of more than 64 grams skip the second test.
+    """
+    own, bits, table = marks
+    lost = most * (q + 1)
+    a, b = bits[left], bits[right]
+    both = a & b
+    fit = np.flatnonzero((np.bitwise_count(a ^ both) <= lost) & (np.bitwise_count(b ^ both) <= lost))
+    met = np.unique(left[fit] << 32 | right[fit])
+    left, right = met >> 32, met & 0xFFFFFFFF
     fit = np.ones(len(left), bool)
     for begin in range(0, len(left), PAIRS // 8):
         i, j = left[begin : begin + PAIRS // 8], right[begin : begin + PAIRS // 8]
-        far = np.maximum(own[i], own[j]) > width
+        far = np.maximum(own[i], own[j]) > table.shape[1]
         fit[begin : begin + PAIRS // 8] = far | ((_shared(table[i], table[j], most) >= own[i] - lost) & (_shared(table[j], table[i], most) >= own[j] - lost))
     left, right = left[fit], right[fit]
     far = distances([names[i] for i in left.tolist()], [names[j] for j in right.tolist()], most)
@@ -250,8 +268,9 @@ def _matching(q: int, most: int):
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         coded = table.column("name").combine_chunks().dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        lengths = np.fromiter(map(len, names), np.int64, len(names))[code]
-        key, block, side, pos, short = (table.column(c).to_numpy() for c in ("key", "block", "side", "pos", "short"))
+        lengths, marks = np.fromiter(map(len, names), np.int32, len(names))[code], _marked(names, q)
+        code = code.astype(np.int64)
+        key, block, side, pos = (table.column(c).to_numpy() for c in ("key", "block", "side", "pos"))
         group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) - 1
         lefts = np.bincount(group, weights=side == 0).astype(np.int64)
         begin = np.searchsorted(group, np.arange(len(lefts)))
@@ -265,9 +284,8 @@ def _matching(q: int, most: int):
             at = upto
             r = np.repeat(some, many)
             left = np.repeat(begin[group[some]], many) + np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
-            fit = (np.abs(lengths[left] - lengths[r]) <= most) & (np.abs(pos[left] - pos[r]) <= most)
-            met = np.unique(code[left[fit]].astype(np.int64) << 32 | code[r[fit]])
-            i, j, far = _within(names, met >> 32, met & 0xFFFFFFFF, q, most)
+            fit = np.flatnonzero((np.abs(lengths[left] - lengths[r]) <= most) & (np.abs(pos[left] - pos[r]) <= most))
+            i, j, far = _within(names, marks, code[left[fit]], code[r[fit]], q, most)
             if len(i):
                 yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(i)), coded.dictionary.take(pa.array(j)), pa.array(far.astype(np.int32))], names=["left", "right", "distance"])
 
@@ -305,7 +323,7 @@ def near_names(left: DataFrame, right: DataFrame, most: int = 2, q: int = GRAM)
     """
     sides = [cut(side.select(F.col("name").cast("string").alias("name")).where("name <> ''").distinct()) for side in (left, right)]
     counts = _table(sides[0].unionAll(sides[1]).mapInArrow(_counting(q), "slot long, n long"))
-    posted = [cut(side.mapInArrow(_posting(k, counts, q, most), "key long, side int, name string, pos int, short boolean")) for k, side in enumerate(sides)]
+    posted = [cut(side.mapInArrow(_posting(k, counts, q, most), _POSTS)) for k, side in enumerate(sides)]
     slot = F.pmod(F.shiftrightunsigned("key", 48), F.lit(SLOTS)).alias("slot")
     lists = tuple(_table(p.groupBy(slot).agg(F.count("*").alias("n"))) for p in posted)
     dealt = posted[0].unionAll(posted[1]).mapInArrow(_dealing(lists), _ENDS)
