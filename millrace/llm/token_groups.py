@@ -27,6 +27,8 @@ COMMON = 1 << 17
 LOCAL = 4
 #: Tokens of a bucket of the matrix, about, and queries that a group is opened for at once.
 BUCKET, QUERIES = 2_000_000, 4096
+#: Of which share of the tokens, one in so many, nodes without relatives are told first.
+SHARE = 3
 
 
 def _needed(n, percent: int):
@@ -47,30 +49,37 @@ def _distinct(texts: list[bytes], width: int) -> tuple[list[int], list[np.ndarra
     return list(sets), list(sets.values())
 
 
-def _signer(width: int):
-    def sign(batches):
-        a, b = _universal(BANDS * ROWS)
+def _measuring(width: int):
+    """Of each text the size and digest of its set; on the first row of a block, the tokens that several of its sets have, and how many."""
+
+    def measure(batches):
         with np.errstate(over="ignore"):
             for batch in sliced(batches, 2000):
-                n, node, sketch, keys, sets = [], [], [], [], {}
+                n, node, sets = [], [], {}
                 for found in shingle_sets(batch.column("raw").to_pylist(), width):
                     n.append(len(found))
-                    if not len(found):
-                        for out in (node, sketch, keys):
-                            out.append(None)
-                        continue
-                    node.append(_digest(found))
-                    least = minima(found, a, b)
-                    sketch.append(least.astype(np.uint8).tobytes())
-                    keys.append(_band_keys(least, BANDS, ROWS).view(np.int64))
-                    sets.setdefault(node[-1], found)
+                    node.append(_digest(found) if len(found) else None)
+                    if len(found):
+                        sets.setdefault(node[-1], found)
                 often = [None] * len(n)
                 if sets:
                     token, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
                     some = times >= LOCAL
                     often[0] = np.stack([token[some].view(np.int64), times[some]]).T.ravel() if some.any() else None
-                made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_shingles", "node", "sketch", "keys", "often"])
+                made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(often, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_shingles", "node", "often"])
+
+    return measure
+
+
+def _signing(width: int):
+    def sign(batches):
+        a, b = _universal(BANDS * ROWS)
+        with np.errstate(over="ignore"):
+            for batch in sliced(batches):
+                least = [minima(found, a, b) for found in shingle_sets(batch.column("raw").to_pylist(), width)]
+                made = [pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array([_band_keys(x, BANDS, ROWS).view(np.int64) for x in least], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "sketch", "keys"])
 
     return sign
 
@@ -93,16 +102,16 @@ def _held(token: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (common[at] == token) if len(common) else np.zeros(len(token), bool), at
 
 
-def _filling(common, buckets: int, percent: int, width: int):
-    """Rows of the matrix by bucket: low halves of tokens, places of their nodes and the nodes.
+def _filling(common, buckets: int, percent: int, width: int, share: int):
+    """Rows of the matrix by bucket, of one in `share` of the tokens: low halves of tokens by node, how many each node has and the nodes.
 
-    Bucket -1 has common tokens of prefixes (ranks, nodes), bucket -2 how many different entries a node has in
-    the other buckets, where that isn't its set's size.
+    Of negative buckets, odd ones have common tokens of prefixes (ranks), even ones how many different entries a node has in
+    the others.
     """
 
     def fill(batches):
         tokens, ranks = common.value
-        names = ["bucket", "low", "place", "nodes"]
+        names = ["bucket", "low", "counts", "nodes"]
         with np.errstate(over="ignore"):
             for batch in sliced(batches, 2000):
                 nodes, sets = _distinct(batch.column("raw").to_pylist(), width)
@@ -111,31 +120,27 @@ def _filling(common, buckets: int, percent: int, width: int):
                 ids, sizes = np.array(nodes, np.int64), np.fromiter(map(len, sets), np.int64, len(sets))
                 token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
                 is_common, at = _held(token, tokens)
-                rest, own = token[~is_common], owner[~is_common]
-                entry = (rest >> _U(32)) % _U(buckets) << _U(32) | rest & _U(0xFFFFFFFF)
-                order = np.argsort(entry, kind="stable")
-                entry, own = entry[order], own[order]
-                new = np.ones(len(entry), bool)
-                new[1:] = (entry[1:] != entry[:-1]) | (own[1:] != own[:-1])
-                entry, own = entry[new], own[new]
+                rest = ~is_common & ((token >> _U(5)) % _U(share) == 0) if share > 1 else ~is_common
+                # bucket, node and low half of a token in one number
+                entry = np.unique((token[rest] >> _U(32)) % _U(buckets) << _U(43) | owner[rest].astype(np.uint64) << _U(32) | token[rest] & _U(0xFFFFFFFF))
+                own = (entry >> _U(32) & _U(0x7FF)).astype(np.int64)
                 known = np.bincount(own, minlength=len(sets))
-                rows: list[tuple] = []
-                edges = np.flatnonzero(np.diff(entry >> _U(32), prepend=_U(buckets + 1), append=_U(buckets + 1))) if len(entry) else []
+                spread = int(ids[0]) % buckets
+                rows: list[tuple] = [(-2 - 2 * spread, known.tobytes(), b"", ids.tobytes())]
+                edges = np.flatnonzero(np.diff(entry >> _U(43), prepend=_U(1 << 21), append=_U(1 << 21))) if len(entry) else []
                 for begin, end in zip(edges[:-1], edges[1:]):
-                    some, place = np.unique(own[begin:end], return_inverse=True)
-                    rows.append((int(entry[begin] >> _U(32)), entry[begin:end].astype(np.uint32).tobytes(), place.astype(np.uint16).tobytes(), ids[some].tobytes()))
-                lacking = sizes - _needed(sizes, percent) + 1 - known
-                few = lacking[owner] > 0
-                who, rank = owner[is_common & few], ranks[at[is_common & few]] if len(tokens) else np.zeros(0, np.int64)
-                order = np.lexsort((rank, who))
-                who, rank = who[order], rank[order]
-                count = np.bincount(who, minlength=len(sets))
-                taken = np.arange(len(who)) - (np.cumsum(count) - count)[who] < lacking[who]
-                if taken.any():
-                    rows.append((-1, rank[taken].tobytes(), b"", ids[who[taken]].tobytes()))
-                odd = known != sizes
-                if odd.any():
-                    rows.append((-2, known[odd].tobytes(), b"", ids[odd].tobytes()))
+                    some, count = np.unique(own[begin:end], return_counts=True)
+                    rows.append((int(entry[begin] >> _U(43)), entry[begin:end].astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), ids[some].tobytes()))
+                if share == 1 and len(tokens):
+                    lacking = sizes - _needed(sizes, percent) + 1 - known
+                    few = is_common & (lacking[owner] > 0)
+                    who, rank = owner[few], ranks[at[few]]
+                    order = np.lexsort((rank, who))
+                    who, rank = who[order], rank[order]
+                    count = np.bincount(who, minlength=len(sets))
+                    taken = np.arange(len(who)) - (np.cumsum(count) - count)[who] < lacking[who]
+                    if taken.any():
+                        rows.append((-1 - 2 * spread, rank[taken].tobytes(), b"", ids[who[taken]].tobytes()))
                 for begin in range(0, len(rows), 512):
                     part = rows[begin : begin + 512]
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
@@ -143,51 +148,82 @@ def _filling(common, buckets: int, percent: int, width: int):
     return fill
 
 
-def _sharing(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """(node, token, n) of a bucket's tokens that several nodes have; n: how many."""
-    bucket = key[0].as_py()
-    low, nodes = [], []
-    for a, b, c in zip(*(table.column(c).to_pylist() for c in ("low", "place", "nodes"))):
-        low.append(np.frombuffer(a, np.uint32))
-        nodes.append(np.frombuffer(c, np.int64)[np.frombuffer(b, np.uint16)])
-    ids, code = np.unique(np.concatenate(nodes), return_inverse=True)
-    pair = np.unique(np.concatenate(low).astype(np.uint64) << _U(32) | code.astype(np.uint64))
+_FILLED = "bucket long, low binary, counts binary, nodes binary"
+
+
+def _bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different (token, node) of a bucket by token: low half, place of the node, how many nodes have the token; and the nodes."""
+    low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    ids, code = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()]), return_inverse=True)
+    pair = np.unique(low.astype(np.uint64) << _U(32) | np.repeat(code, counts).astype(np.uint64))
     edges = np.flatnonzero(np.diff(pair >> _U(32), prepend=_U(1 << 40)))
     n = np.diff(np.append(edges, len(pair)))
-    times = np.repeat(n, n)
-    some = times > 1
-    token = (pair[some] >> _U(32)).astype(np.int64) + (bucket << 32)
-    return pa.table({"node": ids[(pair[some] & _U(0xFFFFFFFF)).astype(np.int64)], "token": token, "n": times[some]})
+    return (pair >> _U(32)).astype(np.int64), (pair & _U(0xFFFFFFFF)).astype(np.int64), np.repeat(n, n), ids
 
 
-def _pairs(rows: DataFrame, name: str) -> DataFrame:
-    """(node, name) of packed rows (low: values, nodes)."""
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("nodes", "low"))
 
-    def unpack(batches):
-        for batch in batches:
-            for low, nodes in zip(batch.column("low").to_pylist(), batch.column("nodes").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, np.int64)), pa.array(np.frombuffer(low, np.int64))], names=["node", name])
 
-    return rows.select("low", "nodes").mapInArrow(unpack, f"node long, {name} long")
+def _shared_by(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(node, known, shared): how many entries each node has, and how many of a bucket's tokens it shares with others."""
+    if key[0].as_py() < 0:
+        nodes, known = _unpacked(table)
+        nodes, first = np.unique(nodes, return_index=True)
+        return pa.table({"node": nodes, "known": known[first], "shared": np.zeros(len(nodes), np.int64)})
+    _, place, n, ids = _bucket(table)
+    shared = np.bincount(place[n > 1], minlength=len(ids))
+    some = np.flatnonzero(shared)
+    return pa.table({"node": ids[some], "known": np.zeros(len(some), np.int64), "shared": shared[some]})
 
 
-def prefixes(docs: DataFrame, nodes: DataFrame, common, buckets: int, percent: int, width: int) -> DataFrame:
-    """(token, node): of each node's tokens, rarest first, the first as many as leave too few for a link, without those that no other node has.
+def _sharing(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """(node, token, n) of a bucket's tokens that several nodes have; n: how many, 0 with what a node has at all, -1 for common tokens."""
+    bucket = key[0].as_py()
+    if bucket < 0:
+        nodes, value = _unpacked(table)
+        return pa.table({"node": nodes, "token": -1 - value if bucket % 2 else value, "n": np.full(len(nodes), -1 if bucket % 2 else 0, np.int64)})
+    low, place, n, ids = _bucket(table)
+    some = n > 1
+    return pa.table({"node": ids[place[some]], "token": low[some] + (bucket << 32), "n": n[some]})
+
+
+def _longest(n: Column, percent: int) -> Column:
+    """Length of the prefix of a set of n: what is left after it is too little for a link."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _buckets(docs: DataFrame, tokens: int) -> int:
+    return min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET)), 1 << 20)
+
+
+def related(docs: DataFrame, nodes: DataFrame, common, tokens: int, percent: int, width: int) -> DataFrame:
+    """Those of nodes (node, n_shingles and others) that may link with another.
+
+    A node that has more tokens alone than its prefix is long has none but such in it, rarest first, and links with no other. One in
+    SHARE of the tokens is enough to tell most of these, so only the others' tokens are all looked at.
+    """
+    buckets = _buckets(docs, tokens // SHARE)
+    filled = docs.select(raw(F.col("text")).alias("raw")).mapInArrow(_filling(common, buckets, percent, width, SHARE), _FILLED)
+    counts = filled.groupBy("bucket").applyInArrow(_shared_by, "node long, known long, shared long").groupBy("node").agg((F.max("known") - F.sum("shared")).alias("alone"))
+    return nodes.join(counts.select("node", "alone"), "node").where(F.col("alone") < _longest(F.col("n_shingles"), percent)).drop("alone")
+
+
+def prefixes(texts: DataFrame, nodes: DataFrame, common, percent: int, width: int) -> DataFrame:
+    """(token, node) of texts (node, raw): of each node's tokens, rarest first, the first as many as leave too few for a link, without those that no other node has.
 
     Two sets that link share a token of both these prefixes. The order is by how many nodes have a token, as the matrix's columns tell,
-    and common tokens come last; so a text without relatives mostly has tokens of its own alone there, and no row.
+    and common tokens come last.
     """
-    filled = cut(docs.select(raw(F.col("text")).alias("raw")).mapInArrow(_filling(common, buckets, percent, width), "bucket long, low binary, place binary, nodes binary"))
-    shared = filled.where("bucket >= 0").groupBy("bucket").applyInArrow(_sharing, "node long, token long, n long")
-    known = _pairs(filled.where("bucket = -2"), "known").groupBy("node").agg(F.max("known").alias("known"))
-    of = nodes.select("node", "n_shingles").join(known, "node", "left")
-    n = F.col("n_shingles")
-    longest = n - F.ceil(n * percent / 100) + 1
-    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("found"))
-    take = (longest - F.coalesce("known", n) + F.size("found")).cast("int")
-    rare = listed.join(of, "node").withColumn("take", take).where("take > 0").select(F.explode(F.slice("found", F.lit(1), F.col("take"))).alias("of"), "node").select("of.token", "node")
-    often = _pairs(filled.where("bucket = -1"), "rank").select((-1 - F.col("rank")).alias("token"), "node")
-    return rare.unionAll(often).distinct()
+    buckets = _buckets(texts, nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    filled = texts.mapInArrow(_filling(common, buckets, percent, width, 1), _FILLED)
+    shared = filled.groupBy("bucket").applyInArrow(_sharing, "node long, token long, n long").repartition("node")
+    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("of")).join(nodes.select("node", "n_shingles"), "node")
+    rare, often = F.filter("of", lambda x: x["n"] > 0), F.filter("of", lambda x: x["n"] < 0)
+    known = F.element_at(F.filter("of", lambda x: x["n"] == 0), 1)["token"]
+    take = F.greatest(_longest(F.col("n_shingles"), percent) - known + F.size(rare), F.lit(0)).cast("int")
+    return listed.select(F.explode(F.array_distinct(F.concat(F.slice(rare, F.lit(1), take), often))).alias("of"), "node").select("of.token", "node")
 
 
 def _opening(percent: int, width: int):
@@ -295,20 +331,23 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     are taken whole. Other columns are ignored; an empty table gives no rows.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    signed = cut(docs.select("doc_id", raw(F.col("text")).alias("raw")).mapInArrow(_signer(width), f"doc_id {kind}, n_shingles long, node long, sketch binary, keys array<long>, often array<long>"))
-    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min(F.struct("sketch", "keys")).alias("of")).select("node", "doc_id", "n_shingles", "copies", "of.*"))
+    signed = cut(docs.select("doc_id", raw(F.col("text")).alias("raw")).mapInArrow(_measuring(width), f"doc_id {kind}, n_shingles long, node long, often array<long>"))
+    nodes = cut(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")))
     named = signed.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count() == 0
     total = signed.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    common = spark.sparkContext.broadcast(_often(signed, total))
 
-    likely = cut(_likely(_stars(_met(nodes)), nodes, percent, MARGIN))
+    open_ = cut(related(docs, nodes, common, total, percent, width))
+    tidy(open_)
+    texts = _texts(docs, nodes, open_.select("node"), named, width)
+    open_ = cut(open_.join(texts.mapInArrow(_signing(width), "node long, sketch binary, keys array<long>"), "node"))
+    likely = cut(_likely(_stars(_met(open_)), open_, percent, MARGIN))
     clusters = cut(components(likely))
-    linked = cut(components(_confirmed(likely, nodes, docs, named, percent, width)))
-    grouped = cut(_grouped(nodes, clusters, linked))
+    linked = cut(components(_confirmed(likely, open_, docs, named, percent, width)))
+    grouped = cut(_grouped(open_, clusters, linked))
     tidy(grouped)
 
-    common = spark.sparkContext.broadcast(_often(signed, total))
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    prefix = cut(prefixes(docs, nodes, common, buckets, percent, width))
+    prefix = cut(prefixes(texts, open_, common, percent, width))
     tidy(prefix)
     asked = cut(_candidates(prefix, grouped, percent))
     links = _opened(docs, nodes, asked, grouped, named, percent, width)
