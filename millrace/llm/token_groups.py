@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, mix, raw, sliced, tidy
-from millrace.llm.graph import components, join_keyed, merge
+from millrace.llm.graph import components, join_keyed
 from millrace.llm.near_dedup import _band_keys, _confirmed, _likely, _met, _stars, _texts, _universal, minima, shingle_sets
 
 _U = np.uint64
@@ -227,7 +227,7 @@ def prefixes(texts: DataFrame, nodes: DataFrame, common, percent: int, width: in
 
 
 def _opening(percent: int, width: int):
-    """Links (u, v) between each group's members and the queries after them: rows come sorted by group, part and side.
+    """Links (u, v) between each group's members and the queries after them, as many as join their components: rows come sorted by group, part and side.
 
     A group's matrix column, the union of its members' tokens, bounds what a query can share with any
     of them; only if that could be enough is the group opened, and its members' shares are counted.
@@ -241,6 +241,12 @@ def _opening(percent: int, width: int):
         union, first = np.unique(token, return_index=True)
         held = np.diff(np.append(first, len(token)))
         node, comp = np.array(nodes, np.int64), np.array(comps, np.int64)
+        joined: dict[int, int] = {}
+
+        def now(component: int) -> int:
+            while component in joined:
+                component = joined[component]
+            return component
 
         def ask(own: int, mine: int, found: np.ndarray) -> Iterator[tuple[int, int]]:
             at = np.minimum(np.searchsorted(union, found), len(union) - 1)
@@ -251,9 +257,16 @@ def _opening(percent: int, width: int):
             n = held[at]
             where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
             shared = np.bincount(owner[where], minlength=len(sets))
-            near = np.flatnonzero((100 * shared >= percent * (len(found) + sizes - shared)) & (comp != mine))
+            near = np.flatnonzero(100 * shared >= percent * (len(found) + sizes - shared))
+            mine, met = now(mine), {}
             for k in near[np.unique(comp[near], return_index=True)[1]].tolist():
-                yield min(own, int(node[k])), max(own, int(node[k]))
+                met.setdefault(now(int(comp[k])), k)
+            # of components that earlier queries have joined one link is enough
+            for other, k in met.items():
+                if other != mine:
+                    joined[other] = mine
+                    yield min(own, int(node[k])), max(own, int(node[k]))
+            comp[near] = mine
 
         return ask
 
@@ -286,13 +299,16 @@ def _opening(percent: int, width: int):
     return open_
 
 
-def _grouped(nodes: DataFrame, clusters: DataFrame, linked: DataFrame) -> DataFrame:
-    """(node, n_shingles, component, pure, group, size, least, most): each cluster's nodes in groups of bounded size.
+def _grouped(nodes: DataFrame, leads: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, n_shingles, component, pure, group, size, least, most): the nodes of each cluster, those of one lead, in groups of bounded size.
 
-    A component's nodes are in groups of their own, whose component `pure` names; those still alone, with which a cluster may be full, are together.
+    Nodes that link with their lead are in groups of their own with it, whose component `pure` names; those still alone, with which a cluster may be full, are together.
     """
-    own = nodes.select("node", "n_shingles").join(clusters.withColumnRenamed("component", "cluster"), "node", "left").join(linked, "node", "left")
-    own = own.select("node", "n_shingles", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("component", "node").alias("component"), F.col("component").alias("pure"))
+    linked = stars.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    heads = stars.select(F.col("u").alias("node"), F.col("u").alias("head")).distinct()
+    own = nodes.select("node", "n_shingles").join(leads.select("node", F.col("lead").alias("cluster")), "node", "left").join(linked, "node", "left").join(heads, "node", "left")
+    pure = F.coalesce("head", "component")
+    own = own.select("node", "n_shingles", F.coalesce("head", "cluster", "node").alias("cluster"), F.coalesce(pure, "node").alias("component"), pure.alias("pure"))
     size = own.groupBy("cluster", "pure").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n_shingles") / GROUP_TOKENS)).alias("slices"))
     placed = own.join(size, (own["cluster"] == size["cluster"]) & own["pure"].eqNullSafe(size["pure"])).select(own["*"], "slices")
     placed = placed.withColumn("group", F.xxhash64("cluster", F.coalesce("pure", F.lit(0)), F.col("pure").isNull(), F.pmod(F.xxhash64("node"), F.col("slices"))))
@@ -319,8 +335,8 @@ def _parts(key: Column) -> Column:
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text): components of links between sets with 100 * intersection >= percent * union.
 
-    Rows with the same set of shingles are one node. Similar nodes are put into groups: those whose minima agree in a key with those of the key's least node. Where
-    these link with that node, on full sets, they are of one component before the search. The token-group matrix holds which nodes have a token, in
+    Rows with the same set of shingles are one node. Nodes that have enough tokens alone link with none and are left out first. Similar nodes are put into groups: those of one lead, the
+    least node with which they agree in a key of minima. Where they link with it, on full sets, they are of one component before the search. The token-group matrix holds which nodes have a token, in
     buckets of tokens; by its counts, each node's rarest tokens are found, and the groups with which it shares one of those are asked for
     it: the union of a group's tokens bounds the overlap, and where that suffices the group is opened and its members are compared on full sets. A group
     in which all are of the query's component isn't asked. So every link that can change a component is found: minima only form the groups, common tokens and
@@ -341,17 +357,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     tidy(open_)
     texts = _texts(docs, nodes, open_.select("node"), named, width)
     open_ = cut(open_.join(texts.mapInArrow(_signing(width), "node long, sketch binary, keys array<long>"), "node"))
-    likely = cut(_likely(_stars(_met(open_)), open_, percent, MARGIN))
-    clusters = cut(components(likely))
-    linked = cut(components(_confirmed(likely, open_, docs, named, percent, width)))
-    grouped = cut(_grouped(open_, clusters, linked))
+    leads = cut(_likely(_stars(_met(open_)), open_, percent, MARGIN).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("lead")))
+    stars = cut(_confirmed(leads.select(F.col("lead").alias("u"), F.col("node").alias("v")), open_, docs, named, percent, width))
+    grouped = cut(_grouped(open_, leads, stars))
     tidy(grouped)
 
     prefix = cut(prefixes(texts, open_, common, percent, width))
     tidy(prefix)
     asked = cut(_candidates(prefix, grouped, percent))
     links = _opened(docs, nodes, asked, grouped, named, percent, width)
-    found = merge(linked, links)
+    found = components(stars.unionAll(links))
 
     sets = cut(nodes.select("node", "doc_id", "copies").join(found, "node", "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("group")))
     least = sets.groupBy("group").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
