@@ -39,12 +39,6 @@ def chunk_id(revision: Column, strategy: Column, start: Column, end: Column, has
     return identity("chunk", revision, strategy, start, end, hash_)
 
 
-def ordered_hash(pairs: Column) -> Column:
-    """Hash of an array of structs (path, hash): path, NUL, hash of each in path order, joined by line feeds."""
-    lines = F.transform(F.array_sort(pairs), lambda p: F.concat(p["path"], F.lit("\u0000"), p["hash"]))
-    return content_hash(F.array_join(lines, "\n"))
-
-
 def all_equal(left: list[Column], right: list[Column]) -> Column:
     """Null-safe equality of two rows of columns, as of two model identities."""
     return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right)))

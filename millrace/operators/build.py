@@ -14,7 +14,7 @@ from millrace.functions import decoding
 from millrace.functions import identity as I
 from millrace.functions.classification import classify_traits, extension, sample_text
 from millrace.functions.formatting import embedding_input
-from millrace.operators import policy
+from millrace.operators import policy, relations
 from millrace.operators.chunking import chunk
 from millrace.operators.store import BuildStore
 from millrace.syntax.registry import standard
@@ -66,7 +66,7 @@ class Report:
 
 
 def decided(files: DataFrame, plan: Plan) -> DataFrame:
-    """files (path, content) with classified, traits, read and decision."""
+    """files (path, content) with classified, traits, read, decision and the encodings under which an earlier build may have read them."""
     own = F.col("encoding") if "encoding" in files.columns else None
     rows = files.withColumn("_chosen", decoding.selection(F.col("path"), own, list(plan.globs), plan.fallback))
     rows = decoding.classified(rows, F.col("_chosen")).withColumn("byte_length", F.octet_length("content").cast("long"))
@@ -75,7 +75,8 @@ def decided(files: DataFrame, plan: Plan) -> DataFrame:
     parses = F.coalesce(F.col("classified.language").isin(*read_by), F.lit(False)) if "cast" in plan.strategies else F.lit(False)
     said, size = F.col("classified"), F.col("byte_length")
     rule = policy.code_only(said["kind"], size, said["language"], F.col("traits"), parses, limit=plan.limit) if plan.policy == "code-only" else policy.text_and_code(said["kind"], size, F.col("traits"), parses, limit=plan.limit)
-    return rows.withColumn("decision", rule).withColumn("read", decoding.read(F.col("content"), F.col("_chosen"), plan.limit)).drop("_chosen")
+    rows = rows.withColumn("decision", rule).withColumn("read", decoding.read(F.col("content"), F.col("_chosen"), plan.limit))
+    return rows.withColumn("encodings", decoding.compatible_encodings(F.col("_chosen"))).drop("_chosen")
 
 
 def chunks_of(documents: DataFrame, plan: Plan) -> DataFrame:
@@ -97,8 +98,8 @@ def chunks_of(documents: DataFrame, plan: Plan) -> DataFrame:
 def index(store: BuildStore, files: DataFrame, plan: Plan, model: dict, embed: Callable[[DataFrame], DataFrame], snapshot: str, created_at: str, completed_at: str | None = None, repository: str = "") -> Report:
     """Build the snapshot's files (path, content) into the store, and publish it.
 
-    A ready build of the same snapshot, plan and model is returned as it is. Documents that were built before under the same
-    plan keep their chunks and vectors; of the others only inputs without a vector go to `embed`, which adds `vector` to rows (embedding_id, text).
+    A ready build of the same snapshot, plan and model is returned as it is. Documents that any ready build of the repository has under the same
+    plan and model keep their chunks and vectors, each from the build completed last that has it; of the others only inputs without a vector go to `embed`, which adds `vector` to rows (embedding_id, text).
     A document that can't be read or parsed is a diagnostic; with on_failure reject it fails the build. Any error leaves the build `failed`, a
     KeyboardInterrupt `cancelled`.
     """
@@ -121,16 +122,13 @@ def index(store: BuildStore, files: DataFrame, plan: Plan, model: dict, embed: C
 def _filled(store, build, files, plan, model, embed, snapshot, repository, compatibility) -> Report:
     rows = decided(files, plan).withColumn("revision", I.file_revision_id(I.content_hash(F.col("content"))))
     rows = rows.withColumn("document_id", I.document_id(F.lit(snapshot), F.col("path"), F.col("revision"))).persist()
+    kept = made = missing = None
     try:
         taken = rows.where((F.col("decision.action") == "index") & F.col("read.error").isNull())
-        documents = taken.select("document_id", "path", "revision", "byte_length", F.col("read.encoding").alias("encoding"), "classified.language", "classified.format", "traits", F.col("decision.strategy").alias("strategy"), F.coalesce(extension(F.col("path")), F.lit("")).alias("extension"), _given(files, "sourceId", "string"), _given(files, "tags", "array<string>"), F.col("read.text").alias("text"))
-        old = _earlier(store, repository, compatibility)
-        kept = None
-        if old is not None:
-            same = documents.select("document_id", "revision", "path", "encoding").join(old["documents"], ["revision", "path", "encoding"])
-            kept = same.select(F.col("document_id"), F.col("old_id")).dropDuplicates(["document_id"])
-            counted = old["members"].groupBy("old_id").agg(F.count("*").alias("n"))
-            kept = kept.join(counted, "old_id").select("document_id", "old_id").persist()
+        documents = taken.select("document_id", "path", "revision", "byte_length", F.col("read.encoding").alias("encoding"), "classified.language", "classified.format", "traits", F.col("decision.strategy").alias("strategy"), "encodings", F.coalesce(extension(F.col("path")), F.lit("")).alias("extension"), _given(files, "sourceId", "string"), _given(files, "tags", "array<string>"), F.col("read.text").alias("text"))
+        earlier = _earlier(store, model, repository, compatibility)
+        if earlier:
+            kept = _taken_over(store, earlier, documents, plan, compatibility).persist()
         fresh = documents.join(kept.select("document_id"), "document_id", "left_anti") if kept is not None else documents
         made = chunks_of(fresh, plan).persist()
         failed = made.where("error is not null").select("document_id", "error")
@@ -139,35 +137,49 @@ def _filled(store, build, files, plan, model, embed, snapshot, repository, compa
         broken = failed.join(documents.select("document_id", "path"), "document_id").select("path", F.lit("unparsable").alias("code"), F.col("error").alias("detail"))
         if plan.on_failure == "reject" and (refused.unionAll(broken).limit(1).count() or left_out.where("code = 'reject'").limit(1).count()):
             raise ValueError("a document failed, and the plan rejects failures")
-        good = made.where("error is null").join(documents.drop("strategy", "text"), "document_id")
+        good = made.where("error is null").join(documents.drop("strategy", "text", "encodings"), "document_id")
         code = I.content_hash(F.col("content"))
         chunks = good.withColumn("chunk_id", I.chunk_id(F.col("revision"), F.col("chunking_identity"), F.col("start_offset"), F.col("end_offset"), code))
         context = {c: F.col(c) for c in ("scope", "symbols", "imports") if c in chunks.columns}
         text = embedding_input(F.col("path"), F.coalesce("language", F.lit("text")), F.col("content"), F.col("kind"), **context, prefix=model.get("document_prefix") or "", suffix=model.get("suffix") or "")
         chunks = chunks.withColumn("input", text).withColumn("embedding_id", I.identity("embedding", *(F.lit(str(v)) for _, v in sorted(model.items())), I.content_hash(F.col("input"))))
         members = chunks.select("document_id", "chunk_id", "embedding_id", "chunk_index", "start_offset", "end_offset", "start_line", "end_line", "content", "chunking_identity", *_filterable(chunks))
-        reused_chunks = 0
         if kept is not None:
-            again = old["members"].join(kept, "old_id").drop("old_id", "build_id").select(*members.columns)
-            reused_chunks = again.count()
-            members = members.unionByName(again)
+            # a document's source and tags are those that it has now
+            again = _copied(store, kept).drop("sourceId", "tags").join(documents.select("document_id", "sourceId", "tags"), "document_id")
+            members = members.unionByName(again.select(*members.columns))
         wanted = chunks.select("embedding_id", F.col("input").alias("text"))
         missing = store.missing(wanted).persist()
-        good_documents = documents.join(failed.select("document_id"), "document_id", "left_anti")
-        # counted before anything is written: what is missing isn't afterwards
-        told = {"indexed_documents": good_documents.count(), "indexed_chunks": reused_chunks + chunks.count(), "reused_documents": kept.count() if kept is not None else 0, "reused_chunks": reused_chunks, "generated_embeddings": missing.count(), "failed_documents": refused.unionAll(broken).count()}
-        told["reused_embeddings"] = told["indexed_chunks"] - wanted.join(missing.select("embedding_id"), "embedding_id", "left_semi").count()
+        good_documents = documents.drop("encodings").join(failed.select("document_id"), "document_id", "left_anti")
+        # what a later build needs to know to take a document over, so that it needn't read any chunks
+        told_of = members.groupBy("document_id").agg(F.count("*").alias("chunks"), F.collect_set("chunking_identity").alias("made_by"))
+        source = kept.select("document_id", F.col("build_id").alias("reused_from"), F.col("old_id").alias("reused_id")) if kept is not None else told_of.select("document_id", *(F.lit(None).cast("string").alias(c) for c in ("reused_from", "reused_id"))).where("false")
+        good_documents = good_documents.join(told_of, "document_id", "left").join(source, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
+        generated = missing.count()  # counted, and kept, before anything is written: what is missing isn't afterwards
         store.put(build, good_documents, members, embed(missing).select("embedding_id", "vector"))
-        held = store.table("memberships").where(F.col("build_id") == build)
-        if held.join(store.table("embeddings").select("embedding_id"), "embedding_id", "left_anti").limit(1).count():
-            raise ValueError("a chunk has no vector")
-        if kept is not None and held.join(kept, "document_id", "left_semi").count() != reused_chunks:
-            raise ValueError("not all chunks of a reused document were taken over")
-        spark = files.sparkSession
-        listed = refused.unionAll(broken).unionAll(left_out).orderBy("path")
-        return Report(build, False, told, spark.createDataFrame(listed.collect(), listed.schema))
+        store.put_diagnostics(build, refused.unionAll(broken).unionAll(left_out))
+        return Report(build, False, _counted(store, build, missing, generated), store.diagnostics(build))
     finally:
-        rows.unpersist()
+        for held in (missing, made, kept, rows):  # what depends on another goes first, else it would be planned anew
+            if held is not None:
+                held.unpersist()
+
+
+def _counted(store: BuildStore, build: str, missing: DataFrame, generated: int) -> dict[str, int]:
+    """A build's counters, from what was written; an error if a chunk has no vector, or a document that was taken over not all the chunks that it had."""
+    members, documents = (store.table(t).where(F.col("build_id") == build) for t in ("memberships", "documents"))
+    if members.join(store.table("embeddings").select("embedding_id"), "embedding_id", "left_anti").limit(1).count():
+        raise ValueError("a chunk has no vector")
+    reused = F.col("reused_from").isNotNull()
+    told = documents.agg(F.count("*").alias("indexed_documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("indexed_chunks"), F.count_if(reused).alias("reused_documents"), F.coalesce(F.sum(F.when(reused, F.col("chunks"))), F.lit(0)).alias("reused_chunks")).first().asDict()
+    if told["reused_documents"]:
+        old = store.table("documents").select(F.col("build_id").alias("reused_from"), F.col("document_id").alias("reused_id"), F.col("chunks").alias("had"))
+        lost = documents.where(reused).join(old, ["reused_from", "reused_id"], "left").where("not (chunks <=> had)")
+        if lost.limit(1).count():
+            raise ValueError("not all chunks of a reused document were taken over")
+    new = members.join(missing.select("embedding_id"), "embedding_id", "left_semi").count()
+    failed = store.diagnostics(build).where("code in ('unreadable', 'unparsable')").count()
+    return told | {"generated_embeddings": generated, "reused_embeddings": told["indexed_chunks"] - new, "failed_documents": failed}
 
 
 def _given(files: DataFrame, column: str, kind: str):
@@ -184,11 +196,32 @@ def _filterable(chunks: DataFrame) -> list:
 _SYMBOLS = "array<struct<name:string,kind:string,signature:string>>"
 
 
-def _earlier(store: BuildStore, repository: str, compatibility: str) -> dict[str, DataFrame] | None:
-    """Documents and memberships of the ready build, completed last, of the same repository and compatibility."""
-    fit = [(row.get("completed_at") or "", row["created_at"], name) for name, row in store.builds().items() if row["status"] == "ready" and row["compatibility"] == compatibility and row.get("repository", "") == repository]
-    if not fit:
-        return None
-    name = sorted(fit, key=lambda x: x[2])[0][2] if len(fit) == 1 else max(fit)[2]
-    documents = store.table("documents").where(F.col("build_id") == name).select("revision", "path", "encoding", F.col("document_id").alias("old_id"))
-    return {"documents": documents, "members": store.table("memberships").where(F.col("build_id") == name).withColumnRenamed("document_id", "old_id")}
+#: What must be equal, beside the encoding, for a document's chunks to be those of an earlier one.
+_SAME = ["path", "revision", "language", "format"]
+
+
+def _earlier(store: BuildStore, model: dict, repository: str, compatibility: str) -> list[dict]:
+    """The ready builds of the same repository, compatibility and model."""
+    rows = ({"build_id": name, **row} for name, row in store.builds().items())
+    return [row for row in rows if row["status"] == "ready" and row["compatibility"] == compatibility and row.get("repository", "") == repository and row["model"] == model]
+
+
+def _taken_over(store: BuildStore, earlier: list[dict], documents: DataFrame, plan: Plan, compatibility: str) -> DataFrame:
+    """(document_id, build_id, old_id): whose chunks each document takes over, by one join with the manifests of all earlier builds."""
+    names = [row["build_id"] for row in earlier]
+    told = [(row["build_id"], "ready", row["compatibility"], row.get("completed_at"), row["created_at"]) for row in earlier]
+    builds = store.spark.createDataFrame(told, "build_id string, status string, compatibility string, completed_at string, created_at string")
+    manifest = store.table("documents").where(F.col("build_id").isin(names)).select("build_id", "document_id", *_SAME, "encoding", "chunks", "made_by")
+    made_by = F.when(F.col("strategy") == plan.strategies[0], plan.chunking(plan.strategies[0]))
+    for strategy in plan.strategies[1:]:
+        made_by = made_by.when(F.col("strategy") == strategy, plan.chunking(strategy))
+    candidates = documents.select(F.col("document_id").alias("ordinal"), *_SAME, made_by.alias("chunking_identity"), "encodings", F.lit(compatibility).alias("compatibility"))
+    found = relations.planned_reuse(candidates, manifest, builds, _SAME)
+    return found.select(F.col("ordinal").alias("document_id"), "build_id", F.col("document_id").alias("old_id"))
+
+
+def _copied(store: BuildStore, kept: DataFrame) -> DataFrame:
+    """The memberships of the documents that are taken over, under their new ids; only builds that give any are read."""
+    names = [r["build_id"] for r in kept.select("build_id").distinct().collect()]  # at most as many as there are builds
+    old = store.table("memberships").where(F.col("build_id").isin(names)).withColumnRenamed("document_id", "old_id")
+    return old.join(kept, ["build_id", "old_id"]).drop("old_id", "build_id")

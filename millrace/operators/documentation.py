@@ -341,9 +341,17 @@ class Targets:
 
 
 def nearest_project(roots: DataFrame, paths: DataFrame) -> DataFrame:
-    """(path, project): for each path the project whose root is the nearest folder around it, null if none is; roots: project, root."""
-    inside = (paths["path"] == roots["root"]) | F.startswith(paths["path"], F.concat(roots["root"], F.lit("/")))
-    return paths.join(F.broadcast(roots), inside, "left").groupBy("path").agg(F.max_by("project", F.struct(F.length("root"), "project")).alias("project"))
+    """(path, project): for each path the project whose root is the nearest folder around it, null if none is; roots: project, root.
+
+    Each path is led to by itself and the folders around it, which meet the roots by equality; of several projects
+    with that root the greatest name holds.
+    """
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    asked = paths.select("path").distinct()
+    around = asked.where("path is not null").select("path", F.explode(folders).alias("root"))
+    best = around.join(roots.groupBy("root").agg(F.max("project").alias("project")), "root").groupBy("path").agg(F.max_by("project", F.length("root")).alias("project"))
+    return asked.join(best, "path", "left")
 
 
 class Configurations:

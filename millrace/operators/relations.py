@@ -19,28 +19,31 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, hash_: str) -> DataF
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
-def reusable(candidates: DataFrame, documents: DataFrame, builds: DataFrame, chunks: DataFrame, same: list[str]) -> DataFrame:
-    """For each candidate, the build whose document can be taken over.
+def planned_reuse(candidates: DataFrame, manifest: DataFrame, builds: DataFrame, same: list[str]) -> DataFrame:
+    """(ordinal, build_id, document_id): for each candidate the build whose document can be taken over, of all builds at once.
 
-    Equal in all columns of `same` (null-safe), from a ready build of the same compatibility, with at
+    Equal in all columns of `same` (null-safe), under one of the candidate's encodings, from a ready build of the same compatibility, with at
     least one chunk and none made under another chunking identity; of several the
-    one completed last, then created last, then of least id. Candidates: ordinal, the columns of
-    same, chunking_identity, encodings, compatibility.
+    one completed last, then created last, then of least id. candidates: ordinal, the columns of
+    same, chunking_identity, encodings, compatibility; manifest, a row for each document of each build: build_id, document_id, the columns of same, encoding, chunks, made_by.
     """
     ready = builds.where("status = 'ready'").select("build_id", "compatibility", F.coalesce("completed_at", "created_at").alias("done_at"), "created_at")
-    d, c = documents.alias("d"), candidates.alias("c")
-    equal = F.lit(True)
+    d, c = manifest.join(ready, "build_id").alias("d"), candidates.alias("c")
+    equal = F.col("d.compatibility") == F.col("c.compatibility")
     for name in same:
         equal = equal & F.col(f"d.{name}").eqNullSafe(F.col(f"c.{name}"))
-    met = c.join(d, equal & F.array_contains("c.encodings", F.col("d.encoding")))
-    met = met.select("c.ordinal", "c.compatibility", "c.chunking_identity", "d.build_id", "d.document_id").join(ready, ["build_id", "compatibility"])
-    met = met.join(chunks.select("build_id", "document_id"), ["build_id", "document_id"], "left_semi")
-    other = chunks.select("build_id", "document_id", F.col("chunking_identity").alias("made_by"))
-    met = met.join(other, (met.build_id == other.build_id) & (met.document_id == other.document_id) & (other.made_by != met.chunking_identity), "left_anti")
-    best = W.partitionBy("ordinal").orderBy(F.desc("done_at"), F.desc("created_at"), "build_id")
+    fit = F.array_contains("c.encodings", F.col("d.encoding")) & (F.col("d.chunks") > 0) & F.forall("d.made_by", lambda m: m == F.col("c.chunking_identity"))
+    met = c.join(d, equal & fit).select("c.ordinal", "d.build_id", "d.document_id", "d.done_at", "d.created_at")
+    best = W.partitionBy("ordinal").orderBy(F.desc("done_at"), F.desc("created_at"), "build_id", "document_id")
     return met.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("ordinal", "build_id", "document_id")
 
 
+def reusable(candidates: DataFrame, documents: DataFrame, builds: DataFrame, chunks: DataFrame, same: list[str]) -> DataFrame:
+    """planned_reuse from documents that don't tell of their chunks: these (build_id, document_id, chunking_identity) are counted first."""
+    made = chunks.groupBy("build_id", "document_id").agg(F.count("*").alias("chunks"), F.collect_set("chunking_identity").alias("made_by"))
+    return planned_reuse(candidates, documents.join(made, ["build_id", "document_id"]), builds, same)
+
+
 def unreferenced(shared: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of shared that no row of references names: what may be deleted."""
     return shared.join(references.select(*keys), keys, "left_anti")
@@ -66,13 +69,29 @@ def neighbourhood(rows: DataFrame, group: str, order: list[str], value: Column,
     )
 
 
-def merge_ranges(ranges: DataFrame, group: str, start: str, end: str, gap: int = 1) -> DataFrame:
-    """(group, start, end, merged): ranges that touch or overlap, or lie `gap` apart at most, as one."""
-    w = W.partitionBy(group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
+def merge_ranges(ranges: DataFrame, group: str, start: str, end: str, gap: int = 1, parts: int | None = None) -> DataFrame:
+    """(group, start, end, merged): ranges that touch or overlap, or lie `gap` apart at most, as one.
+
+    The ranges of a group are dealt to parts by where they start, so that a group of any size is spread over tasks. How far the ranges of a part reach is carried
+    to the parts after it by way of one row for each group and part, as is the range that is still open at its end.
+    """
+    parts = parts or int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = ranges.approxQuantile(start, [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    part = sum(((F.col(start) >= F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0)).alias("_part")
+    rows = ranges.select(group, start, end, F.coalesce(part, F.lit(0)).alias("_part"))
+    earlier = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    reaches = rows.groupBy(group, "_part").agg(F.max(end).alias("_end")).select(group, "_part", F.max("_end").over(earlier).alias("_before"))
+    carried = rows.alias("r").join(reaches.alias("b"), F.col(f"r.{group}").eqNullSafe(F.col(f"b.{group}")) & (F.col("r._part") == F.col("b._part"))).select("r.*", "_before")
+    w = W.partitionBy(group, "_part").orderBy(start, end)
+    reach = F.greatest(F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1)), "_before")
     opens = F.when(F.col(start) > F.coalesce(reach, F.col(start) - gap - 1) + gap, 1).otherwise(0)
-    islands = ranges.withColumn("opens", opens).withColumn("island", F.sum("opens").over(w))
-    return islands.groupBy(group, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("island")
+    islands = carried.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w))
+    local = islands.groupBy(group, "_part", "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged"))
+    # what goes on from an earlier part, island 0, belongs to the last one that opened there
+    last = local.groupBy(group, "_part").agg(F.max("_island").alias("_last")).select(group, "_part", F.last(F.when(F.col("_last") > 0, F.struct("_part", F.col("_last").alias("_island"))), True).over(earlier).alias("_open"))
+    owned = local.alias("l").join(last.alias("o"), F.col(f"l.{group}").eqNullSafe(F.col(f"o.{group}")) & (F.col("l._part") == F.col("o._part")))
+    of = F.when(F.col("_island") > 0, F.struct(F.col("l._part"), F.col("_island"))).otherwise(F.col("_open"))
+    return owned.groupBy(F.col(f"l.{group}").alias(group), of.alias("_of")).agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("merged").alias("merged")).drop("_of")
 
 
 def retained(rows: DataFrame, group: str, used: str, key: str, protected: Column, limit: int) -> DataFrame:
@@ -129,28 +148,80 @@ def greedy_batches(rows: DataFrame, group: str, order: list[str], size: str, mos
     return listed.withColumn("batches", batches).select(F.explode(F.arrays_zip("items", "batches")).alias("x")).select("x.items.row.*", F.col("x.batches").alias("batch"))
 
 
+#: Bits of a place in a text.
+_BITS = 31
+
+
+def _cells(first: Column, last: Column) -> Column:
+    """The fewest cells (level, cell) of a binary grid that make up the places first..last; a cell of level k has 2^k places."""
+    first, after = first.cast("long"), last.cast("long") + 1
+    found = []
+    for k in range(_BITS + 1):
+        a, b = F.shiftright(first + ((1 << k) - 1), k), F.shiftright(after, k)
+        cell = lambda at: F.struct(F.lit(k).alias("level"), at.alias("cell"))  # noqa: B023, E731
+        found += [F.when((a < b) & (a % 2 == 1), cell(a)), F.when((a < b) & (b % 2 == 1), cell(b - 1))]
+    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def _around(place: Column) -> Column:
+    """The cells (level, cell) in which a place lies: one of each level. Of those that make up a range, a place in it is in exactly one."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(place.cast("long"), k).alias("cell")) for k in range(_BITS + 1)))
+
+
 def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key: list[str]) -> DataFrame:
     """parts (document, key, start, end) with `container`, the name of the least symbol range around each, the earlier on ties; null if none is.
 
-    A range join within documents: symbols (document, name, start, end) meet the parts of their own document only.
+    Parts and symbols (document, name, start, end) of a document meet in cells of a binary grid: a symbol is in the few that make up its range, a part in those
+    around its start that hold symbols. In each, in order of their ends from the last, the least symbol so far is the
+    part's; so pairs of parts and symbols aren't made, however many are around each other.
     """
-    s = symbols.select(F.col(document).alias("_document"), F.col("name").alias("_name"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    around = (parts[document] == s["_document"]) & (s["_start"] <= parts["start"]) & (s["_end"] >= parts["end"])
-    nearest = F.min_by("_name", F.struct(F.col("_end") - F.col("_start"), "_start", "_name"))
-    return parts.join(s, around, "left").groupBy(document, *key, "start", "end").agg(F.when(F.count("_name") > 0, nearest).alias("container"))
+    s = symbols.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end")))
+    s = s.select(F.col(document).alias("_document"), F.explode(_cells(F.col("start"), F.col("end"))).alias("_at"), F.col("end").cast("long").alias("_end"), F.struct((F.col("end") - F.col("start")).cast("long").alias("size"), F.col("start").cast("long").alias("start"), "name").alias("_symbol"))
+    places = parts.select(F.col(document).alias("_document"), F.col("start").alias("_start"), F.col("end").cast("long").alias("_end")).where("_document is not null and _start is not null and _end is not null").distinct()
+    held = s.select("_document", "_at").distinct()
+    asked = places.withColumn("_at", F.explode(_around(F.col("_start")))).join(held, ["_document", "_at"])
+    none = F.lit(None).cast(s.schema["_symbol"].dataType)
+    both = s.select("_document", "_at", "_end", "_symbol", F.lit(None).cast(places.schema["_start"].dataType).alias("_start")).unionByName(asked.withColumn("_symbol", none))
+    so_far = W.partitionBy("_document", "_at").orderBy(F.desc("_end"), F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    least = both.withColumn("_least", F.min("_symbol").over(so_far)).where("_symbol is null and _least is not null")
+    best = least.groupBy("_document", "_start", "_end").agg(F.min("_least")["name"].alias("container"))
+    return parts.join(best, (parts[document] == best["_document"]) & (parts["start"] == best["_start"]) & (parts["end"] == best["_end"]), "left").select(document, *key, "start", "end", "container")
+
+
+def overlapping(left: DataFrame, right: DataFrame, document: str) -> DataFrame:
+    """(document, left, right) of the rows of left and right (document, id, start, end) whose half-open ranges overlap, each pair once.
+
+    Either the right one starts in the left one, or the left one after the start of the right one and in it. Both are
+    met in cells of a binary grid, so the work follows the number of rows and of pairs that are found.
+    """
+    there = F.col("start") < F.col("end")
+    # one side's starts meet the cells of the other's ranges
+    pairs = []
+    for points, ranges, first in ((right, left, F.col("start")), (left, right, F.col("start") + 1)):
+        p = points.where(there).select(F.col(document).alias("_document"), F.col("id").alias("_point"), F.explode(_around(F.col("start"))).alias("_at"))
+        r = ranges.where(there & (first < F.col("end"))).select(F.col(document).alias("_document"), F.col("id").alias("_range"), F.explode(_cells(first, F.col("end") - 1)).alias("_at"))
+        names = ("_range", "_point") if points is right else ("_point", "_range")
+        pairs.append(p.join(r, ["_document", "_at"]).select(F.col("_document").alias(document), F.col(names[0]).alias("left"), F.col(names[1]).alias("right")))
+    return pairs[0].unionAll(pairs[1])
 
 
 def relevant_imports(parts: DataFrame, imports: DataFrame, document: str, key: list[str]) -> DataFrame:
     """(document, key, imports): sources of the imports that overlap a part or one of whose bindings stands in its text as a word, in order.
 
-    parts: document, key, start, end, text; imports: document, source, bindings, start, end.
+    parts: document, key, start, end, text; imports: document, source, bindings, start, end. Ranges meet by `overlapping`, bindings by the words of the texts.
     """
-    i = imports.select(F.col(document).alias("_document"), "source", "bindings", F.col("start").alias("_start"), F.col("end").alias("_end"))
-    words = F.split("text", r"[^\p{L}\p{N}_$]+")
-    met = parts.withColumn("_words", words).join(i, parts[document] == i["_document"], "left")
-    used = (F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start")) | F.arrays_overlap("bindings", "_words")
-    told = F.array_sort(F.collect_set(F.when(used, F.struct("_start", "source"))))
-    return met.groupBy(document, *key).agg(F.transform(told, lambda x: x["source"]).alias("imports"))
+    told = F.struct(F.col("start").alias("_start"), "source")
+    i = imports.select(F.col(document).alias("_document"), told.alias("_told"), "bindings", "start", "end")
+    own = F.struct(*key)
+    p = parts.select(document, own.alias("id"), "start", "end")
+    # bindings play no part where the ranges meet, nor do ranges where the words do
+    by_range = overlapping(p, i.select(F.col("_document").alias(document), F.col("_told").alias("id"), "start", "end"), document).select(document, F.col("left").alias("_key"), F.col("right").alias("_told"))
+    words = parts.select(document, own.alias("_key"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_$]+"))).alias("_word"))
+    bound = i.select(F.col("_document").alias(document), "_told", F.explode(F.array_distinct("bindings")).alias("_word"))
+    by_word = words.join(bound, [document, "_word"]).select(document, "_key", "_told")
+    found = by_range.unionAll(by_word).groupBy(document, "_key").agg(F.array_sort(F.collect_set("_told")).alias("_all"))
+    met = parts.select(document, *key, own.alias("_key")).join(found, [document, "_key"], "left")
+    return met.select(document, *key, F.coalesce(F.transform("_all", lambda x: x["source"]), F.array().cast("array<string>")).alias("imports"))
 
 
 def members(memberships: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
@@ -161,10 +232,14 @@ def members(memberships: DataFrame, chunks: DataFrame, columns: list[str]) -> Da
 
 
 def around_anchor(rows: DataFrame, group: str, position: str, anchors: DataFrame, before: int, after: int) -> DataFrame:
-    """The rows up to `before` places before and `after` after each anchor (group, position), with `anchor` and their `distance` from it."""
-    named = anchors.select(F.col(group).alias("_group"), F.col(position).alias("anchor"))
-    near = (rows[group] == named["_group"]) & rows[position].between(named["anchor"] - before, named["anchor"] + after)
-    return rows.join(F.broadcast(named), near).withColumn("distance", F.col(position) - F.col("anchor")).drop("_group")
+    """The rows up to `before` places before and `after` after each anchor (group, position), with `anchor` and their `distance` from it.
+
+    Each anchor asks for the places around it, so the join is by equality; any number of rows may be anchors.
+    """
+    places = F.explode(F.sequence(F.lit(-before), F.lit(after)))
+    asked = anchors.select(F.col(group).alias("_group"), F.col(position).alias("anchor"), places.alias("_by")).withColumn("_place", F.col("anchor") + F.col("_by"))
+    near = (rows[group] == asked["_group"]) & (rows[position] == asked["_place"])
+    return rows.join(asked, near).withColumn("distance", F.col(position) - F.col("anchor")).drop("_group", "_place", "_by")
 
 
 def counted(parents: DataFrame, children: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 from urllib.parse import quote
 from uuid import uuid4
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.relations import unreferenced
+from millrace.operators.versions import Versions
 
 
 def _folder(build: str) -> str:
@@ -20,74 +21,91 @@ class BuildStore:
     """Builds under one folder of any store that Spark writes.
 
     Data files are written first; a build is seen only once its manifest row says `ready`. Each
-    change of the manifest is a new file of a higher number, so readers never see half a change.
-    One writer at a time is assumed.
+    change of the manifest is a new file of the next number, which one writer alone can make, so readers never see half a change
+    and writers at the same time lose none: a change is worked out anew from what another has written.
+
+    Embeddings are only ever appended. What a delete leaves without a reference is named in a tombstone of the delete's number, and hidden
+    from readers where it was written before; so a delete writes as much as its build had, and `compact` takes the hidden rows out.
     """
 
     STATES = ("building", "ready", "failed", "cancelled")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.manifest = Versions(spark, f"{self.root}/manifest")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifests(self) -> list[str]:
-        folder = self._path(f"{self.root}/manifest")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-
     def _state(self) -> dict:
-        names = self._manifests()
-        if not names:
-            return {"builds": {}}
-        rows = self.spark.read.text(f"{self.root}/manifest/{names[-1]}", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        return {"builds": {}, "tombstones": []} | self.manifest.read()[1]
 
     def builds(self) -> dict[str, dict]:
         """Manifest rows by build id, the newest first, then by id."""
         builds = self._state()["builds"]
         return dict(sorted(sorted(builds.items()), key=lambda x: x[1]["created_at"], reverse=True))
 
-    def _publish(self, builds: dict[str, dict], vectors: str | None = None) -> None:
-        names = self._manifests()
-        number = int(names[-1].split(".")[0]) + 1 if names else 1
-        temporary, final = self._path(f"{self.root}/manifest/.{uuid4().hex}"), self._path(f"{self.root}/manifest/{number:010d}.json")
-        out = self._fs.create(temporary)
-        out.write(bytearray(json.dumps({"builds": builds, "embeddings": vectors or self.vectors()}).encode()))
-        out.close()
-        if not self._fs.rename(temporary, final):
-            raise RuntimeError("another writer changed the manifest")
+    def _change(self, work: Callable[[dict], None]) -> dict:
+        """Publish what `work` makes of the manifest's state in place; its errors go through."""
+
+        def changed(state: dict) -> dict:
+            state = {"builds": {}, "tombstones": []} | state
+            work(state)
+            return state
+
+        return self.manifest.change(changed)[1]
 
     def begin(self, build: str, model: dict, created_at: str, compatibility: str = "", repository: str = "", snapshot: str = "") -> bool:
         """Open a build of a repository's snapshot; False if it is ready already, so that nothing is to be done."""
-        builds = self.builds()
-        if build in builds:
-            if builds[build]["status"] == "ready":
-                return False
-            raise ValueError(f"build {build} is {builds[build]['status']}")
-        builds[build] = {"status": "building", "model": model, "created_at": created_at, "compatibility": compatibility, "repository": repository, "snapshot": snapshot}
-        self._publish(builds)
-        return True
+        opened = []
+
+        def open_(state: dict) -> None:
+            row = state["builds"].get(build)
+            opened[:] = [row is None]
+            if row is not None and row["status"] != "ready":
+                raise ValueError(f"build {build} is {row['status']}")
+            if row is None:
+                state["builds"][build] = {"status": "building", "model": model, "created_at": created_at, "compatibility": compatibility, "repository": repository, "snapshot": snapshot}
+
+        if self.builds().get(build, {}).get("status") == "ready":
+            return False
+        self._change(open_)
+        return opened[0]
 
     def set_status(self, build: str, status: str, completed_at: str | None = None) -> None:
         """Move a build on from `building`; from any other state is an error."""
-        builds = self.builds()
-        if status not in self.STATES or builds.get(build, {}).get("status") != "building":
-            raise ValueError(f"build {build} can't become {status}")
-        builds[build] |= {"status": status, "completed_at": completed_at}
-        self._publish(builds)
+
+        def move(state: dict) -> None:
+            if status not in self.STATES or state["builds"].get(build, {}).get("status") != "building":
+                raise ValueError(f"build {build} can't become {status}")
+            state["builds"][build] |= {"status": status, "completed_at": completed_at}
+
+        self._change(move)
 
     def _has(self, table: str) -> bool:
         return self._fs.exists(self._path(f"{self.root}/{table}"))
 
-    def vectors(self) -> str:
-        """The folder of the embeddings: a delete writes a new one and names it in the manifest, so that a crash loses none."""
-        return self._state().get("embeddings", "embeddings")
+    def _embeddings(self) -> DataFrame:
+        """All embeddings that were written and aren't hidden: (embedding_id, vector, and written, when)."""
+        state = self._state()
+        rows = self.spark.read.parquet(f"{self.root}/{state.get('embeddings', 'embeddings')}")
+        if not state["tombstones"]:
+            return rows
+        hidden = self.spark.read.parquet(*(f"{self.root}/tombstones/{t}" for t in state["tombstones"])).groupBy("embedding_id").agg(F.max("hidden").alias("hidden"))
+        return rows.join(hidden, "embedding_id", "left").where("hidden is null or written > hidden").drop("hidden")
+
+    def _any_embeddings(self) -> bool:
+        return self._has(self._state().get("embeddings", "embeddings"))
 
     def table(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.vectors() if table == 'embeddings' else table}")
+        return self._embeddings().drop("written") if table == "embeddings" else self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}")
+
+    def put_diagnostics(self, build: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/diagnostics/{_folder(build)}")
+
+    def diagnostics(self, build: str) -> DataFrame:
+        """What a build left out or failed on, by path."""
+        return self.spark.read.parquet(f"{self.root}/diagnostics/{_folder(build)}").orderBy("path")
 
     def put(self, build: str, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> None:
         """Write a build's documents and chunks, and such embeddings as the store doesn't have yet."""
@@ -97,14 +115,15 @@ class BuildStore:
         documents.write.mode("overwrite").parquet(f"{self.root}/documents/{_folder(build)}")
         chunks.write.mode("overwrite").parquet(f"{self.root}/memberships/{_folder(build)}")
         fresh = embeddings.dropDuplicates(["embedding_id"])
-        if self._has(self.vectors()):
+        if self._any_embeddings():
             fresh = fresh.join(self.table("embeddings").select("embedding_id"), "embedding_id", "left_anti")
-        fresh.write.mode("append").parquet(f"{self.root}/{self.vectors()}")
+        number, state = self.manifest.read()
+        fresh.withColumn("written", F.lit(number).cast("long")).write.mode("append").parquet(f"{self.root}/{state.get('embeddings', 'embeddings')}")
 
     def missing(self, ids: DataFrame) -> DataFrame:
         """Of (embedding_id, text), those inputs that are still to be embedded, each once."""
         wanted = ids.dropDuplicates(["embedding_id"])
-        return wanted.join(self.table("embeddings").select("embedding_id"), "embedding_id", "left_anti") if self._has(self.vectors()) else wanted
+        return wanted.join(self.table("embeddings").select("embedding_id"), "embedding_id", "left_anti") if self._any_embeddings() else wanted
 
     def searchable(self, build: str, model: dict | None = None) -> DataFrame:
         """Memberships of a ready build with their vectors; none for any other build, an error for another model."""
@@ -122,26 +141,52 @@ class BuildStore:
         return self.table("memberships").where(F.col("build_id") == build).join(F.broadcast(found.limit(1)), "document_id").orderBy("chunk_index", "chunk_id")
 
     def delete(self, build: str) -> dict[str, int]:
-        """Delete a finished build, and embeddings that no other has; the numbers of rows deleted."""
-        builds = self.builds()
-        if builds.get(build, {"status": "building"})["status"] == "building":
+        """Delete a finished build, and hide embeddings that no other has; the numbers of rows deleted.
+
+        Only ids of the build itself can lose their last reference, so these alone are looked for in the other builds, and what
+        is written is the list of those that did.
+        """
+        if self.builds().get(build, {"status": "building"})["status"] == "building":
             raise ValueError(f"build {build} is missing or being built")
         mine, rest = F.col("build_id") == build, F.col("build_id") != build
         members, documents = self.table("memberships"), self.table("documents")
-        counts = {"documents": documents.where(mine).count(), "memberships": members.where(mine).count()}
-        lost = unreferenced(members.where(mine).select("document_id", "chunk_id").distinct(), members.where(rest), ["document_id", "chunk_id"])
+        own = members.where(mine).select("document_id", "chunk_id", "embedding_id")
+        counts = {"documents": documents.where(mine).count(), "memberships": own.count()}
+        lost = unreferenced(own.select("document_id", "chunk_id").distinct(), members.where(rest), ["document_id", "chunk_id"])
         counts["chunks"] = lost.count()
-        gone = unreferenced(self.table("embeddings"), members.where(rest), ["embedding_id"])
-        counts["embeddings"] = gone.count()
-        del builds[build]
-        old = now = self.vectors()
-        if counts["embeddings"]:
-            kept = self.table("embeddings").join(members.where(rest).select("embedding_id"), "embedding_id", "left_semi")
-            now = f"embeddings-{uuid4().hex}"
-            kept.write.parquet(f"{self.root}/{now}")
-        self._publish(builds, now)  # no reader finds the build, or the old vectors, from here on
-        if now != old:
-            self._fs.delete(self._path(f"{self.root}/{old}"), True)
-        for table in ("documents", "memberships"):
+        held = self._embeddings().select("embedding_id", "written")
+        gone = unreferenced(held.join(own.select("embedding_id").distinct(), "embedding_id"), members.where(rest), ["embedding_id"])
+        name = f"hidden-{uuid4().hex}"
+        gone.select("embedding_id", F.col("written").alias("hidden")).write.parquet(f"{self.root}/tombstones/{name}")
+        counts["embeddings"] = self.spark.read.parquet(f"{self.root}/tombstones/{name}").count()
+
+        def drop(state: dict) -> None:
+            if state["builds"].pop(build, None) is None:
+                raise ValueError(f"build {build} was deleted by another")
+            if counts["embeddings"]:
+                state["tombstones"] = [*state["tombstones"], name]
+
+        self._change(drop)  # no reader finds the build, or the hidden vectors, from here on
+        for table in ("documents", "memberships", "diagnostics"):
             self._fs.delete(self._path(f"{self.root}/{table}/{_folder(build)}"), True)
         return counts
+
+    def compact(self) -> int:
+        """Write the embeddings anew without those that are hidden; how many tombstones that ends. No build may be written meanwhile."""
+        state = self._state()
+        if any(row["status"] == "building" for row in state["builds"].values()):
+            raise ValueError("a build is being written")
+        if not state["tombstones"]:
+            return 0
+        now, old = f"embeddings-{uuid4().hex}", state.get("embeddings", "embeddings")
+        self._embeddings().write.parquet(f"{self.root}/{now}")
+
+        def swap(fresh: dict) -> None:
+            if fresh.get("embeddings", "embeddings") != old or fresh["tombstones"] != state["tombstones"] or any(row["status"] == "building" for row in fresh["builds"].values()):
+                raise RuntimeError("the store was changed meanwhile")
+            fresh |= {"embeddings": now, "tombstones": []}
+
+        self._change(swap)
+        for gone in (old, *(f"tombstones/{t}" for t in state["tombstones"])):
+            self._fs.delete(self._path(f"{self.root}/{gone}"), True)
+        return len(state["tombstones"])

@@ -16,7 +16,7 @@ from millrace.operators import policy, relations, search
 from millrace.operators.chunking import chunk
 from millrace.operators.filters import Condition
 from millrace.session import ship
-from millrace.sources.files import table_documents
+from millrace.sources.files import memberships, table_documents
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -143,8 +143,7 @@ def identity_chunk(spark, sf_dir):
 @query("SELECT source, 'sha256:' || sha256(string_agg(source || '/' || doc_id || '.md' || chr(0) || 'sha256:' || sha256(text), chr(10) ORDER BY encode(source || '/' || doc_id || '.md'))) AS membership_hash FROM documents GROUP BY source")
 def membership_hash(spark, sf_dir):
     docs = table_documents(spark, sf_dir)
-    pairs = F.collect_list(F.struct("path", I.content_hash(F.col("text")).alias("hash")))
-    return docs.groupBy("source").agg(I.ordered_hash(pairs).alias("membership_hash"))
+    return memberships(docs.select("source", "path", F.col("text").alias("content")), "source").select("source", "membership_hash")
 
 
 _PATHS = [".py", ".min.js", ".test.ts", ".md", ".yaml", ".txt", "/dist/x.js", "/package-lock.json", ".d.ts", "/Dockerfile", ".pyi"]

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import decoding, names, positions
 from millrace.functions.classification import classify_content
-from millrace.operators import documentation, relations, retrieval
+from millrace.operators import build, documentation, relations, retrieval
 from millrace.operators.chunking import chunk
 from millrace.operators.filters import Condition
 from millrace.operators.store import BuildStore
-from millrace.plans.catalogue import _t, query
+from millrace.plans.catalogue import _WINDOWS, _t, query
 from millrace.sources import files
+from millrace.streaming import live
+from millrace.streaming.snapshot import LiveSnapshot
 
 # Length in UTF-16 units, in SQL: a character beyond the basic plane counts twice.
 _UNITS = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
@@ -79,28 +81,36 @@ def syntax_symbols_typescript(spark, sf_dir):
 
 
 @query(
-    """WITH parts AS (SELECT doc_id, n, n * 40 AS s, n * 40 + 40 AS e FROM documents, generate_series(0, 4) g(n)),
-    symbols AS (SELECT doc_id, 'whole' AS name, 0 AS s, 200 AS e FROM documents UNION ALL SELECT doc_id, 'half', 80, 200 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'part', 120, 165 FROM documents WHERE doc_id % 3 = 0)
-    SELECT p.doc_id, p.n::INTEGER AS n, arg_min(x.name, (x.e - x.s, x.s)) AS container FROM parts p LEFT JOIN symbols x ON p.doc_id = x.doc_id AND x.s <= p.s AND x.e >= p.e GROUP BY 1, 2"""
+    """WITH t AS (SELECT doc_id, length(text)::BIGINT AS l FROM documents), parts AS (SELECT doc_id, n, n * 40 AS s, n * 40 + 40 AS e FROM t, generate_series(0, greatest((l - 1) // 40, 0)) g(n)),
+    symbols AS (SELECT doc_id, 'whole' AS name, 0 AS s, l + 40 AS e FROM t UNION ALL SELECT doc_id, 'half', l // 2, l + 40 FROM t WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'part', 120, 165 FROM t WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'block ' || n, n * 100, n * 100 + 90 FROM t, generate_series(0, l // 100) g(n))
+    SELECT p.doc_id, p.n::INTEGER AS n, arg_min(x.name, (x.e - x.s, x.s, x.name)) AS container FROM parts p LEFT JOIN symbols x ON p.doc_id = x.doc_id AND x.s <= p.s AND x.e >= p.e GROUP BY 1, 2"""
 )
 def symbol_container(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id")
-    parts = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")).select("doc_id", "n", (F.col("n") * 40).alias("start"), (F.col("n") * 40 + 40).alias("end"))
-    symbol = lambda name, a, b, rows: rows.select("doc_id", F.lit(name).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("end"))
-    symbols = symbol("whole", 0, 200, docs).unionAll(symbol("half", 80, 200, docs.where("doc_id % 2 = 0"))).unionAll(symbol("part", 120, 165, docs.where("doc_id % 3 = 0")))
+    """The least of four kinds of ranges over each text around every part of it."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("l")).where("l is not null")
+    n = lambda by: F.explode(F.sequence(F.lit(0), by.cast("int"))).alias("n")
+    parts = docs.select("doc_id", n(F.greatest(F.floor((F.col("l") - 1) / 40), F.lit(0)))).select("doc_id", "n", (F.col("n") * 40).alias("start"), (F.col("n") * 40 + 40).alias("end"))
+    symbol = lambda rows, name, a, b: rows.select("doc_id", name.alias("name"), a.cast("long").alias("start"), b.cast("long").alias("end"))
+    blocks = docs.select("doc_id", n(F.floor(F.col("l") / 100)))
+    symbols = symbol(docs, F.lit("whole"), F.lit(0), F.col("l") + 40).unionAll(symbol(docs.where("doc_id % 2 = 0"), F.lit("half"), F.floor(F.col("l") / 2), F.col("l") + 40))
+    symbols = symbols.unionAll(symbol(docs.where("doc_id % 3 = 0"), F.lit("part"), F.lit(120), F.lit(165))).unionAll(symbol(blocks, F.concat(F.lit("block "), F.col("n").cast("string")), F.col("n") * 100, F.col("n") * 100 + 90))
     return relations.smallest_container(parts, symbols, "doc_id", ["n"]).select("doc_id", "n", "container")
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, split_part(trim(text), ' ', 1) AS binding, substr(text, 1, 300) AS head, substr(text, 301, 300) AS tail FROM documents),
-    p AS (SELECT doc_id, 0 AS n, 0 AS s, 300 AS e, head AS t, binding FROM w UNION ALL SELECT doc_id, 1, 300, 600, tail, binding FROM w)
-    SELECT doc_id, n, CASE WHEN s < 10 AND e > 0 OR list_contains(regexp_split_to_array(t, '[^\p{L}\p{N}_$]+'), binding) THEN 'm' ELSE '' END AS imports FROM p"""
+    r"""WITH w AS (SELECT doc_id, text, split_part(trim(text), ' ', 1) AS binding FROM documents),
+    p AS (SELECT doc_id, n, n * 300 AS s, n * 300 + 300 AS e, substr(text, n * 300 + 1, 300) AS t, binding FROM w, generate_series(0, greatest((length(text) - 1) // 300, 0)) g(n))
+    SELECT doc_id, n::INTEGER AS n, array_to_string(list_filter([CASE WHEN s < 10 AND e > 0 OR list_contains(regexp_split_to_array(t, '[^\p{L}\p{N}_$]+'), binding) THEN 'm' END, CASE WHEN s < 900 AND e > 450 THEN 'k' END], lambda x: x IS NOT NULL), ',') AS imports FROM p"""
 )
 def relevant_imports(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    part = lambda n, a: docs.select("doc_id", F.lit(n).alias("n"), F.lit(a).alias("start"), F.lit(a + 300).alias("end"), F.substring("text", a + 1, 300).alias("text"))
-    imports = docs.select("doc_id", F.lit("m").alias("source"), F.array(F.split_part(F.trim("text"), F.lit(" "), F.lit(1))).alias("bindings"), F.lit(0).alias("start"), F.lit(10).alias("end"))
-    found = relations.relevant_imports(part(0, 0).unionAll(part(1, 300)), imports, "doc_id", ["n"])
+    """Of two imports of each text, one that binds its first word and one of a range further on, those that matter to each part of it."""
+    docs = _t(spark, sf_dir, "documents").where("text is not null")
+    n = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / 300), F.lit(0)).cast("int")))
+    parts = docs.select("doc_id", "text", n.alias("n")).select("doc_id", "n", (F.col("n") * 300).alias("start"), (F.col("n") * 300 + 300).alias("end"), F.substring("text", F.col("n") * 300 + 1, F.lit(300)).alias("text"))
+    told = lambda source, bindings, a, b: docs.select("doc_id", F.lit(source).alias("source"), bindings.alias("bindings"), F.lit(a).alias("start"), F.lit(b).alias("end"))
+    imports = told("m", F.array(F.split_part(F.trim("text"), F.lit(" "), F.lit(1))), 0, 10).unionAll(told("k", F.array().cast("array<string>"), 450, 900))
+    found = relations.relevant_imports(parts, imports, "doc_id", ["n"])
     return found.select("doc_id", "n", F.array_join("imports", ",").alias("imports"))
 
 
@@ -136,10 +146,10 @@ def relative_paths(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", names.relative_path(raw).alias("path"))
 
 
-@query("WITH t AS (SELECT doc_id, text, least(doc_id % 97, length(text)) AS n FROM documents) SELECT doc_id, octet_length(encode(substr(text, 1, n))) AS byte, length(substr(text, 1, n))::INTEGER AS unit FROM t")
+@query("WITH t AS (SELECT doc_id, text, (doc_id * 7919) % (length(text) + 1) AS n FROM documents) SELECT doc_id, octet_length(encode(substr(text, 1, n))) AS byte, length(substr(text, 1, n))::INTEGER AS unit FROM t")
 def byte_offsets(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    n = F.least(F.col("doc_id") % 97, F.length("text")).cast("int")
+    n = ((F.col("doc_id") * 7919) % (F.length("text") + 1)).cast("int")
     byte = F.octet_length(F.substring("text", F.lit(1), n)).cast("long")
     return docs.select("doc_id", "text", byte.alias("byte")).select("doc_id", "byte", positions.byte_to_unit(F.col("text"), F.col("byte").cast("int")).alias("unit"))
 
@@ -199,10 +209,8 @@ def text_page(spark, sf_dir):
 )
 def anchored_neighbourhood(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    near = (F.col("turn") >= F.col("anchor") - 1) & (F.col("turn") <= F.col("anchor") + 2)
-    anchors = rows.where("role = 'assistant'").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("anchor"))
-    # as around_anchor, whose anchors are few; here every answer is one, so both sides are shuffled
-    return rows.join(anchors, (F.col("conv_id") == F.col("_conv")) & near).select("conv_id", "anchor", "turn", (F.col("turn") - F.col("anchor")).alias("distance"))
+    found = relations.around_anchor(rows, "conv_id", "turn", rows.where("role = 'assistant'").select("conv_id", "turn"), 1, 2)
+    return found.select("conv_id", "anchor", "turn", "distance")
 
 
 @query(
@@ -305,16 +313,82 @@ def retrieve_reranked(spark, sf_dir):
     return found.select("document_id", "chunk_id", "score", "semantic_rank", "rank")
 
 
+_TOLD = "WITH RECURSIVE told AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents), w AS"
+
+
 @query(
-    """WITH old AS (SELECT doc_id, sha256(text) AS revision FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS revision FROM documents)
-    SELECT new.doc_id, old.doc_id IS NOT NULL AS reused, CASE WHEN old.doc_id IS NOT NULL THEN 2 ELSE 0 END::BIGINT AS chunks FROM new LEFT JOIN old ON new.doc_id = old.doc_id AND new.revision = old.revision"""
+    _WINDOWS.replace("documents", "told").replace("WITH RECURSIVE w AS", _TOLD)
+    + """ SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'second' WHEN doc_id % 3 = 2 THEN 'first' END AS reused_from, count(*) AS chunks, sum(end_offset - start_offset)::BIGINT AS units FROM w JOIN told USING (doc_id) WHERE length(text) > 0 GROUP BY 1, 2"""
 )
 def reuse_copy(spark, sf_dir):
-    """Documents of a second build that take over an earlier one's chunks: same path and bytes; their memberships are copied and counted."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("revision"), "text")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", "revision", F.concat(F.lit("old-"), F.col("doc_id").cast("string")).alias("old_id"))
-    members = old.select("old_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"))
-    new = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("revision"))
-    kept = new.join(old, ["doc_id", "revision"]).select("doc_id", "old_id")
-    copied = members.join(kept, "old_id").groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    return new.select("doc_id").join(copied, "doc_id", "left").select("doc_id", F.col("chunks").isNotNull().alias("reused"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
+    """A third build of a store: documents that a first or second, smaller one has keep their chunks, from the one completed last; some have changed since."""
+    store, model = BuildStore(spark, _shared(spark)), {"model": "table", "metric": "cosine"}
+    docs = _t(spark, sf_dir, "documents").where("length(text) > 0")
+    file = lambda rows, text: rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"))
+    plan = build.Plan(strategies=("sliding-window",))
+    embed = lambda rows: rows.withColumn("vector", F.array(F.length("text").cast("float"), F.lit(1.0).cast("float")))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    made = {}
+    for turn, (name, files_) in enumerate((("first", file(docs.where("doc_id % 3 <> 0"), F.col("text"))), ("second", file(docs.where("doc_id % 3 = 1"), F.col("text"))), ("third", file(docs, changed)))):
+        made[name] = build.index(store, files_, plan, model, embed, name, f"2026-01-0{turn + 1}", f"2026-01-0{turn + 1}T01", "repository").build
+    third = F.col("build_id") == made["third"]
+    units = store.table("memberships").where(third).groupBy("document_id").agg(F.count("*").alias("counted"), F.sum(F.col("end_offset") - F.col("start_offset")).cast("long").alias("units"))
+    source = F.when(F.col("reused_from") == made["first"], "first").when(F.col("reused_from") == made["second"], "second")
+    told = store.table("documents").where(third).join(units, "document_id")
+    return told.where("chunks = counted").select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), source.alias("reused_from"), "chunks", "units")
+
+
+_BUILDS = {"a": "vec_id % 2 = 0 OR vec_id % 7 = 3", "b": "vec_id % 3 = 0", "c": "vec_id % 5 = 0"}
+
+
+@query(
+    f"""WITH m AS ({" UNION ALL ".join(f"SELECT '{name}' AS build, label AS d, vec_id AS c, vec_id % 997 AS e FROM embeddings WHERE {which}" for name, which in _BUILDS.items())}),
+    t AS (SELECT * FROM (VALUES (1, 'a', ['b', 'c']), (2, 'b', ['c'])) v(turn, gone, rest))
+    SELECT turn, (SELECT count(DISTINCT d) FROM m WHERE build = gone) AS documents, (SELECT count(*) FROM m WHERE build = gone) AS memberships,
+    (SELECT count(*) FROM (SELECT DISTINCT d, c FROM m WHERE build = gone EXCEPT SELECT d, c FROM m WHERE list_contains(rest, build))) AS chunks,
+    (SELECT count(*) FROM (SELECT DISTINCT e FROM m WHERE build = gone EXCEPT SELECT e FROM m WHERE list_contains(rest, build))) AS embeddings,
+    (SELECT count(DISTINCT e) FROM m WHERE list_contains(rest, build)) AS left_over FROM t"""
+)
+def store_deletes(spark, sf_dir):
+    """The counters of two builds' deletes from a store of three that share vectors, and how many vectors are left after each."""
+    store, model = BuildStore(spark, _shared(spark)), {"model": "table", "metric": "cosine"}
+    rows = _t(spark, sf_dir, "embeddings")
+    for name, which in _BUILDS.items():
+        mine = rows.where(which).select(F.col("label").cast("string").alias("document_id"), F.col("vec_id").cast("string").alias("chunk_id"), (F.col("vec_id") % 997).cast("string").alias("embedding_id"), F.col("embedding").alias("vector"))
+        store.begin(name, model, "2026-01-01T00:00:00Z")
+        store.put(name, mine.select("document_id").distinct(), mine.drop("vector"), mine.select("embedding_id", "vector"))
+        store.set_status(name, "ready")
+    told = []
+    for turn, name in ((1, "a"), (2, "b")):
+        counts = store.delete(name)
+        told.append((turn, *(counts[k] for k in ("documents", "memberships", "chunks", "embeddings")), store.table("embeddings").count()))
+    return spark.createDataFrame(told, "turn int, documents long, memberships long, chunks long, embeddings long, left_over long")
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_id % 3 AS delivery, 'user/' || user_id || '.md' AS path, ts, event_type = 'error' AS gone, 'sha256:' || sha256(event_type || ':' || coalesce(props, '')) AS hash FROM events WHERE user_id IS NOT NULL),
+    n AS (SELECT d.delivery, path, arg_max({'gone': gone, 'hash': hash}, (ts, event_id)) AS o FROM (SELECT unnest([0, 1, 2]) AS delivery) d JOIN e ON e.delivery <= d.delivery GROUP BY 1, 2),
+    f AS (SELECT delivery, path, o.hash AS hash FROM n WHERE NOT o.gone), h AS (SELECT delivery, 'sha256:' || sha256(string_agg(path || chr(0) || hash, chr(10) ORDER BY path)) AS fingerprint FROM f GROUP BY 1),
+    c AS (SELECT coalesce(b.delivery, a.delivery + 1) AS delivery, coalesce(b.path, a.path) AS path, b.hash, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.hash = b.hash THEN 'unchanged' ELSE 'changed' END AS change
+        FROM f b FULL JOIN (SELECT * FROM f WHERE delivery < 2) a ON b.delivery = a.delivery + 1 AND b.path = a.path)
+    SELECT delivery::INTEGER AS delivery, path, c.hash, change, fingerprint FROM c JOIN h USING (delivery)"""
+)
+def live_snapshots(spark, sf_dir):
+    """Events as changes of files, streamed in three deliveries that overlap in time: after each the live set, how it differs from the one before, and its hash."""
+    at = _shared(spark)
+    events = _t(spark, sf_dir, "events").where("user_id is not null")
+    content = F.concat("event_type", F.lit(":"), F.coalesce("props", F.lit("")))
+    changes = events.select(F.concat(F.lit("user/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"), F.unix_micros(F.col("ts").cast("timestamp")).alias("modified_at"), F.col("event_id").alias("nth"), (F.col("event_type") == "error").alias("deleted"))
+    seen = []
+    for delivery in range(3):
+        changes.where(F.col("nth") % 3 == delivery).write.parquet(f"{at}/in/{delivery}")
+        live.watch(spark, f"{at}/in/*", "path string, content string, modified_at long, nth long, deleted boolean", f"{at}/checkpoint", lambda files_, batch: files_.agg(F.count("*")).collect()).awaitTermination()
+        table = LiveSnapshot(spark, f"{at}/checkpoint-state")
+        now = table.state()
+        seen.append((table.files(now.revision).select("path", "hash"), now.fingerprint))
+    told = []
+    for delivery, (files_, fingerprint) in enumerate(seen):
+        before = seen[delivery - 1][0] if delivery else files_.where("false")
+        change = relations.snapshot_diff(before, files_, "path", "hash").join(files_, "path", "left")
+        told.append(change.select(F.lit(delivery).alias("delivery"), "path", "hash", "change", F.lit(fingerprint).alias("fingerprint")))
+    return told[0].unionAll(told[1]).unionAll(told[2])

@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.identity import content_hash, ordered_hash
+from millrace.functions.identity import content_hash
+from millrace.operators.digest import ordered_digests
 
 LIMIT = 10 * 1024 * 1024
 
@@ -88,10 +89,14 @@ def read_folder(spark: SparkSession, root: str, limit: int = LIMIT) -> DataFrame
     return found.select(tail.alias("path"), F.col("modificationTime").alias("modified_at"), "length", "content")
 
 
+def _hashed(files: DataFrame, *groups: str) -> DataFrame:
+    return files.select(*groups, "path", content_hash(F.col("content")).alias("hash"))
+
+
 def snapshot(files: DataFrame) -> DataFrame:
     """One row (files, bytes, membership_hash) for a set of files (path, content)."""
-    pairs = F.collect_list(F.struct("path", content_hash(F.col("content")).alias("hash")))
-    return files.agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"), ordered_hash(pairs).alias("membership_hash"))
+    whole = files.agg(F.sum(F.octet_length("content")).alias("bytes"))
+    return whole.join(ordered_digests(_hashed(files)), how="left").select(F.coalesce("files", F.lit(0)).alias("files"), "bytes", F.coalesce("membership_hash", content_hash(F.lit(""))).alias("membership_hash"))
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
@@ -156,9 +161,8 @@ def selection_hash(include: list[str] = (), exclude: list[str] = (), hidden: boo
 
 
 def memberships(files: DataFrame, group: str) -> DataFrame:
-    """(group, files, membership_hash): the hash over the sorted lines of each set, from one ordered list a set of paths and hashes alone."""
-    pairs = F.collect_list(F.struct("path", content_hash(F.col("content")).alias("hash")))
-    return files.groupBy(group).agg(F.count("*").alias("files"), ordered_hash(pairs).alias("membership_hash"))
+    """(group, files, membership_hash): the hash over the sorted lines of each set, which go through memory one at a time."""
+    return ordered_digests(_hashed(files, group), [group])
 
 
 def directory_source(files: DataFrame) -> dict:

@@ -1,4 +1,4 @@
-"""Live indexing: a landing folder is read as a stream, and each micro-batch that changes anything is built."""
+"""Live indexing: changes of a tree are read as a stream, and whatever changes the tree as a whole is built."""
 
 from __future__ import annotations
 
@@ -9,18 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.functions.identity import content_hash
-
-
-def fingerprint(files: DataFrame) -> str | None:
-    """A hash of (path, content) rows that doesn't depend on their order; None for no rows."""
-    row = F.xxhash64("path", content_hash(F.col("content")))
-    n, total, mixed = files.agg(F.count("*"), F.sum(row % 1_000_003), F.bit_xor(row)).first()
-    return f"{n}:{total}:{mixed}" if n else None
+from millrace.streaming.snapshot import NOTHING, LiveSnapshot
 
 
 class Published:
-    """The fingerprint of the batch that was published last, kept in a file beside the stream's checkpoint, so that a restart knows it."""
+    """The fingerprint of the snapshot that was published last, kept in a file beside the stream's checkpoint, so that a restart knows it."""
 
     def __init__(self, spark: SparkSession, checkpoint: str):
         self.spark, self.at = spark, f"{checkpoint.rstrip('/')}-published"
@@ -36,34 +29,33 @@ class Published:
         out.close()
 
 
-def watch(spark: SparkSession, folder: str, schema: str, checkpoint: str, build: Callable[[DataFrame, int], None], every: str | None = None, least: float = 0.0, current: Callable[[], DataFrame] | None = None, tries: int = 3) -> StreamingQuery:
-    """Run build(files, batch) for each micro-batch of new parquet files in folder, latest row of each path.
+def watch(spark: SparkSession, folder: str, schema: str, checkpoint: str, build: Callable[[DataFrame, int], None], every: str | None = None, least: float = 0.0, current: Callable[[], DataFrame] | None = None, tries: int = 3, buckets: int = 64) -> StreamingQuery:
+    """Keep the live state of a tree from parquet files of its changes in folder, and run build(files, batch) over all its files when they have changed.
 
-    A batch whose fingerprint is that of the batch published last isn't built, also after a restart. With `every`, batches are that far apart;
-    without it, what is there is built and the stream ends. `least` seconds lie between the ends of builds at least. `current` reads the files
-    as they are now: if they changed while a build was made it is superseded, and they are built in its place, up to `tries` times.
+    Changes (path, content, and if given modified_at, nth, deleted) are merged into a LiveSnapshot beside the checkpoint; files has path and content
+    of every file that is there, so what was deleted is in no later build. A snapshot whose hash is that of the one published last isn't built, also after a restart. With `every`, batches are that far apart;
+    without it, what is there is built and the stream ends. `least` seconds lie between the ends of builds at least. `current` lists the whole tree
+    as it is now: the state is made what it says after a build, before that is published, and once more after it; if it differed the build is superseded, and
+    what is there now is built in its place, up to `tries` times.
     """
-    published, ended = Published(spark, checkpoint), [0.0]
+    published, ended, live = Published(spark, checkpoint), [0.0], LiveSnapshot(spark, f"{checkpoint.rstrip('/')}-state", buckets)
 
     def each(batch: DataFrame, number: int) -> None:
-        files = batch.groupBy("path").agg(F.max_by("content", "modified_at").alias("content")).persist()
-        try:
-            for _ in range(tries):
-                now = fingerprint(files)
-                if now is None or now == published.read():
-                    return
-                time.sleep(max(0.0, ended[0] + least - time.monotonic()))
-                build(files, number)
-                ended[0] = time.monotonic()
-                later = current().select("path", "content").persist() if current else None
-                if later is None or fingerprint(later) in (now, None):
-                    published.write(now)
+        now = live.apply(batch, number)
+        for _ in range(tries):
+            if now.fingerprint == (published.read() or NOTHING):
+                return
+            time.sleep(max(0.0, ended[0] + least - time.monotonic()))
+            build(live.files(now.revision).select("path", "content"), number)
+            ended[0] = time.monotonic()
+            later = live.reconcile(current()) if current else now
+            if later.fingerprint == now.fingerprint:
+                published.write(now.fingerprint)
+                later = live.reconcile(current()) if current else now
+                if later.fingerprint == now.fingerprint:
                     return
-                files.unpersist()
-                files = later
-            raise RuntimeError("the files change faster than they are built")
-        finally:
-            files.unpersist()
+            now = later
+        raise RuntimeError("the files change faster than they are built")
 
     stream = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()
