@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,15 +10,17 @@ from dataclasses import dataclass
 from millrace.functions.positions import BLANK
 from millrace.syntax.tree import Node, Symbol, Tree
 
-# What a fragment that leads to its follower ends with, and how large it and a small fragment may be.
+# What a fragment that leads to its follower ends with, how large it and a small fragment may be, and patterns of text between, at the end and at the start of fragments.
 LEADING_ENDS = ("=>", ",", "=", "{", "(", "[", ":")
 LEADING_WORDS = ("do", "else", "finally", "try")
 SMALL_SIZE, SMALL_SHARE, HEADER_SHARE = 512, 0.2, 0.5
-
-_GAP = re.compile(rf"[{BLANK}]*(?:else|finally|while[{BLANK}]*\()[{BLANK}]*\Z")
-_WORD_END = re.compile(rf"(?:^|[^\w$])(?:{'|'.join(LEADING_WORDS)})\Z")
-_BLOCK_HEADER = re.compile(rf"(?:^|[{BLANK};{{}}])(?:class|enum|interface|module|namespace)[{BLANK}]+[^;{{}}]+\Z|\)[{BLANK}]*:[{BLANK}]*[^;{{}}=]+\Z")
-_FOLLOWS = re.compile(r"(?:catch|else|finally)\b|[}\])]")
+SPACE = f"[{BLANK}]"
+GAP = re.compile(rf"^{SPACE}*(?:else|finally|while{SPACE}*\()" + rf"{SPACE}*\Z")
+DECLARATION = re.compile(rf"(?:^|[{BLANK};{{}}])(?:class|enum|interface|module|namespace){SPACE}+[^;{{}}]+\Z")
+RETURN_TYPE = re.compile(rf"\){SPACE}*:{SPACE}*[^;{{}}=]+\Z")
+CONTINUATION = re.compile(r"^(?:catch|else|finally)\b")
+CLOSER = re.compile(r"^[}\])]")
+# End of the fixed values.
 
 
 @dataclass(frozen=True, slots=True)
@@ -45,20 +48,29 @@ def _ranges(text: str, node: Node, start: int, end: int) -> Iterator[tuple[Node,
     """The children with their share of the range: what stands between two goes to the first, but a lone else, finally or while( to the second."""
     edges = [start]
     for a, b in zip(node.children, node.children[1:]):
-        edges.append(a.end if a.end < b.start and _GAP.match(text, a.end, b.start) else b.start)
+        edges.append(a.end if a.end < b.start and GAP.match(text[a.end : b.start]) else b.start)
     return zip(node.children, edges, [*edges[1:], end])
 
 
+def _unfinished(own: str) -> bool:
+    """Whether text ends in a word after which something has to follow."""
+    word = re.search(r"[\w$]*\Z", own)[0]
+    return word in LEADING_WORDS
+
+
+def _heads_block(own: str) -> bool:
+    """Whether text is what stands before a block's opening brace: a parameter list, a return type, a declaration or a word."""
+    return own[-1] not in ";}" and (own[-1] == ")" or _unfinished(own) or bool(DECLARATION.search(own) or RETURN_TYPE.search(own)))
+
+
 def _leads(text: str, first: Fragment, then: Fragment | None, most: int) -> bool:
-    """Whether a short fragment is unfinished, so that it belongs to the one after it."""
-    own = text[first.start : first.end].rstrip(BLANK)
-    if first.lean is not None or not own:
-        return False
-    word = _WORD_END.search(own) is not None
-    header = then is not None and text[then.start : then.end].lstrip(BLANK).startswith("{") and own[-1] not in ";}" and (own[-1] == ")" or word or _BLOCK_HEADER.search(own) is not None)
-    if first.size > min(SMALL_SIZE, int(most * (HEADER_SHARE if header else SMALL_SHARE))):
+    """Whether a short fragment is unfinished, so that it belongs to the one after it; one that heads a block may be longer."""
+    own = "" if first.lean is not None else text[first.start : first.end].rstrip(BLANK)
+    if not own:
         return False
-    return header or word or own.endswith(LEADING_ENDS)
+    if then and text[then.start : then.end].lstrip(BLANK)[:1] == "{" and _heads_block(own):
+        return first.size <= min(SMALL_SIZE, int(most * HEADER_SHARE))
+    return first.size <= min(SMALL_SIZE, int(most * SMALL_SHARE)) and (own.endswith(LEADING_ENDS) or _unfinished(own))
 
 
 def _cut(text: str, root: Node, most: int, leaf) -> list[Fragment]:
@@ -102,58 +114,83 @@ def _both(a: int | None, b: int | None) -> int | None:
     return None if a is None or b is None else a if a == b else 0
 
 
-def _merged(parts: list[Fragment], at: int, kind: str | None = None, lean: int | None = None) -> None:
-    parts[at : at + 2] = [Fragment(parts[at].start, parts[at + 1].end, kind, lean)]
-
-
-def _absorb_blank(parts: list[Fragment], most: int) -> None:
-    """Blank fragments go to the neighbour they lean to, the smaller one if to neither, where the sum fits or the neighbour is too large anyway."""
-    at = 0
-    while at < len(parts):
-        own = parts[at]
-        beside = [] if own.lean is None else [k for k in (at - 1, at + 1) if 0 <= k < len(parts)]
-        beside.sort(key=lambda k: parts[k].size if own.lean == 0 else (k - at) * -own.lean)
-        to = next((k for k in beside if own.size + parts[k].size <= most or parts[k].size > most), None)
-        if to is None:
-            at += 1
-            continue
-        other, left = parts[to], min(at, to)
-        _merged(parts, left, other.kind if other.lean is None else None, _both(own.lean, other.lean))
-        at = max(0, left - 1)
-
-
-def _join_leading(text: str, parts: list[Fragment], most: int) -> None:
-    """From the end: a fragment that leads to the next joins it where both fit."""
-    for at in range(len(parts) - 2, -1, -1):
-        first, then = parts[at], parts[at + 1]
-        if then.lean is None and then.end - first.start <= most and _leads(text, first, then, most):
-            _merged(parts, at)
-
-
-def _join_small(text: str, parts: list[Fragment], most: int) -> None:
-    """Small fragments join the larger neighbour that has room; what goes on from the left, as a catch or a closing bracket does, joins that."""
-    small, at = min(SMALL_SIZE, int(most * SMALL_SHARE)), 0
-    while at < len(parts):
-        own = parts[at]
-        room = []
-        if own.lean is None and own.size <= small:
-            room = [k for k in (at - 1, at + 1) if 0 <= k < len(parts) and parts[k].lean is None and own.size + parts[k].size <= most]
-        if not room:
-            at += 1
-            continue
-        to = room[0] if len(room) == 1 or _FOLLOWS.match(text[own.start : own.end].strip(BLANK)) else max(room, key=lambda k: (parts[k].size, -k))
-        _merged(parts, min(at, to))
-        at = max(0, min(at, to) - 1)
+class _Row:
+    """Fragments in a row of which neighbours are joined, each known by the place that it had at first."""
+
+    def __init__(self, text: str, parts: list[Fragment], most: int):
+        self.text, self.most = text, most
+        self.parts: list[Fragment | None] = list(parts)
+        self.left, self.right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+
+    def sides(self, at: int) -> list[int]:
+        return [k for k in (self.left[at], self.right[at]) if k >= 0]
+
+    def fit(self, at: int, to: int) -> bool:
+        return self.parts[at].size + self.parts[to].size <= self.most
+
+    def blank(self, at: int) -> int | None:
+        """Blank text goes to the side that it leans to, or else to the smaller neighbour; to one that is too large anyway, too."""
+        own = self.parts[at]
+        if own.lean is None:
+            return None
+        liked = {-1: self.left[at], 1: self.right[at]}.get(own.lean)
+        order = sorted(self.sides(at), key=lambda k: self.parts[k].size if own.lean == 0 else k != liked)
+        return next((k for k in order if self.fit(at, k) or self.parts[k].size > self.most), None)
+
+    def leading(self, at: int) -> int | None:
+        """What leads to its follower joins it."""
+        to = self.right[at]
+        good = to >= 0 and self.parts[to].lean is None and self.fit(at, to) and _leads(self.text, self.parts[at], self.parts[to], self.most)
+        return to if good else None
+
+    def small(self, at: int) -> int | None:
+        """A small fragment goes to its larger neighbour, but one that goes on with what is before it, as a catch or a closing bracket does, to that."""
+        own = self.parts[at]
+        room = [k for k in self.sides(at) if self.parts[k].lean is None and self.fit(at, k)]
+        if own.lean is not None or own.size > min(SMALL_SIZE, int(self.most * SMALL_SHARE)) or not room:
+            return None
+        told = self.text[own.start : own.end].strip(BLANK)
+        if self.left[at] in room and (CONTINUATION.search(told) or CLOSER.search(told)):
+            return self.left[at]
+        return max(room, key=lambda k: self.parts[k].size)
+
+    def join(self, at: int, to: int) -> int:
+        """Join two neighbours under the place of the left one."""
+        first, second = min(at, to), max(at, to)
+        a, b = self.parts[first], self.parts[second]
+        blank = [x for x in (a, b) if x.lean is not None]
+        kind = (b if blank == [a] else a).kind if len(blank) == 1 else None
+        self.parts[first], self.parts[second] = Fragment(a.start, b.end, kind, _both(a.lean, b.lean)), None
+        after = self.right[first] = self.right[second]
+        if after >= 0:
+            self.left[after] = first
+        return first
+
+
+def _compacted(text: str, parts: list[Fragment], most: int) -> list[Fragment]:
+    """Fragments joined by what each wants, one kind of wish after another: blank text from the start, leading fragments from the end, small ones from the start.
+
+    Wishes wait in a heap by place; a join leaves new ones to what it made and its neighbours.
+    """
+    row = _Row(text, parts, most)
+    for wish, way in ((row.blank, 1), (row.leading, -1), (row.small, 1)):
+        waiting = [way * k for k, part in enumerate(row.parts) if part]
+        heapq.heapify(waiting)
+        while waiting:
+            at = way * heapq.heappop(waiting)
+            if row.parts[at] is None or (to := wish(at)) is None:
+                continue
+            made = row.join(at, to)
+            for k in (made, *row.sides(made)):
+                heapq.heappush(waiting, way * k)
+    return [part for part in row.parts if part]
 
 
 def fragments(text: str, tree: Tree, most: int, leaf) -> list[Fragment]:
     """Contiguous fragments that cover the text; leaf(start, end) cuts a range that no syntax divides into parts of at most `most`."""
     if not text:
         return []
-    parts = _cut(text, tree.root, most, leaf)
-    _absorb_blank(parts, most)
-    _join_leading(text, parts, most)
-    _join_small(text, parts, most)
+    parts = _compacted(text, _cut(text, tree.root, most, leaf), most)
     at = 0
     for part in parts:
         if part.start != at:

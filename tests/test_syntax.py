@@ -195,20 +195,15 @@ def test_passes():
     text = "aaaaaaaaaa" + "   " + "bbbbbbbbbb" + "if (x) " + "{ cccccccccc }" + "}" + "dddddddddddddddddddddddddddddd"
     f = cast.Fragment
     parts = [f(0, 10, "a"), f(10, 13, "w", 1), f(13, 23, "b")]
-    cast._absorb_blank(parts, 20)
-    assert parts == [f(0, 10, "a"), f(10, 23, "b")]
+    assert cast._compacted(text, parts, 20) == [f(0, 10, "a"), f(10, 23, "b")]
     parts = [f(0, 10, "a"), f(10, 13, "w", -1), f(13, 23, "b")]
-    cast._absorb_blank(parts, 20)
-    assert parts == [f(0, 13, "a"), f(13, 23, "b")]
+    assert cast._compacted(text, parts, 20) == [f(0, 13, "a"), f(13, 23, "b")]
     parts = [f(0, 23, "a"), f(23, 30, "h"), f(30, 44, "body"), f(44, 75, "rest")]
-    cast._join_leading(text, parts, 40)
-    assert [(p.start, p.end) for p in parts] == [(0, 23), (23, 44), (44, 75)]
+    assert [(p.start, p.end) for p in cast._compacted(text, parts, 40)] == [(0, 23), (23, 44), (44, 75)]
     parts = [f(0, 44, "a"), f(44, 45, "close"), f(45, 75, "d")]
-    cast._join_small(text, parts, 50)
-    assert [(p.start, p.end) for p in parts] == [(0, 45), (45, 75)]
+    assert [(p.start, p.end) for p in cast._compacted(text, parts, 50)] == [(0, 45), (45, 75)]
     parts = [f(0, 10, "small"), f(10, 13, "w", 0), f(13, 30)]
-    cast._join_small(text, parts, 60)
-    assert len(parts) == 3
+    assert cast._Row(text, parts, 60).small(0) is None
 
 
 def test_random_trees_are_covered():
