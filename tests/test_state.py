@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from millrace.operators import build, documentation, relations
+from millrace.operators import build, documentation, relations, search
 from millrace.operators.digest import ordered_digests
 from millrace.operators.store import BuildStore
 from millrace.operators.versions import Versions
@@ -174,3 +174,29 @@ def test_nearest_project_joins_by_equality(spark):
     found = documentation.nearest_project(roots, paths)
     assert {tuple(r) for r in found.collect()} == {("/a/x", "p"), ("/a/b", "r"), ("/a/b/c/d", "r"), ("/abc", None), ("/z", None)}
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_batches_of_queries_meet_rows_in_tiles(spark):
+    """One block and many give the same; ties go to the lesser key; vectors of other lengths, nulls and numbers that aren't finite take no part; rows are scanned once."""
+    r = random.Random(7)
+    vectors = [(i, [r.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0, float("nan"), 0.0]), (62, [1.0, 2.0]), (63, [0.0, 0.0, 0.0])]
+    rows = spark.createDataFrame(vectors, "id long, v array<double>")
+    asked = rows.where("id % 3 = 0").select(F.col("id").alias("q"), F.col("v").alias("query"))
+    good = [(i, v) for i, v in vectors if v is not None and all(x == x for x in v)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    scores = {
+        "dot-product": dot,
+        "cosine": lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if dot(a, a) * dot(b, b) else 0.0,
+        "euclidean": lambda a, b: -(sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5),
+    }
+    for metric, score in scores.items():
+        want = []
+        for q, a in good:
+            if q % 3 == 0:
+                found = sorted((-round(score(a, b), 12), i) for i, b in good if len(a) == len(b))[:4]
+                want += [(q, i, n + 1) for n, (_, i) in enumerate(found)]
+        for most in (4096, 3):
+            got = search.top_k_batch(rows, asked, "v", "id", "q", 4, metric, most=most)
+            assert sorted((x["q"], x["id"], x["rank"]) for x in got.collect()) == sorted(want)
+    plan = search.top_k_batch(rows.where("id >= 0"), asked, "v", "id", "q", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
