@@ -163,9 +163,15 @@ def _cells(first: Column, last: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
-def _around(place: Column) -> Column:
-    """The cells (level, cell) in which a place lies: one of each level. Of those that make up a range, a place in it is in exactly one."""
-    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(place.cast("long"), k).alias("cell")) for k in range(_BITS + 1)))
+def _around(points: DataFrame, cells: DataFrame, place: Column) -> DataFrame:
+    """points (_document) with `_at`: the cells in which their place lies, of those levels at which their document has any cells (_document, _at).
+
+    Of the cells that make up a range, a place in it is in exactly one.
+    """
+    levels = cells.groupBy("_document").agg(F.collect_set("_at.level").alias("_levels"))
+    met = points.join(levels, "_document")
+    around = F.transform("_levels", lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("cell")))
+    return met.withColumn("_at", F.explode(around)).drop("_levels")
 
 
 def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key: list[str]) -> DataFrame:
@@ -179,7 +185,7 @@ def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key:
     s = s.select(F.col(document).alias("_document"), F.explode(_cells(F.col("start"), F.col("end"))).alias("_at"), F.col("end").cast("long").alias("_end"), F.struct((F.col("end") - F.col("start")).cast("long").alias("size"), F.col("start").cast("long").alias("start"), "name").alias("_symbol"))
     places = parts.select(F.col(document).alias("_document"), F.col("start").alias("_start"), F.col("end").cast("long").alias("_end")).where("_document is not null and _start is not null and _end is not null").distinct()
     held = s.select("_document", "_at").distinct()
-    asked = places.withColumn("_at", F.explode(_around(F.col("_start")))).join(held, ["_document", "_at"])
+    asked = _around(places, held, F.col("_start")).join(held, ["_document", "_at"])
     none = F.lit(None).cast(s.schema["_symbol"].dataType)
     both = s.select("_document", "_at", "_end", "_symbol", F.lit(None).cast(places.schema["_start"].dataType).alias("_start")).unionByName(asked.withColumn("_symbol", none))
     so_far = W.partitionBy("_document", "_at").orderBy(F.desc("_end"), F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, 0)
@@ -198,10 +204,10 @@ def overlapping(left: DataFrame, right: DataFrame, document: str) -> DataFrame:
     # one side's starts meet the cells of the other's ranges
     pairs = []
     for points, ranges, first in ((right, left, F.col("start")), (left, right, F.col("start") + 1)):
-        p = points.where(there).select(F.col(document).alias("_document"), F.col("id").alias("_point"), F.explode(_around(F.col("start"))).alias("_at"))
+        p = points.where(there).select(F.col(document).alias("_document"), F.col("id").alias("_point"), F.col("start").alias("_place"))
         r = ranges.where(there & (first < F.col("end"))).select(F.col(document).alias("_document"), F.col("id").alias("_range"), F.explode(_cells(first, F.col("end") - 1)).alias("_at"))
         names = ("_range", "_point") if points is right else ("_point", "_range")
-        pairs.append(p.join(r, ["_document", "_at"]).select(F.col("_document").alias(document), F.col(names[0]).alias("left"), F.col(names[1]).alias("right")))
+        pairs.append(_around(p, r, F.col("_place")).join(r, ["_document", "_at"]).select(F.col("_document").alias(document), F.col(names[0]).alias("left"), F.col(names[1]).alias("right")))
     return pairs[0].unionAll(pairs[1])
 
 

@@ -126,8 +126,9 @@ def test_smallest_container_of_any_ranges(spark):
 def test_many_ranges_around_each_other_make_no_pairs(spark):
     """30,000 parts in 30,000 symbols that hold each other: the plan has no join by ranges, and its rows are few for each."""
     n = 30_000
-    symbols = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").cast("string").alias("name"), F.col("id").alias("start"), (F.lit(3 * n) - F.col("id")).alias("end"))
-    parts = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").alias("n"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
+    doc = F.when(F.col("id") >= 0, "d").otherwise("e").alias("doc")  # no constant, which would take the equality out of the plan
+    symbols = spark.range(n).select(doc, F.col("id").cast("string").alias("name"), F.col("id").alias("start"), (F.lit(3 * n) - F.col("id")).alias("end"))
+    parts = spark.range(n).select(doc, F.col("id").alias("n"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
     found = relations.smallest_container(parts, symbols, "doc", ["n"])
     assert found.where("cast(n as string) <> container").count() == 0 and found.where("container is null").count() == 0
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
