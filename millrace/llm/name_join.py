@@ -263,29 +263,28 @@ def _within(names: list[str], marks: tuple[np.ndarray, np.ndarray, np.ndarray],
 
 
 def _matching(q: int, most: int):
-    """Compare the names of each key and block; rows come sorted by both, the left side first."""
+    """Compare the names of each key and block; rows come sorted by both, the left side first, then by place."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         coded = table.column("name").combine_chunks().dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        lengths, marks = np.fromiter(map(len, names), np.int32, len(names))[code], _marked(names, q)
-        code = code.astype(np.int64)
+        marks, code = _marked(names, q), code.astype(np.int64)
         key, block, side, pos = (table.column(c).to_numpy() for c in ("key", "block", "side", "pos"))
         group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) - 1
-        lefts = np.bincount(group, weights=side == 0).astype(np.int64)
-        begin = np.searchsorted(group, np.arange(len(lefts)))
-        right = np.flatnonzero(side == 1)
-        n = lefts[group[right]]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        # rows of a group stand in order of their places, so those that are near enough to one are a range
+        places = group << 32 | pos.astype(np.int64)
+        low = np.searchsorted(places[left], places[right] - most)
+        n = np.searchsorted(places[left], places[right] + most, "right") - low
         ends = np.cumsum(n)
         at = 0
         while at < len(right):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            some, many = right[at:upto], n[at:upto]
+            some, many = slice(at, upto), n[at:upto]
             at = upto
-            r = np.repeat(some, many)
-            left = np.repeat(begin[group[some]], many) + np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
-            fit = np.flatnonzero((np.abs(lengths[left] - lengths[r]) <= most) & (np.abs(pos[left] - pos[r]) <= most))
-            i, j, far = _within(names, marks, code[left[fit]], code[r[fit]], q, most)
+            first = np.repeat(low[some] - np.cumsum(many) + many, many)
+            l, r = left[first + np.arange(len(first))], np.repeat(right[some], many)
+            i, j, far = _within(names, marks, code[l], code[r], q, most)
             if len(i):
                 yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(i)), coded.dictionary.take(pa.array(j)), pa.array(far.astype(np.int32))], names=["left", "right", "distance"])
 
@@ -327,7 +326,7 @@ def near_names(left: DataFrame, right: DataFrame, most: int = 2, q: int = GRAM)
     slot = F.pmod(F.shiftrightunsigned("key", 48), F.lit(SLOTS)).alias("slot")
     lists = tuple(_table(p.groupBy(slot).agg(F.count("*").alias("n"))) for p in posted)
     dealt = posted[0].unionAll(posted[1]).mapInArrow(_dealing(lists), _ENDS)
-    met = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "side")
+    met = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "side", "pos")
     return met.mapInArrow(_matching(q, most), "left string, right string, distance int").distinct()
 
 
