@@ -149,14 +149,15 @@ def _filled(store, build, files, plan, model, embed, snapshot, repository, compa
             again = _copied(store, kept).drop("sourceId", "tags").join(documents.select("document_id", "sourceId", "tags"), "document_id")
             members = members.unionByName(again.select(*members.columns))
         wanted = chunks.select("embedding_id", F.col("input").alias("text"))
-        missing = store.missing(wanted).persist()
+        missing = store.missing(wanted, model).persist()
         good_documents = documents.drop("encodings").join(failed.select("document_id"), "document_id", "left_anti")
         # what a later build needs to know to take a document over, so that it needn't read any chunks
         told_of = members.groupBy("document_id").agg(F.count("*").alias("chunks"), F.collect_set("chunking_identity").alias("made_by"))
         source = kept.select("document_id", F.col("build_id").alias("reused_from"), F.col("old_id").alias("reused_id")) if kept is not None else told_of.select("document_id", *(F.lit(None).cast("string").alias(c) for c in ("reused_from", "reused_id"))).where("false")
         good_documents = good_documents.join(told_of, "document_id", "left").join(source, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
         generated = missing.count()  # counted, and kept, before anything is written: what is missing isn't afterwards
-        store.put(build, good_documents, members, embed(missing).select("embedding_id", "vector"))
+        vectors = embed(missing)
+        store.put(build, good_documents, members, vectors.select("embedding_id", "vector", *([I.content_hash(F.col("text")).alias("input_hash")] if "text" in vectors.columns else [])))
         store.put_diagnostics(build, refused.unionAll(broken).unionAll(left_out))
         return Report(build, False, _counted(store, build, missing, generated), store.diagnostics(build))
     finally:

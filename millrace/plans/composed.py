@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import decoding, names, positions
+from millrace.functions import identity as I
 from millrace.functions.classification import classify_content
 from millrace.operators import build, documentation, relations, retrieval
 from millrace.operators.chunking import chunk
@@ -338,6 +339,21 @@ def reuse_copy(spark, sf_dir):
     return told.where("chunks = counted").select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), source.alias("reused_from"), "chunks", "units")
 
 
+@query("SELECT DISTINCT sha256(text) AS embedding_id, length(text)::BIGINT AS characters FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0)")
+def embed_missing(spark, sf_dir):
+    """Of all documents' texts, those that are still to be embedded after two builds have put theirs, which share some."""
+    store, model = BuildStore(spark, _shared(spark)), {"model": "table", "metric": "cosine"}
+    docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("embedding_id"), "text")
+    for rest in (1, 2):
+        mine = docs.where(F.col("doc_id") % 3 == rest)
+        members = mine.select(F.col("doc_id").cast("string").alias("document_id"), F.col("doc_id").cast("string").alias("chunk_id"), "embedding_id")
+        vectors = mine.select("embedding_id", F.array(F.length("text").cast("float")).alias("vector"), I.content_hash(F.col("text")).alias("input_hash"))
+        store.begin(f"build{rest}", model, "2026-01-01T00:00:00Z")
+        store.put(f"build{rest}", members.select("document_id"), members, vectors)
+        store.set_status(f"build{rest}", "ready")
+    return store.missing(docs.select("embedding_id", "text"), model).select("embedding_id", F.length("text").cast("long").alias("characters"))
+
+
 _BUILDS = {"a": "vec_id % 2 = 0 OR vec_id % 7 = 3", "b": "vec_id % 3 = 0", "c": "vec_id % 5 = 0"}
 
 

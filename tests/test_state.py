@@ -98,6 +98,66 @@ def test_deletes_write_tombstones(spark, tmp_path):
         store.delete("a")
 
 
+def put_ids(spark, store, name, ids, model=MODEL, **more):
+    rows = spark.createDataFrame([(f"d{i}", f"c{i}", f"e{i}", [float(i)]) for i in ids], "document_id string, chunk_id string, embedding_id string, vector array<float>")
+    store.begin(name, model, "2026-01-01")
+    store.put(name, rows.select("document_id"), rows.drop("vector"), rows.select("embedding_id", "vector", *(F.lit(v).alias(k) for k, v in more.items())))
+    store.set_status(name, "ready")
+
+
+def test_only_buckets_that_may_hold_an_id_are_read(spark, tmp_path):
+    """A put of 1 % new ids, and a lookup of them, read no vector's file: all of those are spoilt, and it goes on; of ids that are there, their buckets' files are read."""
+    store = BuildStore(spark, f"file://{tmp_path}/store", buckets=16)
+    put_ids(spark, store, "a", range(5000))
+    wanted = lambda *names: spark.createDataFrame([(n, "") for n in names], "embedding_id string, text string")
+    assert store.possible(wanted(*(f"e{i}" for i in range(5000, 5050)))) == [] and store.possible(wanted("e7", None)) and len(store.possible(wanted("e7", "x"))) == 1
+    _, bucket = store.possible(wanted("e7"))[0]
+    assert [tuple(r) for r in store.held(wanted("e7", "x")).collect()] == [("e7", "", [7.0])]
+    data = {p: p.read_bytes() for p in (tmp_path / "store" / "embeddings").glob("**/*.parquet")}
+    filters = sum(p.stat().st_size for p in (tmp_path / "store" / "filters").glob("**/*.parquet"))
+    assert filters < 5000 * 5 and {p.parent.name for p in data} == {f"bucket={k}" for k in range(16)}
+    for path in data:
+        if path.parent.name != f"bucket={bucket}":
+            path.write_bytes(b"spoilt")
+            path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+    put_ids(spark, store, "b", range(5000, 5050))
+    assert [r["embedding_id"] for r in store.missing(wanted("e7", "e5001", "new")).collect()] == ["new"]
+    for path, held in data.items():
+        path.write_bytes(held)
+    assert store.table("embeddings").count() == 5050 and store.searchable("b").count() == 50
+
+
+def test_ids_are_held_once_under_writers_at_the_same_time(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: put_ids(spark, BuildStore(spark, root, buckets=4), f"b{k}", range(10 * k, 10 * k + 40)), range(3)))
+    store = BuildStore(spark, root)
+    held = [r["embedding_id"] for r in store.table("embeddings").collect()]
+    assert sorted(held) == sorted(f"e{i}" for i in range(60)) and all(store.searchable(f"b{k}").count() == 40 for k in range(3))
+    put_ids(spark, store, "again", range(60))  # nothing new: no part
+    parts = store.manifest.read()[1]["parts"]
+    assert len(parts) <= 3 and {p.name for p in (tmp_path / "store" / "embeddings").iterdir()} == {f"part={p}" for p in parts}
+    assert store.compact(buckets=8) == 0 and store.table("embeddings").count() == 60 and len(store.manifest.read()[1]["parts"]) == 1
+    assert store.missing(store.table("embeddings").select("embedding_id")).count() == 0 and store.compact() == 0
+
+
+def test_held_vectors_must_be_of_the_input_and_model(spark, tmp_path):
+    store = BuildStore(spark, f"file://{tmp_path}/store")
+    wanted = spark.createDataFrame([("e1", "text"), ("e9", "other")], "embedding_id string, text string")
+    assert store.missing(wanted).count() == 2 and store.held(wanted).count() == 0  # an empty store
+    put_ids(spark, store, "a", [1], input_hash=sha("text"))
+    assert [r["embedding_id"] for r in store.missing(wanted, MODEL).collect()] == ["e9"]
+    for ids, model in ((wanted.withColumn("text", F.lit("changed")), MODEL), (wanted, MODEL | {"model": "n"})):
+        with pytest.raises(Exception, match="another input or model"):
+            store.missing(ids, model).collect()
+        with pytest.raises(Exception, match="another input or model"):
+            store.held(ids, model).collect()
+    with pytest.raises(ValueError, match="vectors are"):
+        store.begin("b", MODEL, "2026-01-01")
+        rows = spark.createDataFrame([("d", "c", "e", [1.0])], "document_id string, chunk_id string, embedding_id string, vector array<double>")
+        store.put("b", rows.select("document_id"), rows.drop("vector"), rows.select("embedding_id", "vector"))
+
+
 def test_reuse_looks_at_all_builds(spark, tmp_path):
     store, plan = BuildStore(spark, f"file://{tmp_path}/store"), build.Plan(strategies=("sliding-window",))
     files = {"a": "alpha text", "b": "beta text"}
