@@ -120,17 +120,21 @@ def index(store: BuildStore, files: DataFrame, plan: Plan, model: dict, embed: C
 
 
 def _filled(store, build, files, plan, model, embed, snapshot, repository, compatibility) -> Report:
+    """Fill a build that was begun. Its stages are written beside the store's tables and read again, so that each is planned and made once, also where executors are lost."""
+    work = store.workspace()
     rows = decided(files, plan).withColumn("revision", I.file_revision_id(I.content_hash(F.col("content"))))
-    rows = rows.withColumn("document_id", I.document_id(F.lit(snapshot), F.col("path"), F.col("revision"))).persist()
-    kept = made = missing = None
+    rows = rows.withColumn("document_id", I.document_id(F.lit(snapshot), F.col("path"), F.col("revision")))
+    kept = None
     try:
+        given = [c for c in ("sourceId", "tags") if c in files.columns]
+        rows = work.placed("files", rows.select("path", "revision", "document_id", "byte_length", "read", "decision", "classified", "traits", "encodings", *given))
         taken = rows.where((F.col("decision.action") == "index") & F.col("read.error").isNull())
         documents = taken.select("document_id", "path", "revision", "byte_length", F.col("read.encoding").alias("encoding"), "classified.language", "classified.format", "traits", F.col("decision.strategy").alias("strategy"), "encodings", F.coalesce(extension(F.col("path")), F.lit("")).alias("extension"), _given(files, "sourceId", "string"), _given(files, "tags", "array<string>"), F.col("read.text").alias("text"))
         earlier = _earlier(store, model, repository, compatibility)
         if earlier:
-            kept = _taken_over(store, earlier, documents, plan, compatibility).persist()
+            kept = work.placed("kept", _taken_over(store, earlier, documents, plan, compatibility))
         fresh = documents.join(kept.select("document_id"), "document_id", "left_anti") if kept is not None else documents
-        made = chunks_of(fresh, plan).persist()
+        made = work.placed("made", chunks_of(fresh, plan))
         failed = made.where("error is not null").select("document_id", "error")
         refused = rows.where((F.col("decision.action") == "index") & F.col("read.error").isNotNull()).select("path", F.lit("unreadable").alias("code"), F.col("read.error").alias("detail"))
         left_out = rows.where("decision.action <> 'index'").select("path", F.col("decision.action").alias("code"), F.col("decision.reason").alias("detail"))
@@ -149,21 +153,19 @@ def _filled(store, build, files, plan, model, embed, snapshot, repository, compa
             again = _copied(store, kept).drop("sourceId", "tags").join(documents.select("document_id", "sourceId", "tags"), "document_id")
             members = members.unionByName(again.select(*members.columns))
         wanted = chunks.select("embedding_id", F.col("input").alias("text"))
-        missing = store.missing(wanted, model).persist()
+        missing = work.placed("missing", store.missing(wanted, model))  # and counted before anything is put: what is missing isn't afterwards
         good_documents = documents.drop("encodings").join(failed.select("document_id"), "document_id", "left_anti")
         # what a later build needs to know to take a document over, so that it needn't read any chunks
         told_of = members.groupBy("document_id").agg(F.count("*").alias("chunks"), F.collect_set("chunking_identity").alias("made_by"))
         source = kept.select("document_id", F.col("build_id").alias("reused_from"), F.col("old_id").alias("reused_id")) if kept is not None else told_of.select("document_id", *(F.lit(None).cast("string").alias(c) for c in ("reused_from", "reused_id"))).where("false")
         good_documents = good_documents.join(told_of, "document_id", "left").join(source, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
-        generated = missing.count()  # counted, and kept, before anything is written: what is missing isn't afterwards
+        generated = missing.count()
         vectors = embed(missing)
         store.put(build, good_documents, members, vectors.select("embedding_id", "vector", *([I.content_hash(F.col("text")).alias("input_hash")] if "text" in vectors.columns else [])))
         store.put_diagnostics(build, refused.unionAll(broken).unionAll(left_out))
         return Report(build, False, _counted(store, build, missing, generated), store.diagnostics(build))
     finally:
-        for held in (missing, made, kept, rows):  # what depends on another goes first, else it would be planned anew
-            if held is not None:
-                held.unpersist()
+        work.remove()
 
 
 def _counted(store: BuildStore, build: str, missing: DataFrame, generated: int) -> dict[str, int]:

@@ -19,6 +19,22 @@ def _folder(build: str) -> str:
     return f"build_id={quote(build, safe='')}"
 
 
+class Workspace:
+    """A folder of tables for one piece of work; whoever makes it removes it."""
+
+    def __init__(self, spark: SparkSession, root: str, fs, path):
+        self.spark, self.at, self._fs, self._path = spark, f"{root}/work/{uuid4().hex}", fs, path
+
+    def placed(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written and read again."""
+        kind = rows.schema
+        rows.write.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(kind).parquet(f"{self.at}/{name}")
+
+    def remove(self) -> None:
+        self._fs.delete(self._path(self.at), True)
+
+
 class _Newer(Exception):
     """Parts that another writer has added aren't compared yet."""
 
@@ -49,6 +65,9 @@ class BuildStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def workspace(self) -> Workspace:
+        return Workspace(self.spark, self.root, self._fs, self._path)
+
     def _whole(self, state: dict) -> dict:
         return {"builds": {}, "tombstones": [], "parts": {}, "buckets": self._buckets} | state
 
