@@ -18,6 +18,7 @@ from millrace.operators.store import BuildStore
 from millrace.plans.catalogue import _WINDOWS, _t, query
 from millrace.sources import files
 from millrace.streaming import live
+from millrace.streaming.debounce import Waits, debounced
 from millrace.streaming.snapshot import LiveSnapshot
 
 # Length in UTF-16 units, in SQL: a character beyond the basic plane counts twice.
@@ -408,3 +409,40 @@ def live_snapshots(spark, sf_dir):
         change = relations.snapshot_diff(before, files_, "path", "hash").join(files_, "path", "left")
         told.append(change.select(F.lit(delivery).alias("delivery"), "path", "hash", "change", F.lit(fingerprint).alias("fingerprint")))
     return told[0].unionAll(told[1]).unionAll(told[2])
+
+
+_QUIET, _MOST, _LEAST = 3600, 7200, 5400
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    r AS (SELECT user_id, k, t AS first, t + {_QUIET}000000 AS due, 1::BIGINT AS n, 0::BIGINT AS low, NULL::BIGINT AS first_us, NULL::BIGINT AS fired_us, NULL::BIGINT AS fired_n FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.k, CASE WHEN t > due THEN t ELSE first END,
+            CASE WHEN t > due THEN greatest(t + {_QUIET}000000, due + {_LEAST}000000) ELSE greatest(least(t + {_QUIET}000000, first + {_MOST}000000), low) END,
+            CASE WHEN t > due THEN 1 ELSE n + 1 END, CASE WHEN t > due THEN due + {_LEAST}000000 ELSE low END,
+            CASE WHEN t > due THEN first END, CASE WHEN t > due THEN due END, CASE WHEN t > due THEN n END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+    SELECT user_id, first_us, fired_us, fired_n AS n FROM r WHERE fired_us IS NOT NULL
+    UNION ALL SELECT user_id, first, due, n FROM r WHERE (user_id, k) IN (SELECT (user_id, max(k)) FROM e GROUP BY user_id)"""
+)
+def live_debounce_stream(spark, sf_dir):
+    """Firings of each user's events by keyed state and event-time timers, streamed in three deliveries by time and a last one that moves the watermark past all."""
+    at = _shared(spark)
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).where("user_id is not null and ts is not null")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return spark.createDataFrame([], "user_id long, first_us long, fired_us long, n long")
+    cuts = [first + (last - first) * k / 3 for k in range(1, 3)]
+    part = sum(((F.col("ts") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    end = events.where("false").unionAll(spark.range(1).select(F.lit(-1).cast("long"), F.lit(last) + F.expr("interval 3650 days")))
+    key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        for turn, rows in enumerate([*(events.where(part == k) for k in range(3)), end]):
+            rows.write.parquet(f"{at}/in/{turn}")
+            fired = debounced(spark.readStream.schema("user_id long, ts timestamp").parquet(f"{at}/in/*"), "user_id", "ts", Waits.seconds(_QUIET, _MOST, _LEAST), "0 seconds")
+            sink = fired.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out/{batch}")).option("checkpointLocation", f"{at}/checkpoint")
+            sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.schema("user_id long, first_us long, fired_us long, n long").parquet(f"{at}/out/*")
