@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
@@ -129,23 +131,29 @@ def status_counts(builds: DataFrame, group: str, states: list[str]) -> DataFrame
 
 
 def greedy_batches(rows: DataFrame, group: str, order: list[str], size: str, most_rows: int, most_size: int) -> DataFrame:
-    """Rows with `batch`: filled in order up to most_rows and most_size; a row over most_size is an error.
+    """Rows with `batch`, an int from 0: each group filled in order up to most_rows and most_size; a row over most_size is an error.
 
-    The running state is folded over each group's sizes in order; groups are model requests, whose length is bounded.
+    A group's rows are sorted on disk and numbered as a stream that holds one batch's counts, so groups may be of any length; a null size counts as 0.
     """
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("batch_size"), F.struct(*rows.columns).alias("row")))).alias("items"))
-    start = F.struct(F.lit(-1).alias("batch"), F.lit(most_rows).alias("n"), F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = (a["n"] >= most_rows) | (a["total"] + x["batch_size"] > most_size)
-        batch = a["batch"] + fresh.cast("int")
-        n = F.when(fresh, F.lit(1)).otherwise(a["n"] + 1)
-        total = F.when(fresh, x["batch_size"]).otherwise(a["total"] + x["batch_size"])
-        return F.struct(batch.alias("batch"), n.alias("n"), total.alias("total"), F.concat(a["out"], F.array(batch)).alias("out"))
-
-    over = F.exists("items", lambda x: x["batch_size"] > most_size)
-    batches = F.when(over, F.raise_error(F.lit("an input is larger than a batch")).cast("array<int>")).otherwise(F.aggregate("items", start, step, lambda a: a["out"]))
-    return listed.withColumn("batches", batches).select(F.explode(F.arrays_zip("items", "batches")).alias("x")).select("x.items.row.*", F.col("x.batches").alias("batch"))
+
+    def numbered(batches):
+        at, batch, n, total = object(), -1, 0, 0
+        for given in batches:
+            told = []
+            for key, own in zip(given.column(group).to_pylist(), given.column(size).to_pylist()):
+                own = own or 0
+                if own > most_size:
+                    raise ValueError("an input is larger than a batch")
+                if key != at:
+                    at, batch, n, total = key, 0, 0, 0
+                elif n >= most_rows or total + own > most_size:
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + own
+                told.append(batch)
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(told, pa.int32())], names=[*given.schema.names, "batch"])
+
+    dealt = rows.repartition(group).sortWithinPartitions(group, *order, size)
+    return dealt.mapInArrow(numbered, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
 
 
 #: Bits of a place in a text.

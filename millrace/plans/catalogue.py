@@ -396,11 +396,11 @@ def group_results(spark, sf_dir):
 
 @query("SELECT DISTINCT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.source IN ('src1', 'src2') AND l.toxic = 0")
 def scope_sources_tags(spark, sf_dir):
-    from millrace.operators.filters import matches
+    from millrace.operators.retrieval import scoped
 
     tagged = _t(spark, sf_dir, "labels").groupBy("doc_id").agg(F.collect_set(F.when(F.col("toxic") == 0, "clean").otherwise("toxic")).alias("tags"))
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("sourceId")).join(tagged, "doc_id")
-    return docs.where(matches(docs.schema, [Condition("sourceId", "in", ("src1", "src2")), Condition("tags", "equals", ("clean",))])).select("doc_id")
+    return scoped(docs, docs, ["src1", "src2"], ["clean"]).select("doc_id")
 
 
 @query(

@@ -137,6 +137,29 @@ def test_ranges_and_batches(spark):
     assert [x["batch"] for x in relations.greedy_batches(rows, "g", ["i"], "size", 2, 100).orderBy("i").collect()] == [0, 0, 1, 1, 2]
     with pytest.raises(Exception, match="larger than a batch"):
         relations.greedy_batches(rows, "g", ["i"], "size", 2, 3).collect()
+    sizes = [(g, i, (i * 7919) % 50 if i % 11 else None, "x") for g in (1, 2, None) for i in range(3000)]
+    want = {}
+    for g in (1, 2, None):
+        batch, n, total = 0, 0, 0
+        for _, i, s, _ in (x for x in sizes if x[0] == g):
+            if n >= 16 or total + (s or 0) > 128:
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + (s or 0)
+            want[g, i] = batch
+    long = relations.greedy_batches(spark.createDataFrame(sizes, "g int, i int, size int, given string"), "g", ["i"], "size", 16, 128)
+    assert {(x["g"], x["i"]): x["batch"] for x in long.collect()} == want and long.columns == ["g", "i", "size", "given", "batch"]
+
+
+def test_scope_of_a_request(spark):
+    from millrace.operators.retrieval import scoped
+
+    rows = spark.createDataFrame([(1, "s", ["a", "b"]), (2, "s", None), (3, "t", ["b"]), (4, None, ["a"])], "n int, sourceId string, tags array<string>")
+    sources = spark.createDataFrame([("s",), ("t",), ("empty",), (None,)], "sourceId string")
+    found = lambda *scope: sorted(r["n"] for r in scoped(rows, sources, *scope).collect())
+    assert found() == [1, 2, 3, 4] and found([]) == [] and found(["s"], []) == [] and found(None, ["a", "a"]) == [1, 4]
+    assert found(["s", "s"]) == [1, 2] and found(["s", "t"], ["b"]) == [1, 3] and found(["empty"]) == [] and found(None, ["z"]) == []
+    with pytest.raises(LookupError, match="unknown sources: u, v"):
+        found(["v", "s", "u"])
 
 
 def test_discovery(spark, tmp_path):
