@@ -22,7 +22,7 @@ class Units:
     """A text addressed in UTF-16 units; plain slicing where no character is beyond the basic plane."""
 
     def __init__(self, text: str):
-        self.wide = any(c > "\uffff" for c in text)
+        self.wide = not text.isascii() and any(c > "\uffff" for c in text)
         self.text = text if not self.wide else "".join(c if c <= "\uffff" else chr(0xD800 + (ord(c) - 0x10000 >> 10)) + chr(0xDC00 + (ord(c) - 0x10000 & 0x3FF)) for c in text)
 
     def slice(self, start: int, end: int) -> str:
@@ -107,6 +107,12 @@ _PLACES = "chunk_index int, start_offset int, end_offset int, start_line int, en
 _SAID = "kind string, scope array<struct<name:string,kind:string,signature:string>>, symbols array<struct<name:string,kind:string,signature:string>>, imports array<struct<source:string,bindings:array<string>>>, searchable boolean, error string"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to as many tasks as the session shuffles to, and as it runs at once at least, before costly work on each row: a file's rows may all come in one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _windowed(units: Units, most: int, overlap: int):
     for start, end in windows(units, most, overlap):
         yield Fragment(start, end, "text-window"), None
@@ -129,7 +135,7 @@ def chunk(docs: DataFrame, strategy: str = "sliding-window", most: int = 1500, o
     """Chunks of docs (doc_id, text; language and format for the syntax strategy): index, start and end in UTF-16 units, lines, content.
 
     Chunks of white space only, and blank ones that syntax leaves over, aren't searchable: they are left out, unless `whole` keeps them with a null
-    index; index counts the others. The syntax strategy adds the node's kind, the symbols around and in a chunk and the imports it uses, searchable, and
+    index; index counts the others. Documents are dealt to tasks by their ids first, as a small file may hold very many in one piece. The syntax strategy adds the node's kind, the symbols around and in a chunk and the imports it uses, searchable, and
     error, of a text that its parser doesn't read: by `failure` that is cut as a leaf, reported in one row without an index, or raised. A null or
     empty text has no chunks.
     """
@@ -169,4 +175,4 @@ def chunk(docs: DataFrame, strategy: str = "sliding-window", most: int = 1500, o
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), *made], names=["doc_id", *names])
 
     told = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("language", "format")]
-    return docs.select("doc_id", "text", *told).mapInArrow(run, f"doc_id {kind}, {_PLACES}" + f", {_SAID}" * syntax)
+    return dealt(docs.select("doc_id", "text", *told), "doc_id").mapInArrow(run, f"doc_id {kind}, {_PLACES}" + f", {_SAID}" * syntax)

@@ -239,3 +239,14 @@ def test_chunk_rows_of_syntax(spark):
         chunk(docs, "syntax", 0)
     assert json.loads(JSON) and chunk(docs.where("doc_id < 0"), "syntax", 60).count() == 0
     assert chunk(docs.where(F.col("language") == "typescript"), "syntax", 60).where("size(scope) > 0").count() > 0
+
+
+@pytest.mark.parametrize("language, text", [("python", "def f_{}():\n    pass\n")])
+def test_one_piece_of_a_file_is_parsed_by_many_tasks(spark, language, text):
+    docs = spark.range(400).coalesce(1).select(F.col("id").alias("doc_id"), F.format_string(text.replace("{}", "%d"), "id").alias("text"), F.lit(language).alias("language"))
+    made = chunk(docs, "syntax", 1000).withColumn("task", F.spark_partition_id()).collect()
+    by_task = {}
+    for row in made:
+        by_task.setdefault(row["task"], set()).add(row["doc_id"])
+    assert sorted(row["doc_id"] for row in made) == list(range(400))
+    assert len(by_task) > 1 and max(map(len, by_task.values())) < 200
