@@ -241,7 +241,7 @@ def test_chunk_rows_of_syntax(spark):
     assert chunk(docs.where(F.col("language") == "typescript"), "syntax", 60).where("size(scope) > 0").count() > 0
 
 
-@pytest.mark.parametrize("language, text", [("python", "def f_{}():\n    pass\n"), ("typescript", "function f_{}() {{ return 1 }}\n")])
+@pytest.mark.parametrize("language, text", [("python", "def f_{}():\n    pass\n"), ("typescript", "function f_{}() {{ return 1 }}\n"), ("json", '{{"id": {}}}')])
 def test_one_piece_of_a_file_is_parsed_by_many_tasks(spark, language, text):
     docs = spark.range(400).coalesce(1).select(F.col("id").alias("doc_id"), F.format_string(text.replace("{}", "%d").replace("{{", "{").replace("}}", "}"), "id").alias("text"), F.lit(language).alias("language"))
     made = chunk(docs, "syntax", 1000).withColumn("task", F.spark_partition_id()).collect()
