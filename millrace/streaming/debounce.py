@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-_PENDING = "first long, last long, n long"
+_BURST = "first long, last long, n long, fired long, timer long"
 _MICROS = 1_000_000
 
 
@@ -32,48 +32,55 @@ class Waits:
         return at if fired is None else max(at, fired + self.least)
 
 
+def _millis(at: int) -> int:
+    """A timer's milliseconds, the next after the moment."""
+    return -(-at // 1000)
+
+
 class Debounce(StatefulProcessor):
-    """Of each key the burst that is pending (first and last event, how many) and when the one before fired; a timer stands at the moment when it is due."""
+    """Of each key the burst that is pending (first and last event, how many), when the one before fired, and the timer that stands at the moment when the burst is due.
+
+    All are one value, read once and written once for a key's events of a batch, however many firings they make.
+    """
 
     def __init__(self, key: str, waits: Waits, by_event_time: bool):
         self.key, self.waits, self.by_event_time = key, waits, by_event_time
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending, self.fired = handle.getValueState("pending", _PENDING), handle.getValueState("fired", "at long")
+        self.burst = handle.getValueState("burst", _BURST)
 
-    def _read(self) -> tuple[tuple[int, int, int] | None, int | None]:
-        fired = self.fired.get()
-        pending = self.pending.get()
-        return (None if pending is None else tuple(pending)), (None if fired is None else fired[0])
+    def _read(self) -> tuple[tuple[int, int, int] | None, int | None, int | None]:
+        """The pending burst, the firing before it and the timer's milliseconds."""
+        held = self.burst.get()
+        if held is None:
+            return None, None, None
+        return (None if held[0] is None else tuple(held[:3])), held[3], held[4]
 
     def _firing(self, key, pending: tuple[int, int, int], due: int) -> Row:
         return Row(**{self.key: key[0], "first_us": pending[0], "fired_us": due, "n": pending[2]})
 
-    def _timer(self, due: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(-(-due // 1000))  # a timer's milliseconds, the next after the moment
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         """Take in events in order of their time; what was due before the next one fires first."""
         now = None if self.by_event_time else timerValues.getCurrentProcessingTimeInMs() * 1000
-        pending, fired = self._read()
+        pending, fired, timer = self._read()
         for at in sorted(row["at"] for row in rows) if self.by_event_time else (now for _ in rows):
             if pending is not None and at > (due := self.waits.due(pending[0], pending[1], fired)):
                 yield self._firing(key, pending, due)
                 pending, fired = None, due
-                self.fired.update((due,))
             pending = (at, at, 1) if pending is None else (min(pending[0], at), max(pending[1], at), pending[2] + 1)
-        self.pending.update(pending)
-        self._timer(self.waits.due(pending[0], pending[1], fired))
+        due = _millis(self.waits.due(pending[0], pending[1], fired))
+        self.burst.update((*pending, fired, due))
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Fire what is due; a timer that an event has put off meanwhile has been replaced by a later one."""
-        pending, fired = self._read()
-        if pending is not None and -(-(due := self.waits.due(pending[0], pending[1], fired)) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.pending.clear()
-            self.fired.update((due,))
+        pending, fired, _ = self._read()
+        if pending is not None and _millis(due := self.waits.due(pending[0], pending[1], fired)) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.burst.update((None, None, None, due, None))
             yield self._firing(key, pending, due)
 
     def close(self) -> None:

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from millrace.streaming.debounce import Waits, debounced
+from millrace.streaming.debounce import Debounce, Waits, debounced
 from pyspark.sql import functions as F
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -70,3 +70,37 @@ def test_processing_time_fires_without_further_events(rocks, tmp_path):
         assert sorted((x["k"], x["n"], x["fired_us"] - x["first_us"]) for x in rocks.table("fired").collect()) == [("a", 2, 2_000_000), ("b", 1, 2_000_000)]
     finally:
         query.stop()
+
+
+def test_state_is_read_and_written_once_however_many_firings():
+    calls, timers = [], set()
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        getValueState = lambda self, name, kind: Value()
+        listTimers = lambda self: calls.append("list") or list(timers)
+        registerTimer = lambda self, at: timers.add(at)
+        deleteTimer = lambda self, at: timers.remove(at)
+
+    waits, second = Waits.seconds(1, 5), 1_000_000
+    made = Debounce("k", waits, True)
+    made.init(Handle())
+    fired = []
+    for batch in range(2):
+        fired += made.handleInputRows(("a",), iter([{"at": (100 * batch + k) * 2 * second} for k in range(100)]), None)
+    assert [(x["first_us"], x["fired_us"], x["n"]) for x in fired] == folded([k * 2 * second for k in range(200)], waits)[:-1]
+    assert len(calls) <= 4 and timers == {399_000}
