@@ -181,23 +181,34 @@ def _around(points: DataFrame, cells: DataFrame, place: Column) -> DataFrame:
     around = F.transform("_levels", lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("cell")))
     return met.withColumn("_at", F.explode(around)).drop("_levels")
 
+def _blocks(ranks: Column, bits: Column, bit: int) -> Column:
+    """The blocks (level, block) of 2^level ranks at those levels below `bits` at which the ranks have this bit.
+
+    The ranks before n are made up by the blocks before those in which n's bits are set; a rank is in one of them only where its own bit isn't set.
+    """
+    levels = F.filter(F.sequence(F.lit(0), F.greatest(bits, F.lit(1)).cast("int") - 1), lambda k: F.call_function("shiftright", ranks, k) % 2 == bit)
+    return F.transform(levels, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", ranks, k + 1).alias("block")))
+
 
 def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key: list[str]) -> DataFrame:
     """parts (document, key, start, end) with `container`, the name of the least symbol range around each, the earlier on ties; null if none is.
 
-    Parts and symbols (document, name, start, end) of a document meet in cells of a binary grid: a symbol is in the few that make up its range, a part in those
-    around its start that hold symbols. In each, in order of their ends from the last, the least symbol so far is the
-    part's; so pairs of parts and symbols aren't made, however many are around each other.
+    Symbols (document, name, start, end) are ranked by their starts; those that start before a part are the ranks before its own, which few blocks of ranks make
+    up. In each block, in order of ends from the last, the least symbol so far is the part's; so pairs of parts and symbols aren't made, however many are
+    around each other, and a row has as many blocks at most as the number of its document's symbols has bits. Rows are dealt by document once.
     """
     s = symbols.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end")))
-    s = s.select(F.col(document).alias("_document"), F.explode(_cells(F.col("start"), F.col("end"))).alias("_at"), F.col("end").cast("long").alias("_end"), F.struct((F.col("end") - F.col("start")).cast("long").alias("size"), F.col("start").cast("long").alias("start"), "name").alias("_symbol"))
-    places = parts.select(F.col(document).alias("_document"), F.col("start").alias("_start"), F.col("end").cast("long").alias("_end")).where("_document is not null and _start is not null and _end is not null").distinct()
-    held = s.select("_document", "_at").distinct()
-    asked = _around(places, held, F.col("_start")).join(held, ["_document", "_at"])
-    none = F.lit(None).cast(s.schema["_symbol"].dataType)
-    both = s.select("_document", "_at", "_end", "_symbol", F.lit(None).cast(places.schema["_start"].dataType).alias("_start")).unionByName(asked.withColumn("_symbol", none))
-    so_far = W.partitionBy("_document", "_at").orderBy(F.desc("_end"), F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    least = both.withColumn("_least", F.min("_symbol").over(so_far)).where("_symbol is null and _least is not null")
+    s = s.select(F.col(document).alias("_document"), F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.struct((F.col("end") - F.col("start")).cast("long").alias("size"), F.col("start").cast("long").alias("start"), "name").alias("_symbol"))
+    places = parts.select(F.col(document).alias("_document"), F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end")).where("_document is not null and _start is not null and _end is not null").distinct()
+    both = s.unionByName(places.withColumn("_symbol", F.lit(None).cast(s.schema["_symbol"].dataType)))
+    own, told = W.partitionBy("_document"), F.col("_symbol").isNotNull()
+    until = own.orderBy("_start", F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = both.withColumn("_rank", F.count_if(told).over(until)).withColumn("_bits", F.length(F.bin(F.count_if(told).over(own))))
+    # a symbol's rank is from 0, and a part asks for the ranks before the number of symbols that start up to it
+    at = F.when(told, _blocks(F.col("_rank") - 1, F.col("_bits"), 0)).otherwise(_blocks(F.col("_rank"), F.col("_bits"), 1))
+    dealt = ranked.withColumn("_at", F.explode(at)).select("_document", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block"), "_start", "_end", "_symbol")
+    so_far = W.partitionBy("_document", "_level", "_block").orderBy(F.desc("_end"), F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    least = dealt.withColumn("_least", F.min("_symbol").over(so_far)).where("_symbol is null and _least is not null")
     best = least.groupBy("_document", "_start", "_end").agg(F.min("_least")["name"].alias("container"))
     return parts.join(best, (parts[document] == best["_document"]) & (parts["start"] == best["_start"]) & (parts["end"] == best["_end"]), "left").select(document, *key, "start", "end", "container")
 

@@ -261,3 +261,14 @@ def test_batches_of_queries_meet_rows_in_tiles(spark):
             assert sorted((x["q"], x["id"], x["rank"]) for x in got.collect()) == sorted(want)
     plan = search.top_k_batch(rows.where("id >= 0"), asked, "v", "id", "q", 4)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_containers_of_far_places_and_few_blocks(spark):
+    """Places beyond 2^32 have containers, and a row has no more blocks than the number of symbols has bits."""
+    far = 1 << 33
+    parts = spark.createDataFrame([("d", 1, far, far + 40), ("d", 2, far + 90, far + 130), ("d", 3, 2 * far, 2 * far + 40)], "doc string, n int, start long, end long")
+    symbols = spark.createDataFrame([("d", "whole", 0, 2 * far), ("d", "near", far, far + 100), ("d", "late", far + 1, far + 40)], "doc string, name string, start long, end long")
+    found = relations.smallest_container(parts, symbols, "doc", ["n"])
+    assert {r["n"]: r["container"] for r in found.collect()} == {1: "near", 2: "whole", 3: None}
+    blocks = spark.range(1000).select(F.size(relations._blocks(F.col("id"), F.lit(10), 0)).alias("n"), F.size(relations._blocks(F.col("id"), F.lit(10), 1)).alias("m"))
+    assert blocks.agg(F.max("n"), F.max("m"), F.min(F.col("n") + F.col("m")), F.max(F.col("n") + F.col("m"))).first() == (10, 9, 10, 10)
