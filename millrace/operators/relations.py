@@ -156,31 +156,6 @@ def greedy_batches(rows: DataFrame, group: str, order: list[str], size: str, mos
     return dealt.mapInArrow(numbered, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
 
 
-#: Bits of a place in a text.
-_BITS = 31
-
-
-def _cells(first: Column, last: Column) -> Column:
-    """The fewest cells (level, cell) of a binary grid that make up the places first..last; a cell of level k has 2^k places."""
-    first, after = first.cast("long"), last.cast("long") + 1
-    found = []
-    for k in range(_BITS + 1):
-        a, b = F.shiftright(first + ((1 << k) - 1), k), F.shiftright(after, k)
-        cell = lambda at: F.struct(F.lit(k).alias("level"), at.alias("cell"))  # noqa: B023, E731
-        found += [F.when((a < b) & (a % 2 == 1), cell(a)), F.when((a < b) & (b % 2 == 1), cell(b - 1))]
-    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
-
-
-def _around(points: DataFrame, cells: DataFrame, place: Column) -> DataFrame:
-    """points (_document) with `_at`: the cells in which their place lies, of those levels at which their document has any cells (_document, _at).
-
-    Of the cells that make up a range, a place in it is in exactly one.
-    """
-    levels = cells.groupBy("_document").agg(F.collect_set("_at.level").alias("_levels"))
-    met = points.join(levels, "_document")
-    around = F.transform("_levels", lambda k: F.struct(k.alias("level"), F.call_function("shiftright", place.cast("long"), k).alias("cell")))
-    return met.withColumn("_at", F.explode(around)).drop("_levels")
-
 def _blocks(ranks: Column, bits: Column, bit: int) -> Column:
     """The blocks (level, block) of 2^level ranks at those levels below `bits` at which the ranks have this bit.
 
@@ -216,24 +191,33 @@ def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key:
 def overlapping(left: DataFrame, right: DataFrame, document: str) -> DataFrame:
     """(document, left, right) of the rows of left and right (document, id, start, end) whose half-open ranges overlap, each pair once.
 
-    Either the right one starts in the left one, or the left one after the start of the right one and in it. Both are
-    met in cells of a binary grid, so the work follows the number of rows and of pairs that are found.
+    Either the right one starts in the left one, or the left one after the start of the right one and in it. One side's starts are ranked in each document, and
+    those in a range of the other side are ranks that follow on each other, so the work follows the number of rows and of pairs that are found.
     """
     there = F.col("start") < F.col("end")
-    # one side's starts meet the cells of the other's ranges
     pairs = []
     for points, ranges, first in ((right, left, F.col("start")), (left, right, F.col("start") + 1)):
-        p = points.where(there).select(F.col(document).alias("_document"), F.col("id").alias("_point"), F.col("start").alias("_place"))
-        r = ranges.where(there & (first < F.col("end"))).select(F.col(document).alias("_document"), F.col("id").alias("_range"), F.explode(_cells(first, F.col("end") - 1)).alias("_at"))
+        p = points.where(there).select(F.col(document).alias("_document"), F.col("id").alias("_point"), F.lit(None).cast(ranges.schema["id"].dataType).alias("_range"), F.lit(1).alias("_is"), F.col("start").cast("long").alias("_from"), F.col("start").cast("long").alias("_to"))
+        r = ranges.where(there & (first < F.col("end"))).select(F.col(document).alias("_document"), F.lit(None).cast(points.schema["id"].dataType).alias("_point"), F.col("id").alias("_range"), F.lit(0).alias("_is"), first.cast("long").alias("_from"), F.col("end").cast("long").alias("_to"))
+        # how many starts there are before each end of a range; a start counts itself
+        before = lambda place: F.sum("_is").over(W.partitionBy("_document").orderBy(place, "_is").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ranked = p.unionAll(r).where("_document is not null").withColumn("_first", before("_from")).withColumn("_last", before("_to"))
+        asked = ranked.where("_is = 0 and _last > _first").select("_document", "_range", F.explode(F.sequence(F.col("_first") + 1, F.col("_last"))).alias("_first"))
+        met = asked.join(ranked.where("_is = 1").select("_document", "_point", "_first"), ["_document", "_first"])
         names = ("_range", "_point") if points is right else ("_point", "_range")
-        pairs.append(_around(p, r, F.col("_place")).join(r, ["_document", "_at"]).select(F.col("_document").alias(document), F.col(names[0]).alias("left"), F.col(names[1]).alias("right")))
+        pairs.append(met.select(F.col("_document").alias(document), F.col(names[0]).alias("left"), F.col(names[1]).alias("right")))
     return pairs[0].unionAll(pairs[1])
 
 
-def relevant_imports(parts: DataFrame, imports: DataFrame, document: str, key: list[str]) -> DataFrame:
+#: So many different bindings of one document are looked for in its parts' words at once; with more, words and bindings are joined.
+_FEW = 1000
+
+
+def relevant_imports(parts: DataFrame, imports: DataFrame, document: str, key: list[str], few: int = _FEW) -> DataFrame:
     """(document, key, imports): sources of the imports that overlap a part or one of whose bindings stands in its text as a word, in order.
 
-    parts: document, key, start, end, text; imports: document, source, bindings, start, end. Ranges meet by `overlapping`, bindings by the words of the texts.
+    parts: document, key, start, end, text; imports: document, source, bindings, start, end. Ranges meet by `overlapping`, bindings by the words of the texts:
+    of a document with `few` bindings at most, only words that are one of them are dealt to the imports, of others all.
     """
     told = F.struct(F.col("start").alias("_start"), "source")
     i = imports.select(F.col(document).alias("_document"), told.alias("_told"), "bindings", "start", "end")
@@ -241,8 +225,13 @@ def relevant_imports(parts: DataFrame, imports: DataFrame, document: str, key: l
     p = parts.select(document, own.alias("id"), "start", "end")
     # bindings play no part where the ranges meet, nor do ranges where the words do
     by_range = overlapping(p, i.select(F.col("_document").alias(document), F.col("_told").alias("id"), "start", "end"), document).select(document, F.col("left").alias("_key"), F.col("right").alias("_told"))
-    words = parts.select(document, own.alias("_key"), F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_$]+"))).alias("_word"))
-    bound = i.select(F.col("_document").alias(document), "_told", F.explode(F.array_distinct("bindings")).alias("_word"))
+    bound = i.select(F.col("_document").alias(document), "_told", F.explode(F.array_distinct("bindings")).alias("_word")).where("_word is not null")
+    # as many as one more than few: an array of that size stands for too many
+    held = bound.select(document, "_word").distinct().withColumn("_nth", F.row_number().over(W.partitionBy(document).orderBy("_word"))).where(F.col("_nth") <= few + 1)
+    held = held.groupBy(document).agg(F.collect_list("_word").alias("_few"))
+    words = F.split("text", r"[^\p{L}\p{N}_$]+")
+    wanted = F.when(F.size("_few") <= few, F.array_intersect(words, F.col("_few"))).otherwise(F.array_distinct(words))
+    words = parts.select(document, own.alias("_key"), "text").join(held, document).select(document, "_key", F.explode(wanted).alias("_word"))
     by_word = words.join(bound, [document, "_word"]).select(document, "_key", "_told")
     found = by_range.unionAll(by_word).groupBy(document, "_key").agg(F.array_sort(F.collect_set("_told")).alias("_all"))
     met = parts.select(document, *key, own.alias("_key")).join(found, [document, "_key"], "left")

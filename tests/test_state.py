@@ -272,3 +272,14 @@ def test_containers_of_far_places_and_few_blocks(spark):
     assert {r["n"]: r["container"] for r in found.collect()} == {1: "near", 2: "whole", 3: None}
     blocks = spark.range(1000).select(F.size(relations._blocks(F.col("id"), F.lit(10), 0)).alias("n"), F.size(relations._blocks(F.col("id"), F.lit(10), 1)).alias("m"))
     assert blocks.agg(F.max("n"), F.max("m"), F.min(F.col("n") + F.col("m")), F.max(F.col("n") + F.col("m"))).first() == (10, 9, 10, 10)
+
+
+@pytest.mark.parametrize("few", [0, 1, 1000])
+def test_imports_of_few_and_many_bindings_and_far_ranges(spark, few):
+    far = 1 << 33
+    parts = spark.createDataFrame([("d", 1, 0, 9, "a b, a"), ("d", 2, far, far + 9, "c"), ("e", 1, 0, 9, "b $x"), ("e", 2, 9, 12, ""), (None, 3, 0, 9, "a")], "doc string, n int, start long, end long, text string")
+    imports = spark.createDataFrame([("d", "m", ["a", "a", None], far + 20, far + 30), ("d", "k", ["c", "b"], far + 8, far + 20), ("e", "j", [], 0, 2 * far), ("e", "o", ["$x"], far, far + 1), ("f", "p", ["a"], 0, 9)], "doc string, source string, bindings array<string>, start long, end long")
+    found = relations.relevant_imports(parts, imports, "doc", ["n"], few).collect()
+    assert sorted((r["doc"] or "", r["n"], r["imports"]) for r in found) == [("", 3, []), ("d", 1, ["k", "m"]), ("d", 2, ["k"]), ("e", 1, ["j", "o"]), ("e", 2, ["j"])]
+    many = relations.overlapping(spark.createDataFrame([("d", 1, 0, 10**10), ("d", 2, 5, 5)], "doc string, id int, start long, end long"), spark.range(3000).select(F.lit("d").alias("doc"), "id", (F.col("id") * 10**6).alias("start"), (F.col("id") * 10**6 + 1).alias("end")), "doc")
+    assert many.count() == many.distinct().count() == 3000
