@@ -34,6 +34,10 @@ MEDIA_TYPES = {
     "txt": "text/plain", "xml": "application/xml", "yaml": "application/yaml", "yml": "application/yaml",
 }
 SAMPLE = 65_536
+#: Control characters other than tab, line feed, form feed and return: a list is looked up in a table, while ranges are tried one after another.
+CONTROL = "[" + "".join(f"\\x{c:02x}" for c in (*range(9), 0x0B, *range(0x0E, 0x20), *range(0x7F, 0xA0))) + "]"
+#: What generated files say, in any case; a first character that few have is tried before the rest.
+GENERATED = "[@gGdD](?i:(?<=@)generated|(?<=g)enerated code|(?<=d)o not edit)"
 
 
 def filename(path: Column) -> Column:
@@ -60,8 +64,7 @@ def sample_text(data: Column) -> Column:
     # bytes of a character that begins before the sample's end and ends after it
     begun = F.when(F.regexp_like(tail, F.lit("[CDEF].$")), 1).when(F.regexp_like(tail, F.lit("[EF].[89AB].$")), 2).when(F.regexp_like(tail, F.lit("^F.[89AB].[89AB].$")), 3).otherwise(0)
     whole = F.when(F.octet_length(data) > SAMPLE, F.substring(data, F.lit(1), F.lit(SAMPLE) - begun)).otherwise(data)
-    text = _unmarked(whole).cast("string")
-    return F.when(F.is_valid_utf8(text), text)
+    return F.try_validate_utf8(_unmarked(whole).cast("string"))
 
 
 def _unmarked(data: Column) -> Column:
@@ -71,8 +74,9 @@ def _unmarked(data: Column) -> Column:
 
 def control_ratio(text: Column) -> Column:
     """Share of control characters other than tab, line feed, form feed and return."""
-    plain = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f-\\x9f]", "")
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise((F.length(text) - F.length(plain)) / F.length(text))
+    plain = F.regexp_replace(text, CONTROL, "")
+    # most texts have none, and then aren't written anew
+    return F.when(~F.regexp_like(text, F.lit(CONTROL)), F.lit(0.0)).otherwise((F.length(text) - F.length(plain)) / F.length(text))
 
 
 def classify_content(data: Column) -> Column:
@@ -101,7 +105,7 @@ def classify_content(data: Column) -> Column:
 
 def classify_language(path: Column, text: Column) -> Column:
     """Struct (language, format, signal, confidence): shebang before file name before extension; null fields if none tells."""
-    line = F.regexp_extract(F.substring(text, 1, 256), r"^#!([\x01-\x09\x0b\x0c\x0e-\x7f]*)(?:\r|\n|$)", 1)
+    line = F.when(text.startswith("#!"), F.regexp_extract(F.substring(text, 1, 256), r"^#!([\x01-\x09\x0b\x0c\x0e-\x7f]*)(?:\r|\n|$)", 1))
     shebang = F.lit(None).cast("string")
     for language, pattern in reversed(INTERPRETERS):
         shebang = F.when(F.regexp_like(line, F.lit(pattern)), F.lit(language)).otherwise(shebang)
@@ -114,9 +118,11 @@ def classify_language(path: Column, text: Column) -> Column:
 
 def minified(text: Column) -> Column:
     """Whether a text of 500 characters and more has a line as long and less than a tenth of white space."""
+    # spaces alone are told fast, and in prose they are more than a tenth
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
     longest = F.array_max(F.transform(F.split(text, "\r?\n"), F.length))
     blank = F.length(text) - F.length(F.regexp_replace(text, "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]", ""))
-    return (F.length(text) >= 500) & (longest >= 500) & (blank / F.length(text) < 0.1)
+    return (F.length(text) >= 500) & (spaces / F.length(text) < 0.1) & (longest >= 500) & (blank / F.length(text) < 0.1)
 
 
 def classify_traits(path: Column, size: Column, text: Column) -> Column:
@@ -124,7 +130,7 @@ def classify_traits(path: Column, size: Column, text: Column) -> Column:
     whole, name, end = F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), filename(path), extension(path)
     text_says = lambda c: F.coalesce(c, F.lit(False))
     rules = {
-        "generated": F.regexp_like(whole, F.lit("(^|/)(dist|build|generated|gen)(/|$)")) | F.regexp_like(name, F.lit(r"\.(generated|g|designer)\.")) | text_says(F.regexp_like(text, F.lit("(?i)@generated|generated code|do not edit"))),
+        "generated": F.regexp_like(whole, F.lit("(^|/)(dist|build|generated|gen)(/|$)")) | F.regexp_like(name, F.lit(r"\.(generated|g|designer)\.")) | text_says(F.regexp_like(text, F.lit(GENERATED))),
         "minified": F.regexp_like(name, F.lit(r"\.min\.(css|js|mjs|cjs)$")) | text_says(minified(text)),
         "lockfile": name.isin(*LOCKFILES),
         "configuration": name.startswith(".env") | name.isin(*CONFIGURATION["names"]) | F.regexp_like(name, F.lit(r"^[jt]sconfig(\.[^.]+)?\.json$")) | text_says(end.isin(*CONFIGURATION["extensions"])),

@@ -82,8 +82,8 @@ def compatible_encodings(chosen: Column) -> Column:
     return F.when(chosen["override"].isNotNull(), F.array(chosen["override"])).when(chosen["fallback"].isNotNull(), either).otherwise(F.array(F.lit("utf-8")))
 
 
-def classify(data: Column, chosen: Column, size: Column | None = None) -> Column:
-    """Struct (kind, confidence, encoding, evidence) of a file from its first bytes, by the selected encodings.
+def classify(data: Column, chosen: Column, size: Column | None = None, sample: Column | None = None) -> Column:
+    """Struct (kind, confidence, encoding, evidence) of a file from its first bytes, by the selected encodings; sample: its sample_text, if that is at hand.
 
     In order: a binary signature, a NUL byte, an empty file, no sample, then the share of control characters of the text that the override, a
     byte-order mark, valid UTF-8 or the fallback reads, and of the raw bytes where none does. evidence lists (signal, conclusion, confidence, detail).
@@ -96,7 +96,7 @@ def classify(data: Column, chosen: Column, size: Column | None = None) -> Column
     steps = F
     for name, digits in SIGNATURES.items():
         steps = steps.when(F.substring(data, 1, len(digits) // 2) == F.unhex(F.lit(digits)), out("binary", 1, None, item("byte-sample", "binary", 1, f"{name} signature")))
-    utf8 = sample_text(data)
+    utf8 = sample_text(data) if sample is None else sample
     old = _as_1251(head)
     marked = F.substring(data, 1, 3) == F.unhex(F.lit("EFBBBF"))
 
@@ -109,7 +109,7 @@ def classify(data: Column, chosen: Column, size: Column | None = None) -> Column
     raw = F.regexp_replace(F.decode(head, "ISO-8859-1"), "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]", "")
     share = 1 - F.length(raw) / F.octet_length(head)
     return (
-        steps.when(F.instr(F.decode(head, "ISO-8859-1"), "\u0000") > 0, out("binary", 0.99, None, item("byte-sample", "binary", 0.99, "a NUL byte")))
+        steps.when(F.contains(head, F.unhex(F.lit("00"))), out("binary", 0.99, None, item("byte-sample", "binary", 0.99, "a NUL byte")))
         .when(size == 0, out("text", 1, F.coalesce(override, F.lit("utf-8")), item("byte-sample", F.coalesce(override, F.lit("utf-8")), 1, "nothing to read"), item("byte-sample", "text", 1, "the file is empty")))
         .when(F.octet_length(head) == 0, out("unknown", 0.2, override, item("byte-sample", "unknown", 0.2, "no bytes at hand")))
         .when(override == "windows-1251", told(old, "windows-1251", "override", 0.99)).when((override == "utf-8") & utf8.isNotNull(), told(utf8, "utf-8", "override", 0.99))
@@ -121,10 +121,11 @@ def classify(data: Column, chosen: Column, size: Column | None = None) -> Column
 
 
 def classified(files, chosen: Column):
-    """files (path, content) with `classified`: content kind, encoding, evidence, and language and format, which binary content has none of."""
+    """files (path, content, and _sample if that is at hand) with `classified`: content kind, encoding, evidence, and language and format, which binary content has none of."""
     from millrace.functions.classification import classify_language
 
-    rows = files.withColumn("_said", classify(F.col("content"), chosen)).withColumn("_named", classify_language(F.col("path"), sample_text(F.col("content"))))
+    sample = F.col("_sample") if "_sample" in files.columns else sample_text(F.col("content"))
+    rows = files.withColumn("_said", classify(F.col("content"), chosen, sample=sample)).withColumn("_named", classify_language(F.col("path"), sample))
     textual = F.col("_said.kind") != "binary"
     out = F.struct("_said.kind", "_said.confidence", "_said.encoding", F.when(textual, F.col("_named.language")).alias("language"), F.when(textual, F.col("_named.format")).alias("format"), "_said.evidence")
     return rows.withColumn("classified", out).drop("_said", "_named")

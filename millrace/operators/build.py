@@ -69,14 +69,16 @@ def decided(files: DataFrame, plan: Plan) -> DataFrame:
     """files (path, content) with classified, traits, read, decision and the encodings under which an earlier build may have read them."""
     own = F.col("encoding") if "encoding" in files.columns else None
     rows = files.withColumn("_chosen", decoding.selection(F.col("path"), own, list(plan.globs), plan.fallback))
+    # a column of its own, which many read, is made once for each file, while a repeated expression is planned and worked out as often as it is named
+    rows = rows.withColumn("_sample", sample_text(F.col("content")))
     rows = decoding.classified(rows, F.col("_chosen")).withColumn("byte_length", F.octet_length("content").cast("long"))
-    rows = rows.withColumn("traits", classify_traits(F.col("path"), F.col("byte_length"), sample_text(F.col("content"))))
+    rows = rows.withColumn("traits", classify_traits(F.col("path"), F.col("byte_length"), F.col("_sample")))
     read_by = sorted({language for language, _ in standard().targets})
     parses = F.coalesce(F.col("classified.language").isin(*read_by), F.lit(False)) if "cast" in plan.strategies else F.lit(False)
     said, size = F.col("classified"), F.col("byte_length")
     rule = policy.code_only(said["kind"], size, said["language"], F.col("traits"), parses, limit=plan.limit) if plan.policy == "code-only" else policy.text_and_code(said["kind"], size, F.col("traits"), parses, limit=plan.limit)
     rows = rows.withColumn("decision", rule).withColumn("read", decoding.read(F.col("content"), F.col("_chosen"), plan.limit))
-    return rows.withColumn("encodings", decoding.compatible_encodings(F.col("_chosen"))).drop("_chosen")
+    return rows.withColumn("encodings", decoding.compatible_encodings(F.col("_chosen"))).drop("_chosen", "_sample")
 
 
 def chunks_of(documents: DataFrame, plan: Plan) -> DataFrame:
@@ -134,25 +136,26 @@ def _filled(store, build, files, plan, model, embed, snapshot, repository, compa
         if earlier:
             kept = work.placed("kept", _taken_over(store, earlier, documents, plan, compatibility))
         fresh = documents.join(kept.select("document_id"), "document_id", "left_anti") if kept is not None else documents
-        made = work.placed("made", chunks_of(fresh, plan))
-        failed = made.where("error is not null").select("document_id", "error")
+        made = chunks_of(fresh, plan).join(documents.drop("strategy", "text", "encodings"), "document_id")
+        code = I.content_hash(F.col("content"))
+        made = made.withColumn("chunk_id", I.chunk_id(F.col("revision"), F.col("chunking_identity"), F.col("start_offset"), F.col("end_offset"), code))
+        context = {c: F.col(c) for c in ("scope", "symbols", "imports") if c in made.columns}
+        text = embedding_input(F.col("path"), F.coalesce("language", F.lit("text")), F.col("content"), F.col("kind"), **context, prefix=model.get("document_prefix") or "", suffix=model.get("suffix") or "")
+        # with their documents and ids, so that no later step joins or hashes contents again
+        made = work.placed("made", made.withColumn("embedding_id", I.identity("embedding", *(F.lit(str(v)) for _, v in sorted(model.items())), I.content_hash(text))))
+        failed = made.where("error is not null").select("document_id", "path", "error")
         refused = rows.where((F.col("decision.action") == "index") & F.col("read.error").isNotNull()).select("path", F.lit("unreadable").alias("code"), F.col("read.error").alias("detail"))
         left_out = rows.where("decision.action <> 'index'").select("path", F.col("decision.action").alias("code"), F.col("decision.reason").alias("detail"))
-        broken = failed.join(documents.select("document_id", "path"), "document_id").select("path", F.lit("unparsable").alias("code"), F.col("error").alias("detail"))
+        broken = failed.select("path", F.lit("unparsable").alias("code"), F.col("error").alias("detail"))
         if plan.on_failure == "reject" and (refused.unionAll(broken).limit(1).count() or left_out.where("code = 'reject'").limit(1).count()):
             raise ValueError("a document failed, and the plan rejects failures")
-        good = made.where("error is null").join(documents.drop("strategy", "text", "encodings"), "document_id")
-        code = I.content_hash(F.col("content"))
-        chunks = good.withColumn("chunk_id", I.chunk_id(F.col("revision"), F.col("chunking_identity"), F.col("start_offset"), F.col("end_offset"), code))
-        context = {c: F.col(c) for c in ("scope", "symbols", "imports") if c in chunks.columns}
-        text = embedding_input(F.col("path"), F.coalesce("language", F.lit("text")), F.col("content"), F.col("kind"), **context, prefix=model.get("document_prefix") or "", suffix=model.get("suffix") or "")
-        chunks = chunks.withColumn("input", text).withColumn("embedding_id", I.identity("embedding", *(F.lit(str(v)) for _, v in sorted(model.items())), I.content_hash(F.col("input"))))
+        chunks = made.where("error is null")
         members = chunks.select("document_id", "chunk_id", "embedding_id", "chunk_index", "start_offset", "end_offset", "start_line", "end_line", "content", "chunking_identity", *_filterable(chunks))
         if kept is not None:
             # a document's source and tags are those that it has now
             again = _copied(store, kept).drop("sourceId", "tags").join(documents.select("document_id", "sourceId", "tags"), "document_id")
             members = members.unionByName(again.select(*members.columns))
-        wanted = chunks.select("embedding_id", F.col("input").alias("text"))
+        wanted = chunks.select("embedding_id", text.alias("text"))
         missing = work.placed("missing", store.missing(wanted, model))  # and counted before anything is put: what is missing isn't afterwards
         good_documents = documents.drop("encodings").join(failed.select("document_id"), "document_id", "left_anti")
         # what a later build needs to know to take a document over, so that it needn't read any chunks

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.positions import BLANK, Lines
+from millrace.functions.positions import units as utf16_units
 from millrace.syntax.cast import Fragment, context, fragments
 from millrace.syntax.registry import Registry, standard
 from millrace.syntax.tree import ParseFailure, Tree
@@ -22,7 +23,7 @@ class Units:
     """A text addressed in UTF-16 units; plain slicing where no character is beyond the basic plane."""
 
     def __init__(self, text: str):
-        self.wide = not text.isascii() and any(c > "\uffff" for c in text)
+        self.wide = utf16_units(text) > len(text)
         self.text = text if not self.wide else "".join(c if c <= "\uffff" else chr(0xD800 + (ord(c) - 0x10000 >> 10)) + chr(0xDC00 + (ord(c) - 0x10000 & 0x3FF)) for c in text)
 
     def slice(self, start: int, end: int) -> str:
@@ -149,7 +150,7 @@ def chunk(docs: DataFrame, strategy: str = "sliding-window", most: int = 1500, o
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(13)]
+            columns: list[list] = [[] for _ in range(7 + 6 * syntax)]
             given = zip(*(batch.column(c).to_pylist() for c in ("text", "language", "format")))
             for i, (text, language, format_) in enumerate(given):
                 if not text:
@@ -161,10 +162,12 @@ def chunk(docs: DataFrame, strategy: str = "sliding-window", most: int = 1500, o
                     good = part.lean is None and bool(content.strip(BLANK)) and not (failure == "report" and isinstance(said, str))
                     if not good and not whole and not isinstance(said, str):
                         continue
-                    around, inside, used = said if isinstance(said, tuple) else ([], [], [])
-                    whole_ = units.whole
-                    named = [[{"name": whole_(s.name), "kind": s.kind, "signature": whole_(s.signature)} for s in symbols] for symbols in (around, inside)]
-                    row = (i, n if good else None, part.start, part.end, *lines.span(part.start, part.end), content, part.kind, *named, [{"source": whole_(s), "bindings": list(map(whole_, b))} for s, b in used], good, said if isinstance(said, str) else None)
+                    row = (i, n if good else None, part.start, part.end, *lines.span(part.start, part.end), content)
+                    if syntax:
+                        around, inside, used = said if isinstance(said, tuple) else ([], [], [])
+                        whole_ = units.whole
+                        named = [[{"name": whole_(s.name), "kind": s.kind, "signature": whole_(s.signature)} for s in symbols] for symbols in (around, inside)]
+                        row += (part.kind, *named, [{"source": whole_(s), "bindings": list(map(whole_, b))} for s, b in used], good, said if isinstance(said, str) else None)
                     for column, value in zip(columns, row):
                         column.append(value)
                     n += good

@@ -77,6 +77,23 @@ def cosine(a, b):
     return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
 
 
+def test_what_many_columns_read_is_made_once_for_each_file(spark):
+    plan = build.decided(table(spark, FILES), build.Plan())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content#") < 200  # an expression that is named again is worked out again
+
+
+@pytest.mark.parametrize("blank, minified", [("    ", True), (" \t\u00a0\u3000", True), ("     ", False), (" \t \u00a0\u3000", False), ("\t\t\t\t\t", False)])
+def test_minified_by_all_white_space(spark, blank, minified):
+    """Of 50 characters four or five are white space, of any kind; spaces alone decide where they are a tenth."""
+    line = ("x" * (50 - len(blank)) + blank) * 10
+    short = "\n".join([line[:499]] * 2)
+    rows = [("a.js", line.encode()), ("b.js", short.encode()), ("c.js", line[:499].encode()), ("d.js", b"#! /usr/bin/env node\n\x00"), ("e", b"#! /usr/bin/env node\n\x01"), ("f", b" #! node"), ("g.py", b"\xff")]
+    told = {r["path"]: r for r in build.decided(table(spark, rows), build.Plan()).select("path", "traits", "classified.kind", "classified.language", "read.error").collect()}
+    assert [p for p in told if "minified" in told[p]["traits"]] == ["a.js"] * minified
+    assert told["d.js"]["kind"] == "binary" and told["e"]["language"] == "javascript" and told["f"]["language"] is None and told["g.py"]["error"] == "malformed-content"
+    assert [told[p]["kind"] for p in ("a.js", "e", "g.py")] == ["text", "unknown", "unknown"]
+
+
 def test_failing_builds(spark, tmp_path):
     store = BuildStore(spark, f"file://{tmp_path}/store")
     with pytest.raises(ValueError, match="rejects"):
