@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -168,24 +171,48 @@ def _blocks(ranks: Column, bits: Column, bit: int) -> Column:
 def smallest_container(parts: DataFrame, symbols: DataFrame, document: str, key: list[str]) -> DataFrame:
     """parts (document, key, start, end) with `container`, the name of the least symbol range around each, the earlier on ties; null if none is.
 
-    Symbols (document, name, start, end) are ranked by their starts; those that start before a part are the ranks before its own, which few blocks of ranks make
-    up. In each block, in order of ends from the last, the least symbol so far is the part's; so pairs of parts and symbols aren't made, however many are
-    around each other, and a row has as many blocks at most as the number of its document's symbols has bits. Rows are dealt by document once.
+    Parts and symbols (document, name, start, end) are dealt by document and sorted by their starts once, on disk where they are many, and each document is read as a
+    stream: of its symbols so far it holds those that are less than all that end as late, so the first of these that ends late enough is a part's container. Starts and ends are whole numbers.
     """
-    s = symbols.where(F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("start") <= F.col("end")))
-    s = s.select(F.col(document).alias("_document"), F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.struct((F.col("end") - F.col("start")).cast("long").alias("size"), F.col("start").cast("long").alias("start"), "name").alias("_symbol"))
-    places = parts.select(F.col(document).alias("_document"), F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end")).where("_document is not null and _start is not null and _end is not null").distinct()
-    both = s.unionByName(places.withColumn("_symbol", F.lit(None).cast(s.schema["_symbol"].dataType)))
-    own, told = W.partitionBy("_document"), F.col("_symbol").isNotNull()
-    until = own.orderBy("_start", F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = both.withColumn("_rank", F.count_if(told).over(until)).withColumn("_bits", F.length(F.bin(F.count_if(told).over(own))))
-    # a symbol's rank is from 0, and a part asks for the ranks before the number of symbols that start up to it
-    at = F.when(told, _blocks(F.col("_rank") - 1, F.col("_bits"), 0)).otherwise(_blocks(F.col("_rank"), F.col("_bits"), 1))
-    dealt = ranked.withColumn("_at", F.explode(at)).select("_document", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block"), "_start", "_end", "_symbol")
-    so_far = W.partitionBy("_document", "_level", "_block").orderBy(F.desc("_end"), F.col("_symbol").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    least = dealt.withColumn("_least", F.min("_symbol").over(so_far)).where("_symbol is null and _least is not null")
-    best = least.groupBy("_document", "_start", "_end").agg(F.min("_least")["name"].alias("container"))
-    return parts.join(best, (parts[document] == best["_document"]) & (parts["start"] == best["_start"]) & (parts["end"] == best["_end"]), "left").select(document, *key, "start", "end", "container")
+    s = symbols.where(F.col(document).isNotNull() & (F.col("start") <= F.col("end")))
+    s = s.select(document, F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.lit(True).alias("_told"), F.col("name").alias("_name"))
+    p = parts.select(document, *key, F.col("start").cast("long").alias("_start"), F.col("end").cast("long").alias("_end"), F.when(F.col("end").isNotNull(), F.lit(False)).alias("_told"))
+    both = p.unionByName(s, allowMissingColumns=True)
+    # parts without a document, which have no container, may be many
+    dealt = both.repartition(document, *(F.when(F.col(document).isNull(), F.col(k)) for k in key)).sortWithinPartitions(document, "_start", F.desc("_told"))
+    kept = [document, *key, "_start", "_end"]
+
+    def contained(batches):
+        last, ends, least = None, [], []
+        for given in batches:
+            documents, n = given.column(document), given.num_rows
+            if not n:
+                continue
+            opens = pc.fill_null(pc.not_equal(documents.slice(1), documents.slice(0, n - 1)), True).to_pylist()
+            first, told = documents[0].as_py(), given.column("_told")
+            starts, reach = (pc.fill_null(given.column(c), 0).to_numpy().tolist() for c in ("_start", "_end"))
+            found = []
+            for new, symbol, start, end, name in zip([first is None or first != last, *opens], told.to_pylist(), starts, reach, given.column("_name").to_pylist()):
+                if new:
+                    ends, least = [], []
+                at = bisect_left(ends, end)
+                if not symbol:
+                    found.append(least[at][-1] if symbol is False and at < len(ends) else None)
+                    continue
+                own = (end - start, start, name is not None, name)  # a null comes first
+                if at < len(ends) and least[at] <= own:
+                    continue
+                after = at + (at < len(ends) and ends[at] == end)
+                while at and least[at - 1] >= own:
+                    at -= 1
+                ends[at:after], least[at:after] = [end], [own]
+            last = documents[n - 1].as_py()
+            asked = given.filter(pc.invert(pc.fill_null(told, False)))
+            yield pa.RecordBatch.from_arrays([*(asked.column(c) for c in kept), pa.array(found, given.column("_name").type)], names=[*kept, "container"])
+
+    out = dealt.mapInArrow(contained, StructType([*(dealt.schema[c] for c in kept), StructField("container", symbols.schema["name"].dataType)]))
+    own = {x: F.col(f"_{x}").cast(parts.schema[x].dataType).alias(x) for x in ("start", "end")}
+    return out.select(document, *key, own["start"], own["end"], "container")
 
 
 def overlapping(left: DataFrame, right: DataFrame, document: str) -> DataFrame:

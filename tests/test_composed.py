@@ -378,3 +378,14 @@ def test_classified_bytes_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     want = con.execute(catalogue.oracle_sql()["classify_bytes"]).fetchall()
     got = [(r["doc_id"], r["kind"], r["confidence"]) for r in catalogue.queries()["classify_bytes"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_symbol_containers_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    """A null text has a part without a container, an empty one a part with one."""
+    rows = [(i, text) for i, text in enumerate([None, "", None, "a", "", "b" * 99, "c" * 100, "é" * 4001, None, "", "d" * 250])] + [(None, "a" * 99)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalogue.oracle_sql()["symbol_container"]).fetchall()
+    got = [tuple(r) for r in catalogue.queries()["symbol_container"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

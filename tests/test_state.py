@@ -283,3 +283,23 @@ def test_imports_of_few_and_many_bindings_and_far_ranges(spark, few):
     assert sorted((r["doc"] or "", r["n"], r["imports"]) for r in found) == [("", 3, []), ("d", 1, ["k", "m"]), ("d", 2, ["k"]), ("e", 1, ["j", "o"]), ("e", 2, ["j"])]
     many = relations.overlapping(spark.createDataFrame([("d", 1, 0, 10**10), ("d", 2, 5, 5)], "doc string, id int, start long, end long"), spark.range(3000).select(F.lit("d").alias("doc"), "id", (F.col("id") * 10**6).alias("start"), (F.col("id") * 10**6 + 1).alias("end")), "doc")
     assert many.count() == many.distinct().count() == 3000
+
+
+def test_containers_are_found_in_one_pass_over_each_document(spark):
+    """Rows are dealt and sorted once and not multiplied; documents go on over batches; nulls, ranges that end before they start and equal parts are as before."""
+    r = random.Random(5)
+    end = lambda a: r.choice([None, a - 3, a, a + 1, a + 8, a + 90, a + 400])
+    symbols = [(r.choice("de"), r.choice([None, "é", "z", f"s{i}"]), a := r.randrange(300), end(a)) for i in range(300)] + [(None, "none", 0, 900), ("d", "none", None, 900)]
+    parts = [(r.choice(["d", "e", "f", None]), i % 390, a := r.randrange(400), end(a)) for i in range(400)] + [("d", 401, None, 5), ("d", 402, None, None)]
+    ask = lambda: relations.smallest_container(spark.createDataFrame(parts, "doc string, n int, start int, end int"), spark.createDataFrame(symbols, "doc string, name string, start int, end long"), "doc", ["n"])
+    around = lambda d, a, b: [(e - s, s, name is not None, name) for x, name, s, e in symbols if None not in (d, a, b, s, e) and x == d and s <= e and s <= a and e >= b]
+    want = [(d, n, a, b, min(around(d, a, b), default=(None,))[-1]) for d, n, a, b in parts]
+    for most in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            assert sorted(map(tuple, ask().collect()), key=repr) == sorted(want, key=repr)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(f.name, f.dataType.simpleString()) for f in ask().schema] == [("doc", "string"), ("n", "int"), ("start", "int"), ("end", "int"), ("container", "string")]
+    plan = ask()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort ") == 1 and not any(x in plan for x in ("Window", "Join", "Generate"))
